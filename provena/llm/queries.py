@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provena.llm.support import remainder
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +22,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_counts(_table(spark, sf_dir, "documents"), f.read())
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from provena.llm.bpe import round_trip
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
+        return round_trip(_table(spark, sf_dir, "documents"), f.read(), public_tokenizers.PATTERN)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.langid import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs.where(remainder(5) != 0))
+    return identify(docs, model, (remainder(5) == 0).alias("held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
