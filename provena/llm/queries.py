@@ -39,6 +39,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, (remainder(5) == 0).alias("held_out"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.convnet import classify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    network = learn(docs, _table(spark, sf_dir, "labels"))
+    return classify(docs, network, (remainder(5) == 0).alias("held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
