@@ -47,6 +47,42 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_counts(_table(spark, sf_dir, "documents"), f.read())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.secrets import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+_KINDS = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
+}
+#: Row numbers keep repeated rows apart; offsets are running sums of the lengths between and of the matches.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+pieces AS (
+""" + "\nUNION ALL\n".join(f"""  SELECT r, {n} AS k, '{kind}' AS kind, unnest(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))) AS n,
+    unnest(list_transform(regexp_extract_all(text, '{p}', {group}), lambda x: length(x))) AS own,
+    unnest(list_transform(regexp_split_to_array(text, '{p}')[:-2], lambda x: length(x))) AS gap,
+    unnest(range(len(regexp_extract_all(text, '{p}')))) AS i, {least} AS least
+  FROM d WHERE regexp_matches(text, '{p}')""" for n, (kind, (p, group, least)) in enumerate(_KINDS.items())) + """
+), found AS (
+  SELECT r, k, kind, own >= least AS kept, CAST(sum(gap + n) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS stop, n FROM pieces
+), listed AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, k) FILTER (k < 3) AS base,
+    string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, k) AS spans
+  FROM found WHERE kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (r)
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"op1_top_k": OP1_SQL}.items()}
+    return {k: v for k, v in {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL}.items()}
