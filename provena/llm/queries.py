@@ -67,6 +67,28 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.debruijn import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS x FROM d, unnest(range(1, len(w) - 48)) AS u(i) WHERE len(w) >= 50),
+least AS (SELECT x, min(doc_id) AS low FROM spots GROUP BY x),
+marked AS (SELECT DISTINCT r, i FROM spots JOIN least USING (x) WHERE low < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM marked),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT r, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS kept
+  FROM words LEFT JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -142,4 +164,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL}.items()}
+    return {k: v for k, v in {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL}.items()}
