@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,7 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens that a worker keeps, and the longest of them.
-CACHE_ENTRIES, KEPT_CHARS = 1 << 19, 48
+CACHE_ENTRIES, KEPT_CHARS = 1 << 20, 32
+
+
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -30,56 +40,9 @@ def read_ranks(text: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(str.split, filter(None, text.splitlines()))}
 
 
-class RankQueue:
-    """Buckets of list positions by rank, and which ranks have any, as bitmaps of 64 children a node."""
-
-    def __init__(self, n_ranks: int):
-        self.buckets: list = [None] * n_ranks
-        self.levels = []
-        size = n_ranks
-        while True:
-            size = (size + 63) >> 6
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word = rank >> 6
-            before = level[word]
-            level[word] = before | 1 << (rank & 63)
-            if before:
-                return
-            rank = word
-
-    def lowest(self) -> int:
-        """The lowest rank with an entry, or -1."""
-        if not self.levels[-1][0]:
-            return -1
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def pop(self, rank: int) -> int:
-        """The leftmost position of a rank."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return position
+#: Ranks under one word of the lower bitmap; the upper bitmap has a bit for each such word.
+FAN = 256
+_BITS = [1 << i for i in range(FAN)]
 
 
 class Encoder(dict):
@@ -89,50 +52,75 @@ class Encoder(dict):
         super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        #: The lower bitmap; all zero between two pre-tokens.
+        self.words = [0] * (max(ranks.values()) // FAN + 1)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank first, the leftmost of equals."""
-        ranks, queue = self.ranks, self.queue
+        ranks, words, bits = self.ranks, self.words, _BITS
         if piece in ranks:
             return [ranks[piece]]
-        n = len(piece)
-        ends, following, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        get, n = ranks.get, len(piece)
+        #: The part that starts at byte i ends where the next one starts.
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waits = [-1] * n  # the rank under which the pair that starts here waits
-        get = ranks.get
+        buckets: dict[int, list[int]] = {}
+        occupied = 0  # the upper bitmap
+
+        def push(rank: int, position: int) -> None:
+            nonlocal occupied
+            waits[position] = rank
+            if rank in buckets:
+                heappush(buckets[rank], position)
+            else:
+                buckets[rank] = [position]
+                high = rank >> 8
+                words[high] |= bits[rank & 255]
+                occupied |= 1 << high
+
         for i in range(n - 1):
             rank = get(piece[i : i + 2])
             if rank is not None:
-                waits[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.lowest()) >= 0:
-            i = queue.pop(rank)
+                push(rank, i)
+        while occupied:
+            high = (occupied & -occupied).bit_length() - 1
+            word = words[high]
+            lowest = word & -word
+            rank = high << 8 | lowest.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[high] = word = word ^ lowest
+                if not word:
+                    occupied ^= 1 << high
             if waits[i] != rank:
                 continue
             j = following[i]
-            ends[i], following[i] = ends[j], following[j]
+            following[i] = end = following[j]
             waits[i] = waits[j] = -1
-            k = following[i]
-            if k < n:
-                before[k] = i
-                if (joined := get(piece[i : ends[k]])) is not None:
-                    waits[i] = joined
-                    queue.push(joined, i)
+            if end < n:
+                before[end] = i
+                joined = get(piece[i : following[end]])
+                if joined is not None:
+                    push(joined, i)
             h = before[i]
             if h >= 0:
-                joined = get(piece[h : ends[i]])
                 waits[h] = -1
+                joined = get(piece[h:end])
                 if joined is not None:
-                    waits[h] = joined
-                    queue.push(joined, h)
+                    push(joined, h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = following[i]
+            end = following[i]
+            out.append(ranks[piece[i:end]])
+            i = end
         return out
 
     def __missing__(self, pretoken: str) -> bytes:
-        ids = np.array(self.merge(pretoken.encode("utf-8", "replace")), "<u4").tobytes()
+        ids = pack(self.merge(pretoken.encode("utf-8", "replace")))
         if len(pretoken) <= KEPT_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
