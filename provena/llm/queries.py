@@ -151,6 +151,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, (remainder(5) == 0).alias("held_out"))
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.ctw import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.convnet import classify, learn
 
