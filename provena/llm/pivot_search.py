@@ -27,7 +27,7 @@ from provena.llm.support import written
 PIVOTS, SAMPLE_ROWS = 16, 2048
 #: Vectors in a block of rows, and of queries.
 BLOCK, QUERY_BLOCK = 8192, 1024
-#: Bounds evaluated between two looks at the stopping rule.
+#: Rows evaluated before the first look at the stopping rule; the count doubles from look to look.
 STEP = 256
 #: Whole numbers up to here are exact in float64 arithmetic.
 EXACT = 2**53
@@ -82,30 +82,44 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 
 def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
     """For each query of a block: its k best rows of another block, by bound order and exact stopping."""
-    x, xn = rows["v"], (rows["v"].astype(np.float64) ** 2).sum(1)
-    for i in range(len(query["ids"])):
-        q = query["v"][i]
-        qn, floor = float((q.astype(np.float64) ** 2).sum()), float(query["start"][i])
-        low = np.abs(rows["table"] - query["table"][i]).max(1)
-        # computed distances carry rounding errors: the bound gives way by far more than these
-        low = np.maximum(low - 1e-6 * (1 + np.sqrt(qn) + np.sqrt(xn)), 0)
-        bound = (qn + xn - low * low) / 2
+    x = rows["v"].astype(np.float64) if exact_floats else rows["v"]
+    asked = query["v"].astype(np.float64) if exact_floats else query["v"]
+    xn, qn = ((m.astype(np.float64) ** 2).sum(1) for m in (rows["v"], query["v"]))
+    table, own = np.ascontiguousarray(rows["table"].T), query["table"]
+    # computed distances carry rounding errors: the bound gives way by far more than these
+    slack = 1e-6 * (1 + np.sqrt(xn))
+    low, gap = np.empty(len(x)), np.empty(len(x))
+    for i in range(len(asked)):
+        floor = float(query["start"][i])
+        floor = floor if exact_floats else np.nextafter(floor, -np.inf)
+        low[:] = 0
+        for distance, d in zip(table, own[i], strict=True):
+            np.subtract(distance, d, out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        np.subtract(low, slack + 1e-6 * np.sqrt(qn[i]), out=low)
+        np.maximum(low, 0, out=low)
+        bound = (qn[i] + xn - low * low) / 2
         bound += 1e-6 * (1 + np.abs(bound))
-        order = np.flatnonzero((bound >= floor) & (rows["ids"] != query["ids"][i]))
+        order = np.flatnonzero(bound >= floor)
         order = order[np.argsort(-bound[order], kind="stable")]
         ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = 0
+        at, step = 0, STEP
         while at < len(order) and bound[order[at]] >= floor:
-            part = order[at : at + STEP]
-            at += STEP
-            ids = np.concatenate((ids, rows["ids"][part]))
-            found = np.concatenate((found, scores(x[part], q[None], exact_floats)[:, 0]))
+            part = order[at : at + step]
+            at, step = at + step, step * 2
+            score = x[part] @ asked[i]
+            good = (score >= floor) & (rows["ids"][part] != query["ids"][i])
+            if not good.any():
+                continue
+            ids = np.concatenate((ids, rows["ids"][part[good]]))
+            found = np.concatenate((found, np.rint(score[good]).astype(np.int64)))
             if len(found) >= k:
                 kept = best(ids, found, k)
                 ids, found = ids[kept], found[kept]
-                floor = max(floor, float(found[-1]))
+                last = float(found[-1])
+                floor = max(floor, last if exact_floats else np.nextafter(last, -np.inf))
         kept = best(ids, found, k)
-        kept = kept[found[kept] >= query["start"][i]]
         yield query["ids"][i], ids[kept], found[kept]
 
 
