@@ -67,6 +67,12 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.chosen_path import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.debruijn import remove_repeats
 
