@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Pre-tokens that a worker keeps, and the longest of them.
 CACHE_ENTRIES, KEPT_CHARS = 1 << 20, 32
@@ -149,8 +150,6 @@ def encode_documents(docs: DataFrame, rank_text: str, pattern: str, column: str
     """``docs`` with the ids of each whole text in a new column, array<int>.
 
     A null text counts as empty and has no ids.  A column of that name is replaced; every other one stays."""
-    import pyspark.sql.types as T
-
     shared = docs.sparkSession.sparkContext.broadcast((rank_text, pattern))
 
     def work(batches):
@@ -167,8 +166,6 @@ def encode_documents(docs: DataFrame, rank_text: str, pattern: str, column: str
 
 def decode_documents(encoded: DataFrame, rank_text: str, pattern: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that each row's ids stand for in a new binary column; null ids give no bytes."""
-    import pyspark.sql.types as T
-
     shared = encoded.sparkSession.sparkContext.broadcast((rank_text, pattern))
 
     def work(batches):

@@ -291,16 +291,8 @@ def tile_links(members: DataFrame, similarity: float) -> DataFrame:
     return tiles.mapInArrow(work, "num long, links long, other long")
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row.
-
-    Two rows are linked if the Jaccard similarity of their sets reaches
-    ``similarity``; ``class_id`` is the least doc_id reached over links, and
-    ``n_links`` the number of other rows linked directly.  Words lie between
-    blanks, with A-Z lowered.  A text of fewer words than a shingle is one
-    shingle; a null or empty text has no set, is linked to nothing and is its own
-    class.  Rows that repeat are linked copies.  A null doc_id counts after all
-    others.  An empty table gives an empty result; extra columns are ignored."""
+def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """All rows as described(), and (set_key, num, class_id, class_num, n_links) of each distinct set; ``num`` is its least row."""
     rows = described(docs)
     full = rows.where("n_shingles > 0")
     # the least row of each set stands for its copies
@@ -317,10 +309,36 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = written(tile_links(spread, similarity), "path-tiles")
     links = found.groupBy("num").agg(F.sum("links").alias("links"))
     edges = found.where("other IS NOT NULL").select(F.col("num").alias("a"), F.col("other").alias("b"))
-    classes = connected(edges)
+    linked = connected(edges)
     ids = sets.select(F.col("num").alias("node"), "doc_id")
-    least = classes.join(ids, "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = classes.join(least, "component").select(F.col("node").alias("num"), "class_id")
-    by_set = sets.join(named, "num", "left").join(links, "num", "left").select("set_key", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("node").alias("num"))
+    least = linked.join(ids, "node").groupBy("component").agg(F.min(first).alias("f"))
+    named = linked.join(least, "component").select(F.col("node").alias("num"), F.col("f.doc_id").alias("class_id"), F.col("f.num").alias("class_num"))
+    links_of = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return rows, sets.join(named, "num", "left").join(links, "num", "left").select("set_key", "num", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_num", "num").alias("class_num"), links_of)
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row.
+
+    Two rows are linked if the Jaccard similarity of their sets reaches
+    ``similarity``; ``class_id`` is the least doc_id reached over links, and
+    ``n_links`` the number of other rows linked directly.  Words lie between
+    blanks, with A-Z lowered.  A text of fewer words than a shingle is one
+    shingle; a null or empty text has no set, is linked to nothing and is its own
+    class.  Rows that repeat are linked copies.  A null doc_id counts after all
+    others.  An empty table gives an empty result; extra columns are ignored."""
+    rows, sets = classes(docs, similarity)
+    out = rows.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(sets, "set_key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def distinct_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all their columns: the least of each class, and every row that has no words."""
+    rows, sets = classes(docs, similarity)
+    empty = rows.where("n_shingles = 0").select("row", F.lit(False).alias("once"))
+    least = rows.join(sets.where("num = class_num").select("num"), "num", "left_semi").select("row", F.lit(True).alias("once"))
+    kept = empty.unionByName(least).distinct().withColumnsRenamed({"row": "__row", "once": "__once"})
+    found = docs.withColumn("__row", row_key()).join(kept, "__row")
+    # rows that repeat both id and text share a key: one of them stays, but for those without words
+    return found.where("__once").dropDuplicates(["__row"]).unionByName(found.where("NOT __once")).drop("__row", "__once")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.llm.support import remainder, slices
 
@@ -27,6 +28,8 @@ EMBED, STEP, FILTERS = 8, 4, 48
 #: Bounds of the training sample, and passes over it.
 SAMPLE_ROWS, SAMPLE_CHUNKS, EPOCHS = 2500, 5, 6
 BATCH, RATE = 64, 0.004
+#: Least score of a row that is predicted to be of label 1.
+THRESHOLD = 0.3
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -195,12 +198,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> Network:
     return fit([[bytes(c) for c in x.pieces] for x in found], np.array([x.quality for x in found], int))
 
 
-def classify(docs: DataFrame, network: Network, *keep: Column, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, kept columns, score, predicted) of every row.
-
-    A null text counts as empty; an empty text is one chunk of zero bytes and gets its score.
-    Repeated rows each give a row; an empty table gives an empty result."""
+def scored(docs: DataFrame, network: Network) -> DataFrame:
+    """``docs`` with the probability of label 1 of each whole text in the column score (one of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    rows = docs.drop("score")
 
     def work(batches):
         net = shared.value
@@ -208,9 +209,15 @@ def classify(docs: DataFrame, network: Network, *keep: Column, threshold: float
             score = np.zeros(batch.num_rows)
             for lo, hi, data, offsets in slices(batch.column("text")):
                 score[lo:hi] = net.score(data, offsets)
-            names = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+
+    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
-    rows = docs.select("doc_id", *keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(work, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def classify(docs: DataFrame, network: Network, *keep: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, kept columns, score, predicted) of every row.
+
+    A null text counts as empty; an empty text is one chunk of zero bytes and gets its score.
+    Repeated rows each give a row; an empty table gives an empty result."""
+    out = scored(docs.select("doc_id", *keep, "text"), network).drop("text")
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

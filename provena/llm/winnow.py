@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.llm.support import ALNUM, LOWER, Words, mix, row_key, slices, sliding_min, written
 
@@ -126,15 +127,9 @@ def meeting(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(hit)[:-1])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
-
-    A null or empty text has no words and is not hit.  An item of no words has
-    no window.  Rows that repeat share their result; items that repeat both id
-    and text count once, and several texts of one id count as that id.  An item
-    whose id is null hits words, but is not among the items named.  Empty tables
-    give empty results, or rows without hits; extra columns are ignored."""
-    spark = docs.sparkSession
+def hits_of(keyed: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, other columns, n_words) of every row of ``keyed`` (row, text and others), and (row, item_id, hit) of its meetings with items."""
+    spark = keyed.sparkSession
     tests = written(item_fingerprints(items), "winnow-items")
     short = [r.words for r in tests.where(F.col("words") < WINDOW).select("words").distinct().collect()]  # at most WINDOW - 1 lengths
     shared = spark.sparkContext.broadcast(np.packbits(bitmap(tests)))
@@ -154,11 +149,12 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
                 counts.append(words.counts)
                 prints += found
             counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(prints, pa.list_(pa.int64()))], ["row", "doc_id", "n_words", "prints"])
+            names = [x for x in batch.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(counts.astype(np.int64)), pa.array(prints, pa.list_(pa.int64()))], [*names, "n_words", "prints"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(row_key().alias("row"), "doc_id", "text")
-    rows = written(keyed.mapInArrow(scan, f"row binary, doc_id {kind}, n_words long, prints array<long>"), "winnow-rows")
+    others = [f for f in keyed.schema.fields if f.name != "text"]
+    schema = T.StructType([*others, T.StructField("n_words", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+    rows = written(keyed.mapInArrow(scan, schema), "winnow-rows")
     # one fingerprint may be in many rows and few items: each row's pair with an item counts once, before any text moves
     met = rows.where("prints IS NOT NULL").select("row", F.explode("prints").alias("print")).distinct()
     pairs = written(met.join(tests.select("item", F.explode("prints").alias("print")), "print").select("row", "item").distinct(), "winnow-pairs")
@@ -181,6 +177,18 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(out, pa.list_(pa.int64()))], ["row", "item_id", "hit"])
 
     hits = both.select("row", "item_id", "text", "item_text").mapInArrow(extend, "row binary, item_id string, hit array<long>").where(F.size("hit") > 0)
+    return rows.drop("prints"), hits
+
+
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
+
+    A null or empty text has no words and is not hit.  An item of no words has
+    no window.  Rows that repeat share their result; items that repeat both id
+    and text count once, and several texts of one id count as that id.  An item
+    whose id is null hits words, but is not among the items named.  Empty tables
+    give empty results, or rows without hits; extra columns are ignored."""
+    rows, hits = hits_of(docs.select(row_key().alias("row"), "doc_id", "text"), items)
     # by row and word first: one row's many items never meet as lists of words
     words_hit = hits.select("row", F.explode("hit").alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     named = hits.where("item_id IS NOT NULL").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("named"))
@@ -191,3 +199,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, that no item's window occurs in."""
+    _, hits = hits_of(docs.select(row_key().alias("row"), "text"), items)
+    return docs.withColumn("__row", row_key()).join(hits.select(F.col("row").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
