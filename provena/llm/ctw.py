@@ -36,7 +36,9 @@ END = 0xFF
 #: Model rows of contexts not met in training go by the longest shorter one that was: two bytes, then one.
 TWO, ONE = 1 << 24, 1 << 25
 #: Words that a task counts before it hands them on.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 19
+#: Rows that a scoring task handles at once.
+ROWS = 1000
 
 
 def framed(texts: pa.Array) -> pa.Array:
@@ -216,7 +218,7 @@ class Tables:
             self.places = np.full(ONE, -2, np.int32)[: TWO + (1 << 16)].copy()
             self.places[self.known] = -1
             self.places[self.hot] = np.arange(len(self.hot), dtype=np.int32)
-            self.logs = np.vstack((self.rows, self.last))
+            self.logs, self.rows = np.vstack((self.rows, self.last)), None
 
     def bytes_of(self, data: np.ndarray, offsets: np.ndarray):
         """Sum of the logs at hand by text, and (text, key, byte) of each byte whose row must be joined."""
@@ -228,7 +230,7 @@ class Tables:
         place[unmet] = self.places[at[unmet]]
         unmet = unmet[place[unmet] == -2]
         at[unmet] = ONE + (at[unmet] & 0xFF)
-        place[unmet] = len(self.rows) + (at[unmet] - ONE)
+        place[unmet] = len(self.hot) + (at[unmet] - ONE)
         logs = self.logs[place, data[DEPTH:]].astype(np.float64)
         cold = np.flatnonzero((place == -1) & real)
         logs[(place == -1) | ~real] = 0
@@ -263,36 +265,44 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
         t.prepare()
         logs = {w: t.word_log(n) for w, n in t.words.items()}
         end_log, end_known = t.word_log(t.ends), int(t.ends > 0)
-        for batch in batches:
-            n_tokens, n_known, base, cold_words = [], [], [], []
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+            n_tokens, n_known, base, rare, times, ends = [], [], [], [], [], [0]
             column = as_bytes(batch.column("text"))
             for text in column.to_pylist():
                 counter = Counter(text.lower().split())
-                tokens, known, total, cold = 1, end_known, end_log, []
+                tokens, known, total = 1, end_known, end_log
                 for word, n in counter.items():
                     tokens += n
                     if (log := logs.get(word)) is None:
-                        cold.append({"word": word, "n": n})
+                        rare.append(word)
+                        times.append(n)
                     else:
                         known += n
                         total += n * log
                 n_tokens.append(tokens)
                 n_known.append(known)
                 base.append(total)
-                cold_words.append(cold or None)
-            sums, cold_bytes = [], [None] * batch.num_rows
+                ends.append(len(rare))
+            sums, keys, docs_of = [], [], []
             for lo, _, data, offsets in slices(framed(column)):
                 s, doc, key, byte = t.bytes_of(data, offsets)
                 sums.append(s)
-                for i in np.unique(doc).tolist():
-                    pairs, n = np.unique(key[doc == i] << 8 | byte[doc == i], return_counts=True)
-                    cold_bytes[lo + i] = [{"key": p >> 8, "byte": p & 255, "n": m} for p, m in zip(pairs.tolist(), n.tolist(), strict=True)]
+                keys.append(key << 8 | byte)
+                docs_of.append(doc + lo)
+            pair, doc = np.concatenate(keys), np.concatenate(docs_of)
+            order = np.lexsort((pair, doc))
+            pair, doc = pair[order], doc[order]
+            at = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))) if len(pair) else np.zeros(0, np.int64)
+            many = np.diff(np.concatenate((at, [len(pair)])))
+            pair, doc = pair[at], doc[at]
+            cold_words = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            cold_bytes = pa.StructArray.from_arrays([pa.array(pair >> 8), pa.array((pair & 255).astype(np.int32)), pa.array(many)], ["key", "byte", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(np.concatenate(sums) if sums else [], pa.float64()), pc.binary_length(column).cast(pa.int64()),
-                    pa.array(cold_words, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    pa.array(cold_bytes, pa.list_(pa.struct([("key", pa.int64()), ("byte", pa.int32()), ("n", pa.int64())]))),
+                    pa.array(np.concatenate(sums)), pc.binary_length(column).cast(pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cold_words),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32()), cold_bytes),
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "bytes", "n_bytes", "cold_words", "cold_bytes"],
             )
@@ -301,10 +311,10 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     rows = docs.select("doc_id", (remainder(held_out) == 0).alias("held_out"), "text")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, bytes double, n_bytes long, cold_words array<struct<word:binary,n:long>>, cold_bytes array<struct<key:long,byte:int,n:long>>"
     scored = written(rows.mapInArrow(work, schema).withColumn("num", F.monotonically_increasing_id()), "ctw-scores")
-    rare = scored.where("cold_words IS NOT NULL").select("num", F.inline("cold_words")).withColumnRenamed("n", "times")
+    rare = scored.where(F.size("cold_words") > 0).select("num", F.inline("cold_words")).withColumnRenamed("n", "times")
     seen = F.coalesce(F.col("n"), F.lit(0))
     by_word = rare.join(words, "word", "left").groupBy("num").agg(F.sum(F.col("times") * (F.log10(seen + 0.1) - F.lit(tables.divisor))).alias("more_base"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    deep = scored.where("cold_bytes IS NOT NULL").select("num", F.inline("cold_bytes")).withColumnRenamed("n", "times")
+    deep = scored.where(F.size("cold_bytes") > 0).select("num", F.inline("cold_bytes")).withColumnRenamed("n", "times")
     by_byte = deep.join(model.select("key", "logs"), "key").groupBy("num").agg(F.sum(F.col("times") * F.element_at("logs", F.col("byte") + 1).cast("double")).alias("more_bytes"))
     out = scored.drop("cold_words", "cold_bytes").join(by_word, "num", "left").join(by_byte, "num", "left")
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
