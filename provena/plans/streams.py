@@ -1 +1,91 @@
-"""."""
+"""Streams run to their end over the events table, and the same folds on a table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provena.plans.adapters import table
+from provena.plans.registry import query
+from provena.streaming import state, windows
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows of a stream over files that are there already."""
+    name = f"drained_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("w_start", "w_end")})
+
+
+WINDOW = "SELECT {0} AS w_start, {0} + INTERVAL 1 HOUR AS w_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {1} GROUP BY ALL"
+
+
+@query("stream_tumbling", WINDOW.format("time_bucket(INTERVAL 1 HOUR, ts)", "events"))
+def stream_tumbling(spark, sf_dir):
+    return _plain(drained(spark, windows.tumbling(event_stream(spark, sf_dir)), "complete"))
+
+
+@query("stream_sliding", WINDOW.format("time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(CAST(k * 15 AS INT))", "(SELECT *, unnest(range(4)) AS k FROM events)"))
+def stream_sliding(spark, sf_dir):
+    return _plain(drained(spark, windows.sliding(event_stream(spark, sf_dir)), "complete"))
+
+
+@query("stream_session", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS w_start, max(ts) + INTERVAL 30 MINUTE AS w_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_session(spark, sf_dir):
+    return windows.sessions(table(spark, sf_dir, "events"))
+
+
+def _keyed(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"), "event_type", F.col("value").alias("size_mb"))
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark, sf_dir):
+    return state.over_table(_keyed(spark, sf_dir), "user_id", ["at", "event_id"], state.rate_limit(5, 43200), "admitted boolean, recent int")
+
+
+@query("stream_rate_limit_live")
+def stream_rate_limit_live(spark, sf_dir):
+    e = event_stream(spark, sf_dir).select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"))
+    return drained(spark, state.over_stream(e, "user_id", ["at", "event_id"], state.rate_limit(5, 43200), "admitted boolean, recent int"))
+
+
+@query("login_lockout")
+def login_lockout(spark, sf_dir):
+    e = _keyed(spark, sf_dir).where("event_type IN ('error', 'view')").withColumn("ok", F.col("event_type") == "view")
+    return state.over_table(e, "user_id", ["at", "event_id"], state.lockout(2, 86400), "blocked boolean, failures int")
+
+
+@query("job_states")
+def job_states(spark, sf_dir):
+    kinds = F.create_map(*[x for k, v in (("view", "claim"), ("click", "transient"), ("purchase", "success"), ("error", "permanent"), ("signup", "reprocess")) for x in (F.lit(k), F.lit(v))])
+    e = _keyed(spark, sf_dir).withColumn("kind", kinds[F.col("event_type")])
+    return state.over_table(e, "user_id", ["at", "event_id"], state.job(3), "status string, attempts int")
+
+
+@query("session_expiry")
+def session_expiry(spark, sf_dir):
+    e = _keyed(spark, sf_dir).withColumn("kind", F.when(F.col("event_type") == "signup", "open").otherwise("use"))
+    return state.over_table(e, "user_id", ["at", "event_id"], state.expiry(86400), "alive boolean")
+
+
+@query("alert_firing", """WITH h AS (SELECT event_type AS series, time_bucket(INTERVAL 6 HOUR, ts) AS w_start, avg(value) AS rate FROM events GROUP BY ALL)
+SELECT series, w_start, min(CAST(rate > 30 AS INT)) OVER o = 1 AND count(*) OVER o = 2 AS firing FROM h WINDOW o AS (PARTITION BY series ORDER BY w_start ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""")
+def alert_firing(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    h = e.groupBy(F.col("event_type").alias("series"), F.window("ts", "6 hours").alias("w")).agg(F.avg("value").alias("rate")).select("series", F.col("w.start").alias("w_start"), "rate")
+    return windows.alerts(h, 30.0, 2).select("series", "w_start", "firing")
