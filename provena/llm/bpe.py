@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from provena.llm.support import few_rows
+
 #: Pre-tokens that a worker keeps, and the longest of them.
 CACHE_ENTRIES, KEPT_CHARS = 1 << 20, 32
 
@@ -154,7 +156,7 @@ def encode_documents(docs: DataFrame, rank_text: str, pattern: str, column: str
 
     def work(batches):
         encoder = _encoder(*shared.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
@@ -170,7 +172,7 @@ def decode_documents(encoded: DataFrame, rank_text: str, pattern: str, ids: str
 
     def work(batches):
         tokens = _encoder(*shared.value).tokens
-        for batch in batches:
+        for batch in few_rows(batches):
             out = [b"".join(map(tokens.__getitem__, x or ())) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, column])
 
@@ -188,7 +190,7 @@ def round_trip(docs: DataFrame, rank_text: str, pattern: str) -> DataFrame:
 
     def work(batches):
         encoder = _encoder(*shared.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             counts, ids_hash, text_hash = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = encoder.encode(text or "")

@@ -72,6 +72,13 @@ def slices(column: pa.Array, size: int = SLICE_BYTES):
         lo = hi
 
 
+def few_rows(batches, rows: int = 500):
+    """The same rows in batches of at most ``rows``: what a task makes of one stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def byte_class(member) -> np.ndarray:
     """Truth table over byte values."""
     return np.array([bool(member(b)) for b in range(256)])
