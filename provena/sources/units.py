@@ -251,9 +251,9 @@ def sheets(content: bytes) -> list[tuple[str, list[tuple[str, list[tuple[str, st
     """(name, rows) of a workbook's sheets in order; a row is its number and (cell reference, value) pairs.  Formulas are not evaluated."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = set(archive.namelist())
-        part = lambda name: xml(archive.read(name)) if name in names else None
-        shared = [("".join(t.text or "" for t in si.iter() if local(t.tag) == "t")).strip() for si in part("xl/sharedStrings.xml") or () if local(si.tag) == "si"]
-        targets = {r.attrib.get("Id"): r.attrib.get("Target", "").replace("\\", "/").lstrip("/") for r in part("xl/_rels/workbook.xml.rels") or ()}
+        part = lambda name: xml(archive.read(name)) if name in names else ElementTree.Element("none")
+        shared = [("".join(t.text or "" for t in si.iter() if local(t.tag) == "t")).strip() for si in part("xl/sharedStrings.xml") if local(si.tag) == "si"]
+        targets = {r.attrib.get("Id"): r.attrib.get("Target", "").replace("\\", "/").lstrip("/") for r in part("xl/_rels/workbook.xml.rels")}
         targets = {k: v if v.startswith("xl/") else f"xl/{v}" for k, v in targets.items()}
         numbered = lambda n: (int(m[1]) if (m := re.search(r"(\d+)\.xml$", n)) else 1 << 20, n)
         parts = sorted((n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=numbered)
