@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.support import Tally, as_bytes, remainder, slices, written
+from provena.llm.support import Tally, as_bytes, few_rows, remainder, slices, written
 
 #: Bytes of the longest context.
 DEPTH = 3
@@ -36,9 +36,9 @@ END = 0xFF
 #: Model rows of contexts not met in training go by the longest shorter one that was: two bytes, then one.
 TWO, ONE = 1 << 24, 1 << 25
 #: Words that a task counts before it hands them on.
-HELD_WORDS = 1 << 19
-#: Rows that a scoring task handles at once.
-ROWS = 1000
+HELD_WORDS = 1 << 18
+#: Rows that a task handles at once.
+ROWS = 500
 
 
 def framed(texts: pa.Array) -> pa.Array:
@@ -126,7 +126,7 @@ def count(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         tally, counter, rows = Tally(), Counter(), 0
-        for batch in batches:
+        for batch in few_rows(batches, ROWS):
             texts = batch.column("text")
             rows += len(texts)
             for text in as_bytes(texts).to_pylist():
@@ -205,7 +205,8 @@ class Tables:
     """What the scoring tasks hold: hot words and hot rows, and where the row of each context is."""
 
     def __init__(self, words: dict[bytes, int], total: int, distinct: int, ends: int, hot: np.ndarray, rows: np.ndarray, known: np.ndarray, last: np.ndarray):
-        self.words, self.divisor = words, math.log10(total + 0.1 * (distinct + 1))
+        self.divisor = math.log10(total + 0.1 * (distinct + 1))
+        self.logs_of_words = {w: self.word_log(n) for w, n in words.items()}
         self.ends, self.hot, self.rows, self.known, self.last = ends, hot, rows, known, last
         self.places = None
 
@@ -215,15 +216,15 @@ class Tables:
     def prepare(self) -> None:
         """Row numbers of all contexts: at least 0 for a hot one, -1 for one to be joined, -2 for one not met."""
         if self.places is None:
-            self.places = np.full(ONE, -2, np.int32)[: TWO + (1 << 16)].copy()
+            self.places = np.full(TWO + (1 << 16), -2, np.int16)  # HOT_CONTEXTS fit 15 bits
             self.places[self.known] = -1
-            self.places[self.hot] = np.arange(len(self.hot), dtype=np.int32)
+            self.places[self.hot] = np.arange(len(self.hot), dtype=np.int16)
             self.logs, self.rows = np.vstack((self.rows, self.last)), None
 
     def bytes_of(self, data: np.ndarray, offsets: np.ndarray):
         """Sum of the logs at hand by text, and (text, key, byte) of each byte whose row must be joined."""
         context, real = contexts(data), coded(data, offsets)
-        place = self.places[context]
+        place = self.places[context].astype(np.int32)
         at = context.astype(np.int64)
         unmet = np.flatnonzero(place == -2)
         at[unmet] = TWO + (at[unmet] & 0xFFFF)
@@ -238,6 +239,19 @@ class Tables:
         return sums[offsets[1:]] - sums[offsets[:-1]], np.searchsorted(offsets, cold + DEPTH, "right") - 1, at[cold], data[DEPTH:][cold]
 
 
+def hottest(df: DataFrame, most: int) -> DataFrame:
+    """Rows of ``df`` with the greatest ``n``, at most ``most`` of them: all above a bound that a histogram of some hundred bars gives, so nothing is sorted as a whole."""
+    bar = F.floor(F.log2("n") * 32)
+    bars = sorted(((r.bar, r.rows) for r in df.groupBy(bar.alias("bar")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    lowest, held = None, 0
+    for at, rows in bars:
+        held += rows
+        if held > most:
+            break
+        lowest = at
+    return df.where(bar >= lowest) if lowest is not None else df.limit(0)
+
+
 def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
@@ -252,9 +266,9 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = counts.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     total, distinct = facts.n + ends, facts.v + (ends > 0)
-    hot_words = words.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
+    hot_words = hottest(words.where(F.octet_length("word") <= WORD_BYTES), HOT_WORDS).toArrow()
     model, last = context_rows(counts)
-    hot = model.where("n > 0").orderBy(F.desc("n"), "key").limit(HOT_CONTEXTS).toArrow()
+    hot = hottest(model.where("n > 0"), HOT_CONTEXTS).toArrow()
     hot_rows = hot["logs"].combine_chunks().flatten().to_numpy().reshape(-1, 256) if len(hot) else np.zeros((0, 256), np.float32)
     known = model.select(F.col("key").cast("int").alias("key")).toArrow()["key"].to_numpy()  # of at most 2^24 + 2^16 contexts
     tables = Tables(dict(zip(hot_words["word"].to_pylist(), hot_words["n"].to_pylist(), strict=True)), total, distinct, ends, hot["key"].to_numpy(), hot_rows, known, last)
@@ -263,9 +277,9 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     def work(batches):
         t = shared.value
         t.prepare()
-        logs = {w: t.word_log(n) for w, n in t.words.items()}
+        logs = t.logs_of_words
         end_log, end_known = t.word_log(t.ends), int(t.ends > 0)
-        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+        for batch in few_rows(batches, ROWS):
             n_tokens, n_known, base, rare, times, ends = [], [], [], [], [], [0]
             column = as_bytes(batch.column("text"))
             for text in column.to_pylist():
