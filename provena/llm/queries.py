@@ -73,6 +73,22 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT r, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+), opened AS (SELECT r, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (
+  SELECT a.r AS a, b.r AS b FROM opened a JOIN opened b ON a.t = b.t AND a.r <> b.r
+  GROUP BY a.r, b.r HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+classes AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = b GROUP BY a),
+links AS (SELECT a AS r, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN classes USING (r) LEFT JOIN links USING (r)
+"""
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.debruijn import remove_repeats
 
@@ -176,4 +192,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL}.items()}
+    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL}
