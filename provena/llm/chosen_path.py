@@ -41,15 +41,14 @@ _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 
 def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """Runs until a pair at the threshold meets with the wanted chance.
-
-    A pair that is split at least once meets in a run if one of the coordinates
-    drawn holds a shared token; buckets of rare tokens are small after a split or
-    two, for which the chance of two splits is the lower bound."""
-    extra = 1 / similarity - 1
-    one = 1 - (1 - similarity) * (1 - similarity * extra)
-    two = 1 - (1 - similarity * one) * (1 - similarity * extra * one)
-    return math.ceil(math.log(1 - recall) / math.log(1 - two))
+    """Runs until a pair at the threshold meets with the wanted chance, even if its buckets are split DEEP times.
+
+    After each split the pair is still together if one of the coordinates drawn
+    holds a token that both share, and that child bucket's own splits keep them."""
+    together, extra = 1.0, 1 / similarity - 1
+    for _ in range(DEEP):
+        together = 1 - (1 - similarity * together) * (1 - similarity * extra * together)
+    return math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,14 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that written() has made, once no result that reads them is needed any more."""
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """128-bit key of a row's id and text.  Rows that repeat both share it, and any result with it."""
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from provena.llm import chosen_path, components, debruijn, winnow
+from provena.llm import chosen_path, components, debruijn, support, winnow
 
 DOC = "doc_id long, text string, row string, hit string"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -112,6 +112,13 @@ def test_recall_needs_enough_runs():
     assert chosen_path.runs_needed(0.8, 0.9999) > chosen_path.runs_needed(0.8, 0.9) >= 1
 
 
+def test_written_tables_can_be_released(spark):
+    table = support.written(spark.range(3).toDF("x"), "test")
+    assert table.count() == 3
+    support.release(spark)
+    assert not support._paths
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
