@@ -242,3 +242,22 @@ def note_sources(spark, sf_dir):
 @query("sentence_counts", r"SELECT conv_id, turn, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS INT) AS n FROM conversations")
 def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.sentences(F.col("text"))).alias("n"))
+
+
+@query("ask_library")
+def ask_library(spark, sf_dir):
+    from provena import api
+
+    d = api.ask_library(passages(spark, sf_dir), batch(spark, sf_dir), limit=3)
+    return d.select("query_id", "coverage", "citations", "suspected", "was_verified", F.md5("answer").alias("h"))
+
+
+@query("ask_visible", f"""WITH acl AS (SELECT DISTINCT doc_id AS document, unnest(['u' || (doc_id % 10), 'u' || (doc_id % 3)]) AS username FROM documents WHERE doc_id % 7 = 0),
+hidden AS (SELECT document FROM acl GROUP BY document HAVING count(*) FILTER (username = 'u1') = 0),
+{search_sql(BATCH_SQL, "SELECT source AS library, doc_id AS chunk, 'doc_' || doc_id || '.txt' AS filename, text FROM documents WHERE doc_id NOT IN (SELECT document FROM hidden)", 3)}
+SELECT a.query_id, CASE WHEN count(r.chunk) = 0 THEN 'insufficient_evidence' ELSE 'supported' END AS coverage, count(r.chunk) AS citations FROM asked a LEFT JOIN ranked r USING (query_id) GROUP BY a.query_id""")
+def ask_visible(spark, sf_dir):
+    from provena import api
+    from provena.plans.adapters import acl
+
+    return api.ask_library(passages(spark, sf_dir), batch(spark, sf_dir), acl(spark, sf_dir), "u1", 3).select("query_id", "coverage", "citations")

@@ -411,6 +411,11 @@ def markdown_sections(rows: DataFrame, key: str) -> DataFrame:
     return carried.where(F.col("h").isNull() & (F.trim("text") != "")).select(key, "line", "heading", "text")
 
 
+#: Tags that become Markdown, and what stands for them.
+MARKS = (("h1", "\n# {}\n"), ("h2", "\n## {}\n"), ("h3", "\n### {}\n"), ("p", "\n{}\n"), ("li", "\n* {}"))
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
+
+
 def to_markdown(html: str) -> str:
     """A page as Markdown: scripts go; tables, headings, paragraphs and items are marked; other tags become blanks."""
     flags = re.DOTALL | re.IGNORECASE
@@ -427,10 +432,10 @@ def to_markdown(html: str) -> str:
         return "\n\n" + "\n".join(out) + "\n\n" if out else ""
 
     text = re.sub(r"<table[^>]*>.*?</table>", table, text, flags=flags)
-    for tag, mark in (("h1", "\n# {}\n"), ("h2", "\n## {}\n"), ("h3", "\n### {}\n"), ("p", "\n{}\n"), ("li", "\n* {}")):
+    for tag, mark in MARKS:
         text = re.sub(rf"<{tag}[^>]*>(.*?)</{tag}>", lambda m, mark=mark: mark.format(m[1]), text, flags=re.IGNORECASE)
     text = re.sub(r"<[^>]+>", " ", re.sub(r"<br\s*/?>", "\n", text, flags=re.IGNORECASE))
-    for entity, c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+    for entity, c in ENTITIES:
         text = text.replace(entity, c)
     return "\n\n".join(line.strip() for line in text.splitlines() if line.strip())
 

@@ -1,4 +1,4 @@
-"""Event-time windows.  The reference semantics know none: sizes and lateness are this library's own."""
+"""Event-time windows.  Sizes and lateness are this library's own choice."""
 
 from __future__ import annotations
 
