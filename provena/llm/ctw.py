@@ -8,16 +8,19 @@ the product of its children's, so all depths are mixed with the weights that the
 training rows give them.  A text's score is the log10 probability of its bytes
 and an end symbol under the trained trees; over the bytes it is the code length.
 
-Training counts bytes with their contexts in the tasks and sums them in one
-exchange; trees are weighted bottom-up by grouping contexts under the next
-shorter one.  A context's 256 log-probabilities are one row of the model.  The
-most frequent contexts and words are broadcast in tables of fixed size; what a
-text needs beyond them is joined, aggregated by text beforehand."""
+Training counts grams (a byte with its context) in the tasks and sums them in one
+exchange.  Trees are weighted bottom-up, then read top-down, by streams of grams
+sorted by context: those that share their last three context bytes pass through
+one task, shorter contexts are grouped under the next shorter one.  Frequent grams
+and words are broadcast in tables of fixed size.  What texts need beyond them is
+aggregated by text, read from the same trees (a gram not met in training is one
+of count zero) and joined."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.support import Tally, as_bytes, few_rows, remainder, slices, written
+from provena.llm.support import Tally, as_bytes, few_rows, mix, remainder, slices, written
 
 #: Bytes of the longest context.
-DEPTH = 3
-#: Contexts whose rows are broadcast (1 KB each), and words whose counts are (of WORD_BYTES at most).
-HOT_CONTEXTS, HOT_WORDS, WORD_BYTES = 1 << 15, 1 << 17, 64
+DEPTH = 5
+#: Grams and words that are broadcast (12 bytes a gram, WORD_BYTES at most a word).
+HOT_GRAMS, HOT_WORDS, WORD_BYTES = 1 << 21, 1 << 17, 64
 #: The end of a text as a byte, which UTF-8 never holds.
 END = 0xFF
-#: Model rows of contexts not met in training go by the longest shorter one that was: two bytes, then one.
-TWO, ONE = 1 << 24, 1 << 25
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 1 << 18
-#: Rows that a task handles at once.
-ROWS = 500
+#: Rows that a task handles at once, and grams that a tree pass does.
+ROWS, GRAMS = 500, 4096
 
 
 def framed(texts: pa.Array) -> pa.Array:
@@ -47,14 +48,23 @@ def framed(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(edge(b"\0" * DEPTH), as_bytes(texts), edge(bytes([END])), edge(b""))
 
 
-def contexts(data: np.ndarray) -> np.ndarray:
-    """The three bytes before each byte from the fourth on, as one number."""
-    b = data.astype(np.uint32)
-    return b[:-3] << np.uint32(16) | b[1:-2] << np.uint32(8) | b[2:-1]
+def grams(data: np.ndarray) -> np.ndarray:
+    """Gram of each byte from the DEPTH-th on.
+
+    Its digits, from the highest: the three bytes before it in their order, then
+    the older ones backwards, then the byte.  So sorted grams are sorted by context,
+    shorter contexts first."""
+    b, n = data.astype(np.uint64), len(data) - DEPTH
+    before = lambda i: b[DEPTH - i : DEPTH - i + n]
+    out = before(3).copy()
+    for digit in (before(2), before(1), *(before(i) for i in range(4, DEPTH + 1)), b[DEPTH:]):
+        out <<= np.uint64(8)
+        out |= digit
+    return out
 
 
 def coded(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which bytes from the fourth on belong to a text or end one."""
+    """Which bytes from the DEPTH-th on belong to a text or end one."""
     real = np.ones(len(data), bool)
     for i in range(DEPTH):
         real[offsets[:-1] + i] = False
@@ -78,8 +88,11 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of the counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
+    """Log of the Krichevsky-Trofimov probability of the counts; 0 where there are none."""
+    out, some = np.zeros(zeros.shape), (zeros + ones) > 0
+    a, b = zeros[some], ones[some]
+    out[some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
+    return out
 
 
 def next_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -97,25 +110,17 @@ def stopping(own: np.ndarray, children: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
 
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from rows of 255 probabilities of a one."""
-    out = np.zeros((len(one), 1))
+def byte_log(one: np.ndarray, row: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte under its row of 255 probabilities of a one."""
+    out = np.zeros(len(byte))
     for k in range(8):
-        p = one[:, (1 << k) - 1 : (2 << k) - 1]
-        out = np.stack((out + np.log10(1 - p), out + np.log10(p)), 2).reshape(len(one), 2 << k)
+        p = one[row, (1 << k) - 1 + (byte >> (8 - k))]
+        out += np.log10(np.where(byte >> (7 - k) & 1, p, 1 - p))
     return out
 
 
-def dense(old: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of ``old`` and a row of 256 counts for each."""
-    seen, at = np.unique(old, return_inverse=True)
-    out = np.zeros((len(seen), 256), np.int64)
-    np.add.at(out, (at, byte), n)
-    return seen, out
-
-
 def count(docs: DataFrame) -> DataFrame:
-    """(gram, word, n): counts of four-byte grams (word null) and of words (gram null); gram -1 has the number of rows."""
+    """(gram, word, n): counts of grams (word null) and of words (gram null); gram -1 has the number of rows."""
     schema = pa.schema([("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
     def words(counter):
@@ -125,7 +130,7 @@ def count(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=schema)
 
     def work(batches):
-        tally, counter, rows = Tally(), Counter(), 0
+        tally, counter, rows = Tally(1 << 21, np.uint64), Counter(), 0
         for batch in few_rows(batches, ROWS):
             texts = batch.column("text")
             rows += len(texts)
@@ -135,8 +140,7 @@ def count(docs: DataFrame) -> DataFrame:
                     yield from words(counter)
                     counter = Counter()
             for _, _, data, offsets in slices(framed(texts)):
-                grams = contexts(data) << np.uint32(8) | data[DEPTH:]
-                tally.add(grams[coded(data, offsets)])
+                tally.add(grams(data)[coded(data, offsets)])
         yield from words(counter)
         keys, counts = tally.result()
         keys, counts = np.concatenate((keys.astype(np.int64), [-1])), np.concatenate((counts, [rows]))
@@ -148,95 +152,219 @@ def count(docs: DataFrame) -> DataFrame:
     return written(parts.groupBy("gram", "word").agg(F.sum("n").alias("n")), "ctw-counts")
 
 
-def context_rows(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The model: (key, n, logs) for contexts of three bytes and, for other third bytes, of two; and 256 rows for those of one byte."""
-    spark = counts.sparkSession
-    grams = counts.where("gram >= 0").select(F.expr("int(shiftright(gram, 8) & 65535)").alias("two"), F.expr("int(shiftright(gram, 24))").alias("old"), F.expr("int(gram & 255)").alias("byte"), "n")
-
-    def level_two(table: pa.Table):
-        two = table["two"][0].as_py()
-        old, rows = dense(table["old"].to_numpy(), table["byte"].to_numpy(), table["n"].to_numpy())
-        zeros, ones = decisions(rows)
-        leaf = estimate(zeros, ones)
-        return two, old, rows, zeros, ones, leaf.sum(0, keepdims=True), decisions(rows.sum(0, keepdims=True))
-
-    def weigh_two(table: pa.Table) -> pa.Table:
-        two, _, rows, _, _, children, (zeros, ones) = level_two(table)
-        log = weighted(estimate(zeros, ones), children)
-        return pa.table({"one": pa.array([two & 255], pa.int32()), "counts": pa.array([rows.sum(0)], pa.list_(pa.int64())), "log": pa.array([log[0]], pa.list_(pa.float64()))})
-
-    def weigh_one(table: pa.Table) -> pa.Table:
-        counts = np.stack(table["counts"].to_numpy()).sum(0, keepdims=True)
-        zeros, ones = decisions(counts)
-        children = np.stack(table["log"].to_numpy()).sum(0, keepdims=True)
-        return pa.table({"one": table["one"][:1], "counts": pa.array([counts[0]], pa.list_(pa.int64())), "children": pa.array([children[0]], pa.list_(pa.float64()))})
-
-    twos = grams.groupBy("two").applyInArrow(weigh_two, "one int, counts array<long>, log array<double>")
-    ones_table = twos.groupBy("one").applyInArrow(weigh_one, "one int, counts array<long>, children array<double>").collect()  # at most 256 rows
-    by_one, below_one = np.zeros((256, 256), np.int64), np.zeros((256, 255))
-    for r in ones_table:
-        by_one[r.one], below_one[r.one] = r.counts, r.children
-    zeros1, ones1 = decisions(by_one)
-    own1 = estimate(zeros1, ones1)
-    zeros0, ones0 = decisions(by_one.sum(0, keepdims=True))
-    stop0 = stopping(estimate(zeros0, ones0), weighted(own1, below_one).sum(0, keepdims=True))
-    stop1 = stopping(own1, below_one)
-    # a deeper estimate p enters a decision after context byte c as base[c] + open[c] * p
-    base = stop0 * next_one(zeros0, ones0) + (1 - stop0) * stop1 * next_one(zeros1, ones1)
-    open_ = (1 - stop0) * (1 - stop1)
-    shared = spark.sparkContext.broadcast((base, open_))
-
-    def rows_of(table: pa.Table) -> pa.Table:
-        base, open_ = shared.value
-        two, old, rows, zeros, ones, children, (zeros2, ones2) = level_two(table)
-        stop2 = stopping(estimate(zeros2, ones2), children)
-        base2 = base[two & 255] + open_[two & 255] * stop2 * next_one(zeros2, ones2)
-        open2 = open_[two & 255] * (1 - stop2)
-        logs = byte_logs(np.vstack((base2 + open2 * next_one(zeros, ones), base2 + open2 * 0.5))).astype(np.float32)
-        keys = np.concatenate((old.astype(np.int64) << 16 | two, [TWO + two]))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * 256, pa.int32()), pa.array(logs.ravel()))
-        return pa.table({"key": keys, "n": np.concatenate((rows.sum(1), [0])), "logs": flat})
-
-    model = grams.groupBy("two").applyInArrow(rows_of, "key long, n long, logs array<float>")
-    return written(model, "ctw-model"), byte_logs(base + open_ * 0.5).astype(np.float32)
+class Levels:
+    """Trees of sorted grams with all that share three context bytes, from whole contexts up to those three bytes.
+
+    For contexts of d bytes: ``counts[d]`` has a row of 256 byte counts each,
+    ``under[d]`` is the context of d - 1 bytes that each extends, ``children[d]`` sums
+    the weighted logs of its own extensions."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.byte = gram & 255
+        context = gram >> 8
+        fresh = np.concatenate(([True], context[1:] != context[:-1]))
+        at, self.row = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        leaf = np.zeros((len(at), 256), np.int64)
+        np.add.at(leaf, (self.row, self.byte), n)
+        self.contexts, self.counts, self.children, self.under = context[at], {DEPTH: leaf}, {}, {}
+        for d in range(DEPTH - 1, 2, -1):
+            below = self.contexts >> 8
+            fresh = np.concatenate(([True], below[1:] != below[:-1]))
+            at, self.under[d + 1] = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            self.children[d] = np.add.reduceat(self.weighted(d + 1), at)
+            self.counts[d] = np.add.reduceat(self.counts[d + 1], at)
+            self.contexts = below[at]
+
+    def weighted(self, d: int) -> np.ndarray:
+        own = estimate(*decisions(self.counts[d]))
+        return own if d == DEPTH else weighted(own, self.children[d])
+
+    def logs(self, base: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's byte, from what contexts of three bytes give: a deeper estimate p enters as base + open * p."""
+        for d in range(4, DEPTH + 1):
+            zeros, ones = decisions(self.counts[d])
+            stop = stopping(estimate(zeros, ones), self.children[d]) if d < DEPTH else 1.0
+            base, open_ = base[self.under[d]], open_[self.under[d]]
+            base, open_ = base + open_ * stop * next_one(zeros, ones), open_ * (1 - stop)
+        return byte_log(base, self.row, self.byte)
+
+
+def whole_groups(batches, key: str):
+    """Tables of GRAMS rows and some in which every value of ``key``, by which the rows are sorted, is complete."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in few_rows(batches, GRAMS):
+        held.append(batch)
+        size += batch.num_rows
+        if size >= GRAMS:
+            table = pa.Table.from_batches(held)
+            values = table[key].to_numpy()
+            if cut := int(np.searchsorted(values, values[-1])):
+                yield table.slice(0, cut)
+                held, size = table.slice(cut).combine_chunks().to_batches(), size - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def list_column(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def list_rows(column, width: int, dtype) -> np.ndarray:
+    """Lists of one length as rows; a null one is all zeros."""
+    out = np.zeros((len(column), width), dtype)
+    for i, values in enumerate(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()):
+        if values is not None:
+            out[i] = values
+    return out
+
+
+@dataclass
+class Trees:
+    """``counts`` (gram, n, three); ``threes`` and ``twos``: counts and children's logs of contexts of three and of two bytes; what those of one byte give."""
+
+    counts: DataFrame
+    threes: DataFrame
+    twos: DataFrame
+    base: np.ndarray
+    open_: np.ndarray
+
+
+def grown(counts: DataFrame) -> Trees:
+    """Trees of ``counts`` (gram, n)."""
+    rows = counts.select("gram", "n", F.shiftright("gram", 8 * (DEPTH - 2)).alias("three"))
+
+    def up(batches):
+        for table in whole_groups(batches, "three"):
+            t = Levels(table["gram"].to_numpy(), table["n"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(t.contexts), list_column(t.counts[3]), list_column(t.children[3])], ["three", "counts", "children"])
+
+    threes = rows.repartition("three").sortWithinPartitions("three", "gram").mapInArrow(up, "three long, counts array<long>, children array<double>")
+    threes = written(threes.withColumn("two", F.col("three").bitwiseAND(65535).cast("int")), "ctw-threes")
+
+    def weigh(key: str):
+        def work(table: pa.Table) -> pa.Table:
+            counts, children = list_rows(table["counts"], 256, np.int64), list_rows(table["children"], 255, float)
+            logs = weighted(estimate(*decisions(counts)), children).sum(0, keepdims=True)
+            return pa.table({key: pa.array([table[key][0].as_py()], pa.int32()), "counts": list_column(counts.sum(0, keepdims=True)), "children": list_column(logs)})
+
+        return work
+
+    # at most 256 contexts meet under the next shorter one
+    twos = written(threes.groupBy("two").applyInArrow(weigh("two"), "two int, counts array<long>, children array<double>"), "ctw-twos")
+    ones = twos.withColumn("one", F.col("two").bitwiseAND(255)).groupBy("one").applyInArrow(weigh("one"), "one int, counts array<long>, children array<double>").collect()
+    by_one, below = np.zeros((256, 256), np.int64), np.zeros((256, 255))
+    for r in ones:
+        by_one[r.one], below[r.one] = r.counts, r.children
+    zeros, ones = decisions(by_one)
+    own = estimate(zeros, ones)
+    all_zeros, all_ones = decisions(by_one.sum(0, keepdims=True))
+    stop0 = stopping(estimate(all_zeros, all_ones), weighted(own, below).sum(0, keepdims=True))
+    stop1 = stopping(own, below)
+    base = stop0 * next_one(all_zeros, all_ones) + (1 - stop0) * stop1 * next_one(zeros, ones)
+    return Trees(rows, threes, twos, base, (1 - stop0) * (1 - stop1))
+
+
+def gram_logs(trees: Trees, asked: DataFrame) -> DataFrame:
+    """(gram, log): log10 probability of the byte of each distinct gram of ``asked`` (gram)."""
+    shared = asked.sparkSession.sparkContext.broadcast((trees.base, trees.open_))
+    wanted = asked.select("gram", F.lit(0).cast("long").alias("n"), F.shiftright("gram", 8 * (DEPTH - 2)).alias("three"), F.lit(True).alias("asked"))
+    needed = wanted.select("three").distinct()
+    rows = trees.counts.join(needed, "three", "left_semi").select("gram", "n", "three", F.lit(False).alias("asked")).unionByName(wanted)
+    rows = rows.groupBy("three", "gram").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    levels = needed.join(trees.threes.drop("two"), "three", "left").withColumn("two", F.col("three").bitwiseAND(65535).cast("int"))
+    levels = levels.join(trees.twos.withColumnsRenamed({"counts": "counts2", "children": "children2"}), "two", "left")
+
+    def down_to_three(batches):
+        base1, open1 = shared.value
+        for batch in few_rows(batches, 256):
+            one = batch.column("two").to_numpy() & 255
+            counts2, children2 = list_rows(batch.column("counts2"), 256, np.int64), list_rows(batch.column("children2"), 255, float)
+            counts3, children3 = list_rows(batch.column("counts"), 256, np.int64), list_rows(batch.column("children"), 255, float)
+            base, open_ = base1[one], open1[one]
+            for counts, children in ((counts2, children2), (counts3, children3)):
+                zeros, ones = decisions(counts)
+                stop = stopping(estimate(zeros, ones), children)
+                base, open_ = base + open_ * stop * next_one(zeros, ones), open_ * (1 - stop)
+            both = np.hstack((base, open_)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("three"), pa.array([b.tobytes() for b in both], pa.binary())], ["three", "given"])
+
+    given = levels.mapInArrow(down_to_three, "three long, given binary")
+    # what a context of three bytes gives stands before its grams
+    both = rows.withColumn("given", F.lit(None).cast("binary")).unionByName(given.select("three", F.lit(-1).cast("long").alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("asked"), "given"))
+
+    def down(batches):
+        for table in whole_groups(batches, "three"):
+            gram, n, asked = (table[c].to_numpy() for c in ("gram", "n", "asked"))
+            heads = gram < 0
+            given = np.frombuffer(b"".join(table["given"].filter(pa.array(heads)).to_pylist()), np.float32).reshape(-1, 510).astype(float)
+            gram, asked = gram[~heads], asked[~heads].astype(bool)
+            logs = Levels(gram, n[~heads]).logs(given[:, :255], given[:, 255:])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[asked]), pa.array(logs[asked])], ["gram", "log"])
+
+    return written(both.repartition("three").sortWithinPartitions("three", "gram").mapInArrow(down, "gram long, log double"), "ctw-logs")
+
+
+class GramTable:
+    """Open-addressing table from grams to logs, built and probed for many grams at once."""
+
+    def __init__(self, gram: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, int(2 * len(gram)).bit_length())
+        self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        left, at = np.arange(len(gram)), self.first(gram)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            # of the grams that want a free slot one gets it, the others go on to the next
+            slot, winner = np.unique(at[free], return_index=True)
+            taken = free[winner]
+            self.keys[slot], self.logs[slot] = gram[left[taken]], logs[left[taken]]
+            rest = np.ones(len(left), bool)
+            rest[taken] = False
+            left, at = left[rest], self.next(at[rest])
+
+    def first(self, gram: np.ndarray) -> np.ndarray:
+        return (mix(gram.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & (len(self.keys) - 1)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logs, which grams are in the table)."""
+        at = self.first(gram)
+        key = self.keys[at]
+        found = key == gram
+        place, left = at.copy(), np.flatnonzero(~found & (key >= 0))
+        at = at[left]
+        while len(left):
+            at = self.next(at)
+            key = self.keys[at]
+            hit = key == gram[left]
+            place[left[hit]], found[left[hit]] = at[hit], True
+            on = ~hit & (key >= 0)
+            left, at = left[on], at[on]
+        return self.logs[place].astype(np.float64), found
 
 
 class Tables:
-    """What the scoring tasks hold: hot words and hot rows, and where the row of each context is."""
+    """What the scoring tasks hold: logs of hot words and hot grams."""
 
-    def __init__(self, words: dict[bytes, int], total: int, distinct: int, ends: int, hot: np.ndarray, rows: np.ndarray, known: np.ndarray, last: np.ndarray):
+    def __init__(self, words: dict[bytes, int], total: int, distinct: int, ends: int, gram: np.ndarray, logs: np.ndarray):
         self.divisor = math.log10(total + 0.1 * (distinct + 1))
         self.logs_of_words = {w: self.word_log(n) for w, n in words.items()}
-        self.ends, self.hot, self.rows, self.known, self.last = ends, hot, rows, known, last
-        self.places = None
+        self.ends, self.grams = ends, GramTable(gram, logs)
 
     def word_log(self, n: int) -> float:
         return math.log10(n + 0.1) - self.divisor
 
-    def prepare(self) -> None:
-        """Row numbers of all contexts: at least 0 for a hot one, -1 for one to be joined, -2 for one not met."""
-        if self.places is None:
-            self.places = np.full(TWO + (1 << 16), -2, np.int16)  # HOT_CONTEXTS fit 15 bits
-            self.places[self.known] = -1
-            self.places[self.hot] = np.arange(len(self.hot), dtype=np.int16)
-            self.logs, self.rows = np.vstack((self.rows, self.last)), None
-
     def bytes_of(self, data: np.ndarray, offsets: np.ndarray):
-        """Sum of the logs at hand by text, and (text, key, byte) of each byte whose row must be joined."""
-        context, real = contexts(data), coded(data, offsets)
-        place = self.places[context].astype(np.int32)
-        at = context.astype(np.int64)
-        unmet = np.flatnonzero(place == -2)
-        at[unmet] = TWO + (at[unmet] & 0xFFFF)
-        place[unmet] = self.places[at[unmet]]
-        unmet = unmet[place[unmet] == -2]
-        at[unmet] = ONE + (at[unmet] & 0xFF)
-        place[unmet] = len(self.hot) + (at[unmet] - ONE)
-        logs = self.logs[place, data[DEPTH:]].astype(np.float64)
-        cold = np.flatnonzero((place == -1) & real)
-        logs[(place == -1) | ~real] = 0
+        """Sum of the logs at hand by text, and (text, gram) of each byte whose log must be joined."""
+        gram = grams(data).astype(np.int64)
+        real = coded(data, offsets)
+        logs, found = self.grams.find(gram)
+        logs[~(found & real)] = 0
+        cold = np.flatnonzero(real & ~found)
         sums = np.concatenate((np.zeros(DEPTH + 1), np.cumsum(logs)))
-        return sums[offsets[1:]] - sums[offsets[:-1]], np.searchsorted(offsets, cold + DEPTH, "right") - 1, at[cold], data[DEPTH:][cold]
+        return sums[offsets[1:]] - sums[offsets[:-1]], np.searchsorted(offsets, cold + DEPTH, "right") - 1, gram[cold]
 
 
 def hottest(df: DataFrame, most: int) -> DataFrame:
@@ -267,16 +395,13 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     ends = counts.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     total, distinct = facts.n + ends, facts.v + (ends > 0)
     hot_words = hottest(words.where(F.octet_length("word") <= WORD_BYTES), HOT_WORDS).toArrow()
-    model, last = context_rows(counts)
-    hot = hottest(model.where("n > 0"), HOT_CONTEXTS).toArrow()
-    hot_rows = hot["logs"].combine_chunks().flatten().to_numpy().reshape(-1, 256) if len(hot) else np.zeros((0, 256), np.float32)
-    known = model.select(F.col("key").cast("int").alias("key")).toArrow()["key"].to_numpy()  # of at most 2^24 + 2^16 contexts
-    tables = Tables(dict(zip(hot_words["word"].to_pylist(), hot_words["n"].to_pylist(), strict=True)), total, distinct, ends, hot["key"].to_numpy(), hot_rows, known, last)
+    trees = grown(counts.where("gram >= 0").select("gram", "n"))
+    hot = gram_logs(trees, hottest(trees.counts, HOT_GRAMS)).toArrow()
+    tables = Tables(dict(zip(hot_words["word"].to_pylist(), hot_words["n"].to_pylist(), strict=True)), total, distinct, ends, hot["gram"].to_numpy(), hot["log"].to_numpy())
     shared = spark.sparkContext.broadcast(tables)
 
     def work(batches):
         t = shared.value
-        t.prepare()
         logs = t.logs_of_words
         end_log, end_known = t.word_log(t.ends), int(t.ends > 0)
         for batch in few_rows(batches, ROWS):
@@ -299,18 +424,18 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
                 ends.append(len(rare))
             sums, keys, docs_of = [], [], []
             for lo, _, data, offsets in slices(framed(column)):
-                s, doc, key, byte = t.bytes_of(data, offsets)
+                s, doc, gram = t.bytes_of(data, offsets)
                 sums.append(s)
-                keys.append(key << 8 | byte)
+                keys.append(gram)
                 docs_of.append(doc + lo)
-            pair, doc = np.concatenate(keys), np.concatenate(docs_of)
-            order = np.lexsort((pair, doc))
-            pair, doc = pair[order], doc[order]
-            at = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))) if len(pair) else np.zeros(0, np.int64)
-            many = np.diff(np.concatenate((at, [len(pair)])))
-            pair, doc = pair[at], doc[at]
+            gram_of, doc = np.concatenate(keys), np.concatenate(docs_of)
+            order = np.lexsort((gram_of, doc))
+            gram_of, doc = gram_of[order], doc[order]
+            at = np.flatnonzero(np.concatenate(([True], (gram_of[1:] != gram_of[:-1]) | (doc[1:] != doc[:-1])))) if len(gram_of) else np.zeros(0, np.int64)
+            many = np.diff(np.concatenate((at, [len(gram_of)])))
+            gram_of, doc = gram_of[at], doc[at]
             cold_words = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
-            cold_bytes = pa.StructArray.from_arrays([pa.array(pair >> 8), pa.array((pair & 255).astype(np.int32)), pa.array(many)], ["key", "byte", "n"])
+            cold_bytes = pa.StructArray.from_arrays([pa.array(gram_of), pa.array(many)], ["gram", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
@@ -323,13 +448,14 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (remainder(held_out) == 0).alias("held_out"), "text")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, bytes double, n_bytes long, cold_words array<struct<word:binary,n:long>>, cold_bytes array<struct<key:long,byte:int,n:long>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, bytes double, n_bytes long, cold_words array<struct<word:binary,n:long>>, cold_bytes array<struct<gram:long,n:long>>"
     scored = written(rows.mapInArrow(work, schema).withColumn("num", F.monotonically_increasing_id()), "ctw-scores")
     rare = scored.where(F.size("cold_words") > 0).select("num", F.inline("cold_words")).withColumnRenamed("n", "times")
     seen = F.coalesce(F.col("n"), F.lit(0))
     by_word = rare.join(words, "word", "left").groupBy("num").agg(F.sum(F.col("times") * (F.log10(seen + 0.1) - F.lit(tables.divisor))).alias("more_base"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"))
     deep = scored.where(F.size("cold_bytes") > 0).select("num", F.inline("cold_bytes")).withColumnRenamed("n", "times")
-    by_byte = deep.join(model.select("key", "logs"), "key").groupBy("num").agg(F.sum(F.col("times") * F.element_at("logs", F.col("byte") + 1).cast("double")).alias("more_bytes"))
+    late = gram_logs(trees, deep.select("gram").distinct())
+    by_byte = deep.join(late, "gram").groupBy("num").agg(F.sum(F.col("times") * F.col("log")).alias("more_bytes"))
     out = scored.drop("cold_words", "cold_bytes").join(by_word, "num", "left").join(by_byte, "num", "left")
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
     whole = F.col("bytes") + more("more_bytes")
