@@ -57,7 +57,7 @@ def retention(documents: DataFrame, policies: DataFrame, overrides: DataFrame, n
     Policies of no days do not act; a document that is exactly as old as the limit is past it; one without a readable date stays."""
     rules = policies.where("retention_days > 0")
     created = F.coalesce(F.try_to_timestamp("created_at"), F.try_to_timestamp("updated_at"))
-    aged = documents.join(F.broadcast(rules), "library").withColumn("created", created).where(F.col("created") <= now - F.make_interval(days=F.col("retention_days")))
+    aged = documents.join(rules, "library").withColumn("created", created).where(F.col("created") <= now - F.make_interval(days=F.col("retention_days")))
     held = aged.join(overrides.where("legal_hold").select("document", F.lit(True).alias("hold")), "document", "left")
     done = F.create_map(F.lit("archive"), F.lit("archived"), F.lit("soft_delete"), F.lit("soft_deleted"), F.lit("purge"), F.lit("purged"))
     return held.select("document", "library", F.when(F.col("hold"), "legal_hold_protected").otherwise(done[F.col("action")]).alias("outcome"))

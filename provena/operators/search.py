@@ -12,8 +12,8 @@ from provena.functions import text as T
 
 #: Weights of phrase, token and meaning, the least cosine that admits a passage, and the cap of full-text candidates.
 PHRASE_WEIGHT, TOKEN_WEIGHT, COSINE_WEIGHT, LEAST_COSINE, CANDIDATES = 100, 10, 40, 0.35, 1000
-#: Queries up to this many are broadcast with their tokens; more are joined by shuffling.
-BROADCAST_QUERIES = 10_000
+#: Query vectors up to this many are broadcast; more are joined by shuffling, over so many keys.
+BROADCAST_QUERIES, SALTS = 10_000, 64
 
 
 def prepared(queries: DataFrame) -> DataFrame:
@@ -161,7 +161,13 @@ def first_answering(found: DataFrame) -> DataFrame:
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): nearest vectors of each query vector (query_id, q), which the caller keeps few."""
-    scored = vectors.join(F.broadcast(queries)).withColumn("cosine", F.round(T.cosine(F.col("embedding"), F.col("q")), 6))
+    """(query_id, vec_id, cosine, rank): nearest vectors of each query vector (query_id, q).
+
+    Up to BROADCAST_QUERIES queries go to every task; more are dealt, with every vector's share, by one of SALTS keys."""
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        met = vectors.join(F.broadcast(queries))
+    else:
+        met = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), "salt")
+    scored = met.withColumn("cosine", F.round(T.cosine(F.col("embedding"), F.col("q")), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "vec_id", "cosine", "rank")

@@ -186,3 +186,11 @@ def test_progress_and_increase(spark):
     assert [r.percent for r in analytics.progress(j).orderBy("job").collect()] == [100.0, 0.0, 33.3]
     s = spark.createDataFrame([("m", 0, 5.0), ("m", 10, 7.0), ("m", 20, 2.0)], "metric string, t long, value double")
     assert [r.increase for r in analytics.increase(s, 60).orderBy("t").collect()] == [0.0, 2.0, 4.0]
+
+
+def test_many_query_vectors_are_dealt(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    few = sorted(map(tuple, search.cosine_top(v, q, 4).collect()))
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
+    assert sorted(map(tuple, search.cosine_top(v, q, 4).collect())) == few and len(few) == 12
