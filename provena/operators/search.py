@@ -38,18 +38,29 @@ def candidates(passages: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("query_id", "library", "chunk").distinct()
 
 
-def document_frequency(loaded: DataFrame) -> DataFrame:
-    """``loaded`` (query_id, tokens, haystack) with ``weights``: tokens and their weights over the query's own candidates.
+def scanned(passages: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, library, chunk, document, ordinal, tokens, hits, spelled) of each found (query_id, chunk): which distinct tokens the passage holds, and whether it holds the phrase.
+
+    The text is read here for the last time: what is shuffled from here on are a
+    query's tokens.  Both readers of the result share the one exchange."""
+    haystack = F.lower(F.concat_ws(" ", "filename", "text"))
+    loaded = found.join(passages, "chunk").join(asked.select("query_id", "phrase", "tokens"), "query_id").withColumn("haystack", haystack)
+    hits = F.filter(F.array_distinct("tokens"), lambda t: F.contains("haystack", t))
+    return loaded.select("query_id", "library", "chunk", "document", "ordinal", "tokens", hits.alias("hits"), F.contains("haystack", "phrase").alias("spelled")).repartition("query_id", "chunk")
+
+
+def document_frequency(seen: DataFrame) -> DataFrame:
+    """(query_id, token, df, n, weight) over each query's own candidates, as scanned() gives them.
 
     A token's weight is ln(1 + N / df) / ln(1 + N), 1 if there is one candidate at most."""
-    counted = loaded.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"), "haystack")
-    df = counted.groupBy("query_id", "token").agg(F.sum(F.when(F.contains("haystack", "token"), 1).otherwise(0)).alias("df"), F.count("*").alias("n"))
+    held = seen.select("query_id", F.explode(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.array_contains("hits", t).alias("held")))).alias("x"))
+    df = held.groupBy("query_id", F.col("x.token").alias("token")).agg(F.sum(F.col("x.held").cast("long")).alias("df"), F.count("*").alias("n"))
     weight = F.when(F.col("df") <= 0, 0.0).when(F.col("n") <= 1, 1.0).otherwise(F.log(1 + F.col("n") / F.col("df")) / F.log(1 + F.col("n")))
     return df.withColumn("weight", weight)
 
 
 def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None) -> DataFrame:
-    """(query_id, library, chunk, document, score, rank): the ``limit`` best passages of each query in its library.
+    """(query_id, library, chunk, document, filename, text, score, rank): the ``limit`` best passages of each query in its library.
 
     ``similarity`` (query_id, chunk, cosine) admits passages by meaning too.  A
     passage stays if it holds the phrase or a token, or is similar enough.  Ties go
@@ -58,22 +69,21 @@ def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity:
     found = candidates(passages, asked).select("query_id", "chunk")
     if similarity is not None:
         found = found.unionByName(similarity.where(F.col("cosine") >= LEAST_COSINE).select("query_id", "chunk")).distinct()
-    loaded = found.join(passages, "chunk").join(asked.select("query_id", "phrase", "tokens"), "query_id")
-    loaded = loaded.withColumn("haystack", F.lower(F.concat_ws(" ", "filename", "text")))
-    weights = document_frequency(loaded).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
-    scored = loaded.join(weights, "query_id")
+    seen = scanned(passages, asked, found)
+    # a query has few tokens, so its weights are one small row
+    weights = document_frequency(seen).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
+    scored = seen.join(weights, "query_id")
     if similarity is not None:
         scored = scored.join(similarity.select("query_id", "chunk", "cosine"), ["query_id", "chunk"], "left")
     else:
         scored = scored.withColumn("cosine", F.lit(None).cast("double"))
-    lexical = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.when(F.contains("haystack", t), F.col("weights")[t]).otherwise(0.0))
+    lexical = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("hits", t), F.col("weights")[t]).otherwise(0.0))
     close = F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0))
-    spelled = F.contains("haystack", "phrase")
-    scored = scored.withColumn("lexical", lexical).withColumn("score", PHRASE_WEIGHT * spelled.cast("int") + TOKEN_WEIGHT * F.col("lexical") + COSINE_WEIGHT * close)
-    scored = scored.where(spelled | (F.col("lexical") > 0) | (F.coalesce("cosine", F.lit(0.0)) >= LEAST_COSINE))
+    scored = scored.withColumn("lexical", lexical).withColumn("score", PHRASE_WEIGHT * F.col("spelled").cast("int") + TOKEN_WEIGHT * F.col("lexical") + COSINE_WEIGHT * close)
+    scored = scored.where(F.col("spelled") | (F.col("lexical") > 0) | (F.coalesce("cosine", F.lit(0.0)) >= LEAST_COSINE))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ordinal", "chunk")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(limit, 1), 50))
-    return ranked.select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
+    return ranked.join(passages.select("chunk", "filename", "text"), "chunk").select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
 
 
 def federated(passages: DataFrame, queries: DataFrame, libraries: DataFrame, limit: int = 20) -> DataFrame:

@@ -69,7 +69,7 @@ def search_batch_queries(spark, sf_dir):
 def search_idf_weights(spark, sf_dir):
     asked = search.prepared(batch(spark, sf_dir))
     p = passages(spark, sf_dir)
-    loaded = search.candidates(p, asked).select("query_id", "chunk").join(p, "chunk").join(asked.select("query_id", "tokens"), "query_id").withColumn("haystack", F.lower(F.concat_ws(" ", "filename", "text")))
+    loaded = search.scanned(p, asked, search.candidates(p, asked).select("query_id", "chunk"))
     return search.document_frequency(loaded).select("query_id", "token", "df", F.round("weight", 6).alias("weight"))
 
 
