@@ -33,7 +33,7 @@ from provena.llm.support import Tally, as_bytes, few_rows, mix, remainder, slice
 #: Bytes of the longest context.
 DEPTH = 5
 #: Grams and words that are broadcast (12 bytes a gram, WORD_BYTES at most a word).
-HOT_GRAMS, HOT_WORDS, WORD_BYTES = 1 << 21, 1 << 17, 64
+HOT_GRAMS, HOT_WORDS, WORD_BYTES = 1 << 20, 1 << 16, 64
 #: The end of a text as a byte, which UTF-8 never holds.
 END = 0xFF
 #: Words that a task counts before it hands them on.
@@ -399,6 +399,7 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     hot = gram_logs(trees, hottest(trees.counts, HOT_GRAMS)).toArrow()
     tables = Tables(dict(zip(hot_words["word"].to_pylist(), hot_words["n"].to_pylist(), strict=True)), total, distinct, ends, hot["gram"].to_numpy(), hot["log"].to_numpy())
     shared = spark.sparkContext.broadcast(tables)
+    del hot, hot_words
 
     def work(batches):
         t = shared.value
