@@ -39,7 +39,7 @@ END = 0xFF
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 1 << 18
 #: Rows that a task handles at once, and grams that a tree pass does.
-ROWS, GRAMS = 500, 4096
+ROWS, GRAMS = 500, 2048
 
 
 def framed(texts: pa.Array) -> pa.Array:
@@ -130,7 +130,7 @@ def count(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=schema)
 
     def work(batches):
-        tally, counter, rows = Tally(1 << 21, np.uint64), Counter(), 0
+        tally, counter, rows = Tally(1 << 20, np.uint64), Counter(), 0
         for batch in few_rows(batches, ROWS):
             texts = batch.column("text")
             rows += len(texts)
