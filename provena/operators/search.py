@@ -43,10 +43,15 @@ def scanned(passages: DataFrame, asked: DataFrame, found: DataFrame) -> DataFram
 
     The text is read here for the last time: what is shuffled from here on are a
     query's tokens.  Both readers of the result share the one exchange."""
-    haystack = F.lower(F.concat_ws(" ", "filename", "text"))
-    loaded = found.join(passages, "chunk").join(asked.select("query_id", "phrase", "tokens"), "query_id").withColumn("haystack", haystack)
-    hits = F.filter(F.array_distinct("tokens"), lambda t: F.contains("haystack", t))
-    return loaded.select("query_id", "library", "chunk", "document", "ordinal", "tokens", hits.alias("hits"), F.contains("haystack", "phrase").alias("spelled")).repartition("query_id", "chunk")
+    loaded = found.join(passages, "chunk").join(asked.select("query_id", "phrase", "tokens"), "query_id")
+
+    def looked_up(haystack):
+        hits = F.filter(F.array_distinct("tokens"), lambda t: F.contains(haystack, t))
+        return F.struct(hits.alias("hits"), F.contains(haystack, "phrase").alias("spelled"))
+
+    seen = T.bound(F.lower(F.concat_ws(" ", "filename", "text")), looked_up)
+    small = loaded.select("query_id", "library", "chunk", "document", "ordinal", "tokens", seen.alias("seen")).repartition("query_id", "chunk")
+    return small.select("query_id", "library", "chunk", "document", "ordinal", "tokens", "seen.hits", "seen.spelled")
 
 
 def document_frequency(seen: DataFrame) -> DataFrame:
