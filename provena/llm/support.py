@@ -177,7 +177,7 @@ class Words:
             rest >>= 1
             if rest:
                 block = block[: len(block) - width] * power + block[width:]
-                width, power = width * 2, power * power
+                width, power = width * 2, np.uint64(int(power) ** 2 % (1 << 64))
         return mix(out + np.uint64(seed))
 
     def whole(self, k: int) -> np.ndarray:
