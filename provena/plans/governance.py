@@ -295,7 +295,7 @@ def user_erasure(spark, sf_dir):
 
 
 def audit_records(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     detail = F.concat(F.lit('{"value":'), F.round("value", 2).cast("string"), F.lit("}"))
     return audit.chained(e.select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), detail.alias("detail")))
 
@@ -305,7 +305,7 @@ def audit_hash_chain(spark, sf_dir):
     return audit_records(spark, sf_dir).groupBy("chain").agg(F.count("*").alias("n"), F.max_by("entry_hash", "seq_id").alias("head"))
 
 
-@query("audit_verify", """WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM events WHERE user_id < 20)
+@query("audit_verify", """WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM events)
 SELECT user_id AS chain, event_id AS pos, CASE WHEN k = 5 THEN 'payload_tampered' ELSE 'chain_broken' END AS reason FROM e WHERE user_id % 4 = 0 AND k >= 5""")
 def audit_verify(spark, sf_dir):
     from pyspark.sql import Window
