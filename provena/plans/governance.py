@@ -60,11 +60,11 @@ def effective_groups(spark, sf_dir):
     return access.effective_groups(token, own).select("username", F.array_join("groups", ",").alias("groups"))
 
 
-@query("principal_normalisation", r"""WITH g AS (SELECT doc_id AS document, 'owner' || (doc_id % 3) AS owner, 'CORP\U' || (doc_id % 40) AS raw FROM documents WHERE doc_id % 5 = 0),
+@query("principal_normalisation", r"""WITH g AS (SELECT doc_id AS document, 'owner' || (doc_id % 3) AS owner, 'CORP\U' || (doc_id % 40) AS raw FROM documents),
 k AS (SELECT DISTINCT 'u' || (user_id % 30) AS username FROM events)
 SELECT document, coalesce(username, split_part(raw, '\', 2)) AS users FROM g LEFT JOIN k ON lower(split_part(raw, '\', 2)) = lower(username)""")
 def principal_normalisation(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0")
+    d = table(spark, sf_dir, "documents")
     granted = d.select(F.col("doc_id").alias("document"), F.concat(F.lit("owner"), (F.col("doc_id") % 3).cast("string")).alias("owner"), F.array(F.concat(F.lit("CORP\\U"), (F.col("doc_id") % 40).cast("string"))).alias("principals"))
     known = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("username")).distinct()
     return access.principals(granted, known).select("document", F.array_join("users", ",").alias("users"))

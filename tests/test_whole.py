@@ -1,9 +1,9 @@
 """Registered queries over small tables of their own: no row is left out."""
 
 import datetime
+import difflib
 import hashlib
-
-from pyspark.sql import functions as F
+import re
 
 import __spark_entry__ as entry
 
@@ -31,3 +31,31 @@ def test_audit_chains_of_all_users(spark, tmp_path):
     # the fifth record of users divisible by 4 is forged
     got = sorted((r["chain"], r["pos"], r["reason"]) for r in run(spark, tmp_path, "audit_verify"))
     assert got == [(20, 21, "payload_tampered"), (20, 26, "chain_broken"), (24, 22, "payload_tampered"), (24, 27, "chain_broken")]
+
+
+def test_principals_of_all_documents(spark, tmp_path):
+    events(spark, tmp_path, [7, 38])
+    spark.createDataFrame([(i,) for i in range(41)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["document"]: r["users"] for r in run(spark, tmp_path, "principal_normalisation")}
+    # users 7 and 38 % 30 = 8 are known and lend their spelling
+    assert got == {i: f"u{i}" if i in (7, 8) else f"U{i % 40}" for i in range(41)}
+
+
+def test_version_diff_of_all_documents(spark, tmp_path):
+    texts = {i: t for i, t in enumerate(("A one.", "A one.\nB two. C three.\nD four.", "\nGone.", "Same.\n\nLast.", "One; two\n  \nthree", "", None, "a  b\nc."))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    split = lambda t: [x for x in (p.strip(" ") for p in re.split(r"(?<=[.!?;:])\s+|\n+", t)) if x]
+    for i, text in texts.items():
+        lines = text.split("\n") if text is not None else []
+        old = {f"line {k}": (k, x) for k, x in enumerate(lines)}
+        new = {n: (k, x + " More." if k == 0 else x) for n, (k, x) in old.items() if k != 1}
+        for name, (k, x) in old.items():
+            if name not in new:
+                want.add((i, name, "removed", len(split(x)), 0, (1 << 40) + k))
+            elif x.split() != new[name][1].split():
+                gone, come = split(x), split(new[name][1])
+                same = sum(b.size for b in difflib.SequenceMatcher(None, gone, come, autojunk=False).get_matching_blocks())
+                want.add((i, name, "changed", len(gone) - same, len(come) - same, k))
+    got = {tuple(r[c] for c in ("document", "locator", "kind", "n_removed", "n_added", "place")) for r in run(spark, tmp_path, "version_diff")}
+    assert got == want and {x[0] for x in got} == {0, 1, 2, 3, 4, 5, 7}
