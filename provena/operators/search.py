@@ -5,6 +5,9 @@ ordinal).  Permissions and libraries are applied before anything is ranked."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,8 @@ from provena.functions import text as T
 
 #: Weights of phrase, token and meaning, the least cosine that admits a passage, and the cap of full-text candidates.
 PHRASE_WEIGHT, TOKEN_WEIGHT, COSINE_WEIGHT, LEAST_COSINE, CANDIDATES = 100, 10, 40, 0.35, 1000
-#: Query vectors up to this many are broadcast; more are joined by shuffling, over so many keys.
-BROADCAST_QUERIES, SALTS = 10_000, 64
+#: Query vectors up to this many meet a block of rows at once; rows of a block; queries multiplied at once; how far from a query's last place a rounded cosine can still count.
+BROADCAST_QUERIES, BLOCK_ROWS, SLICE_QUERIES, MARGIN = 10_000, 8192, 256, 2e-6
 
 
 def prepared(queries: DataFrame) -> DataFrame:
@@ -175,14 +178,69 @@ def first_answering(found: DataFrame) -> DataFrame:
     return found.join(least, ["query_id", "variant"])
 
 
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors padded with zeros, their lengths, and their norms; the norm of a null, or of a vector with a null in it, is 0."""
+    lists = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    out = np.zeros((len(size), max(int(size.max(initial=0)), 1)))
+    at = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out[at] = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    squares = np.zeros(len(size))
+    for j in range(out.shape[1]):
+        squares += out[:, j] * out[:, j]
+    squares[at[0][flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+    return out, size, np.sqrt(squares)
+
+
+def _block_best(rows: pa.Table, asked: pa.Table, limit: int) -> pa.Table:
+    """(query_id, vec_id, cosine) of all rows of a block that can be among a query's ``limit`` best.
+
+    A product of matrices finds them with a margin; their cosines are then summed in
+    the order of functions.text.cosine, so they are the same to the last bit."""
+    if rows.num_rows and asked.num_rows:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("vec_id", "ascending")], null_placement="at_start"))
+    v, v_size, v_norm = _matrix(rows["embedding"])
+    q, q_size, q_norm = _matrix(asked["q"])
+    width = max(v.shape[1], q.shape[1])
+    v, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (v, q))
+    found = []
+    for lo in range(0, len(q) if len(v) else 0, SLICE_QUERIES):
+        part = slice(lo, lo + SLICE_QUERIES)
+        norm = q_norm[part, None] * v_norm
+        fits = (q_size[part, None] == v_size) & ~(norm <= 0)
+        near = np.where(fits, q[part] @ v.T / np.where(fits, norm, 1.0), 0.0)
+        k = min(limit, len(v))
+        least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k, None]
+        of, at = np.nonzero(~(near < least - MARGIN))
+        dot = np.zeros(len(of))
+        for j in range(width):
+            dot += q[lo + of, j] * v[at, j]
+        good = fits[of, at]
+        exact = np.where(good, dot / np.where(good, norm[of, at], 1.0), 0.0)
+        # of rows with the same cosine only the first can count
+        order = np.lexsort((at, -exact, of))
+        of, at, exact = of[order], at[order], exact[order]
+        fresh = np.ones(len(of), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (exact[1:] != exact[:-1])
+        starts = np.flatnonzero(fresh)
+        keep = np.arange(len(of)) - starts[np.cumsum(fresh) - 1] < limit
+        found.append((lo + of[keep], at[keep], exact[keep]))
+    of, at, exact = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(of)), "vec_id": rows["vec_id"].take(pa.array(at)), "cosine": pa.array(exact, pa.float64())})
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, vec_id, cosine, rank): nearest vectors of each query vector (query_id, q).
 
-    Up to BROADCAST_QUERIES queries go to every task; more are dealt, with every vector's share, by one of SALTS keys."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        met = vectors.join(F.broadcast(queries))
-    else:
-        met = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), "salt")
-    scored = met.withColumn("cosine", F.round(T.cosine(F.col("embedding"), F.col("q")), 6))
+    Blocks of rows meet blocks of at most about BROADCAST_QUERIES queries; only the best rows of each block are ranked."""
+    n_rows, n_queries = (max(1, -(-df.count() // most)) for df, most in ((vectors, BLOCK_ROWS), (queries, BROADCAST_QUERIES)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select("vec_id", "embedding", dealt("vec_id", n_rows).alias("block")).withColumn("part", every(n_queries))
+    q = queries.select("query_id", "q", dealt("query_id", n_queries).alias("part")).withColumn("block", every(n_rows))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (vectors, "vec_id")))
+    met = v.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(lambda a, b: _block_best(a, b, limit), f"{kinds}, cosine double")
+    scored = met.withColumn("cosine", F.round("cosine", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "vec_id", "cosine", "rank")

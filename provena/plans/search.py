@@ -173,11 +173,11 @@ def dedup_near_jaccard(spark, sf_dir):
     return dedup.near(passages(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("vector_cosine_topk", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5)
+@query("vector_cosine_topk", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0)
 SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS cosine FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) DESC, vec_id) <= 10""")
 def vector_cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return search.cosine_top(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "vec_id", "cosine")
+    return search.cosine_top(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "vec_id", "cosine")
 
 
 @query("hybrid_score", f"""WITH {search_sql(ONE_SQL, limit=1000)}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),

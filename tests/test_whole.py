@@ -3,9 +3,12 @@
 import datetime
 import difflib
 import hashlib
+import math
+import operator
 import re
 
 import __spark_entry__ as entry
+from provena.operators import search
 
 
 def run(spark, folder, name):
@@ -59,3 +62,16 @@ def test_version_diff_of_all_documents(spark, tmp_path):
                 want.add((i, name, "changed", len(gone) - same, len(come) - same, k))
     got = {tuple(r[c] for c in ("document", "locator", "kind", "n_removed", "n_added", "place")) for r in run(spark, tmp_path, "version_diff")}
     assert got == want and {x[0] for x in got} == {0, 1, 2, 3, 4, 5, 7}
+
+
+def test_cosine_queries_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(search, "SLICE_QUERIES", 3)
+    # every third vector is the same, one is of zeros
+    v = {i: [1.0, 2.0, 0.5] if i % 3 == 0 else [math.sin(i), math.cos(i * i), i % 7 - 3.0] for i in range(130)} | {41: [0.0, 0.0, 0.0]}
+    spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = {r.vec_id: r.embedding for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    size = lambda a: math.sqrt(sum(x * x for x in a))
+    cosine = lambda a, b: round(sum(map(operator.mul, a, b)) / (size(a) * size(b)), 6) if size(a) * size(b) else 0.0
+    want = {(q, i, c) for q in range(0, 130, 20) for c, i in sorted(((cosine(v[q], v[i]), i) for i in v), key=lambda x: (-x[0], x[1]))[:10]}
+    assert {(r["query_id"], r["vec_id"], r["cosine"]) for r in run(spark, tmp_path, "vector_cosine_topk")} == want and len(want) == 70
