@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,18 @@ from provena.plans.registry import query
 from provena.streaming import state, windows
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).  Only a local master may lack it; it then gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="provena-")
+
+
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a stream over files that are there already."""
+    """All rows of a stream over files that are there already, by way of the driver: for aggregates only."""
     name = f"drained_{uuid.uuid4().hex}"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -61,7 +72,9 @@ def stream_rate_limit(spark, sf_dir):
 @query("stream_rate_limit_live")
 def stream_rate_limit_live(spark, sf_dir):
     e = event_stream(spark, sf_dir).select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"))
-    return drained(spark, state.over_stream(e, "user_id", ["at", "event_id"], state.rate_limit(5, 43200), "admitted boolean, recent int"))
+    output, folder = "admitted boolean, recent int", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    state.over_stream(e, "user_id", ["at", "event_id"], state.rate_limit(5, 43200), output, folder, {"availableNow": True}).awaitTermination()
+    return state.folded(e, output, folder)
 
 
 @query("login_lockout")

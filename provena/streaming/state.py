@@ -1,21 +1,24 @@
 """Sequential state by key: rate limits, lockouts, jobs.
 
-Each processor is a small fold over a key's events in order, run as
-applyInPandasWithState on a stream and as one sorted pass on a table, so both
+Each processor is a small fold over a key's events in order, run as one sorted
+pass over each micro-batch of a stream and as one sorted pass on a table, so both
 give the same rows."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 Step = Callable[[dict, dict], tuple[dict, dict]]
 
+#: Column of a key's state beside its events.
+HELD = "_held"
+
 #: Requests a minute, uploads an hour, MB of uploads an hour; failures of a login and the minutes they count.
 PER_MINUTE, PER_HOUR, MB_PER_HOUR, FAILURES, LOCK_SECONDS = 60, 100, 500.0, 10, 900
 
@@ -104,18 +107,54 @@ def over_table(events: DataFrame, key: str, order: list[str], step: Step, output
     return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(work, f"{schema}, {output}")
 
 
-def over_stream(events: DataFrame, key: str, order: list[str], step: Step, output: str) -> DataFrame:
-    """over_table() on a stream: each micro-batch's events of a key are folded in order from the state that the last one left."""
+def over_stream(events: DataFrame, key: str, order: list[str], step: Step, output: str, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """over_table() on a stream: each micro-batch's events of a key are folded in order from the state that the last one left.
+
+    A batch is one sorted pass, which spills: no key's events are gathered.  Its rows
+    go to ``folder``, which driver and executors share, together with all keys' states
+    after it; a batch that is repeated overwrites its own.  folded() reads the rows."""
+    fields = [x.split()[0] for x in output.split(", ")]
+    own = events.columns
+    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}
+    more = [pa.field(f, kinds[x.split()[1]]) for f, x in zip(fields, output.split(", "), strict=True)]
+
+    def work(batches):
+        last, state, started = None, {}, False
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if not started or r[key] != last:
+                    if started:
+                        out.append({key: last, HELD: json.dumps(state)})
+                    last, state, started = r[key], {}, True
+                held = r.pop(HELD)
+                if held is not None:
+                    state = json.loads(held)
+                    continue
+                state, given = step(state, r)
+                out.append({**r, **given})
+            names = batch.schema
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema([*batch.schema, *more]))
+        if started:
+            yield pa.RecordBatch.from_pylist([{key: last, HELD: json.dumps(state)}], pa.schema([*names, *more]))
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
 
-    def work(_, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {}
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for r in rows.to_dict("records"):
-            state, given = step(state, r)
-            out.append({**r, **given})
-        held.update((json.dumps(state),))
-        yield pd.DataFrame(out)
-
-    return events.groupBy(key).applyInPandasWithState(work, f"{schema}, {output}", "state string", "append", GroupStateTimeout.NoTimeout)
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*own, F.lit(None).cast("string").alias(HELD))
+        if number:
+            states = batch.sparkSession.read.schema(f"{schema}, {HELD} string").parquet(f"{folder}/batch={number - 1}")
+            rows = states.where(F.col(HELD).isNotNull()).unionByName(rows)
+        # a key's state comes before its events
+        told = rows.repartition(key).sortWithinPartitions(key, F.col(HELD).isNull(), *order)
+        told.mapInArrow(work, f"{schema}, {HELD} string, {output}").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/_checkpoint").trigger(**(trigger or {"processingTime": "15 seconds"})).start()
+
+
+def folded(events: DataFrame, output: str, folder: str) -> DataFrame:
+    """The rows that over_stream() has written so far: all columns of ``events`` and the ``output`` columns of each."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    rows = events.sparkSession.read.schema(f"{schema}, {HELD} string, {output}").parquet(folder).where(F.col(HELD).isNull())
+    return rows.select(*events.columns, *[x.split()[0] for x in output.split(", ")])

@@ -9,6 +9,8 @@ import re
 
 import __spark_entry__ as entry
 from provena.operators import search
+from provena.plans import streams
+from provena.streaming import state
 
 
 def run(spark, folder, name):
@@ -75,3 +77,30 @@ def test_cosine_queries_grow_with_the_table(spark, tmp_path, monkeypatch):
     cosine = lambda a, b: round(sum(map(operator.mul, a, b)) / (size(a) * size(b)), 6) if size(a) * size(b) else 0.0
     want = {(q, i, c) for q in range(0, 130, 20) for c, i in sorted(((cosine(v[q], v[i]), i) for i in v), key=lambda x: (-x[0], x[1]))[:10]}
     assert {(r["query_id"], r["vec_id"], r["cosine"]) for r in run(spark, tmp_path, "vector_cosine_topk")} == want and len(want) == 70
+
+
+def test_live_rate_limit_stays_out_of_the_driver(spark, tmp_path, monkeypatch):
+    def no(*_):
+        raise AssertionError("rows of the stream were sent to the driver's memory")
+
+    monkeypatch.setattr(streams, "drained", no)
+    events(spark, tmp_path, [7, 7, 7, 20, None] * 40)
+    got = {r["event_id"]: (r["user_id"], r["admitted"], r["recent"]) for r in run(spark, tmp_path, "stream_rate_limit_live")}
+    seen = {}
+    for i in range(200):
+        u = (7, 7, 7, 20, None)[i % 5]
+        seen[u] = seen.get(u, 0) + 1
+        assert got.pop(i) == (u, seen[u] <= 5, min(seen[u], 5))
+    assert got == {}
+
+
+def test_stream_state_passes_from_batch_to_batch(spark, tmp_path):
+    for n, rows in enumerate(([(1, 0, 3.0), (1, 1, 1.0), (2, 2, 1.0)], [(3, 3, 4.0)], [(1, 4, 6.0), (1, 5, 5.0), (2, 6, 70.0)])):
+        spark.createDataFrame(rows, "k long, i long, at double").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    e = spark.readStream.schema("k long, i long, at double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    output, folder = "admitted boolean, recent int", f"file://{tmp_path}/out"
+    for _ in range(2):  # a second start finds nothing new
+        state.over_stream(e, "k", ["at", "i"], state.rate_limit(2, 60), output, folder, {"availableNow": True}).awaitTermination()
+    got = sorted((r.i, r.k, r.at, r.admitted, r.recent) for r in state.folded(e, output, folder).collect())
+    assert got == [(0, 1, 3.0, True, 2), (1, 1, 1.0, True, 1), (2, 2, 1.0, True, 1), (3, 3, 4.0, True, 1), (4, 1, 6.0, False, 2), (5, 1, 5.0, False, 2), (6, 2, 70.0, True, 1)]
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) >= 2
