@@ -7,9 +7,12 @@ chunk reaches fewer maxima), give a logit.  A text's probability
 combines all its chunks: the means of their pooled activations and the mean,
 least and greatest of their logits.
 
-The network is fitted by gradient descent on a bounded sample of labelled rows
-(``SAMPLE_ROWS`` of either class, up to ``SAMPLE_CHUNKS`` chunks of each, spread
-over its whole text); scoring is one scan over whole texts without exchange."""
+The network is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS`` of
+either class, with all chunks of their whole texts.  The sample lies in SHARDS
+shards; in each epoch the tasks descend from the same weights, each over its own
+shard, and the weights they reach are averaged.  The last layer is then fitted on
+one row of features for each sampled text.  Scoring is one scan over whole texts
+without exchange."""
 
 from __future__ import annotations
 
@@ -19,40 +22,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.support import remainder, slices
+from provena.llm.support import discard, few_rows, remainder, row_key, slices, unused, written
 
 #: Bytes of a chunk and from one chunk's start to the next's.
 CHUNK, HOP = 512, 448
 #: Size of a byte's embedding; bytes from one filter position to the next (a filter spans two steps); filters.
 EMBED, STEP, FILTERS = 8, 4, 48
-#: Bounds of the training sample, and passes over it.
-SAMPLE_ROWS, SAMPLE_CHUNKS, EPOCHS = 2500, 5, 6
-BATCH, RATE = 64, 0.004
+#: Rows of either class that the training sample holds at most, its shards, and passes over it.
+SAMPLE_ROWS, SHARDS, EPOCHS = 2500, 4, 5
+BATCH, RATE = 48, 0.004
+#: Chunks that are filtered at once.
+AT_ONCE = 256
 #: Least score of a row that is predicted to be of label 1.
 THRESHOLD = 0.3
 
 
-def chunk_starts(n: int) -> np.ndarray:
-    """Starts of the chunks that cover n bytes; the last one may be short.  An empty text has one chunk."""
-    return np.arange(0, max(n - (CHUNK - HOP), 1), HOP)
+class Chunks:
+    """The overlapping chunks that cover all of some texts: where each starts, how many bytes of the text it holds, and whose it is.
 
+    An empty text has one chunk, which holds nothing."""
 
-def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' chunks as rows of CHUNK bytes (short ones end in zero bytes), and the text of each."""
-    lengths = np.diff(offsets)
-    per = np.maximum(-(-np.maximum(lengths - (CHUNK - HOP), 1) // HOP), 1)
-    doc = np.repeat(np.arange(len(per)), per)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    at = nth * HOP
-    place = (offsets[:-1][doc] + at)[:, None] + np.arange(CHUNK)
-    inside = np.arange(CHUNK) < (lengths[doc] - at)[:, None]
-    padded = np.concatenate((data, np.zeros(1, np.uint8)))
-    return np.where(inside, padded[np.minimum(place, len(data))], 0).astype(np.uint8), doc
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        sizes = np.diff(offsets)
+        self.per = -(-np.maximum(sizes - (CHUNK - HOP), 1) // HOP)
+        self.doc = np.repeat(np.arange(len(self.per)), self.per)
+        at = (np.arange(len(self.doc)) - np.repeat(np.cumsum(self.per) - self.per, self.per)) * HOP
+        self.start, self.own = offsets[:-1][self.doc] + at, np.minimum(sizes[self.doc] - at, CHUNK)
+        self.data = np.concatenate((data, np.zeros(CHUNK, np.uint8)))
 
+    def __len__(self) -> int:
+        return len(self.doc)
 
-def lengths(chunks: np.ndarray) -> np.ndarray:
-    """How short each chunk is: 0 for a full one, about 1 for a word."""
-    return (np.log(CHUNK) - np.log(np.maximum(np.count_nonzero(chunks, 1), 4))).astype(np.float32) / 4
+    def bytes_of(self, which) -> np.ndarray:
+        """Those chunks as rows of CHUNK bytes; short ones end in zeros."""
+        out = self.data[self.start[which][:, None] + np.arange(CHUNK)]
+        out[np.arange(CHUNK) >= self.own[which][:, None]] = 0
+        return out
+
+    def shortness(self) -> np.ndarray:
+        """How short each chunk is: 0 for a full one, about 1 for a word."""
+        return (np.log(CHUNK) - np.log(np.maximum(self.own, 4))).astype(np.float32) / 4
 
 
 class Network:
@@ -86,34 +95,32 @@ class Network:
     def logits(self, active: np.ndarray, length: np.ndarray) -> np.ndarray:
         return active @ self.out + (active @ self.out_by_length + self.shift[1]) * length + self.shift[0]
 
-    def pooled(self, chunks: np.ndarray) -> np.ndarray:
-        """Max-pooled activations of each chunk, some thousand chunks at a time."""
+    def pooled(self, chunks: Chunks) -> np.ndarray:
+        """Max-pooled activations of each chunk."""
         out = np.empty((len(chunks), FILTERS), np.float32)
-        for lo in range(0, len(chunks), 256):
-            _, values = self.filtered(chunks[lo : lo + 256])
-            out[lo : lo + 256] = values.max(1)
+        for lo in range(0, len(chunks), AT_ONCE):
+            part = slice(lo, lo + AT_ONCE)
+            out[part] = self.filtered(chunks.bytes_of(part))[1].max(1)
         return np.maximum(out, 0)
 
-    def gradients(self, chunks: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, chunks: np.ndarray, length: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted mean loss of some chunks (rows of bytes, and how short each is)."""
         steps, values = self.filtered(chunks)
         at = values.argmax(1)
         top = np.take_along_axis(values, at[:, None], 1)[:, 0]
         active = np.maximum(top, 0)
-        length = lengths(chunks)
         p = 1 / (1 + np.exp(-np.clip(self.logits(active, length), -30, 30)))
         d = ((p - wanted) * weight / len(chunks)).astype(np.float32)
         back = d[:, None] * (self.out + length[:, None] * self.out_by_length) * (top > 0)
-        per = chunks.shape[1] // STEP
-        sparse = np.zeros((len(chunks), per, FILTERS), np.float32)
-        np.put_along_axis(sparse, at[:, None], back[:, None], 1)
-        ahead = np.zeros_like(sparse)
-        ahead[:, 1:] = sparse[:, :-1]
-        sparse, ahead = sparse.reshape(-1, FILTERS), ahead.reshape(-1, FILTERS)
-        hit = np.flatnonzero(sparse.any(1) | ahead.any(1))
-        d_steps = sparse[hit] @ self.left.T + ahead[hit] @ self.right.T
-        d_table = np.zeros_like(self.table)
-        np.add.at(d_table, chunks.reshape(-1, STEP)[hit].ravel(), d_steps.reshape(-1, EMBED))
-        return [d_table, steps[hit].T @ sparse[hit], steps[hit].T @ ahead[hit], back.sum(0), active.T @ d, active.T @ (d * length), np.array([d.sum(), d @ length], np.float32)]
+        # only the steps under some filter's maximum have a gradient
+        first = at + np.arange(len(chunks))[:, None] * (chunks.shape[1] // STEP)
+        hit, where = np.unique(first.ravel(), return_inverse=True)
+        own = np.zeros((len(hit), FILTERS), np.float32)
+        own[where, np.tile(np.arange(FILTERS), len(chunks))] = back.ravel()
+        d_bytes = np.concatenate((own @ self.left.T, own @ self.right.T)).reshape(-1, EMBED)
+        bytes_hit = chunks.reshape(-1, STEP)[np.concatenate((hit, hit + 1))].ravel()
+        d_table = np.stack([np.bincount(bytes_hit, d_bytes[:, i], 256) for i in range(EMBED)], 1).astype(np.float32)
+        return [d_table, steps[hit].T @ own, steps[hit + 1].T @ own, back.sum(0), active.T @ d, active.T @ (d * length), np.array([d.sum(), d @ length], np.float32)]
 
     def features(self, pooled: np.ndarray, length: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """A row for each text from all its chunks.  Every text has a chunk; doc ascends."""
@@ -126,41 +133,51 @@ class Network:
         z = (features - self.mean) / self.scale @ self.head[:-1] + self.head[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def text_features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        chunks = Chunks(data, offsets)
+        return self.features(self.pooled(chunks), chunks.shortness(), chunks.doc, len(offsets) - 1)
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each text."""
-        chunks, doc = chunks_of(data, offsets)
-        return self.probability(self.features(self.pooled(chunks), lengths(chunks), doc, len(offsets) - 1))
+        return self.probability(self.text_features(data, offsets))
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Network:
-    """A network from sampled texts, each given as chunks, and their labels.
+class Descent:
+    """A network on its way: the moments of its gradients, and the steps and the share of the way behind it."""
 
-    Either class weighs the same.  With no rows, or rows of one class only, the
-    network says the share of label 1 for every text (0.5 without rows)."""
-    net = Network(seed)
-    if len(set(labels.tolist())) < 2:
-        net.head[-1] = (0 if not len(labels) else 1 if labels[0] else -1) * 5.0
-        return net
-    r = np.random.default_rng(seed)
-    chunks = np.zeros((sum(map(len, texts)), CHUNK), np.uint8)
-    doc = np.repeat(np.arange(len(texts)), list(map(len, texts)))
-    for i, c in enumerate(c for t in texts for c in t):
-        chunks[i, : len(c)] = np.frombuffer(c, np.uint8)
-    share = labels.mean()
-    wanted, weight = labels[doc].astype(np.float32), np.where(labels[doc] == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    moment, square, t = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights], 0
-    total = EPOCHS * (-(-len(chunks) // BATCH))
-    for _ in range(EPOCHS):
-        order = r.permutation(len(chunks))
+    def __init__(self, net: Network):
+        self.net, self.steps, self.way = net, 0, 0.0
+        self.moment, self.square = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights]
+
+    def over(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float, seed: int) -> None:
+        """Steps over all chunks of some texts in random order.  Every text weighs the same whatever its length, and so does either class; ``share`` is that of label 1."""
+        chunks = Chunks(data, offsets)
+        order, length = np.random.default_rng(seed).permutation(len(chunks)), chunks.shortness()
+        wanted = labels[chunks.doc].astype(np.float32)
+        weight = np.where(wanted == 1, 0.5 / share, 0.5 / (1 - share)) / chunks.per[chunks.doc]
+        weight = (weight / weight.mean()).astype(np.float32)
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
-            t += 1
-            rate = RATE * (1 - (t - 1) / total)
-            for w, m, s, g in zip(net.weights, moment, square, net.gradients(chunks[part], wanted[part], weight[part]), strict=True):
+            self.steps += 1
+            rate, t = RATE * (1 - self.way), self.steps
+            for w, m, s, g in zip(self.net.weights, self.moment, self.square, self.net.gradients(chunks.bytes_of(part), length[part], wanted[part], weight[part]), strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    x = net.features(net.pooled(chunks), lengths(chunks), doc, len(texts))
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.net.weights, *self.moment, *self.square)])
+
+    def load(self, state: np.ndarray) -> None:
+        at = 0
+        for x in (*self.net.weights, *self.moment, *self.square):
+            x[...] = state[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+
+def fit_head(net: Network, x: np.ndarray, labels: np.ndarray) -> None:
+    """The last layer from a row of features for each sampled text: ridge-penalised logistic regression, either class weighing the same."""
+    share = labels.mean()
     net.mean, net.scale = x.mean(0), x.std(0) + 1e-6
     x = np.hstack(((x - net.mean) / net.scale, np.ones((len(x), 1))))
     y, w, ridge = labels.astype(float), np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)), np.full(x.shape[1], 1.0)
@@ -169,39 +186,91 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Network:
         p = 1 / (1 + np.exp(-np.clip(x @ net.head, -30, 30)))
         curve = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         net.head = net.head - np.linalg.solve(curve, x.T @ (w * (p - y)) + ridge * net.head)
-    return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> Network:
-    """A network fitted on a bounded sample of labelled rows outside the held-out fold.
+def sampled(docs: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
+    """(shard, draw, quality, text): the SAMPLE_ROWS labelled rows of either class outside the held-out fold whose ids and texts hash lowest, so the same for any layout of the tables."""
+    rows = labels.where((remainder(held_out) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    drawn = [rows.where(F.col("quality") == q).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
+    met = docs.select("doc_id", "text", row_key().alias("key")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")  # at most 2 * SAMPLE_ROWS ids
+    # an id may stand for many rows, so the bound is drawn once more over rows
+    order = (F.xxhash64("key"), F.col("key"))
+    keys = [met.where(F.col("quality") == q).select("key", "quality").distinct().orderBy(*order).limit(SAMPLE_ROWS) for q in (0, 1)]
+    kept = docs.select("text", row_key().alias("key")).join(F.broadcast(keys[0].unionByName(keys[1])), "key").dropDuplicates(["key", "quality"])
+    return written(kept.select(F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("key", F.lit(1)).alias("draw"), "quality", "text"), "quality-sample")
 
-    The sample is the SAMPLE_ROWS rows of either class whose ids hash lowest, so it is the same for any layout of the tables."""
-    rows = labels.where((remainder(held_out) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("draw"))
-    drawn = [rows.where(F.col("quality") == q).orderBy("draw", "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
-    sample = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * SAMPLE_ROWS rows
-    picked = docs.select("doc_id", "text").join(sample, "doc_id")
 
-    def pieces(batches):
+def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, seed: int = 7) -> Network:
+    """A network fitted on a bounded sample of labelled rows outside the held-out fold.
+
+    With no such rows, or rows of one class only, the network says the share of
+    label 1 for every text (0.5 without rows).  Labels without a document, other
+    values of ``quality`` and null ids are left out; a null text counts as empty."""
+    context = docs.sparkSession.sparkContext
+    sample = sampled(docs, labels, held_out)
+    n = {r.quality: r.n for r in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    net = Network(seed)
+    if len(n) < 2:
+        net.head[-1] = (0 if not n else 1 if 1 in n else -1) * 5.0
+        return net
+    total, share = sum(n.values()), n[1] / sum(n.values())
+    dealt = sample.repartition(SHARDS, "shard").sortWithinPartitions("shard", "draw")
+    descent = Descent(net)
+    for epoch in range(EPOCHS):
+        shared = context.broadcast((descent.net, descent.state(), descent.steps))
+
+        def run(batches, epoch=epoch, shared=shared):
+            net, state, steps = shared.value
+            own, at, rows = None, None, 0
+            for batch in few_rows(batches):
+                shards = batch.column("shard").to_numpy()
+                for shard in np.unique(shards).tolist():
+                    if shard != at:
+                        if own is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([own.steps]), pa.array([own.state().tobytes()], pa.binary())], ["rows", "steps", "state"])
+                        own, at, rows = Descent(Network(seed)), shard, 0
+                        own.load(state)
+                        own.steps = steps
+                    mine = batch.slice(*_run(shards, shard))
+                    labels = mine.column("quality").to_numpy()
+                    for lo, hi, data, offsets in slices(mine.column("text")):
+                        own.way = (epoch + min(1.0, rows * SHARDS / total)) / EPOCHS
+                        own.over(data, offsets, labels[lo:hi], share, epoch * 1_000_003 + rows)
+                        rows += hi - lo
+            if own is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([own.steps]), pa.array([own.state().tobytes()], pa.binary())], ["rows", "steps", "state"])
+
+        reached = dealt.mapInArrow(run, "rows long, steps long, state binary").collect()  # a row of weights for each shard
+        reached = sorted((r.rows, r.steps, bytes(r.state)) for r in reached)
+        states = np.array([np.frombuffer(s, np.float32) for _, _, s in reached])
+        descent.load(np.average(states, axis=0, weights=[r for r, _, _ in reached]))
+        descent.steps = max(s for _, s, _ in reached)
+        shared.unpersist()
+    shared = context.broadcast(net)
+
+    def describe(batches):
         for batch in batches:
-            out = []
-            for _, _, data, offsets in slices(batch.column("text")):
-                chunks, doc = chunks_of(data, offsets)
-                for i in range(len(offsets) - 1):
-                    own = np.flatnonzero(doc == i)
-                    spread = own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_CHUNKS).astype(int))]
-                    out.append([chunks[j].tobytes() for j in spread])
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.list_(pa.binary()))], ["draw", "doc_id", "quality", "pieces"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = picked.select("draw", "doc_id", "quality", "text").mapInArrow(pieces, f"draw long, doc_id {kind}, quality int, pieces array<binary>").collect()
-    found = sorted(found, key=lambda x: (x.draw, x.quality, x.pieces))[: 4 * SAMPLE_ROWS]
-    return fit([[bytes(c) for c in x.pieces] for x in found], np.array([x.quality for x in found], int))
-
-
-def scored(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` with the probability of label 1 of each whole text in the column score (one of that name is replaced)."""
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("draw", "quality")), pa.array([x.tobytes() for x in shared.value.text_features(data, offsets)], pa.binary())], ["draw", "quality", "features"])
+
+    rows = sample.mapInArrow(describe, "draw long, quality int, features binary").collect()  # at most 2 * SAMPLE_ROWS rows of FILTERS + 3 numbers
+    rows = sorted((r.draw, r.quality, bytes(r.features)) for r in rows)
+    fit_head(net, np.array([np.frombuffer(f) for _, _, f in rows]), np.array([q for _, q, _ in rows]))
+    shared.unpersist()
+    discard(sample)
+    return net
+
+
+def _run(values: np.ndarray, value: int) -> tuple[int, int]:
+    """Start and length of a value's run in a sorted array."""
+    lo, hi = np.searchsorted(values, [value, value + 1])
+    return int(lo), int(hi - lo)
+
+
+def scored(docs: DataFrame, network: Network, into: str = "score") -> DataFrame:
+    """``docs`` with the probability of label 1 of each whole text in the column ``into``; one of that name is replaced, every other column stays."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    rows = docs.drop("score")
+    rows = docs.drop(into)
 
     def work(batches):
         net = shared.value
@@ -209,15 +278,22 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
             score = np.zeros(batch.num_rows)
             for lo, hi, data, offsets in slices(batch.column("text")):
                 score[lo:hi] = net.score(data, offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, into])
 
-    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, network: Network, *keep: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, kept columns, score, predicted) of every row.
+    """(doc_id, kept columns, score, predicted) of every row, that of a null id too.
 
-    A null text counts as empty; an empty text is one chunk of zero bytes and gets its score.
-    Repeated rows each give a row; an empty table gives an empty result."""
+    A null text counts as empty; an empty text is one chunk that holds nothing and
+    gets its score.  A text of any length is scored by all its chunks.  Repeated
+    rows each give a row; an empty table gives an empty result."""
     out = scored(docs.select("doc_id", *keep, "text"), network).drop("text")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all their columns, whatever their names."""
+    into = unused(docs, "__quality")
+    return scored(docs, network, into).where(F.col(into) >= threshold).select(docs.columns)

@@ -15,9 +15,12 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.functions.text import bound
+from provena.llm.support import unused, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,6 +44,10 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Candidate rows up to this many (24 bytes each) are sent to the scan; more are joined to it by key.
+SENT_CANDIDATES = 1 << 19
+#: Matches that a nested expression folds at once: a text's cost grows with its length times this, not with the square of its matches.
+RUN = 64
 #: Choices that are followed while strings are spelled out; a pattern with more says nothing about its trigrams there.
 MOST_CHOICES = 64
 
@@ -109,40 +116,57 @@ def queries_of(rules: tuple[Rule, ...]) -> dict[str, list[frozenset[str]]]:
     return out
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, row): the inverted index over the trigrams that queries name; ``row`` is the documents' key."""
-    lower = docs.select("row", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])
-    return lower.select("row", F.explode(F.array_compact(held)).alias("gram"))
+def postings(docs: DataFrame, key: str, grams: list[str]) -> DataFrame:
+    """(gram, key): the inverted index over the trigrams that queries name."""
+    lower = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("__low"))
+    held = F.array(*[F.when(F.contains("__low", F.lit(g)), F.lit(g)) for g in grams])
+    return lower.select(key, F.explode(F.array_compact(held)).alias("__gram"))
+
+
+def candidates(index: DataFrame, key: str, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
+    """(key, __kinds): rows in the postings of all trigrams of some set of a rule's query; bit n of ``__kinds`` is the n-th rule."""
+    wanted = [(1 << n, at, gram, len(way)) for n, ways in enumerate(queries.values()) for at, way in enumerate(ways) for gram in sorted(way)]
+    sets = index.sparkSession.createDataFrame(wanted, "__bit long, __way int, __gram string, __need int")  # a row for each trigram of the rules
+    met = index.join(F.broadcast(sets), "__gram").groupBy(key, "__bit", "__way").agg(F.countDistinct("__gram").alias("__met"), F.first("__need").alias("__need"))
+    return met.where("__met = __need").groupBy(key).agg(F.bit_or("__bit").alias("__kinds"))
+
+
+def running(items: Column, start: Column, step) -> Column:
+    """States before each of ``items`` and after the last, by ``step(state, item)``.
 
+    Runs of RUN items are folded as wholes first, then each from the state before
+    it, so no array of all states is copied for every item."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(items, i + 1, RUN))
 
-def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(row, kinds): rows in the postings of all trigrams of some set of a rule's query."""
-    wanted = [(kind, n, gram, len(way)) for kind, ways in queries.items() for n, way in enumerate(ways) for gram in sorted(way)]
-    sets = index.sparkSession.createDataFrame(wanted, "kind string, way int, gram string, need int")  # a row for each trigram of the rules
-    met = index.join(F.broadcast(sets), "gram").groupBy("row", "kind", "way").agg(F.countDistinct("gram").alias("met"), F.first("need").alias("need"))
-    return met.where("met = need").groupBy("row").agg(F.collect_set("kind").alias("kinds"))
+    def states(block, first):
+        return F.aggregate(block, F.array(first), lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x))))
 
+    def split_up(blocks):
+        firsts = F.aggregate(blocks, F.array(start), lambda out, b: F.concat(out, F.array(F.aggregate(b, F.element_at(out, -1), step))))
+        inner = F.zip_with(blocks, firsts, lambda b, first: F.when(b.isNotNull(), F.slice(states(b, first), 1, F.size(b))).otherwise(F.array(first)))
+        return F.flatten(inner)
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<kind, start, end>> of a rule's matches: leftmost, non-overlapping, those too short left out."""
+    return bound(blocks, split_up)
+
+
+def spans(text: Column, rule: Rule, length=F.length) -> Column:
+    """array<struct<start, k, end, kind>> of a rule's matches (``k`` is not set yet): leftmost, non-overlapping, those too short left out.
+
+    Offsets are code points, or bytes with F.octet_length as ``length``."""
     # a single class repeated, with a least length, can look for that length at once: matches are whole runs either way
     run = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
     pattern = f"{run[1]}{{{rule.least},}}" if run and not rule.group else rule.pattern
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    between = F.transform(F.split(text, pattern, -1), lambda x: length(x))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
-    rows = F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("n"), F.transform(kept, lambda x: F.length(x)).alias("own"), F.slice(between, 1, F.size(found)).alias("gap"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    rows = F.arrays_zip(F.transform(found, lambda x: length(x)).alias("n"), F.transform(kept, lambda x: F.length(x)).alias("own"), F.slice(between, 1, F.size(found)).alias("gap"))
 
-    def step(state, x):
-        begin = state["at"] + x["gap"]
-        end = begin + x["n"]
-        one = F.array(F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["own"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def placed(rows):
+        ends = running(rows, F.lit(0), lambda at, x: at + x["gap"] + x["n"])
+        both = F.zip_with(rows, F.slice(ends, 1, F.size(rows)), lambda x, at: F.struct(x["own"].alias("own"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end")))
+        return F.transform(F.filter(both, lambda x: x["own"] >= rule.least), lambda x: F.struct(F.lit(rule.kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(rows, start, step, lambda state: state["out"])
+    return bound(rows, placed)
 
 
 def listed(found: Column) -> Column:
@@ -157,24 +181,30 @@ def in_order(found: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_sort(keyed)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``found``: all spans of the whole text, array<struct<start, k, end, kind>> by start, then rule.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "found", length=F.length) -> DataFrame:
+    """``docs`` with all spans of the whole text in the column ``into``: array<struct<start, k, end, kind>> by start, then rule.
 
     A null or empty text has none.  Repeated rows each keep their spans; every
-    column of ``docs`` stays (one named found is replaced)."""
+    column of ``docs`` stays, whatever its name, but for one named ``into``."""
     queries = queries_of(rules)
-    keyed = docs.drop("found").withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    docs = docs.drop(into)
+    key = unused(docs, "__row")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     named = sorted({gram for ways in queries.values() for way in ways for gram in way})
-    hits = candidates(postings(keyed, named), queries)
-    joined = keyed.join(hits, "row", "left")
+    # rows whose keys clash are only verified more often
+    hits = written(candidates(postings(keyed, key, named), key, queries).withColumnRenamed("__kinds", unused(docs, "__kinds")), "secret-candidates")
+    kinds = hits.columns[1]
+    few = hits.count() <= SENT_CANDIDATES
+    joined = keyed.join(F.broadcast(hits) if few else hits, key, "left")
     text = F.coalesce("text", F.lit(""))
-    parts = [spans(text, r) if not queries[r.kind] else F.when(F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), r.kind), spans(text, r)) for r in rules]
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return joined.withColumn("found", in_order(F.concat(*[F.coalesce(p, none) for p in parts]), rules)).drop("row", "kinds")
+    listed = lambda n, rule: F.getbit(F.coalesce(kinds, F.lit(0).cast("long")), F.lit(n)) == 1
+    parts = [spans(text, r, length) if not queries[r.kind] else F.when(listed(n, r), spans(text, r, length)).otherwise(none) for n, r in enumerate(rules)]
+    return joined.withColumn(into, in_order(F.concat(*parts), rules)).drop(key, kinds)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; a null or empty text has no spans.  Repeated rows each give a row."""
     base = [r.kind for r in BASE_RULES]
     found = scan(docs.select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
@@ -183,14 +213,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span in the text replaced by ``mark``; spans that overlap are replaced together.  Columns stay; a null text stays null."""
-    found = scan(docs)
-
-    def step(state, x):
-        fresh = x["start"] >= state["at"]
-        piece = F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], piece, F.lit(mark))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("found") > 0, whole).otherwise(F.col("text"))).drop("found")
+    """``docs`` with each span in the text replaced by ``mark``; spans that overlap are replaced together.
+
+    Columns stay, whatever their names, in their order; a null text stays null, an empty one empty."""
+    into = unused(docs, "__found")
+    found = scan(docs, into=into, length=F.octet_length)
+
+    def replaced(raw, found):
+        # bytes before the first span, between those that begin after all before them have ended, and after the last
+        ends = running(found, F.lit(0), lambda at, x: F.greatest(at, x["end"]))
+        fresh = F.filter(F.zip_with(found, F.slice(ends, 1, F.size(found)), lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"))), lambda x: x["to"] >= x["from"])
+        pieces = F.transform(fresh, lambda x: F.substring(raw, x["from"] + 1, x["to"] - x["from"]).cast("string"))
+        last = F.aggregate(found, F.lit(0), lambda at, x: F.greatest(at, x["end"]))
+        return F.array_join(F.concat(pieces, F.array(F.substring(raw, last + 1, F.octet_length("text")).cast("string"))), mark)
+
+    whole = F.when(F.size(into) > 0, bound(F.col("text").cast("binary"), lambda raw: bound(F.col(into), lambda found: replaced(raw, found)))).otherwise(F.col("text"))
+    return found.withColumn("text", whole).select(docs.columns)

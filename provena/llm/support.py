@@ -30,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables of written() that no one has deleted yet: path, and the session's view of it.
 _paths: list[str] = []
 
 
@@ -39,19 +40,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() has made, once nothing that reads them is to be computed any more."""
+    for table in tables:
+        if table.written_to in _paths:
+            _paths.remove(table.written_to)
+            _delete(table.sparkSession, table.written_to)
+
+
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete all tables of written() but those ``kept``, once no result that reads them is needed any more."""
+    stay = [t.written_to for t in kept]
+    for path in [p for p in _paths if p not in stay]:
+        _paths.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that written() has made, once no result that reads them is needed any more."""
-    while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """128-bit key of a row's id and text.  Rows that repeat both share it, and any result with it."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))))
+    """128-bit key of a row's id and text; a null text counts as empty, a null id as no other.  Rows that repeat both share it, and any result with it."""
+    own = F.col(f"`{doc_id}`").cast("string")
+    # the id's length goes before it, so that no id and text read like others put together
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.length(own).cast("string"), F.lit("-")), F.coalesce(own, F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 
 
 def remainder(mod: int, doc_id: str = "doc_id") -> Column:

@@ -1,23 +1,25 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table from frequent pre-tokens to their token counts,
-fitted on a bounded sample of rows (``SAMPLE_ROWS``); its content decides the
-speed alone, never a result.  Tier two is a cache in each Python worker that
+Tier one is a compact broadcast table of frequent pre-tokens and their token
+counts, fitted on the first SAMPLE_BYTES of a few partitions; its content decides
+the speed alone, never a result.  Tier two is a cache in each Python worker that
 encodes whatever the table lacks.  No pre-token is ever shuffled: the job is one
 scan without exchange."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that tier one is fitted on, and how many of its pre-tokens are broadcast.
-SAMPLE_ROWS, TABLE_ENTRIES = 400, 1 << 15
+#: Partitions that tier one is fitted on, bytes of whole texts that each reads for it, and pre-tokens in the table.
+SAMPLE_PARTITIONS, SAMPLE_BYTES, TABLE_ENTRIES = 8, 1 << 20, 1 << 15
 #: Characters of a pre-token that tier one holds or a cache keeps, and entries of a cache before it starts anew.
 KEPT_CHARS, CACHE_ENTRIES = 48, 1 << 19
 #: Fixed value: the pre-token pattern that byte-level tokenizer files imply.
@@ -47,16 +49,30 @@ class PretokenLengths(dict):
         return n
 
 
-_lookups: dict[int, tuple] = {}
+class CompactTable:
+    """Pre-tokens as one run of bytes with their offsets, and a count each: what tier one travels as."""
 
+    def __init__(self, counts: dict[str, int]):
+        spelled = [w.encode("utf-8", "surrogatepass") for w in counts]
+        self.bytes, self.ends = b"".join(spelled), np.cumsum([0, *map(len, spelled)]).astype(np.uint32)
+        self.counts = np.array(list(counts.values()), np.uint16)
 
-def _lookup(definition: str, table: dict[str, int]) -> tuple[PretokenLengths, object, object]:
-    """One lookup a worker and tokenizer, with the pattern of pre-tokens and that of special strings."""
-    key = hash((definition, len(table), frozenset(table.items())))
+    def unpacked(self) -> dict[str, int]:
+        ends = self.ends.tolist()
+        return {self.bytes[a:b].decode("utf-8", "surrogatepass"): n for a, b, n in zip(ends[:-1], ends[1:], self.counts.tolist(), strict=True)}
+
+
+_lookups: dict[bytes, tuple] = {}
+
+
+def _lookup(definition: str, table: CompactTable) -> tuple[PretokenLengths, object, object]:
+    """One lookup a worker and tokenizer, with the pattern of pre-tokens and that of special strings (none if there are none)."""
+    key = hashlib.sha256(definition.encode() + table.bytes + table.counts.tobytes()).digest()
     if key not in _lookups:
         special = [x["content"] for x in json.loads(definition).get("added_tokens") or []]
+        marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         _lookups.clear()
-        _lookups[key] = PretokenLengths(definition, table), regex.compile(BYTE_LEVEL_PATTERN), "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
+        _lookups[key] = PretokenLengths(definition, table.unpacked()), regex.compile(BYTE_LEVEL_PATTERN), marks
     return _lookups[key]
 
 
@@ -71,13 +87,29 @@ def check_kind(definition: str) -> None:
 
 
 def frequent_pretokens(docs: DataFrame, definition: str) -> dict[str, int]:
-    """Tier one: pre-tokens of a bounded sample with their token counts, at most TABLE_ENTRIES of KEPT_CHARS each."""
+    """Tier one: the most frequent pre-tokens, of KEPT_CHARS at most, of the first rows of some partitions, with their token counts.
+
+    Tasks count them; the driver takes SAMPLE_PARTITIONS rows, one of a partition,
+    which Spark runs a few partitions for."""
+
+    def count(batches):
+        counts: Counter = Counter()
+        find, read = regex.compile(BYTE_LEVEL_PATTERN).findall, 0
+        for batch in batches:
+            for text in batch.column("text"):
+                if read >= SAMPLE_BYTES:
+                    break
+                text = text.as_py() or ""
+                read += len(text.encode("utf-8", "replace"))
+                counts.update(w for w in find(text) if len(w) <= KEPT_CHARS)
+        most = counts.most_common(TABLE_ENTRIES)
+        yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in most]], pa.list_(pa.string())), pa.array([[n for _, n in most]], pa.list_(pa.int64()))], ["pretokens", "n"])
+
     counts: Counter = Counter()
-    find = regex.compile(BYTE_LEVEL_PATTERN).findall
-    for row in docs.select("text").limit(SAMPLE_ROWS).toLocalIterator():
-        counts.update(find(row.text or ""))
+    for row in docs.select("text").mapInArrow(count, "pretokens array<string>, n array<long>").take(SAMPLE_PARTITIONS):
+        counts.update(dict(zip(row.pretokens, row.n, strict=True)))
     lengths = PretokenLengths(definition, {})
-    return {w: lengths[w] for w, _ in counts.most_common(TABLE_ENTRIES) if len(w) <= KEPT_CHARS}
+    return {w: lengths[w] for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]}
 
 
 def token_counts(docs: DataFrame, definition: str, limit: int = 512) -> DataFrame:
@@ -85,24 +117,21 @@ def token_counts(docs: DataFrame, definition: str, limit: int = 512) -> DataFram
 
     ``definition`` is the text of a tokenizer file.  A special string inside a
     text counts as one token, as that library does by default.  A null text
-    counts as empty: no bytes, no tokens.  Repeated rows each give a row; extra
-    columns are ignored; an empty table gives an empty result."""
+    counts as empty: no bytes, no tokens.  Texts of any length are counted whole.
+    Repeated rows, and rows of null ids, each give a row; extra columns are ignored; an empty table gives an empty result."""
     check_kind(definition)
-    shared = docs.sparkSession.sparkContext.broadcast((definition, frequent_pretokens(docs, definition)))
+    shared = docs.sparkSession.sparkContext.broadcast((definition, CompactTable(frequent_pretokens(docs, definition))))
 
     def count(batches):
-        lengths, pattern, special = _lookup(*shared.value)
-        split = regex.compile(special).split if special else None
-        marks = regex.compile(special).findall if special else None
+        lengths, pattern, marks = _lookup(*shared.value)
         find, get = pattern.findall, lengths.__getitem__
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 text = text or ""
-                if split and "<" in text and (found := marks(text)):
-                    out.append(len(found) + sum(sum(map(get, find(part))) for part in split(text)))
-                else:
-                    out.append(sum(map(get, find(text))))
+                parts = marks.split(text) if marks else [text]
+                # each special string between two parts is one token
+                out.append(len(parts) - 1 + sum(sum(map(get, find(part))) for part in parts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

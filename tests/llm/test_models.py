@@ -161,32 +161,77 @@ def test_quality_without_labels(spark):
 
 
 def test_chunks_cover_all_bytes():
-    for n in (0, 1, 511, 512, 513, 960, 961, 5000):
-        data = np.random.default_rng(n).integers(1, 255, n).astype(np.uint8)
-        chunks, doc = convnet.chunks_of(data, np.array([0, n]))
-        assert len(chunks) == len(convnet.chunk_starts(n)) == len(doc)
-        seen = np.zeros(n, bool)
-        for start, chunk in zip(convnet.chunk_starts(n), chunks):
-            own = data[start : start + convnet.CHUNK]
-            assert (chunk[: len(own)] == own).all() and not chunk[len(own) :].any()
-            seen[start : start + len(own)] = True
-        assert seen.all()
+    draw = np.random.default_rng(1)
+    texts = [draw.integers(0, 255, n).astype(np.uint8) for n in (0, 1, 511, 512, 513, 960, 961, 0, 5000)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    chunks = convnet.Chunks(np.concatenate(texts), offsets)
+    rows = chunks.bytes_of(np.arange(len(chunks)))
+    for i, text in enumerate(texts):
+        seen = np.zeros(len(text), bool)
+        for c in np.flatnonzero(chunks.doc == i):
+            at = chunks.start[c] - offsets[i]
+            own = text[at : at + convnet.CHUNK]
+            assert chunks.own[c] == len(own) and (rows[c][: len(own)] == own).all() and not rows[c][len(own) :].any()
+            seen[at : at + len(own)] = True
+        assert seen.all() and chunks.per[i] == (chunks.doc == i).sum() >= 1
+
+
+def plain_score(net, text):
+    """One text's probability by loops over chunks, filters and positions."""
+    starts = list(range(0, max(len(text) - 64, 1), 448))
+    pooled, logits = [], []
+    for at in starts:
+        chunk = text[at : at + 512]
+        short = (math.log(512) - math.log(max(len(chunk), 4))) / 4
+        x = net.table[list(chunk.ljust(512, b"\0"))].astype(float)
+        best = np.zeros(convnet.FILTERS)
+        kernel = np.vstack((net.left, net.right)).astype(float)
+        for p in range(0, 512 - 4, 4):
+            best = np.maximum(best, x[p : p + 8].reshape(-1) @ kernel + net.bias)
+        pooled.append(best)
+        logits.append(sum(b * (w + v * short) for b, w, v in zip(best, net.out, net.out_by_length)) + net.shift[1] * short + net.shift[0])
+    row = [*np.mean(pooled, axis=0), np.mean(logits), min(logits), max(logits)]
+    z = sum((r - m) / s * h for r, m, s, h in zip(row, net.mean, net.scale, net.head)) + net.head[-1]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_match_a_plain_convolution(spark):
+    rows = list(quality_rows(150, 4))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    network = convnet.learn(docs, spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int"))
+    long = " ".join(t for _, t, _ in rows) * 40
+    texts = {0: rows[0][1], 1: rows[1][1], 2: "", 3: None, 4: "a\0b", 5: "é" * 600, 6: long[:1_000_000], 7: rows[0][1]}
+    got = {r.doc_id: r.score for r in convnet.classify(spark.createDataFrame([*texts.items(), (None, "null id")], "doc_id long, text string"), network).collect()}
+    assert len(texts[6]) == 1_000_000 and set(got) == {*texts, None} and got[0] == pytest.approx(got[7], abs=1e-6) and got[2] == pytest.approx(got[3], abs=1e-6)
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(plain_score(network, (t or "").encode()), abs=2e-4), i
+
+
+def test_sample_is_bounded_and_the_same_for_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(convnet, "SAMPLE_ROWS", 40)
+    rows = list(quality_rows(300, 2))
+    frame = [(i, t) for i, t, _ in rows] + [(rows[1][0], f"{t} again") for _, t, _ in rows] + [(None, "x"), (rows[1][0], None)]
+    docs = spark.createDataFrame(frame, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(None, 1, 0), (5, None, 0), (99999, 1, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    one, two = (sorted(map(tuple, convnet.sampled(d, labels, 5).drop("shard").collect())) for d in (docs, docs.repartition(7)))
+    assert one == two and sum(q for _, q, _ in one) == 40 and len(one) == 80
 
 
 def test_gradients_agree_with_differences():
     net = convnet.Network(3)
     net.out_by_length += 0.1
     r = np.random.default_rng(0)
-    chunks = r.integers(1, 255, (4, convnet.CHUNK)).astype(np.uint8)
-    chunks[0, 100:] = 0
+    data = r.integers(1, 255, 3 * 512 + 100).astype(np.uint8)
+    own = convnet.Chunks(data, np.array([0, 100, 612, 1124, 1636]))
+    chunks, length = own.bytes_of(np.arange(4)), own.shortness()
     wanted, weight = np.array([0, 1, 1, 0], np.float32), np.ones(4, np.float32)
 
     def loss():
-        active = net.pooled(chunks)
-        p = 1 / (1 + np.exp(-net.logits(active, convnet.lengths(chunks)).astype(float)))
+        active = net.pooled(own)
+        p = 1 / (1 + np.exp(-net.logits(active, length).astype(float)))
         return -np.mean(np.where(wanted == 1, np.log(p), np.log(1 - p)))
 
-    for w, g in zip(net.weights, net.gradients(chunks, wanted, weight), strict=True):
+    for w, g in zip(net.weights, net.gradients(chunks, length, wanted, weight), strict=True):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         before, step = w[at], 1e-3
         w[at] = before + step
@@ -219,8 +264,65 @@ def test_languages_without_training_rows(spark):
     assert langid.identify(docs.limit(0), model).collect() == []
 
 
+def test_languages_match_sets_of_ngrams(spark):
+    """Masks, corrected counts and choices again with sets of strings and of slots."""
+    draw = random.Random(11)
+    langs = [f"l{i:02}" for i in range(40)]
+    rows = [(i, " ".join("".join(draw.choice("abcdeéñ" if k % 3 else "cdefgh") for _ in range(draw.randint(2, 5))) for _ in range(draw.randint(1, 25))), langs[k]) for i, k in ((i, draw.randrange(40)) for i in range(400))]
+    rows += [(500, "zzzz", "l39"), (501, "0 1 2", "l00"), (502, None, "l01"), (503, "abcde " * 40_000, "l02"), (504, "y", "l03")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5]
+    letters = lambda t: bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in (t or "").encode())
+    whole = lambda b: [g for g in (b[i : i + 4] for i in range(len(b) - 3)) if g != b"    "]
+    ngrams = lambda t: whole(b"   " + letters(t) + b"   ")
+    held = defaultdict(Counter)
+    for t, lang in train:
+        held[lang].update(ngrams(t))
+    known = sorted(lang for lang in held if held[lang])
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in held.items()}
+    best = defaultdict(float)
+    for r in rate.values():
+        for g, x in r.items():
+            best[g] = max(best[g], x)
+    model = langid.learn(docs.where(remainder(5) != 0))
+    assert model.langs == known
+    slots = len(model.words)
+    number = lambda g: int.from_bytes(g, "big")
+    place = lambda g: {int(x[0]) for x in langid.slots_of(np.array([number(g)]), slots)}
+    places = {g: place(g) for g in {g for _, t, _ in rows for g in ngrams(t)} | set(best)}
+    bits = [[g for g in rate[lang] if not typical or rate[lang][g] >= 0.5 * best[g]] for lang in known for typical in (0, 1)]
+    filled = [set().union(*(places[g] for g in own)) for own in bits]
+    # what the filter names is what the sets hold, but for shared slots
+    some = sorted(places)
+    masks = np.array(list(model.masks(np.array(list(map(number, some)), np.uint32))))
+    for b, full in enumerate(filled):
+        wrong = [(b, g, int(m) >> (b & 63) & 1, [(lang, r[g], best[g]) for lang, r in rate.items() if g in r], places[g]) for g, m in zip(some, masks[b >> 6]) if bool(int(m) >> (b & 63) & 1) != (places[g] <= full)]
+        assert not wrong
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for i, t, _ in rows:
+        own = Counter(ngrams(t))
+        n = sum(own.values())
+        count = []
+        for full in filled:
+            false = (len(full) / slots) ** 2
+            count.append(max(sum(k for g, k in own.items() if places[g] <= full) - n * false, 0) / (1 - false))
+        by = [a + b for a, b in zip(count[::2], count[1::2])]
+        want = ("und", 0.0) if not n else (known[by.index(max(by))], max(by) / sum(by)) if sum(by) else (known[model.usual], 0.0)
+        assert got[i][1] == pytest.approx(want[1], abs=1e-9), i
+        assert got[i][0] == want[0] or by[known.index(got[i][0])] == pytest.approx(max(by)), i
+    if zlib.crc32(b"500") % 5:
+        assert got[500][0] == "l39"
+
+
+def test_a_rare_ngram_counts(spark):
+    rows = [(i, "abab abab", "aa") for i in range(50)] + [(99, "zzzz", "bb")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(1, "zzzz"), (2, "abab")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "bb", 2: "aa"} and all(r.score > 0.9 for r in got)
+
+
 def test_false_positives_are_taken_off():
-    words = np.zeros((langid.SLOTS, 1), np.uint64)
+    words = np.zeros((1 << 16, 1), np.uint64)
     words[::2] = 1
     model = langid.Filter(["xx"], words, [1])
     data = np.frombuffer(" ".join(f"qzwx{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(4000)).encode(), np.uint8)
