@@ -53,9 +53,14 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, table.written_to)
 
 
-def release(spark: SparkSession, *kept: DataFrame) -> None:
-    """Delete all tables of written() but those ``kept``, once no result that reads them is needed any more."""
-    stay = [t.written_to for t in kept]
+def standing() -> frozenset[str]:
+    """The tables of written() that no one has deleted yet."""
+    return frozenset(_paths)
+
+
+def release(spark: SparkSession, *kept: DataFrame, but: frozenset[str] = frozenset()) -> None:
+    """Delete all tables of written() except those ``kept`` and those of an earlier standing(), once no result that reads them is needed any more."""
+    stay = {t.written_to for t in kept} | but
     for path in [p for p in _paths if p not in stay]:
         _paths.remove(path)
         _delete(spark, path)
