@@ -1,18 +1,25 @@
 """Substring dedup on a compacted de Bruijn graph of token k-mers.
 
-Each WINDOW words in a row are an edge (from their first to their last WINDOW - 1
-words).  Consecutive edges of a document that share their least GRAM-word hash
-are one path, dealt to that hash's bucket, so equal edges meet in one bucket
-wherever they stand.  Only buckets that at least two documents reach are kept.
-
-In a bucket, occurrences of a path that read the same words are one variant with
-a source coordinate: the smallest document that holds it, and where.  A bucket
-with one variant has no branch: the path stays one row however many edges it has.
-A bucket with several variants branches somewhere, and its variants fall apart
-into their edges, read from their source coordinates, to find which edges a
-smaller document has too.  Joins on buckets, variants and edges do all this;
-variants and edges are told apart by 128-bit digests of the words themselves, so
-hash clashes of buckets never decide anything."""
+Each WINDOW words in a row are an edge, from the node of their first WINDOW - 1
+words to that of their last.  Consecutive edges of a document that share their
+least GRAM-word hash travel as one path, dealt to that hash's bucket, so equal
+edges meet in one bucket wherever they stand; paths of buckets that only one
+document reaches hold no repeated edge and go.
+
+The graph is made of the distinct paths that are left, each read from a source
+coordinate: the smallest document that holds it, and where.  A node branches if
+more than one word stands before it or after it, or if some document enters or
+leaves the graph there.  Degrees come from one aggregation by node; a join takes
+the branching nodes back to the paths, which are cut there into pieces.  Two
+pieces either read the same words or share no edge.  Where a piece ends at a node
+that does not branch, the next one follows it in every document: such chains are
+compacted by joins that double their reach each round, until every piece knows
+the head of its chain.  All places of a chain are then the places of its head,
+and all of them but those of its smallest document are cut.
+
+Paths and pieces are told apart by 128-bit digests of their words, read at their
+source coordinates and at every place they stand, so hash clashes of buckets or
+nodes never decide a result: clashing nodes only branch more often."""
 
 from __future__ import annotations
 
@@ -23,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.support import NOT_BLANK, Words, row_key, slices, sliding_min, written
+from provena.llm.support import NOT_BLANK, Words, discard, few_rows, row_key, slices, sliding_min, written
 
 #: Words of an edge, and of the grams whose least hash is the bucket of an edge.
 WINDOW, GRAM = 50, 12
+#: Words of a node.
+NODE = WINDOW - 1
 
 
 def paths(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,64 +92,146 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
+def placed(texts: DataFrame, kind: str) -> DataFrame:
+    """(num, doc_id, start, edges, variant, opens, closes) of every path of ``texts``: its words' digest, and whether its document enters the graph before it or leaves it after it."""
+
+    def spell(batches):
+        for batch in few_rows(batches):
+            out = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("paths").to_pylist(), strict=True):
+                words, found = split_words(text), sorted(found, key=lambda p: p["start"])
+                stops = [-1, *(p["start"] + p["edges"] for p in found)]
+                starts = [*(p["start"] for p in found), -1]
+                out.append([
+                    {"start": p["start"], "edges": p["edges"], "variant": digest(words[p["start"] : p["start"] + p["edges"] + NODE]), "opens": stops[i] != p["start"], "closes": starts[i + 1] != stops[i + 1]}
+                    for i, p in enumerate(found)
+                ])
+            own = pa.list_(pa.struct([("start", pa.int32()), ("edges", pa.int32()), ("variant", pa.binary()), ("opens", pa.bool_()), ("closes", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([batch.column("num"), batch.column("doc_id"), pa.array(out, own)], ["num", "doc_id", "paths"])
+
+    spelled = texts.select("num", "doc_id", "text", "paths").mapInArrow(spell, f"num long, doc_id {kind}, paths array<struct<start:int,edges:int,variant:binary,opens:boolean,closes:boolean>>")
+    return written(spelled.select("num", "doc_id", F.inline("paths")), "debruijn-places")
+
+
+def part_arrays(batch: pa.RecordBatch, lo: int, hi: int, words: Words) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of the paths listed in ``parts`` of rows lo to hi: the first word of each in ``words``, and their fields; ``row`` is that of the text."""
+    lists = batch.column("parts").slice(lo, hi - lo)
+    flat = lists.flatten()
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    fields["row"] = np.repeat(np.arange(hi - lo), np.diff(np.asarray(lists.offsets)))
+    return words.first[fields["row"]] + fields["start"], fields
+
+
+def nodes_of(sources: DataFrame) -> DataFrame:
+    """(node, before, after, leaves, num, at): every node of every path of ``sources`` (num, text, parts), the words next to it on the path, and whether some document enters or leaves there."""
+
+    def work(batches):
+        for batch in few_rows(batches):
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets, NOT_BLANK)
+                first, part = part_arrays(batch, lo, hi, words)
+                per = part["edges"].astype(np.int64) + 1
+                nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                at, last = np.repeat(first, per) + nth, nth == np.repeat(per - 1, per)
+                h = np.concatenate((words.hash, np.zeros(1, np.uint64))).view(np.int64)
+                leaves = ((nth == 0) & np.repeat(part["opens"].astype(bool), per)) | (last & np.repeat(part["closes"].astype(bool), per))
+                num = np.repeat(batch.column("num").to_numpy()[lo:hi][part["row"]], per)
+                columns = [
+                    pa.array(words.grams(NODE)[at].view(np.int64)), pa.array(h[at - 1], mask=nth == 0), pa.array(h[np.minimum(at + NODE, len(h) - 1)], mask=last),
+                    pa.array(leaves), pa.array(num), pa.array((at - np.repeat(words.first[part["row"]], per)).astype(np.int32)),
+                ]
+                yield from pa.Table.from_arrays(columns, ["node", "before", "after", "leaves", "num", "at"]).to_batches(max_chunksize=1 << 16)
+
+    return written(sources.mapInArrow(work, "node long, before long, after long, leaves boolean, num long, at int"), "debruijn-nodes")
+
+
+def pieces_of(sources: DataFrame, kind: str) -> DataFrame:
+    """(variant, low, off, edges, piece, tail, head, follows): the paths of ``sources`` (num, text, parts, ats) cut at the nodes ``ats``; ``follows`` where the first node does not branch."""
+
+    def work(batches):
+        for batch in few_rows(batches):
+            low = batch.column("parts").type.value_type.field("low").type
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                words, raw = Words(data, offsets, NOT_BLANK), data.tobytes()
+                g = words.grams(NODE).view(np.int64)
+                out = []
+                for i in range(lo, hi):
+                    base, cuts = int(words.first[i - lo]), sorted(batch.column("ats")[i].as_py() or ())
+                    branching = set(cuts)
+                    for p in batch.column("parts")[i].as_py():
+                        a, b = np.searchsorted(cuts, [p["start"] + 1, p["start"] + p["edges"]])
+                        marks = [p["start"], *cuts[a:b], p["start"] + p["edges"]]
+                        for x, y in zip(marks[:-1], marks[1:], strict=True):
+                            own = split_words(raw[words.starts[base + x] : words.ends[base + y + NODE - 1]])
+                            out.append((p["variant"], p["low"], x - p["start"], y - x, digest(own), int(g[base + x]), int(g[base + y]), x not in branching))
+                if out:
+                    kinds = (pa.binary(), low, pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["variant", "low", "off", "edges", "piece", "tail", "head", "follows"])
+
+    return written(sources.mapInArrow(work, f"variant binary, low {kind}, off int, edges long, piece binary, tail long, head long, follows boolean"), "debruijn-pieces")
+
+
+def chains(pieces: DataFrame) -> DataFrame:
+    """(piece, edges, least): the first piece of each chain, the edges of the whole chain, and the smallest document that holds it."""
+    own = written(pieces.groupBy("piece").agg(F.min("low").alias("least"), F.first("edges").alias("edges"), F.first("tail").alias("tail"), F.first("head").alias("head"), F.bool_and("follows").alias("follows")), "debruijn-units")
+    ahead = own.select(F.col("head").alias("tail"), F.col("piece").alias("up"), F.col("edges").alias("dist"))
+    # a node that does not branch has one piece before it
+    links = own.where("follows").join(ahead, "tail", "left").select("piece", F.coalesce("up", "piece").alias("up"), F.when(F.col("up").isNotNull(), F.col("dist")).otherwise(0).alias("dist"))
+    reach = written(own.where("NOT follows").select("piece", F.col("piece").alias("up"), F.lit(0).cast("long").alias("dist")).unionByName(links), "debruijn-reach")
+    done, at, before = [], 0, None
+    while True:
+        heads = reach.select(F.col("piece").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        both = reach.join(heads, "up").select("piece", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), (F.col("up") == F.col("next")).alias("ready"))
+        both = written(both, f"debruijn-reach-{at}")
+        left = both.where("NOT ready").count()
+        discard(reach)
+        reach, at = both.drop("ready"), at + 1
+        reach.written_to = both.written_to
+        if not left or left == before:
+            break
+        before = left
+    whole = reach.join(own.select("piece", "edges"), "piece").groupBy("up").agg(F.max(F.col("dist") + F.col("edges")).alias("edges"))
+    return whole.withColumnRenamed("up", "piece").join(own.select("piece", "least"), "piece")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row.
 
     A null or empty text has no words.  Texts shorter than WINDOW words have no
-    edge and keep all.  Rows that repeat both id and text share their result, and
-    rows that share an id only never count as smaller than one another.  A row
-    with a null id neither lends nor loses words.  An empty table gives an empty
-    result; extra columns are ignored."""
+    edge and keep all; texts of any length are read whole.  Rows that repeat both
+    id and text share their result, and rows that share an id only never count as
+    smaller than one another.  A row with a null id neither lends nor loses words.
+    An empty table gives an empty result; extra columns are ignored."""
     rows = scanned(docs)
     # exact copies never enter the graph: the smallest id of a text stands for it, and later ids lose every edge
     firsts = rows.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min(F.struct("doc_id", "num")).alias("first")).select("text_key", F.col("first.doc_id").alias("first_id"), F.col("first.num").alias("num"))
     firsts = written(firsts, "debruijn-firsts")
     all_paths = rows.select("num", "doc_id", "paths").where(F.size("paths") > 0).join(firsts.select("num"), "num", "left_semi").select("num", "doc_id", F.inline("paths"))
-    shared = all_paths.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket")
-    met = written(all_paths.join(shared, "bucket").groupBy("num").agg(F.collect_list(F.struct("bucket", "start", "edges")).alias("paths")), "debruijn-met")
+    # what a skewed key is joined with stands as a table, so that such a join is dealt anew
+    shared = written(all_paths.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket"), "debruijn-shared")
+    met = written(all_paths.join(shared, "bucket").groupBy("num").agg(F.collect_list(F.struct("start", "edges")).alias("paths")), "debruijn-met")
     wanted = rows.select("num", "row", "doc_id").join(met, "num")
     texts = docs.select(row_key().alias("row"), F.col("text").cast("binary").alias("text")).join(wanted, "row").dropDuplicates(["num"]).drop("row")
     texts = written(texts, "debruijn-texts")
-
-    def spell(batches):
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("paths").to_pylist(), strict=True):
-                words = split_words(text)
-                out.append([{**p, "variant": digest(words[p["start"] : p["start"] + p["edges"] + WINDOW - 1])} for p in found])
-            kind = pa.list_(pa.struct([("bucket", pa.int64()), ("start", pa.int32()), ("edges", pa.int32()), ("variant", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column("num"), batch.column("doc_id"), pa.array(out, kind)], ["num", "doc_id", "paths"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spelled = texts.select("num", "doc_id", "text", "paths").mapInArrow(spell, f"num long, doc_id {kind}, paths array<struct<bucket:long,start:int,edges:int,variant:binary>>")
-    places = written(spelled.select("num", "doc_id", F.inline("paths")), "debruijn-places")
-    variants = places.groupBy("bucket", "variant").agg(F.min(F.struct("doc_id", "num", "start", "edges")).alias("source"))
-    variants = written(variants.select("bucket", "variant", F.col("source.doc_id").alias("low"), F.col("source.num").alias("num"), F.col("source.start").alias("start"), F.col("source.edges").alias("edges")), "debruijn-variants")
-    branching = variants.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    sources = variants.join(branching, "bucket").groupBy("num").agg(F.collect_list(F.struct("bucket", "variant", "low", "start", "edges")).alias("parts"))
-
-    def fall_apart(batches):
-        for batch in batches:
-            for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                words = split_words(text)
-                out = [(p["variant"], p["low"], i, digest(words[p["start"] + i : p["start"] + i + WINDOW])) for p in parts for i in range(p["edges"])]
-                for lo in range(0, len(out), 1 << 14):
-                    variant, low, at, edge = zip(*out[lo : lo + (1 << 14)], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(variant, pa.binary()), pa.array(low, batch.schema.field("parts").type.value_type.field("low").type), pa.array(at, pa.int32()), pa.array(edge, pa.binary())], ["variant", "low", "at", "edge"])
-
-    edges = texts.select("num", "text").join(sources, "num").select("text", "parts").mapInArrow(fall_apart, f"variant binary, low {kind}, at int, edge binary")
-    edges = written(edges, "debruijn-edges")
-    least = edges.groupBy("edge").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most")
-    earlier = edges.join(least.select("edge", "least"), "edge").where("least < low").groupBy("variant").agg(F.collect_set("at").alias("ats"))
-    # a later document loses the whole variant; the variant's own first document loses the edges that a smaller one has
-    judged = places.join(variants.select("bucket", "variant", "low"), ["bucket", "variant"])
-    late = judged.where("doc_id > low").select("num", F.col("start").alias("from"), (F.col("start") + F.col("edges") + WINDOW - 1).alias("to"))
-    own = judged.where("doc_id = low").join(earlier, "variant").select("num", "start", F.explode("ats").alias("at"))
-    own = own.select("num", (F.col("start") + F.col("at")).alias("from"), (F.col("start") + F.col("at") + WINDOW).alias("to"))
-    cuts = late.unionByName(own).groupBy("num").agg(F.collect_list(F.struct("from", "to")).alias("cuts"))
+    places = placed(texts, kind)
+    variants = places.groupBy("variant").agg(F.min(F.struct("doc_id", "num", "start", "edges")).alias("source"), F.bool_or("opens").alias("opens"), F.bool_or("closes").alias("closes"))
+    parts = variants.groupBy("source.num").agg(F.collect_list(F.struct("variant", F.col("source.doc_id").alias("low"), F.col("source.start").alias("start"), F.col("source.edges").alias("edges"), "opens", "closes")).alias("parts"))
+    sources = written(texts.select("num", "text").join(parts, "num"), "debruijn-sources")
+    nodes = nodes_of(sources)
+    differ = lambda c: F.min(c) != F.max(c)
+    degrees = nodes.groupBy("node").agg((F.bool_or("leaves") | F.coalesce(differ("before"), F.lit(False)) | F.coalesce(differ("after"), F.lit(False))).alias("branches"))
+    branching = written(degrees.where("branches").select("node"), "debruijn-branching")
+    cuts = nodes.select("node", "num", "at").join(branching, "node").groupBy("num").agg(F.collect_set("at").alias("ats"))
+    pieces = pieces_of(sources.join(cuts, "num", "left"), kind)
+    discard(nodes, sources)
+    found = written(pieces.where("NOT follows").select("variant", "off", "piece").join(chains(pieces), "piece").select("variant", "off", "edges", "least"), "debruijn-chains")
+    late = places.select("num", "doc_id", "start", "variant").join(found, "variant").where("doc_id > least")
+    late = late.select("num", (F.col("start") + F.col("off")).alias("from"), (F.col("start") + F.col("off") + F.col("edges") + NODE).alias("to"))
+    cuts = late.groupBy("num").agg(F.collect_list(F.struct("from", "to")).alias("cuts"))
 
     def keep(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             removed, kept = [], []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 words = split_words(text)

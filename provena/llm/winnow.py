@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.support import ALNUM, LOWER, Words, mix, row_key, slices, sliding_min, written
+from provena.llm.support import ALNUM, LOWER, Words, mix, row_key, slices, sliding_min, unused, written
 
 #: Words of a window, words of a gram, grams of which one is kept.
 WINDOW, K = 10, 5
 SPAN = WINDOW - K + 1
+#: Windows of a row that are compared with an item's at once.
+PIECE = 1 << 18
+#: Items' fingerprints up to this many (16 bytes each) are sent to the rows'; more are joined by fingerprint.
+SENT_PRINTS = 1 << 19
 #: Bits of the bitmap that the scan tests fingerprints against; its size is the same for any benchmark.
 BITMAP_BITS = 1 << 24
 
@@ -101,29 +105,37 @@ def bitmap(items: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def window_numbers(words: np.ndarray, width: int) -> np.ndarray:
+    """Equal numbers for equal runs of ``width`` words: runs of 1, 2, 4 ... words are numbered by their two halves, so nothing is hashed and memory is some numbers a word."""
+    size, block, done, out = 1, np.unique(words, return_inverse=True)[1], 0, None
+
+    def joined(a, b, shift):
+        a, b = a[: max(len(b) - shift, 0)], b[shift:]
+        return np.unique(a[: len(b)] * np.int64(len(words) + 1) + b, return_inverse=True)[1]
+
+    while True:
+        if width & size:
+            out = block if out is None else joined(out, block, done)
+            done += size
+        if done == width:
+            return out
+        block = joined(block, block, size)
+        size *= 2
+
+
 def meeting(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Positions of a row's words that lie inside an occurrence of one of an item's windows.  Words are given by equal numbers for equal words."""
+    """Positions of a row's words that lie inside an occurrence of one of an item's windows.  Words are given by equal numbers for equal words, -1 for those the item lacks."""
     width = min(WINDOW, len(item))
     if not width or len(doc) < width:
         return np.zeros(0, np.int64)
-    order = np.argsort(item, kind="stable")
-    ordered = item[order]
-    low, high = np.searchsorted(ordered, doc, "left"), np.searchsorted(ordered, doc, "right")
+    starts = len(doc) - width + 1
     hit = np.zeros(len(doc) + 1, np.int64)
-    # every alignment of equal words is followed diagonally; runs of width and more are shared windows
-    times = high - low
-    at = np.repeat(np.arange(len(doc)), times)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-    shift = at - order[np.repeat(low, times) + nth]
-    by = np.lexsort((at, shift))
-    at, shift = at[by], shift[by]
-    if not len(at):
-        return at
-    breaks = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(shift) != 0), [True])))
-    starts, lengths = at[breaks[:-1]], np.diff(breaks)
-    for s, n in zip(starts[lengths >= width].tolist(), lengths[lengths >= width].tolist(), strict=True):
-        hit[s] += 1
-        hit[s + n] -= 1
+    for lo in range(0, starts, PIECE):
+        own = doc[lo : lo + PIECE + width - 1]
+        numbers = window_numbers(np.concatenate((own, item)), width)
+        here = lo + np.flatnonzero(np.isin(numbers[: len(own) - width + 1], numbers[len(own) :]))
+        np.add.at(hit, here, 1)
+        np.add.at(hit, here + width, -1)
     return np.flatnonzero(np.cumsum(hit)[:-1])
 
 
@@ -157,7 +169,11 @@ def hits_of(keyed: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(keyed.mapInArrow(scan, schema), "winnow-rows")
     # one fingerprint may be in many rows and few items: each row's pair with an item counts once, before any text moves
     met = rows.where("prints IS NOT NULL").select("row", F.explode("prints").alias("print")).distinct()
-    pairs = written(met.join(tests.select("item", F.explode("prints").alias("print")), "print").select("row", "item").distinct(), "winnow-pairs")
+    asked = tests.select("item", F.explode("prints").alias("print"))
+    few = tests.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0)).alias("n")).first().n <= SENT_PRINTS
+    # a fingerprint that very many rows have never meets them in one task: either side stands as a table, so a skewed join is dealt anew
+    met = met if few else written(met, "winnow-met")
+    pairs = written(met.join(F.broadcast(asked) if few else asked, "print").select("row", "item").distinct(), "winnow-pairs")
     texts = keyed.select("row", "text").join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
     both = pairs.join(texts, "row").join(tests.select("item", "item_id", F.col("text").alias("item_text")), "item")
 
@@ -202,6 +218,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, that no item's window occurs in."""
+    """The rows of ``docs``, all their columns whatever their names, that no item's window occurs in.  Rows without words, among them null texts, all stay."""
     _, hits = hits_of(docs.select(row_key().alias("row"), "text"), items)
-    return docs.withColumn("__row", row_key()).join(hits.select(F.col("row").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+    key = unused(docs, "__row")
+    return docs.withColumn(key, row_key()).join(hits.select(F.col("row").alias(key)).distinct(), key, "left_anti").select(docs.columns)
