@@ -12,9 +12,14 @@ to meet in some run reaches RECALL.
 
 Comparing in a bucket uses signatures and hands on links along a spanning forest
 only, so a bucket never emits its pairs.  What is linked that way is a candidate
-group; every two sets of one group are then compared exactly, in tiles of two
-blocks of sets, which return each set's number of links and again a spanning
-forest.  A group's size costs replicas of its texts, never rows by pair."""
+group.  A link needs sizes that differ by the similarity at most, so a group falls
+into bands of sizes, each of which meets itself and the next one; every two sets
+of two such bands are compared by their words, in tiles of two blocks of sets,
+which return each set's number of links and again a spanning forest.  A group's
+size costs replicas of its texts, never rows by pair.
+
+Texts whose sets agree in two 64-bit sums of hashes and in size count as equal
+sets; all other links are counted over the words themselves."""
 
 from __future__ import annotations
 
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.components import connected
-from provena.llm.support import LOWER, NOT_BLANK, Words, mix, row_key, slices, written
+from provena.llm.support import LOWER, NOT_BLANK, Words, discard, mix, row_key, slices, unused, written
 
 #: Words of a shingle; the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -205,12 +210,13 @@ def candidate_links(sets: DataFrame) -> DataFrame:
     runs = [(int(x),) for x in mix(np.arange(1, runs_needed() + 1, dtype=np.uint64)).view(np.int64)]
     roots = F.array(*[F.lit(r) for (r,) in runs])
     level = written(split(sets.select("num", "signature", F.explode(roots).alias("path"))), "path-level-0")
-    links = []
+    links, tables = [], [level]
     for depth in range(1, DEEP + 1):
         # counted before anything meets: a frequent token's bucket never lies in one task
         sizes = written(level.groupBy("path").agg(F.count("*").alias("n"), F.min("num").alias("least")).where("n > 1"), f"path-sizes-{depth}")
         small = level.join(sizes.where(F.col("n") <= SMALL).select("path"), "path").join(sets, "num")
         links.append(written(bucket_links(small).distinct(), f"path-links-{depth}"))
+        tables += [sizes, links[-1]]
         large = sizes.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
@@ -220,16 +226,58 @@ def candidate_links(sets: DataFrame) -> DataFrame:
             links.append(crowd.where("num <> least").select(F.col("num").alias("a"), F.col("least").alias("b")).distinct())
         else:
             level = written(split(crowd.join(sets, "num")), f"path-level-{depth}")
+            tables.append(level)
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    out = written(out.distinct(), "path-links")
+    discard(*tables)
+    return out
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all left with all right sets."""
-    values = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+class Spelled:
+    """Numbers for the words of a tile, equal for equal words, and from them its texts' sets of shingles."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Each text's distinct shingles, as numbers that are equal for equal runs of words."""
+        known = self.known
+        words = [np.array([known.setdefault(w, len(known)) for w in t.translate(_LOWER_BYTES).split()], np.int64) for t in texts]
+        counts = np.array(list(map(len, words)))
+        doc = np.repeat(np.arange(len(texts)), counts)
+        one = np.concatenate([*words, np.zeros(0, np.int64)])
+        pair = lambda a, b: np.unique(a * np.int64(len(one) + 1) + b, return_inverse=True)[1]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        if len(one) >= WORDS:
+            # runs of 1, 2, 4 and then WORDS words, numbered by their two parts
+            run, size = one, 1
+            while size * 2 <= WORDS:
+                run, size = pair(run[:-size], run[size:]), size * 2
+            if rest := WORDS - size:
+                tail = one
+                for k in range(1, rest):
+                    tail = pair(tail[: len(one) - k], one[k:])
+                run = pair(run[: len(one) - WORDS + 1], tail[size : size + len(one) - WORDS + 1])
+            inside = doc[: len(run)] == doc[WORDS - 1 :]
+            run, of = run[inside], doc[: len(run)][inside]
+            at = np.searchsorted(of, np.arange(len(texts) + 1))
+            out = [np.unique(run[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        # a shorter text is one shingle, which equals that of the same words only
+        short: dict[tuple, int] = {}
+        for i in np.flatnonzero((counts > 0) & (counts < WORDS)).tolist():
+            out[i] = np.array([-1 - short.setdefault(tuple(words[i].tolist()), len(short))])
+        return out
+
+
+_LOWER_BYTES = LOWER.tobytes()
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` ones of the sets."""
+    values = np.concatenate([*sets, np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
     seen, at, times = np.unique(values, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(times > 1)
     column = np.full(len(seen), -1)
@@ -238,30 +286,28 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(left), len(right)), np.float32)
     for lo in range(0, len(shared), COLUMNS):
         here = (column >= lo) & (column < lo + COLUMNS)
-        matrix = np.zeros((len(left) + len(right), min(COLUMNS, len(shared) - lo)), np.float32)
+        matrix = np.zeros((len(sets), min(COLUMNS, len(shared) - lo)), np.float32)
         matrix[owner[here], column[here] - lo] = 1
-        out += matrix[: len(left)] @ matrix[len(left) :].T
+        out += matrix[left] @ matrix[right].T
     return out
 
 
 def tile_links(members: DataFrame, similarity: float) -> DataFrame:
     """(num, links, other): each set's number of documents linked within the tile, and forest edges to ``other`` (null where none).
 
-    ``members``: grp, i, j (the tile's blocks), block, num, copies, text."""
+    ``members``: grp, band, i, j (the tile's blocks), part (0 for block i, 1 for block j), num, copies, text."""
 
     def work(batches):
         num_out, links_out, other_out = [], [], []
-        for (_, i, j), own in grouped(batches, ["grp", "i", "j"], ["block", "num", "copies", "text"]):
-            block, num, copies = (own[c].to_numpy() for c in ("block", "num", "copies"))
-            sets = []
-            for _, hi, data, offsets in slices(own["text"]):
-                shingles, doc, _ = shingle_sets(data, offsets)
-                at = np.searchsorted(doc, np.arange(len(offsets)))
-                sets += [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for (_, _, i, j), own in grouped(batches, ["grp", "band", "i", "j"], ["part", "num", "copies", "text"]):
+            part, num, copies = (own[c].to_numpy() for c in ("part", "num", "copies"))
+            # a block that meets itself is listed once
+            a = np.flatnonzero(part == 0)
+            b = np.flatnonzero(part == 1) if i != j else a
             if not len(a) or not len(b):
                 continue
-            common = overlaps([sets[x] for x in a], [sets[x] for x in b]).astype(np.float64)
+            sets = Spelled().sets([(t or "").encode() for t in own["text"].to_pylist()])
+            common = overlaps(sets, a, b).astype(np.float64)
             size = np.array([len(s) for s in sets])
             # both sides as whole numbers and one product: no quotient to round
             linked = common >= similarity * (size[a][:, None] + size[b] - common) - 1e-9
@@ -286,7 +332,8 @@ def tile_links(members: DataFrame, similarity: float) -> DataFrame:
         if num_out:
             yield pa.RecordBatch.from_arrays([pa.array(num_out, pa.int64()), pa.array(links_out, pa.int64()), pa.array(other_out, pa.int64())], ["num", "links", "other"])
 
-    tiles = members.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").select("grp", "i", "j", "block", "num", "copies", "text")
+    keys = ("grp", "band", "i", "j")
+    tiles = members.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "part", "num", "copies", "text")
     return tiles.mapInArrow(work, "num long, links long, other long")
 
 
@@ -297,15 +344,25 @@ def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     # the least row of each set stands for its copies
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("num").alias("num"))
     sets = written(full.groupBy("set_key").agg(F.min(first).alias("f"), F.count("*").alias("copies")).select("set_key", F.col("f.num").alias("num"), F.col("f.doc_id").alias("doc_id"), "copies"), "path-sets")
-    reps = rows.select("num", "row", "signature").join(sets.select("num"), "num", "left_semi")
+    reps = rows.select("num", "row", "n_shingles", "signature").join(sets.select("num"), "num", "left_semi")
     groups = written(connected(candidate_links(reps.select("num", "signature"))), "path-groups")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    placed = groups.join(blocks, "component").join(sets.select("num", "copies"), F.col("node") == F.col("num")).withColumn("block", F.pmod(F.xxhash64("num"), F.col("n").cast("long")).cast("int"))
-    texts = docs.select(row_key().alias("row"), "text").join(reps.select("num", "row").join(groups.select(F.col("node").alias("num")), "num", "left_semi"), "row").dropDuplicates(["num"]).select("num", "text")
-    # a block meets every block of its group in one tile; a group of one block is one tile
-    spread = placed.select("num", "copies", F.col("component").alias("grp"), "block", "n").join(texts, "num").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    # sets of one band, or of two neighbouring ones, are all whose sizes can differ by the similarity; the margin keeps both ends of a band's width
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(1 / similarity) + 1e-6)).cast("int")
+    placed = groups.withColumnRenamed("node", "num").join(reps.select("num", "row", band.alias("own")), "num").join(sets.select("num", "copies"), "num")
+    sizes = written(placed.groupBy("component", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "path-bands")
+    placed = placed.join(sizes, ["component", "own"]).join(sizes.select("component", (F.col("own") - 1).alias("own"), F.col("n").alias("above")), ["component", "own"], "left")
+    placed = placed.join(sizes.select("component", (F.col("own") + 1).alias("own"), F.col("n").alias("below")), ["component", "own"], "left").withColumn("block", F.pmod(F.xxhash64("num"), F.col("n").cast("long")).cast("int"))
+    texts = docs.select(row_key().alias("row"), "text").join(placed.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    # blocks have numbers from 1 within their band, those of the next band negative ones: a tile is (band, i, j) with i of this band
+    tile = lambda band, i, j, part: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), F.lit(part).alias("part"))
+    numbers = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    own, block = F.col("own"), F.col("block") + 1
+    inside = F.transform(numbers(F.col("n")), lambda k: F.when(k >= block, tile(own, block, k, 0)).otherwise(tile(own, k, block, 1)))
+    upward = F.transform(numbers(F.col("above")), lambda k: tile(own, block, -k, 0))
+    downward = F.transform(numbers(F.col("below")), lambda k: tile(own - 1, k, -block, 1))
+    spread = placed.select("row", "num", "copies", F.col("component").alias("grp"), F.explode(F.concat(inside, upward, downward)).alias("t")).select("row", "num", "copies", "grp", "t.*").join(texts, "row").drop("row")
     found = written(tile_links(spread, similarity), "path-tiles")
+    discard(groups, sizes)
     links = found.groupBy("num").agg(F.sum("links").alias("links"))
     edges = found.where("other IS NOT NULL").select(F.col("num").alias("a"), F.col("other").alias("b"))
     linked = connected(edges)
@@ -326,18 +383,22 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     blanks, with A-Z lowered.  A text of fewer words than a shingle is one
     shingle; a null or empty text has no set, is linked to nothing and is its own
     class.  Rows that repeat are linked copies.  A null doc_id counts after all
-    others.  An empty table gives an empty result; extra columns are ignored."""
+    others.  Texts of any length are compared whole.  An empty table gives an empty
+    result; extra columns are ignored."""
     rows, sets = classes(docs, similarity)
     out = rows.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(sets, "set_key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def distinct_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all their columns: the least of each class, and every row that has no words."""
+    """The rows of ``docs``, all their columns whatever their names: the least of each class, and every row that has no words.
+
+    Of rows that repeat both id and text one stays, even if they differ in other columns."""
     rows, sets = classes(docs, similarity)
     empty = rows.where("n_shingles = 0").select("row", F.lit(False).alias("once"))
     least = rows.join(sets.where("num = class_num").select("num"), "num", "left_semi").select("row", F.lit(True).alias("once"))
-    kept = empty.unionByName(least).distinct().withColumnsRenamed({"row": "__row", "once": "__once"})
-    found = docs.withColumn("__row", row_key()).join(kept, "__row")
+    key, once = unused(docs, "__row"), unused(docs, "__once")
+    kept = empty.unionByName(least).distinct().withColumnsRenamed({"row": key, "once": once})
+    found = docs.withColumn(key, row_key()).join(kept, key)
     # rows that repeat both id and text share a key: one of them stays, but for those without words
-    return found.where("__once").dropDuplicates(["__row"]).unionByName(found.where("NOT __once")).drop("__row", "__once")
+    return found.where(F.col(once)).dropDuplicates([key]).unionByName(found.where(~F.col(once))).select(docs.columns)
