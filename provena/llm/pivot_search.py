@@ -7,9 +7,10 @@ distance, and as <q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2, an upper bound of the
 score.  Rows are evaluated in order of that bound, until no bound reaches the
 k-th score found so far: then the answer is exact.
 
-Rows travel as blocks (one Spark row holds up to BLOCK vectors as bytes), query
-blocks meet row blocks in one equi-join on the pair's number, and each pair
-returns at most k rows a query; a ranking by query follows.  Before that every
+Rows travel as blocks (one Spark row holds up to BLOCK vectors of about one length
+as bytes, in the least whole-number type that holds them), query blocks meet row
+blocks in one equi-join on the pair's number, and each pair returns at most k rows
+a query; a ranking by query follows.  Before that every
 query scores a bounded sample of rows: its k-th score there is a true lower
 bound of the final k-th score, from which each pair starts."""
 
@@ -21,38 +22,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provena.llm.support import written
+from provena.llm.support import discard, written
 
 #: Pivots, and the rows of the sample that pivots and starting bounds are taken from.
 PIVOTS, SAMPLE_ROWS = 16, 2048
-#: Vectors in a block of rows, and of queries.
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors in a block of rows, and of queries, at most; bytes of a block or of the sample, with 8 a component.
+BLOCK, QUERY_BLOCK, BLOCK_BYTES = 16384, 4096, 1 << 23
 #: Rows evaluated before the first look at the stopping rule; the count doubles from look to look.
 STEP = 256
-#: Whole numbers up to here are exact in float64 arithmetic.
-EXACT = 2**53
+#: Whole numbers below are exact in float64 arithmetic, and in that of 64-bit integers; the margin covers the rounding of the norms they are held against.
+EXACT, LARGEST = 0.99 * 2**53, 0.99 * 2**63
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component.  Rows whose id or vector is null, or whose vector holds a null or non-finite component, go."""
+    """(num, vec_id, v): floor(scale * x) of each component; ``num`` numbers rows.  Rows whose id or vector is null, or whose vector holds a null or non-finite component, go."""
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v")).dropDuplicates(["vec_id", "v"])
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    return written(kept.select(F.monotonically_increasing_id().alias("num"), F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")), "pivot-rows")
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """A list column as rows of ``dim`` numbers; shorter vectors end in zeros."""
-    out = np.zeros((len(column), dim), np.int64)
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column as rows of as many numbers as the longest list; shorter vectors end in zeros."""
     lengths = np.diff(np.asarray(column.offsets))
-    inside = np.arange(dim) < lengths[:, None]
-    out[inside] = column.flatten().to_numpy()
+    out = np.zeros((len(column), max(int(lengths.max(initial=0)), 1)), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy()
     return out
 
 
+def small(v: np.ndarray) -> np.ndarray:
+    """The same numbers in the least whole-number type that holds them."""
+    most = max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0))))
+    return v.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+
+
 def scores(a: np.ndarray, b: np.ndarray, exact_floats: bool) -> np.ndarray:
-    """Inner products of all rows of a with all rows of b, as 64-bit integers."""
+    """Inner products of all rows of a with all rows of b, as 64-bit integers; the longer vectors' last components meet zeros."""
+    dim = min(a.shape[1], b.shape[1])
+    a, b = a[:, :dim], b[:, :dim]
     if exact_floats:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -67,8 +77,9 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    x = rows.astype(np.float64)
-    return np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) * x.size < 1 << 22 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
+    """Distance of each row from each pivot; shorter ones end in zeros."""
+    x, dim = rows.astype(np.float64), min(rows.shape[1], pivots.shape[1])
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x[:, :dim] @ pivots[:, :dim].T, 0))
 
 
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -81,14 +92,14 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
-    """For each query of a block: its k best rows of another block, by bound order and exact stopping."""
-    x = rows["v"].astype(np.float64) if exact_floats else rows["v"]
-    asked = query["v"].astype(np.float64) if exact_floats else query["v"]
+    """For each query of a block: its place there, and ids and scores of its k best rows of another block, by bound order and exact stopping."""
+    kind, dim = np.float64 if exact_floats else np.int64, min(rows["v"].shape[1], query["v"].shape[1])
+    x, asked = rows["v"][:, :dim].astype(kind), query["v"][:, :dim].astype(kind)
     xn, qn = ((m.astype(np.float64) ** 2).sum(1) for m in (rows["v"], query["v"]))
     table, own = np.ascontiguousarray(rows["table"].T), query["table"]
-    # computed distances carry rounding errors: the bound gives way by far more than these
-    slack = 1e-6 * (1 + np.sqrt(xn))
-    low, gap = np.empty(len(x)), np.empty(len(x))
+    # computed distances carry rounding errors, of 32 bits where they are stored: the bound gives way by far more than these
+    slack = 1e-6 * (1 + np.sqrt(xn) + table.max(initial=0))
+    low, gap = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
     for i in range(len(asked)):
         floor = float(query["start"][i])
         floor = floor if exact_floats else np.nextafter(floor, -np.inf)
@@ -97,9 +108,8 @@ def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
             np.subtract(distance, d, out=gap)
             np.abs(gap, out=gap)
             np.maximum(low, gap, out=low)
-        np.subtract(low, slack + 1e-6 * np.sqrt(qn[i]), out=low)
-        np.maximum(low, 0, out=low)
-        bound = (qn[i] + xn - low * low) / 2
+        near = np.maximum(low - slack - 1e-6 * (np.sqrt(qn[i]) + own[i].max(initial=0)), 0)
+        bound = (qn[i] + xn - near * near) / 2
         bound += 1e-6 * (1 + np.abs(bound))
         order = np.flatnonzero(bound >= floor)
         order = order[np.argsort(-bound[order], kind="stable")]
@@ -109,7 +119,7 @@ def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
             part = order[at : at + step]
             at, step = at + step, step * 2
             score = x[part] @ asked[i]
-            good = (score >= floor) & (rows["ids"][part] != query["ids"][i])
+            good = (score >= floor) & (rows["nums"][part] != query["nums"][i])
             if not good.any():
                 continue
             ids = np.concatenate((ids, rows["ids"][part[good]]))
@@ -120,69 +130,87 @@ def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
                 last = float(found[-1])
                 floor = max(floor, last if exact_floats else np.nextafter(last, -np.inf))
         kept = best(ids, found, k)
-        yield query["ids"][i], ids[kept], found[kept]
+        yield i, ids[kept], found[kept]
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose id ``query_every`` divides, with all rows but those of its own id.
+    """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose id ``query_every`` divides, with all rows but itself.
 
     Vectors that are null or hold null or non-finite components take no part.
-    Rows repeating both id and vector count once.  A shorter vector counts as
-    ending in zeros.  Ties go to the smaller id.  Fewer than k rows are returned
-    in whole.  An empty table gives an empty result; extra columns are ignored."""
+    Every other row is one of its own: rows that repeat an id, or id and vector,
+    are each ranked, each other's candidates, and give rankings of their own under
+    the same query_id.  A shorter vector counts as ending in zeros, whatever the
+    longest one's length; an empty one scores 0.  Ties go to the smaller id.  Fewer
+    than k rows are returned in whole.  Components so large that inner products
+    may not fit 64 bits are refused with a ValueError.  An empty table gives an
+    empty result; extra columns are ignored."""
     spark = vectors.sparkSession
     rows = quantised(vectors, scale)
-    # one pass: size, longest vector, largest component
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.greatest(F.abs(F.coalesce(F.array_max("v"), F.lit(0))), F.abs(F.coalesce(F.array_min("v"), F.lit(0))))).alias("most")).first()
+    length, norm = F.ceil(F.log2(F.greatest(F.size("v"), F.lit(1)))).cast("int"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    # vectors of about one length make blocks: those of a class have up to 2^class components
+    classes = sorted((r.length, r.n, r.asked, r.norm) for r in rows.groupBy(length.alias("length")).agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % query_every == 0).cast("long")).alias("asked"), F.max(norm).alias("norm")).collect())
     result = "query_id long, vec_id long, score long"
-    if not facts.n:
+    if not classes:
         return spark.createDataFrame([], result).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    dim, exact_floats = max(facts.dim, 1), facts.dim * facts.most**2 < EXACT
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).toArrow().combine_chunks()
-    sample_ids, sample = drawn["vec_id"].to_numpy(), matrix(pa.chunked_array(drawn["v"]).combine_chunks(), dim)
-    shared = spark.sparkContext.broadcast((sample_ids, sample, choose_pivots(sample, PIVOTS)))
+    most = max(c[3] for c in classes)
+    if most >= LARGEST:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
+    exact_floats, cores = most < EXACT, spark.sparkContext.defaultParallelism
+    common = max(classes, key=lambda c: c[1])[0]
+    n_sample = max(2 * k, min(SAMPLE_ROWS, BLOCK_BYTES >> (3 + common)))
+    drawn = rows.where(length == common).orderBy(F.xxhash64("vec_id"), "vec_id", "num").limit(n_sample).toArrow().combine_chunks()
+    sample_nums, sample = drawn["num"].to_numpy(), matrix(pa.chunked_array(drawn["v"]).combine_chunks())
+    shared = spark.sparkContext.broadcast((sample_nums, sample, choose_pivots(sample, PIVOTS)))
 
     def pack(number: str, queries: bool):
-        def emit(block, ids, v):
-            sample_ids, sample, pivots = shared.value
+        def emit(block, nums, ids, column):
+            sample_nums, sample, pivots = shared.value
+            v = matrix(column)
             start = np.full(len(ids), np.iinfo(np.int64).min)
-            if queries:
-                for lo in range(0, len(ids), 256):
-                    s = scores(v[lo : lo + 256], sample, exact_floats)
-                    for i, row in enumerate(s, lo):
-                        row = row[sample_ids != ids[i]]
-                        if len(row) >= k:
-                            start[i] = np.partition(row, len(row) - k)[len(row) - k]
-            return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, v, distances(v, pivots), start))], [number, "ids", "v", "table", "start"])
+            for lo in range(0, len(ids) if queries else 0, 256):
+                for i, row in enumerate(scores(v[lo : lo + 256], sample, exact_floats), lo):
+                    row = row[sample_nums != nums[i]]
+                    if len(row) >= k:
+                        start[i] = np.partition(row, len(row) - k)[len(row) - k]
+            packed = (nums, ids, small(v), distances(v, pivots).astype(np.float32), start)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed[2].dtype.str]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], [number, "kind", "nums", "ids", "v", "table", "start"])
 
         def work(batches):
             held: dict[int, list] = {}
             for batch in batches:
-                block, ids, v = batch.column(number).to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dim)
+                block = batch.column(number).to_numpy()
                 for b in np.unique(block).tolist():
-                    held.setdefault(b, []).append((ids[block == b], v[block == b]))
+                    held.setdefault(b, []).append(batch.filter(pa.array(block == b)))
             for b, parts in held.items():
-                yield emit(b, np.concatenate([ids for ids, _ in parts]), np.concatenate([v for _, v in parts]))
+                whole = pa.Table.from_batches(parts).combine_chunks()
+                yield emit(b, whole["num"].to_numpy(), whole["vec_id"].to_numpy(), pa.concat_arrays(whole["v"].chunks))
 
         return work
 
-    def blocked(own: DataFrame, number: str, n: int, queries: bool) -> DataFrame:
-        numbered = own.withColumn(number, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-        packed = numbered.repartition(n, number).mapInArrow(pack(number, queries), f"{number} long, ids binary, v binary, table binary, start binary")
-        return written(packed, f"pivot-{number}")
-
-    n_rows, n_queries = max(1, -(-facts.n // BLOCK)), max(1, -(-facts.n // (query_every * QUERY_BLOCK)))
-    blocks = blocked(rows, "b", n_rows, False)
-    queries = blocked(rows.where(F.col("vec_id") % query_every == 0), "q", n_queries, True)
+    def blocked(own: DataFrame, number: str, sizes: dict[int, int], most: int) -> tuple[DataFrame, int]:
+        first, many = {}, {}
+        for c, n in sizes.items():
+            # enough blocks for all cores, as long as they are worth their calls
+            each = max(1, min(most, max(1024, -(-n // (2 * cores))), BLOCK_BYTES >> (3 + c)))
+            first[c], many[c] = sum(many.values()), max(1, -(-n // each))
+        of = lambda d: F.create_map(*[x for c, n in d.items() for x in (F.lit(c), F.lit(n).cast("long"))])[length]
+        numbered = own.withColumn(number, of(first) + F.pmod(F.xxhash64("num"), of(many)))
+        n = sum(many.values())
+        packed = numbered.repartition(n, number).mapInArrow(pack(number, number == "q"), f"{number} long, kind string, nums binary, ids binary, v binary, table binary, start binary")
+        return written(packed, f"pivot-{number}"), n
+
+    blocks, n_rows = blocked(rows, "b", {c: n for c, n, _, _ in classes}, BLOCK)
+    queries, n_queries = blocked(rows.where(F.col("vec_id") % query_every == 0), "q", {c: n for c, _, n, _ in classes if n} or {0: 1}, QUERY_BLOCK)
+    discard(rows)
     # every query block meets every row block: the pair's two numbers are the key, so pairs spread evenly
-    left = queries.withColumnsRenamed({c: f"q_{c}" for c in ("ids", "v", "table", "start")}).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
+    left = queries.withColumnsRenamed({c: f"q_{c}" for c in queries.columns[1:]}).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
     right = blocks.drop("start").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
     pairs = left.join(right, ["q", "b"])
 
     def unpack(batch, i, prefix):
         get = lambda name, kind: np.frombuffer(batch.column(prefix + name)[i].as_py(), kind)
         ids = get("ids", np.int64)
-        return {"ids": ids, "v": get("v", np.int64).reshape(len(ids), dim), "table": get("table", np.float64).reshape(len(ids), -1)}
+        return {"ids": ids, "nums": get("nums", np.int64), "v": get("v", batch.column(prefix + "kind")[i].as_py()).reshape(len(ids), -1), "table": get("table", np.float32).reshape(len(ids), -1)}
 
     def search(batches):
         for batch in batches:
@@ -191,9 +219,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
                 query["start"] = np.frombuffer(batch.column("q_start")[i].as_py(), np.int64)
                 out = list(search_pair(query, own, k, exact_floats))
                 if out:
-                    n = [len(ids) for _, ids, _ in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in out], n)), pa.array(np.concatenate([ids for _, ids, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"])
+                    at = np.repeat([q for q, _, _ in out], [len(ids) for _, ids, _ in out])
+                    yield pa.RecordBatch.from_arrays([pa.array(query["nums"][at]), pa.array(query["ids"][at]), pa.array(np.concatenate([ids for _, ids, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["num", "query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInArrow(search, "num long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("num").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

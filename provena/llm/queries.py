@@ -19,20 +19,21 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+#: Row numbers tell rows apart that repeat an id.
 OP1_SQL = """
 WITH usable AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), part AS (
-  SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS at FROM usable
+  SELECT r, vec_id, unnest(v) AS x, unnest(range(len(v))) AS at FROM usable
 ), scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(sum(q.x * r.x) AS BIGINT) AS score
-  FROM part q JOIN part r ON q.at = r.at AND q.vec_id <> r.vec_id
+  SELECT q.r AS own, q.vec_id AS query_id, p.r, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
+  FROM part q JOIN part p ON q.at = p.at AND q.r <> p.r
   WHERE q.vec_id % 20 = 0 GROUP BY ALL
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -14,28 +14,38 @@ from provena.llm.support import remainder
 NAN, INF = float("nan"), float("inf")
 
 
+def top_k_by_hand(rows, k=20):
+    """(query_id, rank, vec_id, score) of every ranking, sorted."""
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (q, own) in enumerate(good):
+        if q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(own, v)), i) for b, (i, v) in enumerate(good) if b != a)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
 def test_top_k_matches_brute_force(spark):
     draw = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in draw.normal(0, 1, 12)]) for i in range(700)]
-    rows += [(i, rows[0][1]) for i in range(700, 760)] + [(800, None), (801, [NAN] * 12), (802, [INF] + [0.0] * 11), (803, []), (804, [1.0, 2.0]), (20, rows[20][1]), (None, rows[3][1]), (820, [None] * 12)]
+    rows = [(i, [float(np.float32(x)) for x in draw.normal(0, 1, 12)]) for i in range(700)]
+    rows += [(i, rows[0][1]) for i in range(700, 760)] + [(800, None), (801, [NAN] * 12), (802, [INF] + [0.0] * 11), (803, []), (804, [1.0, 2.0]), (None, rows[3][1]), (820, [None] * 12), (840, [])]
+    # an id again with its own vector and with another; a vector that is far longer than all others
+    rows += [(20, rows[20][1]), (40, rows[41][1]), (860, [1.0] * 300_000), (861, [0.5] * 5_000)]
     frame = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    got = defaultdict(list)
-    for r in sorted(pivot_search.top_k(frame, 20).collect(), key=lambda r: (r.query_id, r.rank)):
-        got[r.query_id].append((r.vec_id, r.score))
-    good = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    assert set(got) == {i for i in good if i % 20 == 0}
-    for q in got:
-        scored = [(i, sum(a * b for a, b in zip(good[q], v))) for i, v in good.items() if i != q]
-        assert got[q] == sorted(scored, key=lambda x: (-x[1], x[0]))[:20]
+    assert sorted(map(tuple, pivot_search.top_k(frame, 20).collect())) == top_k_by_hand(rows)
 
 
 def test_top_k_of_few_rows_and_huge_numbers(spark):
     schema = "vec_id long, embedding array<double>"
     assert pivot_search.top_k(spark.createDataFrame([], schema)).collect() == []
+    assert pivot_search.top_k(spark.createDataFrame([(1, [1.0])], schema)).collect() == []
     rows = [(0, [3e6, 1.0]), (1, [2e6, 5.0]), (2, [2e6, 5.0]), (3, [-1e6, 2.0])]
-    got = [(r.rank, r.vec_id, r.score) for r in sorted(pivot_search.top_k(spark.createDataFrame(rows, schema)).collect(), key=lambda r: r.rank)]
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
-    assert got == [(k, i, sum(a * b for a, b in zip(whole[0], whole[i]))) for k, i in ((1, 1), (2, 2), (3, 3))]
+    assert sorted(map(tuple, pivot_search.top_k(spark.createDataFrame(rows, schema)).collect())) == top_k_by_hand(rows)
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0])]
+    assert sorted(map(tuple, pivot_search.top_k(spark.createDataFrame(rows, schema)).collect())) == top_k_by_hand(rows)
+    for huge in (3e38, 1e9):
+        with pytest.raises(ValueError, match="64 bits"):
+            pivot_search.top_k(spark.createDataFrame([(0, [huge, 1.0]), (1, [huge, 1.0])], schema))
 
 
 def ctw_by_hand(docs):
