@@ -9,9 +9,11 @@ training rows give them.  A text's score is the log10 probability of its bytes
 and an end symbol under the trained trees; over the bytes it is the code length.
 
 Training counts grams (a byte with its context) in the tasks and sums them in one
-exchange.  Trees are weighted bottom-up, then read top-down, by streams of grams
-sorted by context: those that share their last three context bytes pass through
-one task, shorter contexts are grouped under the next shorter one.  Frequent grams
+exchange.  Trees are weighted and read bottom-up by streams of grams sorted by
+context: those that share their last three context bytes pass through one task, in
+pieces that end where a context of DEPTH - 1 bytes does; of every shorter context
+only the one that is still open is held.  Contexts of less than three bytes are
+grouped under the next shorter one.  Frequent grams
 and words are broadcast in tables of fixed size.  What texts need beyond them is
 aggregated by text, read from the same trees (a gram not met in training is one
 of count zero) and joined."""
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from provena.llm.support import Tally, as_bytes, few_rows, mix, remainder, slices, written
 
 #: Bytes of the longest context.
-DEPTH = 5
+DEPTH = 6
 #: Grams and words that are broadcast (12 bytes a gram, WORD_BYTES at most a word).
 HOT_GRAMS, HOT_WORDS, WORD_BYTES = 1 << 20, 1 << 16, 64
 #: The end of a text as a byte, which UTF-8 never holds.
@@ -110,15 +112,6 @@ def stopping(own: np.ndarray, children: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
 
 
-def byte_log(one: np.ndarray, row: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte under its row of 255 probabilities of a one."""
-    out = np.zeros(len(byte))
-    for k in range(8):
-        p = one[row, (1 << k) - 1 + (byte >> (8 - k))]
-        out += np.log10(np.where(byte >> (7 - k) & 1, p, 1 - p))
-    return out
-
-
 def count(docs: DataFrame) -> DataFrame:
     """(gram, word, n): counts of grams (word null) and of words (gram null); gram -1 has the number of rows."""
     schema = pa.schema([("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -152,54 +145,160 @@ def count(docs: DataFrame) -> DataFrame:
     return written(parts.groupBy("gram", "word").agg(F.sum("n").alias("n")), "ctw-counts")
 
 
-class Levels:
-    """Trees of sorted grams with all that share three context bytes, from whole contexts up to those three bytes.
-
-    For contexts of d bytes: ``counts[d]`` has a row of 256 byte counts each,
-    ``under[d]`` is the context of d - 1 bytes that each extends, ``children[d]`` sums
-    the weighted logs of its own extensions."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        self.byte = gram & 255
-        context = gram >> 8
-        fresh = np.concatenate(([True], context[1:] != context[:-1]))
-        at, self.row = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        leaf = np.zeros((len(at), 256), np.int64)
-        np.add.at(leaf, (self.row, self.byte), n)
-        self.contexts, self.counts, self.children, self.under = context[at], {DEPTH: leaf}, {}, {}
-        for d in range(DEPTH - 1, 2, -1):
-            below = self.contexts >> 8
-            fresh = np.concatenate(([True], below[1:] != below[:-1]))
-            at, self.under[d + 1] = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            self.children[d] = np.add.reduceat(self.weighted(d + 1), at)
-            self.counts[d] = np.add.reduceat(self.counts[d + 1], at)
-            self.contexts = below[at]
-
-    def weighted(self, d: int) -> np.ndarray:
-        own = estimate(*decisions(self.counts[d]))
-        return own if d == DEPTH else weighted(own, self.children[d])
-
-    def logs(self, base: np.ndarray, open_: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte, from what contexts of three bytes give: a deeper estimate p enters as base + open * p."""
-        for d in range(4, DEPTH + 1):
-            zeros, ones = decisions(self.counts[d])
-            stop = stopping(estimate(zeros, ones), self.children[d]) if d < DEPTH else 1.0
-            base, open_ = base[self.under[d]], open_[self.under[d]]
-            base, open_ = base + open_ * stop * next_one(zeros, ones), open_ * (1 - stop)
-        return byte_log(base, self.row, self.byte)
-
-
-def whole_groups(batches, key: str):
-    """Tables of GRAMS rows and some in which every value of ``key``, by which the rows are sorted, is complete."""
+def extended(contexts: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts one byte shorter with their counts and their children's logs, summed over the rows given."""
+    below = contexts >> 8
+    at = np.flatnonzero(np.concatenate(([True], below[1:] != below[:-1])))
+    return below[at], np.add.reduceat(counts, at), np.add.reduceat(logs, at)
+
+
+class Open:
+    """The last context of one length, which more of the stream may belong to; with the asked grams below it, if any."""
+
+    def __init__(self):
+        self.held: tuple | None = None
+
+    def closed(self, contexts, counts, children, asked=None):
+        """Of the contexts given, in order, and the one held before: all but the last, which is held in turn.  ``asked`` lists for each an array of rows."""
+        asked = asked or [None] * len(contexts)
+        if self.held is not None:
+            context, count, child, rows = self.held
+            if context == contexts[0]:
+                counts[0] += count
+                children[0] += child
+                asked[0] = rows if asked[0] is None else asked[0] if rows is None else np.concatenate((rows, asked[0]))
+            else:
+                contexts, counts, children = np.concatenate(([context], contexts)), np.vstack((count[None], counts)), np.vstack((child[None], children))
+                asked = [rows, *asked]
+        self.held = contexts[-1], counts[-1].copy(), children[-1].copy(), asked[-1]
+        return contexts[:-1], counts[:-1], children[:-1], asked[:-1]
+
+    def rest(self):
+        """The context held, as arrays of one row; none is held any more."""
+        if self.held is None:
+            return None
+        context, count, child, rows = self.held
+        self.held = None
+        return np.array([context]), count[None], child[None], [rows]
+
+
+def leaves(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole contexts of sorted grams, their byte counts, and the row of each gram."""
+    context = gram >> 8
+    fresh = np.concatenate(([True], context[1:] != context[:-1]))
+    at, row = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    counts = np.zeros((len(at), 256), np.int64)
+    np.add.at(counts, (row, gram & 255), n)
+    return context[at], counts, row
+
+
+def grow(pieces):
+    """(contexts of three bytes, counts, children's logs) as they close, from pieces (gram, n) of a stream."""
+    open_ = {d: Open() for d in range(3, DEPTH - 1)}
+
+    def up(level, contexts, counts, children):
+        # closed contexts of ``level`` bytes go below the next shorter ones
+        if not len(contexts):
+            return
+        if level == 3:
+            yield contexts, counts, children
+            return
+        shorter, sums, logs = extended(contexts, counts, weighted(estimate(*decisions(counts)), children))
+        yield from up(level - 1, *open_[level - 1].closed(shorter, sums, logs)[:3])
+
+    for gram, n in pieces:
+        contexts, counts, _ = leaves(gram, n)
+        contexts, counts, children = extended(contexts, counts, estimate(*decisions(counts)))
+        yield from up(DEPTH - 1, contexts, counts, children)
+    for d in range(DEPTH - 2, 2, -1):
+        if (rest := open_[d].rest()) is not None:
+            yield from up(d, *rest[:3])
+
+
+#: Node of each of the eight decisions of a byte among its decomposition's 255, and the decisions.
+_BYTES = np.arange(256)[:, None]
+PATH, BITS = (1 << np.arange(8)) - 1 + (_BYTES >> (8 - np.arange(8))), (_BYTES >> (7 - np.arange(8)) & 1).astype(bool)
+
+#: An asked gram on its way up: the probability of a one at each node of its byte's path, from the contexts read so far.
+ASKED = np.dtype([("gram", np.int64), ("one", np.float64, 8)])
+
+
+def mixed(counts: np.ndarray, children: np.ndarray | None, row: np.ndarray, asked: np.ndarray) -> None:
+    """Mix the estimates of each asked gram's context (its ``row`` of counts) into what deeper ones gave; whole contexts (no children's logs) stand alone."""
+    zeros, ones = decisions(counts)
+    row, path = row[:, None], PATH[asked["gram"] & 255]
+    own = next_one(zeros, ones)[row, path]
+    if children is None:
+        asked["one"] = own
+        return
+    stop = stopping(estimate(zeros, ones), children)[row, path]
+    asked["one"] = stop * own + (1 - stop) * asked["one"]
+
+
+def by_context(asked: np.ndarray, contexts: np.ndarray, length: int) -> list[np.ndarray | None]:
+    """The asked grams, which are sorted, of each of the contexts of so many bytes."""
+    own = asked["gram"] >> 8 * (DEPTH - length + 1)
+    first, last = np.searchsorted(own, contexts, "left").tolist(), np.searchsorted(own, contexts, "right").tolist()
+    return [asked[a:b] if b > a else None for a, b in zip(first, last, strict=True)]
+
+
+def read(pieces, given_of):
+    """(gram, log10 probability of its byte) arrays of the asked grams of a stream of pieces (gram, n, asked).
+
+    ``given_of(contexts)`` has base and open weight at the 255 nodes for contexts of three bytes: a deeper estimate p enters as base + open * p."""
+    open_ = {d: Open() for d in range(4, DEPTH - 1)}
+
+    def out(asked):
+        base, weight = given_of(asked["gram"] >> 8 * (DEPTH - 2))
+        path = PATH[asked["gram"] & 255]
+        at = np.arange(len(asked))[:, None]
+        one = base[at, path] + weight[at, path] * asked["one"]
+        return asked["gram"], np.log10(np.where(BITS[asked["gram"] & 255], one, 1 - one)).sum(1)
+
+    def up(level, contexts, counts, children, asked):
+        if not len(contexts):
+            return
+        rows = [(i, a) for i, a in enumerate(asked) if a is not None]
+        whole = np.concatenate([a for _, a in rows]) if rows else np.zeros(0, ASKED)
+        if len(whole):
+            mixed(counts, children, np.repeat([i for i, _ in rows], [len(a) for _, a in rows]), whole)
+        if level == 4:
+            if len(whole):
+                yield out(whole)
+            return
+        shorter, sums, logs = extended(contexts, counts, weighted(estimate(*decisions(counts)), children))
+        yield from up(level - 1, *open_[level - 1].closed(shorter, sums, logs, by_context(whole, shorter, level - 1)))
+
+    for gram, n, is_asked in pieces:
+        contexts, counts, row = leaves(gram, n)
+        asked = np.zeros(int(is_asked.sum()), ASKED)
+        asked["gram"] = gram[is_asked]
+        mixed(counts, None, row[is_asked], asked)
+        contexts, counts, children = extended(contexts, counts, estimate(*decisions(counts)))
+        yield from up(DEPTH - 1, contexts, counts, children, by_context(asked, contexts, DEPTH - 1))
+    for d in range(DEPTH - 2, 3, -1):
+        if (rest := open_[d].rest()) is not None:
+            yield from up(d, *rest)
+
+
+def whole_groups(batches, heads=None):
+    """Tables of GRAMS rows and some in which every context of DEPTH - 1 bytes of the sorted column ``gram`` is complete; rows of negative grams go to ``heads`` instead."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in few_rows(batches, GRAMS):
+        if heads is not None:
+            head = batch.column("gram").to_numpy() < 0
+            if head.any():
+                heads(batch.filter(pa.array(head)))
+                batch = batch.filter(pa.array(~head))
+        if not batch.num_rows:
+            continue
         held.append(batch)
         size += batch.num_rows
         if size >= GRAMS:
             table = pa.Table.from_batches(held)
-            values = table[key].to_numpy()
-            if cut := int(np.searchsorted(values, values[-1])):
+            context = table["gram"].to_numpy() >> 16
+            if cut := int(np.searchsorted(context, context[-1])):
                 yield table.slice(0, cut)
                 held, size = table.slice(cut).combine_chunks().to_batches(), size - cut
     if size:
@@ -235,9 +334,8 @@ def grown(counts: DataFrame) -> Trees:
     rows = counts.select("gram", "n", F.shiftright("gram", 8 * (DEPTH - 2)).alias("three"))
 
     def up(batches):
-        for table in whole_groups(batches, "three"):
-            t = Levels(table["gram"].to_numpy(), table["n"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(t.contexts), list_column(t.counts[3]), list_column(t.children[3])], ["three", "counts", "children"])
+        for contexts, counts, children in grow((t["gram"].to_numpy(), t["n"].to_numpy()) for t in whole_groups(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(contexts), list_column(counts), list_column(children)], ["three", "counts", "children"])
 
     threes = rows.repartition("three").sortWithinPartitions("three", "gram").mapInArrow(up, "three long, counts array<long>, children array<double>")
     threes = written(threes.withColumn("two", F.col("three").bitwiseAND(65535).cast("int")), "ctw-threes")
@@ -294,13 +392,22 @@ def gram_logs(trees: Trees, asked: DataFrame) -> DataFrame:
     both = rows.withColumn("given", F.lit(None).cast("binary")).unionByName(given.select("three", F.lit(-1).cast("long").alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("asked"), "given"))
 
     def down(batches):
-        for table in whole_groups(batches, "three"):
-            gram, n, asked = (table[c].to_numpy() for c in ("gram", "n", "asked"))
-            heads = gram < 0
-            given = np.frombuffer(b"".join(table["given"].filter(pa.array(heads)).to_pylist()), np.float32).reshape(-1, 510).astype(float)
-            gram, asked = gram[~heads], asked[~heads].astype(bool)
-            logs = Levels(gram, n[~heads]).logs(given[:, :255], given[:, 255:])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[asked]), pa.array(logs[asked])], ["gram", "log"])
+        given: dict[int, np.ndarray] = {}
+
+        def heads(batch):
+            for three, row in zip(batch.column("three").to_pylist(), batch.column("given").to_pylist(), strict=True):
+                given[three] = np.frombuffer(row, np.float32).astype(float)
+
+        def given_of(threes):
+            found, at = np.unique(threes, return_inverse=True)
+            # contexts close in order: what is given for those before is needed no more
+            for three in [x for x in given if x < found[0]]:
+                del given[three]
+            rows = np.stack([given[x] for x in found.tolist()])[at]
+            return rows[:, :255], rows[:, 255:]
+
+        for gram, logs in read(((t["gram"].to_numpy(), t["n"].to_numpy(), t["asked"].to_numpy().astype(bool)) for t in whole_groups(batches, heads)), given_of):
+            yield from pa.Table.from_arrays([pa.array(gram), pa.array(logs)], ["gram", "log"]).to_batches(max_chunksize=1 << 16)
 
     return written(both.repartition("three").sortWithinPartitions("three", "gram").mapInArrow(down, "gram long, log double"), "ctw-logs")
 
@@ -386,8 +493,10 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     Learned from the rows outside the held-out fold.  ``base_score`` is the log10
     probability of the words and an end under smoothed word counts, ``score`` that
     of the bytes and an end under the weighted trees.  A null text counts as
-    empty: one token, the end.  Repeated rows each give a row; without training
-    rows every decision is even.  Extra columns are ignored."""
+    empty: one token, the end.  Texts of any length are read whole.  Repeated rows,
+    and rows of null ids (which count as the id text ``null`` for the fold), each
+    give a row; without training rows every decision is even.  An empty table gives
+    an empty result; extra columns are ignored."""
     spark = docs.sparkSession
     counts = count(docs.where(remainder(held_out) != 0))
     words = counts.where("word IS NOT NULL").select("word", "n")
