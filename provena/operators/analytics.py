@@ -81,9 +81,14 @@ def in_window(events: DataFrame, now: Column, seconds: int, amount: str | None =
     return recent.groupBy("identifier", "kind").agg(F.count("*").alias("n"), size.alias("amount"))
 
 
+def _micros(seconds: Column) -> Column:
+    """Seconds, whole or not, as whole microseconds: a range over them leaves out nothing but its far end."""
+    return F.round(seconds.cast("double") * 1_000_000).cast("long")
+
+
 def sliding_counts(events: DataFrame, seconds: int) -> DataFrame:
     """``events`` with how many of the same identifier lie within the last ``seconds``, itself included, the far end excluded."""
-    span = Window.partitionBy("identifier").orderBy("occurred_at").rangeBetween(-(seconds - 1), 0)
+    span = Window.partitionBy("identifier").orderBy(_micros(F.col("occurred_at"))).rangeBetween(1 - seconds * 1_000_000, 0)
     return events.withColumn("recent", F.count("*").over(span))
 
 
@@ -98,7 +103,8 @@ def increase(samples: DataFrame, seconds: int) -> DataFrame:
     order = Window.partitionBy("metric").orderBy("t")
     step = F.col("value") - F.lag("value").over(order)
     grown = samples.withColumn("step", F.coalesce(F.when(step < 0, F.col("value")).otherwise(step), F.lit(0.0)))
-    return grown.withColumn("increase", F.sum("step").over(order.rangeBetween(-(seconds - 1), 0)))
+    last = Window.partitionBy("metric").orderBy(_micros(F.col("t"))).rangeBetween(1 - seconds * 1_000_000, 0)
+    return grown.withColumn("increase", F.sum("step").over(last))
 
 
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:

@@ -31,14 +31,18 @@ def postings(passages: DataFrame) -> DataFrame:
 
 
 def candidates(passages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, library, chunk): passages of a query's library with a word that starts with one of its tokens.
+    """(query_id, library, chunk): passages of a query's library with a word that starts with one of its tokens; of a query without tokens of three characters, those that hold its phrase.
 
     Tokens of three characters and more are looked up in the postings by their
-    first three characters, an equi-join; the whole prefix is then compared."""
+    first three characters, an equi-join; the whole prefix is then compared.  A
+    passage that holds a phrase with such a token holds the token, so only queries
+    without any look for the phrase itself."""
     asked = queries.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token")).where(F.length("token") >= 3)
     asked = asked.withColumn("key", F.substring("token", 1, 3))
     met = postings(passages).join(asked, ["library", "key"]).where(F.startswith("word", "token"))
-    return met.select("query_id", "library", "chunk").distinct()
+    spelled = queries.where(~F.exists("tokens", lambda t: F.length(t) >= 3) & (F.col("phrase") != "")).select("query_id", "library", "phrase")
+    holding = passages.join(spelled, "library").where(F.contains(F.lower(F.concat_ws(" ", "filename", "text")), "phrase"))
+    return met.select("query_id", "library", "chunk").distinct().unionByName(holding.select("query_id", "library", "chunk").distinct())
 
 
 def scanned(passages: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
@@ -76,11 +80,12 @@ def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity:
     asked = prepared(queries)
     found = candidates(passages, asked).select("query_id", "chunk")
     if similarity is not None:
-        found = found.unionByName(similarity.where(F.col("cosine") >= LEAST_COSINE).select("query_id", "chunk")).distinct()
+        close = similarity.where(F.col("cosine") >= LEAST_COSINE).join(queries.select("query_id", "library"), "query_id").join(passages.select("library", "chunk"), ["library", "chunk"])
+        found = found.unionByName(close.select("query_id", "chunk")).distinct()
     seen = scanned(passages, asked, found)
-    # a query has few tokens, so its weights are one small row
+    # a query has few tokens, so its weights are one small row; one of stopwords alone has none
     weights = document_frequency(seen).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
-    scored = seen.join(weights, "query_id")
+    scored = seen.join(weights, "query_id", "left")
     if similarity is not None:
         scored = scored.join(similarity.select("query_id", "chunk", "cosine"), ["query_id", "chunk"], "left")
     else:

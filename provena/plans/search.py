@@ -25,12 +25,12 @@ def tokens_sql(text: str) -> str:
 ONE = "hand reon thing heed tionher ering the onthan"
 
 
-def search_sql(asked: str, source: str = PASSAGES_SQL, limit: int = 20) -> str:
-    """CTEs up to ``ranked`` (query_id, library, chunk, score, rank) for queries (query_id, library, query)."""
+def search_sql(asked: str, source: str = PASSAGES_SQL, limit: int = 20, more: str = "") -> str:
+    """CTEs up to ``ranked`` (query_id, library, chunk, score, rank) for queries (query_id, library, query); ``more`` adds candidates (query_id, chunk)."""
     return f"""p AS (SELECT *, lower(filename || ' ' || text) AS hay, list_distinct(regexp_extract_all(lower(filename || ' ' || text), '{W3}')) AS words FROM ({source})),
 asked AS (SELECT *, lower(trim(query)) AS phrase, {tokens_sql('query')} AS tokens FROM ({asked})),
 opened AS (SELECT query_id, library, unnest(list_distinct(tokens)) AS token FROM asked),
-cand AS (SELECT DISTINCT query_id, chunk FROM opened JOIN p USING (library) WHERE length(token) >= 3 AND len(list_filter(words, lambda w: starts_with(w, token))) > 0),
+cand AS (SELECT DISTINCT query_id, chunk FROM opened JOIN p USING (library) WHERE length(token) >= 3 AND len(list_filter(words, lambda w: starts_with(w, token))) > 0 {more}),
 loaded AS (SELECT c.query_id, p.*, a.phrase, a.tokens FROM cand c JOIN p USING (chunk) JOIN asked a USING (query_id)),
 df AS (SELECT query_id, token, count(*) AS n, count(*) FILTER (contains(hay, token)) AS df FROM (SELECT query_id, hay, unnest(list_distinct(tokens)) AS token FROM loaded) GROUP BY ALL),
 w AS (SELECT query_id, token, CASE WHEN df <= 0 THEN 0.0 WHEN n <= 1 THEN 1.0 ELSE ln(1 + n / df) / ln(1 + n) END AS weight FROM df),
@@ -132,10 +132,10 @@ def tokenize_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct_n"))
 
 
-@query("stem_counts", f"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{W3}')) AS w FROM documents) SELECT {STEM} AS stem, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 20")
+@query("stem_counts", f"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{W3}')) AS w FROM documents) SELECT {STEM} AS stem, count(*) AS n FROM w GROUP BY ALL")
 def stem_counts(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"), 3)).alias("w"))
-    return w.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n")).where("n >= 20")
+    return w.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
 
 
 @query("stopword_filter", f"SELECT item_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM benchmark")
@@ -180,19 +180,31 @@ def vector_cosine_topk(spark, sf_dir):
     return search.cosine_top(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "vec_id", "cosine")
 
 
-@query("hybrid_score", f"""WITH {search_sql(ONE_SQL, limit=1000)}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-s AS (SELECT chunk, score + 40 * greatest(0, coalesce(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6), 0)) AS score FROM scored LEFT JOIN embeddings ON chunk = vec_id, q)
+CLOSE_SQL = """close AS (SELECT r.vec_id AS chunk, round(list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine
+  FROM embeddings r, embeddings q WHERE q.vec_id = 0 QUALIFY row_number() OVER (ORDER BY cosine DESC, r.vec_id) <= 1000)"""
+
+
+@query("hybrid_score", f"""WITH {CLOSE_SQL}, {search_sql(ONE_SQL, more="UNION SELECT 1, chunk FROM close JOIN p USING (chunk) WHERE cosine >= 0.35 AND library = 'src3'")},
+s AS (SELECT l.chunk, 100 * CAST(contains(hay, phrase) AS INT) + 10 * lexical + 40 * greatest(0, coalesce(cosine, 0)) AS score
+  FROM loaded l JOIN lex USING (query_id, chunk) LEFT JOIN close ON close.chunk = l.chunk WHERE contains(hay, phrase) OR lexical > 0 OR cosine >= 0.35)
 SELECT chunk, round(score, 4) AS score FROM s QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, chunk) <= 20""")
 def hybrid_score(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    close = v.join(F.broadcast(q)).select(F.lit(1).alias("query_id"), F.col("vec_id").alias("chunk"), F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
-    # the oracle ranks lexical candidates only, so passages are admitted by their words here
-    p = passages(spark, sf_dir)
-    asked = search.prepared(_one(spark))
-    lexical = search.candidates(p, asked).select("query_id", "chunk")
-    found = search.search(p.join(lexical.select("chunk"), "chunk", "left_semi"), _one(spark), 50, close.join(lexical, ["query_id", "chunk"], "left_semi"))
-    return found.where("rank <= 20").select("chunk", F.round("score", 4).alias("score"))
+    near = search.cosine_top(v, v.where("vec_id = 0").select(F.lit(1).alias("query_id"), F.col("embedding").alias("q")), 1000)
+    found = search.search(passages(spark, sf_dir), _one(spark), 20, near.select("query_id", F.col("vec_id").alias("chunk"), "cosine"))
+    return found.select("chunk", F.round("score", 4).alias("score"))
+
+
+SHORT_SQL = "SELECT item_id AS query_id, 'src' || (item_id % 20) AS library, CASE item_id % 3 WHEN 0 THEN 'of the' WHEN 1 THEN 'is' ELSE 'to be' END AS query FROM benchmark"
+
+
+@query("search_stopwords", f"""WITH a AS (SELECT query_id, library, lower(query) AS phrase FROM ({SHORT_SQL})), p AS (SELECT *, lower(filename || ' ' || text) AS hay FROM ({PASSAGES_SQL}))
+SELECT query_id, chunk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk) AS INT) AS rank FROM a JOIN p USING (library) WHERE contains(hay, phrase) AND phrase <> 'to be' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk) <= 5""")
+def search_stopwords(spark, sf_dir):
+    """Questions of stopwords alone find the passages that spell them."""
+    text = F.when(F.col("query_id") % 3 == 0, "of the").when(F.col("query_id") % 3 == 1, "is").otherwise("to be")
+    asked = batch(spark, sf_dir).withColumn("query", text).where("query <> 'to be'")
+    return search.search(passages(spark, sf_dir), asked, 5).select("query_id", "chunk", "rank")
 
 
 @query("cache_keys", r"SELECT item_id, left(sha256('lib:u1:' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'))), 32) AS key FROM benchmark")

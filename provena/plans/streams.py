@@ -23,12 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="provena-")
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a stream over files that are there already, by way of the driver: for aggregates only."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def drained(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key's row of an aggregating stream over files that are there already.
+
+    Each micro-batch writes the rows that it changed to the shared folder, so the
+    driver holds none, and the stream drops its state behind the watermark."""
+    folder = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{folder}/rows")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, *[f"last.{c}" for c in others])
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +53,12 @@ WINDOW = "SELECT {0} AS w_start, {0} + INTERVAL 1 HOUR AS w_end, event_type, cou
 
 @query("stream_tumbling", WINDOW.format("time_bucket(INTERVAL 1 HOUR, ts)", "events"))
 def stream_tumbling(spark, sf_dir):
-    return _plain(drained(spark, windows.tumbling(event_stream(spark, sf_dir)), "complete"))
+    return _plain(drained(spark, windows.tumbling(event_stream(spark, sf_dir)), ["w_start", "w_end", "event_type"]))
 
 
 @query("stream_sliding", WINDOW.format("time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(CAST(k * 15 AS INT))", "(SELECT *, unnest(range(4)) AS k FROM events)"))
 def stream_sliding(spark, sf_dir):
-    return _plain(drained(spark, windows.sliding(event_stream(spark, sf_dir)), "complete"))
+    return _plain(drained(spark, windows.sliding(event_stream(spark, sf_dir)), ["w_start", "w_end", "event_type"]))
 
 
 @query("stream_session", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
