@@ -26,6 +26,22 @@ def summary(queries: DataFrame, feedback: DataFrame) -> DataFrame:
     return asked.join(rated, "one").drop("one")
 
 
+def in_libraries(queries: DataFrame, feedback: DataFrame, libraries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The questions asked in ``libraries`` (library), those a user may see, and the feedback on them."""
+    own = queries.join(libraries.select("library").distinct(), "library", "left_semi")
+    return own, feedback.join(own.select(F.col("event_id").alias("target_event_id")), "target_event_id", "left_semi")
+
+
+def latency(queries: DataFrame) -> DataFrame:
+    """Median and greatest latency by library, in milliseconds to one place."""
+    return queries.groupBy("library").agg(F.round(F.median("latency_ms"), 1).alias("median_ms"), F.round(F.max("latency_ms"), 1).alias("worst_ms"))
+
+
+def newest_jobs(jobs: DataFrame, limit: int = 20) -> DataFrame:
+    """The jobs made last, 1 to 100 of them."""
+    return jobs.orderBy(F.desc("job_id")).limit(min(max(limit, 1), 100))
+
+
 def by_coverage(queries: DataFrame) -> DataFrame:
     return queries.groupBy(F.coalesce("coverage", F.lit("supported")).alias("coverage")).agg(F.count("*").alias("n"))
 
@@ -107,6 +123,12 @@ def increase(samples: DataFrame, seconds: int) -> DataFrame:
     return grown.withColumn("increase", F.sum("step").over(last))
 
 
+def rate(samples: DataFrame, seconds: int, least: float = 0.0) -> DataFrame:
+    """(t, rate): what all counters together gain a second over the last ``seconds``, never below ``least``."""
+    total = increase(samples, seconds).groupBy("t").agg(F.sum("increase").alias("all"))
+    return total.select("t", F.greatest(F.col("all") / seconds, F.lit(least)).alias("rate"))
+
+
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     """Quantile of each metric by interpolation in cumulative buckets (metric, le, n); the last, unbounded bucket gives its lower edge."""
     order = Window.partitionBy("metric").orderBy("le")

@@ -30,16 +30,16 @@ def postings(passages: DataFrame) -> DataFrame:
     return passages.select("library", "chunk", F.explode(words).alias("word")).withColumn("key", F.substring("word", 1, 3))
 
 
-def candidates(passages: DataFrame, queries: DataFrame) -> DataFrame:
+def candidates(passages: DataFrame, queries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(query_id, library, chunk): passages of a query's library with a word that starts with one of its tokens; of a query without tokens of three characters, those that hold its phrase.
 
     Tokens of three characters and more are looked up in the postings by their
     first three characters, an equi-join; the whole prefix is then compared.  A
     passage that holds a phrase with such a token holds the token, so only queries
-    without any look for the phrase itself."""
+    without any look for the phrase itself.  ``stored`` are the postings of an index."""
     asked = queries.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token")).where(F.length("token") >= 3)
     asked = asked.withColumn("key", F.substring("token", 1, 3))
-    met = postings(passages).join(asked, ["library", "key"]).where(F.startswith("word", "token"))
+    met = (postings(passages) if stored is None else stored).join(asked, ["library", "key"]).where(F.startswith("word", "token"))
     spelled = queries.where(~F.exists("tokens", lambda t: F.length(t) >= 3) & (F.col("phrase") != "")).select("query_id", "library", "phrase")
     holding = passages.join(spelled, "library").where(F.contains(F.lower(F.concat_ws(" ", "filename", "text")), "phrase"))
     return met.select("query_id", "library", "chunk").distinct().unionByName(holding.select("query_id", "library", "chunk").distinct())
@@ -71,14 +71,14 @@ def document_frequency(seen: DataFrame) -> DataFrame:
     return df.withColumn("weight", weight)
 
 
-def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None) -> DataFrame:
+def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(query_id, library, chunk, document, filename, text, score, rank): the ``limit`` best passages of each query in its library.
 
     ``similarity`` (query_id, chunk, cosine) admits passages by meaning too.  A
     passage stays if it holds the phrase or a token, or is similar enough.  Ties go
     to the smaller ordinal, then chunk."""
     asked = prepared(queries)
-    found = candidates(passages, asked).select("query_id", "chunk")
+    found = candidates(passages, asked, stored).select("query_id", "chunk")
     if similarity is not None:
         close = similarity.where(F.col("cosine") >= LEAST_COSINE).join(queries.select("query_id", "library"), "query_id").join(passages.select("library", "chunk"), ["library", "chunk"])
         found = found.unionByName(close.select("query_id", "chunk")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import guard, pii
 from provena.functions import text as T
-from provena.operators import diff, evaluation, evidence, search, studio
+from provena.operators import conversations, diff, evaluation, evidence, search, studio
 from provena.plans.adapters import passages, table
 from provena.plans.registry import query
 from provena.plans.search import BATCH_SQL, batch, search_sql
@@ -141,20 +141,34 @@ def file_threats(spark, sf_dir):
     return files.scan(p).select(F.split_part("name", F.lit("."), F.lit(1)).cast("long").alias("page_id"), "threat")
 
 
-@query("conversation_search", "SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'the')")
+def talks(spark, sf_dir):
+    """(headers, messages): conversations of five users in three libraries; a title is the first 40 characters, and those of u4 have every second message only."""
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "conversation_id")
+    heads = c.groupBy("conversation_id").agg(F.min_by(F.substring("text", 1, 40), "turn").alias("title"), F.max("turn").alias("updated_at"))
+    user, library = (F.concat(F.lit(x), (F.col("conversation_id") % k).cast("string")) for x, k in (("u", 5), ("lib", 3)))
+    return heads.withColumns({"username": user, "library": library}), c.where("conversation_id % 5 <> 4 OR turn % 2 = 0")
+
+
+TALKS = """h AS (SELECT conv_id AS conversation_id, arg_min(left(text, 40), turn) AS title, max(turn) AS updated_at, 'u' || (conv_id % 5) AS username, 'lib' || (conv_id % 3) AS library FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id AS conversation_id, turn, role, text FROM conversations WHERE conv_id % 5 <> 4 OR turn % 2 = 0)"""
+
+
+@query("conversation_search", f"""WITH {TALKS} SELECT DISTINCT h.conversation_id, title, updated_at FROM h LEFT JOIN m USING (conversation_id)
+WHERE username = 'u4' AND (contains(lower(title), 'the') OR contains(lower(text), 'the')) ORDER BY updated_at DESC, conversation_id LIMIT 50""")
 def conversation_search(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(F.contains(F.lower("text"), F.lit("the"))).select("conv_id").distinct()
+    return conversations.search(*talks(spark, sf_dir), "u4", " THE ").select("conversation_id", "title", "updated_at")
 
 
 @query("conversation_last3", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def conversation_last3(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf_dir, "conversations").withColumn("n", n).where("n <= 3").select("conv_id", "turn", "role")
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "conversation_id")
+    return conversations.last_turns(c).select(F.col("conversation_id").alias("conv_id"), "turn", "role")
 
 
-@query("conversation_list", "SELECT conv_id, count(*) AS n, arg_min(left(text, 40), turn) AS title FROM conversations GROUP BY conv_id")
+@query("conversation_list", f"""WITH {TALKS}, n AS (SELECT conversation_id, count(*) AS n FROM m GROUP BY ALL)
+SELECT conversation_id, title, coalesce(n, 0) AS n FROM h LEFT JOIN n USING (conversation_id) WHERE username = 'u1' AND library = 'lib2' ORDER BY updated_at DESC, conversation_id LIMIT 50""")
 def conversation_list(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 40), "turn").alias("title"))
+    return conversations.listing(*talks(spark, sf_dir), "u1", "lib2").select("conversation_id", "title", "n")
 
 
 @query("round_robin_passages", "SELECT conv_id AS document, turn AS ordinal, left(text, 700) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) ORDER BY k, conv_id LIMIT 24")

@@ -84,6 +84,25 @@ def analytics_overview(spark, sf_dir):
     return analytics.summary(query_events(spark, sf_dir), feedback_events(spark, sf_dir))
 
 
+@query("analytics_visible", f"""WITH {EVENTS_SQL}, seen AS (SELECT * FROM q WHERE library IN ('lib1', 'lib2', 'lib5')), own AS (SELECT * FROM fb WHERE target_event_id IN (SELECT event_id FROM seen))
+SELECT (SELECT count(*) FROM seen) AS total_queries, (SELECT round(avg(coalesce(latency_ms, 0)), 2) FROM seen) AS avg_latency_ms,
+  (SELECT count(*) FROM seen WHERE coverage = 'insufficient_evidence' OR result_count = 0) AS gaps, (SELECT count(*) FROM own) AS total_feedback,
+  (SELECT round(count(*) FILTER (rating > 0) / nullif(count(*), 0) * 100, 1) FROM own) AS positive_rate""")
+def analytics_visible(spark, sf_dir):
+    seen = spark.createDataFrame([(x,) for x in ("lib1", "lib2", "lib5", "lib1")], "library string")
+    return analytics.summary(*analytics.in_libraries(query_events(spark, sf_dir), feedback_events(spark, sf_dir), seen))
+
+
+@query("latency_by_library", f"WITH {EVENTS_SQL} SELECT library, round(median(latency_ms), 1) AS median_ms, round(max(latency_ms), 1) AS worst_ms FROM q GROUP BY library")
+def latency_by_library(spark, sf_dir):
+    return analytics.latency(query_events(spark, sf_dir))
+
+
+@query("newest_jobs", f"WITH j AS ({JOBS_SQL}) SELECT job_id, status FROM j ORDER BY job_id DESC LIMIT 100")
+def newest_jobs(spark, sf_dir):
+    return analytics.newest_jobs(jobs(spark, sf_dir), 1000).select("job_id", "status")
+
+
 @query("analytics_by_coverage", f"WITH {EVENTS_SQL} SELECT coverage, count(*) AS n FROM q GROUP BY ALL")
 def analytics_by_coverage(spark, sf_dir):
     return analytics.by_coverage(query_events(spark, sf_dir))
@@ -179,6 +198,16 @@ def counter_increase(spark, sf_dir):
     return analytics.increase(s, 14400).select("metric", "t", F.col("increase").cast("double").alias("increase"))
 
 
+@query("counter_rate", f"""WITH s AS ({COUNTER}), d AS (SELECT *, value - lag(value) OVER (PARTITION BY metric ORDER BY t) AS step FROM s),
+g AS (SELECT *, coalesce(CASE WHEN step < 0 THEN value ELSE step END, 0) AS grown FROM d),
+i AS (SELECT t, sum(grown) OVER (PARTITION BY metric ORDER BY t RANGE BETWEEN 14399 PRECEDING AND CURRENT ROW) AS gain FROM g)
+SELECT t, round(greatest(sum(gain) / 14400, 0.0005), 9) AS rate FROM i GROUP BY t""")
+def counter_rate(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    s = e.groupBy(F.col("event_type").alias("metric"), (F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("t")).agg((F.count("*") % 7).alias("value"))
+    return analytics.rate(s, 14400, 0.0005).select("t", F.round("rate", 9).alias("rate"))
+
+
 @query("latency_quantiles", """WITH le AS (SELECT unnest([10, 25, 50, 75, 100, 200]::DOUBLE[]) AS le), b AS (SELECT event_type AS metric, le, count(*) FILTER (value <= le) AS n FROM events, le GROUP BY ALL),
 w AS (SELECT *, coalesce(lag(n) OVER o, 0) AS before, coalesce(lag(le) OVER o, 0) AS low, max(n) OVER (PARTITION BY metric) AS total FROM b WINDOW o AS (PARTITION BY metric ORDER BY le))
 SELECT metric, round(low + (le - low) * (0.95 * total - before) / (n - before), 6) AS quantile FROM w WHERE n >= 0.95 * total AND before < 0.95 * total""")

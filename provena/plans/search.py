@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provena.functions import text as T
-from provena.operators import dedup, search
+from provena.operators import dedup, index, search
 from provena.plans.adapters import ACL_SQL, PASSAGES_SQL, acl, passages, table
 from provena.plans.registry import query
+from provena.session import shared_folder
+from provena.sources import units
 
 W3, W2, W1 = (r"[\p{L}\p{N}_×÷]{%d,}" % n for n in (3, 2, 1))
 STOP = ", ".join(f"'{w}'" for w in T.QUERY_STOPWORDS)
@@ -65,6 +69,37 @@ def search_batch_queries(spark, sf_dir):
     return found.select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
+@query("index_build", f"""WITH p AS (SELECT library, chunk, unnest(list_distinct(regexp_extract_all(lower(filename || ' ' || text), '{W3}'))) AS word FROM ({PASSAGES_SQL}))
+SELECT library, count(*) AS postings, count(DISTINCT word) AS words, count(DISTINCT chunk) AS passages FROM p GROUP BY library""")
+def index_build(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.build(passages(spark, sf_dir), folder)
+    return index.opened(spark, folder)[1].groupBy("library").agg(F.count("*").alias("postings"), F.countDistinct("word").alias("words"), F.countDistinct("chunk").alias("passages"))
+
+
+_built: dict[str, str] = {}
+
+
+@query("search_indexed", f"WITH {search_sql(BATCH_SQL, limit=5)} SELECT query_id, chunk, round(score, 6) AS score, rank FROM ranked")
+def search_indexed(spark, sf_dir):
+    """search_batch_queries over a stored index, which the first call of an application over a folder builds."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if key not in _built:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.build(passages(spark, sf_dir), folder)
+        _built[key] = folder
+    return index.lookup(spark, _built[key], batch(spark, sf_dir), 5).select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
+
+
+@query("search_chunks")
+def search_chunks(spark, sf_dir):
+    """Files to units to chunks to search: each document a text file, its chunks the passages."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("text").cast("binary").alias("content"))
+    parts = units.chunked(units.units(d).where("error IS NULL"), ["path", "ordinal"])
+    p = parts.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("library"), F.split_part("path", F.lit("/"), F.lit(2)).alias("filename"), F.col("path").alias("document"), "text", F.col("ordinal"), F.concat_ws("#", "path", F.col("ordinal").cast("string"), F.col("chunk").cast("string")).alias("chunk"))
+    return search.search(p, batch(spark, sf_dir), 5).select("query_id", "document", "chunk", F.round("score", 6).alias("score"), "rank")
+
+
 @query("search_idf_weights", f"WITH {search_sql(BATCH_SQL)} SELECT query_id, token, df, round(weight, 6) AS weight FROM w JOIN df USING (query_id, token)")
 def search_idf_weights(spark, sf_dir):
     asked = search.prepared(batch(spark, sf_dir))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +9,10 @@ from pyspark.sql import functions as F
 
 from provena.plans.adapters import table
 from provena.plans.registry import query
+from provena.session import shared_folder
 from provena.streaming import state, windows
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).  Only a local master may lack it; it then gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="provena-")
-
-
 def drained(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of each key's row of an aggregating stream over files that are there already.
 
