@@ -329,7 +329,10 @@ def audit_records(spark, sf_dir):
     return audit.chained(e.select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), detail.alias("detail")))
 
 
-@query("audit_hash_chain")
+@query("audit_hash_chain", """WITH RECURSIVE e AS (SELECT user_id AS chain, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, event_type, '{"value":' || round(value, 2) || '}' AS detail, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c AS (SELECT chain, CAST(0 AS BIGINT) AS k, repeat('0', 64) AS h FROM (SELECT DISTINCT chain FROM e)
+  UNION ALL SELECT e.chain, e.k, sha256(concat_ws('|', e.event_id, c.h, e.at, e.event_type, 'u' || e.chain, e.detail)) FROM c JOIN e ON e.chain = c.chain AND e.k = c.k + 1)
+SELECT chain, max(k) AS n, arg_max(h, k) AS head FROM c GROUP BY chain""")
 def audit_hash_chain(spark, sf_dir):
     return audit_records(spark, sf_dir).groupBy("chain").agg(F.count("*").alias("n"), F.max_by("entry_hash", "seq_id").alias("head"))
 

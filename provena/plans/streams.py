@@ -62,12 +62,27 @@ def _keyed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"), "event_type", F.col("value").alias("size_mb"))
 
 
-@query("stream_rate_limit")
+KEYED = "SELECT event_id, user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS secs, event_type, value AS size_mb FROM events"
+
+
+def folded_sql(events: str, columns: str, start: str, seen: str, step: str, given: str) -> str:
+    """The fold of each user's events in order as a recursive query: ``start`` is the state before the first, ``seen`` what an event sees of it, ``step`` the state after it (names as in ``start``), ``given`` the result's columns."""
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY secs, event_id) AS k FROM ({events})),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS k, {start} FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, k, {step} FROM (SELECT e.*, {seen} FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+SELECT {columns}, {given} FROM e JOIN f USING (user_id, k)"""
+
+
+def _rate_sql(columns: str) -> str:
+    return folded_sql(KEYED, columns, "CAST([] AS DOUBLE[]) AS times, false AS admitted", "list_filter(f.times, lambda x: x > e.secs - 43200) AS w", "CASE WHEN len(w) < 5 THEN list_append(w, secs) ELSE w END, len(w) < 5", "admitted, CAST(len(times) AS INT) AS recent")
+
+
+@query("stream_rate_limit", _rate_sql("event_id, user_id, secs AS \"at\", event_type, size_mb"))
 def stream_rate_limit(spark, sf_dir):
     return state.over_table(_keyed(spark, sf_dir), "user_id", ["at", "event_id"], state.rate_limit(5, 43200), "admitted boolean, recent int")
 
 
-@query("stream_rate_limit_live")
+@query("stream_rate_limit_live", _rate_sql("event_id, user_id, secs AS \"at\""))
 def stream_rate_limit_live(spark, sf_dir):
     e = event_stream(spark, sf_dir).select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"))
     output, folder = "admitted boolean, recent int", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -75,20 +90,32 @@ def stream_rate_limit_live(spark, sf_dir):
     return state.folded(e, output, folder)
 
 
-@query("login_lockout")
+@query("login_lockout", folded_sql(
+    f"SELECT *, event_type = 'view' AS ok FROM ({KEYED}) WHERE event_type IN ('error', 'view')", "event_id, user_id, secs AS \"at\", event_type, size_mb, ok", "CAST([] AS DOUBLE[]) AS times, false AS blocked",
+    "list_filter(f.times, lambda x: x > e.secs - 86400) AS w", "CASE WHEN len(w) >= 2 THEN w WHEN ok THEN [] ELSE list_append(w, secs) END, len(w) >= 2", "blocked, CAST(len(times) AS INT) AS failures",
+))
 def login_lockout(spark, sf_dir):
     e = _keyed(spark, sf_dir).where("event_type IN ('error', 'view')").withColumn("ok", F.col("event_type") == "view")
     return state.over_table(e, "user_id", ["at", "event_id"], state.lockout(2, 86400), "blocked boolean, failures int")
 
 
-@query("job_states")
+@query("job_states", folded_sql(
+    f"SELECT *, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'transient' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'permanent' ELSE 'reprocess' END AS kind FROM ({KEYED})",
+    "event_id, user_id, secs AS \"at\", event_type, size_mb, kind", "'queued' AS status, CAST(0 AS INT) AS attempts", "f.status AS was, f.attempts AS n",
+    """CASE WHEN kind = 'claim' AND was = 'queued' THEN 'processing' WHEN kind = 'success' AND was = 'processing' THEN 'ready' WHEN kind = 'transient' AND was = 'processing' THEN CASE WHEN n + 1 < 3 THEN 'queued' ELSE 'dead_letter' END
+    WHEN kind = 'permanent' AND was = 'processing' THEN 'dead_letter' WHEN kind = 'reprocess' AND was = 'dead_letter' THEN 'queued' ELSE was END,
+    CAST(CASE WHEN kind = 'transient' AND was = 'processing' AND n + 1 < 3 THEN n + 1 WHEN kind = 'reprocess' AND was = 'dead_letter' THEN 0 ELSE n END AS INT)""", "status, attempts",
+))
 def job_states(spark, sf_dir):
     kinds = F.create_map(*[x for k, v in (("view", "claim"), ("click", "transient"), ("purchase", "success"), ("error", "permanent"), ("signup", "reprocess")) for x in (F.lit(k), F.lit(v))])
     e = _keyed(spark, sf_dir).withColumn("kind", kinds[F.col("event_type")])
     return state.over_table(e, "user_id", ["at", "event_id"], state.job(3), "status string, attempts int")
 
 
-@query("session_expiry")
+@query("session_expiry", folded_sql(
+    f"SELECT *, CASE event_type WHEN 'signup' THEN 'open' ELSE 'use' END AS kind FROM ({KEYED})", "event_id, user_id, secs AS \"at\", event_type, size_mb, kind", "CAST(0 AS DOUBLE) AS until, false AS alive",
+    "e.kind = 'open' OR f.until > e.secs AS lives", "CASE WHEN lives THEN secs + 86400 ELSE 0 END, lives", "alive",
+))
 def session_expiry(spark, sf_dir):
     e = _keyed(spark, sf_dir).withColumn("kind", F.when(F.col("event_type") == "signup", "open").otherwise("use"))
     return state.over_table(e, "user_id", ["at", "event_id"], state.expiry(86400), "alive boolean")
