@@ -61,3 +61,38 @@ def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder[0]).count() == 0
+
+
+CLASHING = ["row", "kinds", "found", "score", "ids", "n_tokens", "hit", "num", "prints", "__row", "__found", "__quality", "__kinds", "__once", "key", "signature", "Path"]
+
+
+def test_stages_keep_every_column_and_take_any_row(spark, folder):
+    """Columns of any name, null texts and ids, empty texts, repeated rows, one very long text and many secrets in one."""
+    top, texts = folder
+    good = [t for i, t in texts.items() if i < 400 and i % 4][:6]
+    long = " ".join(f"{w}{i}" for i, w in enumerate((good[2] + " ") .split() * 900))
+    own = [(1, None), (None, good[0]), (2, ""), (3, good[1]), (3, good[1]), (4, None), (4, ""), (None, None), (5, long), (6, (good[3] + " token=abcdef123456abcdef ") * 60), (7, "é " + good[4])]
+    rows = [(i, t, "en", "s", len(t) if t is not None else 7, *[f"{c}{n}" for c in CLASHING]) for n, (i, t) in enumerate(own)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    mine = lambda r: tuple(r[c] for c in ("doc_id", *CLASHING))
+    every = {(i, *[f"{c}{n}" for c in CLASHING]) for n, (i, _) in enumerate(own)}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, top)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {mine(r) for r in got} <= every and len(got) == len({mine(r) for r in got}), name
+        if name == "quality classifier":
+            assert {r.row for r in got} >= {f"row{n}" for n in (1, 3, 4, 10)}
+        elif name == "n-gram Jaccard join":
+            # of the repeated rows one goes, all rows without words stay
+            assert len(got) == len(own) - 1 and {r.row for r in got} >= {f"row{n}" for n in (0, 1, 2, 5, 6, 7, 8, 9, 10)}
+        elif name == "benchmark decontamination":
+            assert len(got) == len(own)
+        else:
+            by = {r.row: r for r in got}
+            assert len(got) == len(own) and by["row0"].text is None and by["row0"].n_chars == 7 and by["row2"].text == ""
+            assert by["row9"].text == (good[3] + " [SECRET] ") * 60 and by["row9"].n_chars == len(by["row9"].text) and by["row8"].text == long
+    last = pipeline.STAGES[-1][1](spark, docs, top).collect()
+    assert sorted(str(r.doc_id) for r in last) == sorted(str(i) for i, _ in own)
+    assert all((r.n_tokens == 0) == (r.doc_id in (1, 2, 4) or (r.doc_id is None and not r.ids)) and r.n_tokens == len(r.ids) for r in last)

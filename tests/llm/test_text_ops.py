@@ -153,3 +153,61 @@ def test_substring_dedup_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(4, text), (4, text), (None, text), (4, "x " + text), (6, "y " + text)], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in debruijn.remove_repeats(docs).collect())
     assert got == [(False, 4, 80, 0), (False, 4, 80, 0), (False, 4, 81, 0), (False, 6, 81, 80), (True, 0, 80, 0)]
+
+
+def test_substring_dedup_of_branching_passages(spark):
+    """Passages that documents enter, leave, join and repeat at many places, among them loops of few words."""
+    draw = random.Random(17)
+    passages = [" ".join(f"p{k}w{draw.randrange(60)}" for _ in range(draw.randint(70, 260))).split() for k in range(6)]
+    passages.append("x y z x y".split() * 40)
+    passages.append(["same"] * 150)
+    texts = []
+    for i in range(160):
+        out = []
+        for _ in range(draw.randint(1, 4)):
+            p = draw.choice(passages)
+            a = draw.randrange(len(p) - 40)
+            out += p[a : a + draw.randint(20, 200)]
+            out += [f"own{i}.{j}" for j in range(draw.choice((0, 0, 1, 30)))]
+        texts.append(" ".join(out))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.remove_repeats(spark.createDataFrame(rows(texts), DOC)).collect()}
+    want = substrings(list(enumerate(texts)))
+    assert {i: x for i, x in got.items() if x != want[i]} == {}
+
+
+def test_windows_of_an_item_in_linear_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    tracemalloc.start()
+    assert len(winnow.meeting(np.zeros(20_000, np.int64), np.zeros(2_000, np.int64))) == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    draw = random.Random(1)
+    for _ in range(1500):
+        k = draw.choice([1, 2, 3, 5])
+        doc, item = [draw.randrange(-1, k) for _ in range(draw.randint(0, 60))], [draw.randrange(k) for _ in range(draw.randint(0, 25))]
+        monkeypatch.setattr(winnow, "PIECE", draw.choice([3, 1 << 18]))
+        width, want = min(10, len(item)), set()
+        for j in range(len(doc) - width + 1 if width else 0):
+            if any(doc[j : j + width] == item[i : i + width] for i in range(len(item) - width + 1)):
+                want |= set(range(j, j + width))
+        assert winnow.meeting(np.array(doc, np.int64), np.array(item, np.int64)).tolist() == sorted(want)
+
+
+def test_keys_tell_rows_apart(spark):
+    ids = [("1", ":x"), ("1:", "x"), ("null", "x"), (None, "x"), ("", "x"), ("-", "x"), ("1", "x"), (None, "")]
+    docs = spark.createDataFrame(ids, "doc_id string, text string")
+    assert docs.select(support.row_key().alias("k")).distinct().count() == len(ids)
+    same = spark.createDataFrame([("5", None), ("5", "")], "doc_id string, text string")
+    assert same.select(support.row_key().alias("k")).distinct().count() == 1
+
+
+def test_shingles_are_numbered_by_words():
+    texts = ["a b c d e f", "A b c d e", "b c d e f a", "", "a b", "A B", "ab", "a b c d e f a b c d e f " * 3]
+    sets = chosen_path.Spelled().sets([t.encode() for t in texts])
+    want = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(set(sets[i]) & set(sets[j])) == len(want[i] & want[j])
