@@ -104,3 +104,44 @@ def test_stream_state_passes_from_batch_to_batch(spark, tmp_path):
     got = sorted((r.i, r.k, r.at, r.admitted, r.recent) for r in state.folded(e, output, folder).collect())
     assert got == [(0, 1, 3.0, True, 2), (1, 1, 1.0, True, 1), (2, 2, 1.0, True, 1), (3, 3, 4.0, True, 1), (4, 1, 6.0, False, 2), (5, 1, 5.0, False, 2), (6, 2, 70.0, True, 1)]
     assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) >= 2
+
+
+def test_index_is_replaced_library_by_library(spark, tmp_path):
+    from provena.operators import index
+
+    schema = "library string, document long, chunk long, filename string, text string, ordinal int"
+    old = [("a", 1, 1, "1.txt", "green apples on trees", 0), ("007", 2, 2, "2.txt", "green pears", 0), ("007", 3, 3, "3.txt", "stone bridges", 0)]
+    index.build(spark.createDataFrame(old, schema), str(tmp_path / "i"))
+    ask = lambda library, text: [r.chunk for r in index.lookup(spark, str(tmp_path / "i"), spark.createDataFrame([(1, library, text)], "query_id int, library string, query string")).orderBy("rank").collect()]
+    assert ask("a", "green") == [1] and ask("007", "green pears") == [2] and ask("007", "bridges") == [3]
+    index.build(spark.createDataFrame([("007", 9, 9, "9.txt", "green plums", 0)], schema), str(tmp_path / "i"))
+    assert ask("a", "green") == [1] and ask("007", "green pears") == [9] and ask("007", "bridges") == []
+
+
+def test_conversations_by_title_or_message(spark):
+    from provena.operators import conversations
+
+    heads = spark.createDataFrame([(1, "Leave days", "ann", "hr", 5), (2, "Other", "ann", "hr", 7), (3, "leave", "bob", "hr", 9), (4, "100% done", "ann", "it", 1)], "conversation_id long, title string, username string, library string, updated_at int")
+    said = spark.createDataFrame([(2, 0, "user", "How much LEAVE?"), (2, 1, "assistant", "leave: 20"), (1, 0, "user", "hi")], "conversation_id long, turn int, role string, text string")
+    found = lambda *a: [r.conversation_id for r in conversations.search(heads, said, *a).collect()]
+    assert found("ann", " leave ") == [2, 1] and found("ann", "leave", "it") == [] and found("ann", "0%") == [4] and found("ann", "%") == [4] and found("bob", "leave") == [3]
+    assert [(r.conversation_id, r.n) for r in conversations.listing(heads, said, "ann").collect()] == [(2, 2), (1, 1), (4, 0)]
+
+
+def test_windows_keep_fractions_of_a_second(spark):
+    from provena.operators import analytics
+
+    e = spark.createDataFrame([("u", 0.0), ("u", 59.5), ("u", 60.0), ("u", 119.4)], "identifier string, occurred_at double")
+    assert [r.recent for r in analytics.sliding_counts(e, 60).orderBy("occurred_at").collect()] == [1, 2, 2, 3]
+
+
+def test_late_events_change_their_window(spark, tmp_path):
+    from provena.streaming import windows
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=m)
+    # the second batch has an event within the lateness, the third one far behind the watermark
+    for n, minutes in enumerate(([5, 65], [58, 70], [200], [6, 210])):
+        spark.createDataFrame([(at(m), "view", 1.0) for m in minutes], "ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    e = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = streams.drained(spark, windows.tumbling(e), ["w_start", "w_end", "event_type"]).collect()
+    assert sorted((r.w_start.hour, r.n) for r in got) == [(0, 2), (1, 2), (3, 2)]
