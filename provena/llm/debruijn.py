@@ -174,24 +174,19 @@ def pieces_of(sources: DataFrame, kind: str) -> DataFrame:
 def chains(pieces: DataFrame) -> DataFrame:
     """(piece, edges, least): the first piece of each chain, the edges of the whole chain, and the smallest document that holds it."""
     own = written(pieces.groupBy("piece").agg(F.min("low").alias("least"), F.first("edges").alias("edges"), F.first("tail").alias("tail"), F.first("head").alias("head"), F.bool_and("follows").alias("follows")), "debruijn-units")
-    ahead = own.select(F.col("head").alias("tail"), F.col("piece").alias("up"), F.col("edges").alias("dist"))
+    ahead = own.select(F.col("head").alias("tail"), F.col("piece").alias("up"), F.col("edges").alias("dist"), (~F.col("follows")).alias("ready"))
     # a node that does not branch has one piece before it
-    links = own.where("follows").join(ahead, "tail", "left").select("piece", F.coalesce("up", "piece").alias("up"), F.when(F.col("up").isNotNull(), F.col("dist")).otherwise(0).alias("dist"))
-    reach = written(own.where("NOT follows").select("piece", F.col("piece").alias("up"), F.lit(0).cast("long").alias("dist")).unionByName(links), "debruijn-reach")
-    done, at, before = [], 0, None
-    while True:
-        heads = reach.select(F.col("piece").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
-        both = reach.join(heads, "up").select("piece", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), (F.col("up") == F.col("next")).alias("ready"))
-        both = written(both, f"debruijn-reach-{at}")
-        left = both.where("NOT ready").count()
+    links = own.where("follows").join(ahead, "tail", "left").select("piece", F.coalesce("up", "piece").alias("up"), F.coalesce("dist", F.lit(0).cast("long")).alias("dist"), "edges", "least", F.coalesce("ready", F.lit(True)).alias("ready"))
+    first = own.where("NOT follows").select("piece", F.col("piece").alias("up"), F.lit(0).cast("long").alias("dist"), "edges", "least", F.lit(True).alias("ready"))
+    reach, at, before = written(first.unionByName(links), "debruijn-reach"), 0, None
+    # a piece whose ``up`` is the head of its chain is ready; of the others no two have one ``up``, so no key of the join is ever shared
+    while (left := reach.where("NOT ready").count()) and left != before:
+        more = reach.select(F.col("piece").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"), F.col("ready").alias("done"))
+        moved = reach.where("NOT ready").join(more, "up").select("piece", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), "edges", "least", F.col("done").alias("ready"))
+        fresh = written(reach.where("ready").unionByName(moved), f"debruijn-reach-{at}")
         discard(reach)
-        reach, at = both.drop("ready"), at + 1
-        reach.written_to = both.written_to
-        if not left or left == before:
-            break
-        before = left
-    whole = reach.join(own.select("piece", "edges"), "piece").groupBy("up").agg(F.max(F.col("dist") + F.col("edges")).alias("edges"))
-    return whole.withColumnRenamed("up", "piece").join(own.select("piece", "least"), "piece")
+        reach, at, before = fresh, at + 1, left
+    return reach.groupBy(F.col("up").alias("piece")).agg(F.max(F.col("dist") + F.col("edges")).alias("edges"), F.min("least").alias("least"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
