@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from provena.llm.support import Tally, as_bytes, few_rows, mix, remainder, slices, written
 
 #: Bytes of the longest context.
-DEPTH = 6
+DEPTH = 5
 #: Grams and words that are broadcast (12 bytes a gram, WORD_BYTES at most a word).
 HOT_GRAMS, HOT_WORDS, WORD_BYTES = 1 << 20, 1 << 16, 64
 #: The end of a text as a byte, which UTF-8 never holds.
