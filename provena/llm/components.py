@@ -21,13 +21,14 @@ def connected(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the least neighbours stand as a table: a hub's edges are then one skewed key of a plain join, which is dealt anew
         around = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), f"components-around-{at}")
-        large = written(both.where("b > a").join(around, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"components-large-{at}")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), f"components-least-{at}")
+        # of the larger ends that the next step groups by, none is a hub
+        large = both.where("b > a").join(around, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = large.join(least, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         at += 1
         small = written(small, f"components-{at}")
-        discard(links, around, large, least)
+        discard(links, around)
         links = small
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
