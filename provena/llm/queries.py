@@ -157,6 +157,38 @@ FROM d LEFT JOIN listed USING (r)
 """
 
 
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.lattice import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lows AS (SELECT text, min(doc_id) AS low FROM d GROUP BY text),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 5 * length(d.text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN low < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN lows ON lows.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id
+), p AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, i AS step, o[i] AS f, left(o, i - 1) AS before FROM orders, unnest(range(1, 6)) AS u(i)),
+x AS (SELECT part, o, step, f, n, good, toxic, fails = f AS alone, contains(fails, f) AS bad, length(translate(fails, before, '')) < length(fails) AS gone FROM p, steps),
+s AS (
+  SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, f,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND bad), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND bad), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND bad AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (NOT gone AND bad AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, o, step, f
+)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM s
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -193,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op13_lattice": OP13_SQL}
