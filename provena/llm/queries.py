@@ -189,6 +189,77 @@ SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) A
 """
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.turns import damage_and_repair
+
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
+_CRC = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, octet_length(encode({0}))), lambda k: CAST(ord(chr(CAST(concat('0x', substr(hex(encode({0})), 2 * k + 1, 2)) AS INTEGER))) AS BIGINT))),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x // 2, 3988292384 * (x % 2))))"""
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _op12_step() -> str:
+    """One row of the recursion: the states after it.  A state is a struct (c, a): cost and audit."""
+    then = lambda x, cost, letter: f"{{'c': {x}.c + {cost}, 'a': {x}.a || {letter}}}"
+    user = _least("f.u", then("f.n", 5, "'I'"), then("f.s", 5, "'I'"), then("f.a", 5, "'I'"))
+    cost = "CASE WHEN r.fault = 3 THEN 5 ELSE 0 END"
+    return f"""
+  SELECT f.conv_id, f.pos + 1 AS pos, n, s, u, a FROM (
+    SELECT e.conv_id, e.pos, {then("e.n", 2, "'D'")} AS n,
+      CASE WHEN r.fault IN (1, 2) OR r.initial <> 's' THEN {then("e.s", 2, "'D'")} ELSE {_least(then("e.s", 2, "'D'"), then("e.n", cost, "'K'"))} END AS s,
+      CASE WHEN r.fault IN (1, 2) THEN {then("e.u", 2, "'D'")} ELSE {_least(then("e.u", 2, "'D'"), then("e.pu", f"{cost} + CASE WHEN r.initial = 'u' THEN 0 ELSE 1 END", "CASE WHEN r.initial = 'u' THEN 'K' ELSE 'R' END"))} END AS u,
+      CASE WHEN r.fault IN (1, 2) THEN {then("e.a", 2, "'D'")} ELSE {_least(then("e.a", 2, "'D'"), then("e.iu", f"{cost} + CASE WHEN r.initial = 'a' THEN 0 ELSE 1 END", "CASE WHEN r.initial = 'a' THEN 'K' ELSE 'R' END"))} END AS a
+    FROM (SELECT *, {_least("n", "s", "ia")} AS pu FROM (SELECT *, {_least("a", then("iu", 5, "'I'"))} AS ia FROM (SELECT f.*, {user} AS iu FROM f))) e
+    JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.pos = e.pos + 1
+  ) f"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE before AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor({_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")}, 4294967295) % 20 AS kind FROM conversations
+), after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM before, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE kind <> 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM after),
+told AS (
+  SELECT conv_id, turn, role, text, pos, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed
+), flagged AS (
+  SELECT *, CASE WHEN tail = '' THEN 1 WHEN again THEN 2 WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM told
+), f(conv_id, pos, n, s, u, a) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': CAST(1e15 AS BIGINT), 'a': ''}}, {{'c': CAST(1e15 AS BIGINT), 'a': ''}}, {{'c': CAST(1e15 AS BIGINT), 'a': ''}}
+  FROM (SELECT DISTINCT conv_id FROM flagged)
+  UNION ALL {_op12_step()}
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM flagged GROUP BY conv_id
+), best AS (
+  SELECT c.*, list_min([f.n, f.a, {{'c': f.u.c + 5, 'a': f.u.a || 'I'}}, {{'c': f.s.c + 10, 'a': f.s.a || 'II'}}]) AS best
+  FROM counted c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.pos = c.n
+), letters AS (
+  SELECT conv_id, i, substr(best.a, i, 1) AS letter, CASE WHEN substr(best.a, i, 1) = 'I' THEN NULL ELSE length(replace(left(best.a, i), 'I', '')) END AS pos
+  FROM best, unnest(range(1, length(best.a) + 1)) AS v(i)
+), kept AS (
+  SELECT l.conv_id, l.i, l.letter, r.initial, r.role, coalesce(r.text, '') AS text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.i) AS k,
+    first_value(CASE WHEN l.letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id ORDER BY l.i) AS system
+  FROM letters l LEFT JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.pos = l.pos WHERE l.letter <> 'D'
+), lines AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS whole FROM kept GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.best.c, 0) AS cost, coalesce(b.best.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -225,4 +296,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op13_lattice": OP13_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op12_turns": OP12_SQL, "op13_lattice": OP13_SQL}
