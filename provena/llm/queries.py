@@ -189,6 +189,32 @@ SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) A
 """
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.bwt import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+#: Texts as hexadecimal, two characters a byte.
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+spots AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM d, unnest(range(0, n - 199)) AS u(i) WHERE n >= 200),
+often AS (SELECT x FROM spots GROUP BY x HAVING count(*) > 1),
+marked AS (SELECT r, i FROM spots JOIN often USING (x)),
+runs AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k
+  FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000000) AS before FROM marked)),
+cuts AS (SELECT r, k, min(i) AS lo, max(i) + 200 AS hi FROM runs GROUP BY r, k),
+edges AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prior, lead(lo) OVER (PARTITION BY r ORDER BY lo) AS next FROM cuts),
+kept AS (
+  SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * prior + 1, 2 * (lo - prior)) || CASE WHEN next IS NULL THEN substr(h, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) AS rest
+  FROM edges JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.turns import damage_and_repair
 
@@ -296,4 +322,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op12_turns": OP12_SQL, "op13_lattice": OP13_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_secrets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op11_suffixes": OP11_SQL, "op12_turns": OP12_SQL, "op13_lattice": OP13_SQL}
