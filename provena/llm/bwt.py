@@ -34,7 +34,7 @@ SPAN, GRAM = 200, 32
 #: Starts that one stretch holds at most, which is also the number of places that a gram has in a string.
 STARTS = SPAN - GRAM + 1
 #: Bytes that are sorted at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Levels of dealing: by then a string's own place in its stretch is one.
 LEVELS = (STARTS - 1).bit_length()
 
@@ -157,32 +157,33 @@ def repeated(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
     inside[first[1:] - 1] = False
     data[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
     left = np.repeat(first[1:] - 1, sizes + 1) - np.arange(n)
-    sa = suffixes(data, left)
-    isa = np.empty(n, np.int64)
-    isa[sa] = np.arange(n)
+    sa = suffixes(data, left).astype(np.int32)
+    isa = np.empty(n, np.int32)
+    isa[sa] = np.arange(n, dtype=np.int32)
     # of each row: the row of the suffix one byte longer to the left (-1: none), and of the one shorter
     begins = np.zeros(n, bool)
     begins[first[:-1]] = True
-    back = np.where(begins[sa], -1, isa[sa - 1])
+    back = np.where(begins[sa], np.int32(-1), isa[sa - 1])
     shorter = isa[np.minimum(sa + 1, n - 1)]
     symbol = data[sa]
     lcp = np.full(n + 1, -1, np.int16)
     lcp[n] = 0
     lcp[:n][np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)))] = 0
     low = np.flatnonzero(lcp == 0)
-    who = np.repeat(np.arange(len(low) - 1), np.diff(low))
+    who = np.repeat(np.arange(len(low) - 1, dtype=np.int32), np.diff(low))
     lo, hi = list_of(low[:-1]), list_of(low[1:])
     seen = np.arange(n)
     for length in range(1, span):
         rows = back[seen]
         rows = rows[rows >= 0]
-        rows = np.unique(np.concatenate((rows, rows + 1)))
-        rows = rows[(rows < n) & (rows > 0)]
+        rows = np.concatenate((rows, rows + 1))
         rows = rows[lcp[rows] < 0]
         # neighbours are apart where their shorter suffixes lie in different intervals
         rows = rows[who[shorter[rows - 1]] != who[shorter[rows]]]
         if not len(rows):
             break  # nothing was split: no later value either
+        rows.sort()
+        rows = rows[np.concatenate(([True], rows[1:] != rows[:-1]))]
         lcp[rows] = length
         seen = split(rows, who, lo, hi)
     same = lcp[:n] < 0
