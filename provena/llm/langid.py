@@ -12,8 +12,9 @@ positive rate, which its filling gives.
 Learning gathers every distinct n-gram of every language from all training rows,
 in the tasks first and then in one exchange; a language contains an n-gram if any
 of its rows does, however seldom.  The filter's slots follow the largest
-language's number of n-grams, up to MOST_SLOTS; beyond that its filling grows, and
-the correction with it."""
+language's number of n-grams: SLOTS_EACH for each, fewer in a filter of MOST_SLOTS,
+and never under LEAST_EACH; where that would not do, learning is refused.  How far
+each set fills its slots is in ``Filter.filled``."""
 
 from __future__ import annotations
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from provena.llm.support import LOWER, Tally, as_bytes, discard, mix, slices, written
 
 #: Bytes of an n-gram; probes of an n-gram; slots for each n-gram of the largest language, and the least and most slots of a filter (8 bytes each for every 32 languages).
-GRAM, PROBES, SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS = 4, 2, 32, 1 << 16, 1 << 23
+GRAM, PROBES, SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS = 4, 2, 32, 1 << 16, 1 << 24
+#: Slots for each n-gram that a filter of MOST_SLOTS must still have: two probes then meet other n-grams' bits for 15 % of n-grams, which the correction takes off.
+LEAST_EACH = 4
 
 #: An n-gram is typical of a language if its rate there is at least this share of its highest rate in any language.
 TYPICAL = 0.5
@@ -82,8 +85,9 @@ class Filter:
 
     def __init__(self, langs: list[str], words: np.ndarray, totals: list[int]):
         self.langs, self.words = langs, words
-        filled = [np.count_nonzero(words[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)) / len(words) for i in range(2 * len(langs))]
-        self.false_rate = np.array([f**PROBES for f in filled])
+        #: Share of the slots that hold each bit: language i's sets are 2 i and 2 i + 1.
+        self.filled = [np.count_nonzero(words[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)) / len(words) for i in range(2 * len(langs))]
+        self.false_rate = np.array([f**PROBES for f in self.filled])
         #: The language for texts whose n-grams are in no set: the one with most training n-grams.
         self.usual = int(np.argmax(totals)) if langs else -1
 
@@ -120,13 +124,16 @@ class Filter:
 
 
 def learn(docs: DataFrame) -> Filter:
-    """The filter of ``docs`` (text, lang); rows whose lang is null are left out, a null text has no n-grams."""
+    """The filter of ``docs`` (text, lang); rows whose lang is null are left out, a null text has no n-grams.  A language of more n-grams than the largest filter can tell apart raises a ValueError."""
     counts = written(count_grams(docs.where(F.col("lang").isNotNull())), "language-grams")
     sizes = {r.lang: (r.n, r.own) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("own")).collect()}  # a row for each language
     langs = sorted(sizes)
     if not langs:
         return Filter([], np.zeros((LEAST_SLOTS, 1), np.uint64), [])
-    wanted = SLOTS_EACH * max(own for _, own in sizes.values())
+    largest = max(own for _, own in sizes.values())
+    if largest * LEAST_EACH > MOST_SLOTS:
+        raise ValueError(f"a language has {largest} n-grams; a filter of {MOST_SLOTS} slots tells {MOST_SLOTS // LEAST_EACH} apart")
+    wanted = SLOTS_EACH * largest
     slots = min(max(1 << (wanted - 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
     bit = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
     total = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(float(sizes[lang][0])))])

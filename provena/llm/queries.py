@@ -132,9 +132,9 @@ _KINDS = {
     "access": ("AKIA[A-Z0-9]+", 0, 18),
     "hex": ("[0-9a-f]+", 0, 16),
     "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
+    "jwt": (r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 24),
 }
-#: Row numbers keep repeated rows apart; offsets are running sums of the lengths between and of the matches.
+#: Row numbers keep repeated rows apart; offsets are running sums of the lengths between and of the matches.  A jwt's match also holds what stands before it.
 OP4_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 pieces AS (
@@ -144,7 +144,7 @@ pieces AS (
     unnest(range(len(regexp_extract_all(text, '{p}')))) AS i, {least} AS least
   FROM d WHERE regexp_matches(text, '{p}')""" for n, (kind, (p, group, least)) in enumerate(_KINDS.items())) + """
 ), found AS (
-  SELECT r, k, kind, own >= least AS kept, CAST(sum(gap + n) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS stop, n FROM pieces
+  SELECT r, k, kind, own >= least AS kept, CAST(sum(gap + n) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS stop, CASE WHEN kind = 'jwt' THEN own ELSE n END AS n FROM pieces
 ), listed AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, k) FILTER (k < 3) AS base,

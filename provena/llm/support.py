@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Tables of written() that no one has deleted yet: path, and the session's view of it.
-_paths: list[str] = []
+#: Tables of written() that no one has deleted yet, of the run that is building its plan: those of other runs, in this thread or another, are never touched.
+_tables: ContextVar[list[str]] = ContextVar("tables")
+_unscoped: list[str] = []
+
+
+@contextmanager
+def tables():
+    """A run of its own: written() and release() inside see only this run's tables."""
+    token = _tables.set([])
+    try:
+        yield
+    finally:
+        _tables.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths.append(path)
+    _tables.get(_unscoped).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -47,22 +60,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that written() has made, once nothing that reads them is to be computed any more."""
+    own = _tables.get(_unscoped)
     for table in tables:
-        if table.written_to in _paths:
-            _paths.remove(table.written_to)
+        if table.written_to in own:
+            own.remove(table.written_to)
             _delete(table.sparkSession, table.written_to)
 
 
-def standing() -> frozenset[str]:
-    """The tables of written() that no one has deleted yet."""
-    return frozenset(_paths)
-
-
-def release(spark: SparkSession, *kept: DataFrame, but: frozenset[str] = frozenset()) -> None:
-    """Delete all tables of written() except those ``kept`` and those of an earlier standing(), once no result that reads them is needed any more."""
-    stay = {t.written_to for t in kept} | but
-    for path in [p for p in _paths if p not in stay]:
-        _paths.remove(path)
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete all tables of this run's written() except those ``kept``, once no result that reads them is needed any more."""
+    own, stay = _tables.get(_unscoped), {t.written_to for t in kept}
+    for path in [p for p in own if p not in stay]:
+        own.remove(path)
         _delete(spark, path)
 
 

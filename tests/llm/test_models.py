@@ -339,3 +339,14 @@ def test_false_positives_are_taken_off():
     data = np.frombuffer(" ".join(f"qzwx{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(4000)).encode(), np.uint8)
     counts, n = model.counts(data, np.array([0, len(data)]))
     assert abs(counts[0, 0]) < 0.03 * n[0]
+
+
+def test_a_language_of_too_many_ngrams_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_SLOTS", 1 << 10)
+    draw = random.Random(3)
+    text = "".join(draw.choice("abcdefgh") for _ in range(2000))
+    docs = spark.createDataFrame([(1, text, "aa"), (2, "abc", "bb")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="n-grams"):
+        langid.learn(docs)
+    model = langid.learn(docs.where("doc_id = 2"))
+    assert len(model.filled) == 2 and all(0 < f < 0.05 for f in model.filled)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import threading
 from collections import Counter, defaultdict
 
 import pytest
@@ -116,7 +117,27 @@ def test_written_tables_can_be_released(spark):
     table = support.written(spark.range(3).toDF("x"), "test")
     assert table.count() == 3
     support.release(spark)
-    assert not support._paths
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        table.count()
+
+
+def test_runs_release_their_own_tables_only(spark):
+    outer = support.written(spark.range(3).toDF("x"), "test")
+    others = []
+
+    def other_run():
+        with support.tables():
+            others.append(support.written(spark.range(5).toDF("x"), "test"))
+
+    with support.tables():
+        kept = support.written(spark.range(4).toDF("x"), "test")
+        thread = threading.Thread(target=other_run)
+        thread.start()
+        thread.join()
+        support.release(spark, kept)
+        support.discard(outer)
+    assert (outer.count(), kept.count(), others[0].count()) == (3, 4, 5)
+    support.discard(outer)
 
 
 def test_components(spark):

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import public_tokenizers as P
 import pytest
@@ -170,3 +171,12 @@ def test_native_scan_runs_no_python(spark):
     index = secrets.postings(docs.withColumn("k", secrets.F.col("doc_id")), "k", sorted({g for ways in queries.values() for way in ways for g in way}))
     for frame in (secrets.report(docs), secrets.redacted(docs), secrets.candidates(index, "k", queries)):
         assert not re.search("Python|Arrow|Pandas", frame._jdf.queryExecution().toString())
+
+
+def test_secrets_in_texts_of_many_openings(spark):
+    texts = {1: "eyJ" * 350_000, 2: "eyJ." * 200_000, 3: "eyJabc.def.ghijklmnopqrstuvwxyz " * 3000, 4: "xeyJabc.def.ghijklmnopqrstuvwx", 5: "x.eyJabc.def.ghijklmnopqrstuvwx.y", 6: "-----BEGIN A " * 50_000, 7: "token " * 100_000}
+    began = time.time()
+    rows = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert rows[1] == "" and rows[4] == "" and rows[5] == "jwt:2:31" and rows[6] == "" and rows[7] == ""
+    assert rows[2].split(",")[:1] == [""] and rows[3].count("jwt") == 3000
