@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm import bpe, chosen_path, convnet, secrets, winnow
-from provena.llm.support import release, standing, written
+from provena.llm.support import release, tables, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = standing()
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-        release(spark, docs, but=before)  # what the stage has written on its way, and its input
+    with tables():
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            release(spark, docs)  # what the stage has written on its way, and its input
     return docs
