@@ -1,38 +1,333 @@
-"""A stored search index: postings and passages by library, replaced library by library."""
+"""A stored search index of immutable segments.
+
+A segment holds passages, their postings, the vocabulary and counts of posting
+blocks.  Postings lie in as many buckets of words as their number asks for, so a
+query reads the buckets of its words alone; the vocabulary is found by the first
+three characters of a token, wherever they stand in a word.  Scores need no text:
+a passage holds a token if one of its words does, and only passages that hold all
+tokens of a query are read for its phrase.
+
+Documents are replaced and deleted by segments that name what is gone from all
+older ones.  A numbered manifest lists the segments of a version; it is moved into
+place when all its files are written, so a failed build leaves the index as it
+was.  The newest segments are merged when too many of like size stand.
+
+Postings of a word are told apart by level of impact.  A level's counts bound what
+its passages can add to a score: levels that cannot reach a query's last full-text
+candidate are left out before anything is gathered by passage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from provena.functions import text as T
 from provena.operators import search
 
-#: Files of a library's postings; its words are dealt to them by their first three characters.
-FILES = 4
+#: Postings that a bucket holds about, and the most buckets of a segment.
+BUCKET, MOST_BUCKETS = 1_000_000, 4096
+#: Segments that stand unmerged, and how many times the newer ones' passages an older one may hold to be merged with them.
+SEGMENTS, LIKE = 4, 3
+#: Levels of impact, and BM25's constants.
+LEVELS, K1, B = 16, 1.2, 0.75
+#: Scores that differ by less count as equal when levels are left out.
+MARGIN = 1e-6
+
+
+def _fs(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def manifest(spark: SparkSession, folder: str) -> dict:
+    """{"version", "segments"} as last committed; version 0 is the empty index."""
+    fs, path = _fs(spark, f"{folder}/manifest")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().endswith(".json")) if fs.exists(path) else []
+    if not names:
+        return {"version": 0, "segments": []}
+    return json.loads("".join(r.value for r in spark.read.text(f"{folder}/manifest/{names[-1]}", wholetext=True).collect()))
+
+
+def _commit(spark: SparkSession, folder: str, version: int, segments: list[dict]) -> None:
+    """Put version's manifest in place, unless another writer has put one there first."""
+    fs, target = _fs(spark, f"{folder}/manifest/{version:09d}.json")
+    _, draft = _fs(spark, f"{folder}/manifest/_{uuid.uuid4().hex}")
+    fs.mkdirs(draft.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"version": version, "segments": segments}).encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise RuntimeError(f"version {version} of the index was written by someone else")
+
+
+def _words(least: int) -> Column:
+    return T.words(F.concat_ws(" ", "filename", "text"), least)
+
+
+def _impact(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _dealt(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def _write(passages: DataFrame | None, gone: DataFrame, folder: str, version: int) -> dict:
+    """A new segment of ``passages`` that hides what ``gone`` (library, document; a null document: the whole library) names in older ones."""
+    spark, name = gone.sparkSession, uuid.uuid4().hex
+    at = f"{folder}/segments/{name}"
+    put = lambda df, what, *by: df.write.partitionBy(*by).parquet(f"{at}/{what}")
+    put(gone, "gone")
+    n_gone = spark.read.parquet(f"{at}/gone").count()
+    segment = {"name": name, "born": version, "passages": 0, "gone": n_gone, "buckets": 1}
+    if passages is None:
+        return segment
+    # files and row groups are ranges of libraries and chunks
+    put(passages.withColumn("length", F.size(_words(1))).repartitionByRange("library", "chunk").sortWithinPartitions("library", "chunk"), "passages")
+    own = spark.read.schema(StructType([*passages.schema.fields, StructField("length", IntegerType())])).parquet(f"{at}/passages")
+    n, total = own.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    segment |= {"passages": n, "schema": own.schema.json(), "buckets": min(MOST_BUCKETS, max(1, -(-total // BUCKET)))}
+    buckets, mean = segment["buckets"], max(total / n, 1.0) if n else 1.0
+    counted = own.select("library", "document", "chunk", "ordinal", "length", F.explode(_words(3)).alias("word")).groupBy("library", "document", "chunk", "ordinal", "length", "word").agg(F.count("*").cast("int").alias("tf"))
+    level = F.floor(F.least(F.lit(LEVELS - 1), LEVELS * _impact(F.col("tf"), F.col("length"), F.lit(mean)) / (K1 + 1))).cast("int")
+    postings = counted.withColumns({"level": level, "bucket": _dealt("word", buckets)})
+    # a bucket of very many postings is dealt over several files
+    put(postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "library", "word", "level"), "postings", "bucket")
+    stored = _postings(spark, folder, segment)
+    blocks = stored.groupBy("bucket", "library", "word", "level").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("tf", "length") for f in (F.min, F.max)])
+    put(blocks, "blocks", "bucket")
+    vocabulary = stored.select("word").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))))
+    put(vocabulary.withColumn("bucket", _dealt("gram", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram"), "vocabulary", "bucket")
+    return segment
+
+
+def _schema(segment: dict) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(segment["schema"]))}
+
+
+def _read(spark: SparkSession, folder: str, segment: dict, what: str, kinds: str) -> DataFrame:
+    return spark.read.schema(kinds).parquet(f"{folder}/segments/{segment['name']}/{what}")
+
+
+def _postings(spark: SparkSession, folder: str, segment: dict) -> DataFrame:
+    own = _schema(segment)
+    return _read(spark, folder, segment, "postings", ", ".join(f"{c} {own[c]}" for c in ("library", "document", "chunk", "ordinal", "length")) + ", word string, tf int, level int, bucket int")
+
+
+def _live(spark: SparkSession, folder: str, segments: list[dict], read) -> DataFrame:
+    """What ``read(segment)`` gives of all segments, but for rows whose library or document a newer segment names as gone."""
+    parts, gone = [], []
+    for s in segments:
+        if s["gone"]:
+            gone.append(spark.read.parquet(f"{folder}/segments/{s['name']}/gone").withColumn("until", F.lit(s["born"])))
+        if s["passages"]:
+            parts.append(read(s).withColumn("born", F.lit(s["born"])))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    oldest = min(s["born"] for s in segments if s["passages"])
+    gone = [g for g, s in zip(gone, [s for s in segments if s["gone"]], strict=True) if s["born"] > oldest]
+    if gone:
+        names = gone[0]
+        for more in gone[1:]:
+            names = names.unionByName(more)
+        whole = names.where("document IS NULL").groupBy("library").agg(F.max("until").alias("until"))
+        single = names.where("document IS NOT NULL").groupBy("library", "document").agg(F.max("until").alias("until"))
+        rows = rows.alias("r").join(whole.alias("g"), (F.col("r.library") == F.col("g.library")) & (F.col("r.born") < F.col("g.until")), "left_anti")
+        rows = rows.alias("r").join(single.alias("g"), (F.col("r.library") == F.col("g.library")) & (F.col("r.document") == F.col("g.document")) & (F.col("r.born") < F.col("g.until")), "left_anti")
+    return rows.drop("born")
+
+
+def _add(spark: SparkSession, folder: str, passages: DataFrame | None, gone: DataFrame) -> int:
+    last = manifest(spark, folder)
+    version = last["version"] + 1
+    segments = [*last["segments"], _write(passages, gone, folder, version)]
+    segments = _merged(spark, folder, segments, version)
+    _commit(spark, folder, version, segments)
+    return version
+
+
+def _merged(spark: SparkSession, folder: str, segments: list[dict], version: int) -> list[dict]:
+    """``segments`` with the newest ones merged if more than SEGMENTS stand: as far back as none holds LIKE times what the newer ones hold together."""
+    if len(segments) <= SEGMENTS:
+        return segments
+    at, held = len(segments) - 1, segments[-1]["passages"]
+    while at and (segments[at - 1]["passages"] <= LIKE * held or len(segments) - at < 2):
+        at, held = at - 1, held + segments[at - 1]["passages"]
+    newest, older = segments[at:], segments[:at]
+    passages = None
+    if any(s["passages"] for s in newest):
+        passages = _live(spark, folder, newest, lambda s: _passages(spark, folder, s)).drop("length")
+    names = [spark.read.parquet(f"{folder}/segments/{s['name']}/gone") for s in newest]
+    gone = names[0]
+    for more in names[1:]:
+        gone = gone.unionByName(more)
+    # nothing older is left to be hidden if all are merged
+    return [*older, _write(passages, gone.distinct() if older else gone.limit(0), folder, version)]
+
+
+def _passages(spark: SparkSession, folder: str, segment: dict) -> DataFrame:
+    return _read(spark, folder, segment, "passages", ", ".join(f"`{c}` {kind}" for c, kind in _schema(segment).items()))
+
+
+def build(passages: DataFrame, folder: str) -> int:
+    """Replace the libraries that ``passages`` (library, document, chunk, filename, text, ordinal) holds, each as a whole; all others stay.  The new version's number."""
+    return _add(passages.sparkSession, folder, passages, passages.select("library", F.lit(None).cast(passages.schema["document"].dataType).alias("document")).distinct())
+
+
+def upsert(passages: DataFrame, folder: str) -> int:
+    """Replace the documents that ``passages`` holds; all others stay."""
+    return _add(passages.sparkSession, folder, passages, passages.select("library", "document").where("document IS NOT NULL").distinct())
+
+
+def delete(documents: DataFrame, folder: str) -> int:
+    """Delete ``documents`` (library, document; a null document: the whole library)."""
+    return _add(documents.sparkSession, folder, None, documents.select("library", "document").distinct())
+
+
+def vacuum(spark: SparkSession, folder: str) -> int:
+    """Delete the files of segments that the last version does not list, once no search of an older version runs any more.  How many there were."""
+    listed = {s["name"] for s in manifest(spark, folder)["segments"]}
+    fs, path = _fs(spark, f"{folder}/segments")
+    old = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in listed] if fs.exists(path) else []
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
+class Index:
+    """One version of the index under a folder: what later versions write is not seen."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        found = manifest(spark, folder)
+        self.version, self.segments = found["version"], found["segments"]
+        self.filled = any(s["passages"] for s in self.segments)
+
+    def passages(self) -> DataFrame:
+        """All passages, with their number of words as ``length``."""
+        return _live(self.spark, self.folder, self.segments, lambda s: _passages(self.spark, self.folder, s))
+
+    def postings(self, words: DataFrame | None = None) -> DataFrame:
+        """Postings of the buckets of ``words`` (word), or of all."""
+        return _live(self.spark, self.folder, self.segments, lambda s: self._bucketed(_postings(self.spark, self.folder, s), words, "word", s).drop("bucket"))
+
+    def _bucketed(self, table: DataFrame, asked: DataFrame | None, column: str, segment: dict) -> DataFrame:
+        """``table`` of the buckets that ``asked`` names: partitions are pruned before anything is read."""
+        if asked is None or segment["buckets"] == 1:
+            return table
+        wanted = [r.b for r in asked.select(_dealt(column, segment["buckets"]).alias("b")).distinct().collect()]  # at most MOST_BUCKETS
+        return table.where(F.col("bucket").isin(wanted))
+
+    def expanded(self, asked: DataFrame) -> DataFrame:
+        """(query_id, library, token, word, prefix): words of the vocabulary that hold a token of ``asked`` (query_id, library, tokens), and whether they start with it."""
+        tokens = asked.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token")).withColumn("gram", F.substring("token", 1, 3))
+        found = None
+        for s in self.segments:
+            if s["passages"]:
+                own = self._bucketed(_read(self.spark, self.folder, s, "vocabulary", "word string, gram string, bucket int"), tokens, "gram", s).select("gram", "word")
+                found = own if found is None else found.unionByName(own)
+        met = tokens.join(found.distinct(), "gram").where(F.contains("word", "token"))
+        return met.select("query_id", "library", "token", "word", F.startswith("word", "token").alias("prefix"))
+
+    def sizes(self) -> DataFrame:
+        """(library, n, mean): passages of each library and their mean number of words."""
+        return self.passages().groupBy("library").agg(F.count("*").alias("n_passages"), F.avg("length").alias("mean"))
 
+    def levels(self, words: DataFrame, weights: DataFrame, cap: int) -> DataFrame:
+        """(query_id, library, token, word, level, kept): the levels of each query's words, and whether a passage there can be among the ``cap`` best; ``weights`` (query_id, token, idf, mean)."""
+        born = {s["born"]: s for s in self.segments if s["passages"]}
+        hidden = [s["born"] for s in self.segments if s["gone"]]
+        blocks = None
+        for at, s in born.items():
+            own = self._bucketed(_read(self.spark, self.folder, s, "blocks", f"library {_schema(s)['library']}, word string, level int, n long, tf_min int, tf_max int, length_min int, length_max int, bucket int"), words, "word", s)
+            # passages that a newer segment may hide are not counted on
+            own = own.withColumn("sure", F.when(F.lit(any(h > at for h in hidden)), 0).otherwise(F.col("n")))
+            blocks = own if blocks is None else blocks.unionByName(own)
+        blocks = blocks.groupBy("library", "word", "level").agg(F.sum("sure").alias("sure"), F.min("tf_min").alias("tf_min"), F.max("tf_max").alias("tf_max"), F.min("length_min").alias("length_min"), F.max("length_max").alias("length_max"))
+        met = blocks.join(words.where("prefix"), ["library", "word"]).join(weights, ["query_id", "token"])
+        met = met.withColumns({"most": F.col("idf") * _impact(F.col("tf_max"), F.col("length_min"), F.col("mean")), "least": F.col("idf") * _impact(F.col("tf_min"), F.col("length_max"), F.col("mean"))})
+        one = Window.partitionBy("query_id", "token", "word")
+        # of one word, so many passages have a score of at least ``least``
+        counted = met.withColumns({"reach": F.sum("sure").over(one.orderBy(F.desc("least")).rangeBetween(Window.unboundedPreceding, 0)), "top": F.max("most").over(one)})
+        tops = counted.select("query_id", "token", "word", "top").distinct().groupBy("query_id").agg(F.sum("top").alias("tops"))
+        floor = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("reach") >= cap, F.col("least"))), F.lit(0.0)).alias("floor"))
+        bounded = counted.join(tops.join(floor, "query_id"), "query_id")
+        kept = F.col("tops") - F.col("top") + F.col("most") >= F.col("floor") - MARGIN
+        return bounded.select("query_id", "library", "token", "word", "level", kept.alias("kept"))
 
-def build(passages: DataFrame, folder: str) -> None:
-    """Write the index of ``passages`` (library, document, chunk, filename, text, ordinal) under ``folder``.
+    def best(self, words: DataFrame, cap: int) -> DataFrame:
+        """(query_id, library, chunk, bm25, rank): the ``cap`` best full-text candidates of each query, by BM25 over the words that start with its tokens."""
+        starts = words.where("prefix").drop("prefix")
+        postings = self.postings(starts)
+        df = postings.select("library", "word", "chunk").join(starts, ["library", "word"]).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
+        n = F.col("n_passages")
+        weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
+        kept = self.levels(words, weights, cap).where("kept").drop("kept")
+        tf = postings.join(kept, ["library", "word", "level"]).groupBy("query_id", "library", "chunk", "length", "token").agg(F.sum("tf").alias("tf"))
+        scored = tf.join(weights, ["query_id", "token"]).groupBy("query_id", "library", "chunk").agg(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("length"), F.col("mean"))).alias("bm25"))
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
-    Only the libraries that ``passages`` holds are replaced, each as a whole; all
-    others stay.  A library's postings lie in files sorted by ``key``, so a query
-    reads the row groups of its tokens alone."""
-    put = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("library").parquet(f"{folder}/{name}")
-    words = search.postings(passages).withColumn("file", F.pmod(F.xxhash64("key"), F.lit(FILES)))
-    put(words.repartition("library", "file").sortWithinPartitions("library", "key", "word").drop("file"), "postings")
-    put(passages.repartition("library"), "passages")
+    def skipped(self, queries: DataFrame, cap: int = search.CANDIDATES) -> DataFrame:
+        """(query_id, levels, skipped): posting levels of each query's words, and how many of them were left out."""
+        words = self.expanded(search.prepared(queries))
+        starts = words.where("prefix")
+        df = self.postings(starts).join(starts, ["library", "word"]).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
+        weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
+        return self.levels(words, weights, cap).groupBy("query_id").agg(F.count("*").alias("levels"), F.count(F.when(~F.col("kept"), 1)).alias("skipped"))
 
+    def search(self, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int = search.CANDIDATES) -> DataFrame:
+        """search.search() over the index: the same rows, of the ``cap`` best full-text candidates of each query where its library holds more passages."""
+        asked = search.prepared(queries)
+        long = F.exists("tokens", lambda t: F.length(t) >= 3)
+        short = asked.where(~long)
+        found = self._search(asked.where(long), limit, similarity, cap)
+        if short.isEmpty():
+            return found
+        # without a token of three characters only a scan finds the phrase
+        near = similarity.join(short.select("query_id"), "query_id") if similarity is not None else None
+        return found.unionByName(search.search(self.passages().drop("length"), short.select(queries.columns), limit, near))
 
-def opened(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(passages, postings) as written by build()."""
-    # libraries are names, whatever they look like
-    read = lambda name, kinds: spark.read.schema(f"{kinds}, library string").parquet(f"{folder}/{name}")
-    stored = spark.read.parquet(f"{folder}/passages").drop("library").schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored)
-    return read("passages", kinds), read("postings", f"chunk {stored['chunk'].dataType.simpleString()}, word string, key string")
+    def _search(self, asked: DataFrame, limit: int, similarity: DataFrame | None, cap: int) -> DataFrame:
+        words = self.expanded(asked)
+        met = self.postings(words).join(words, ["library", "word"]).groupBy("query_id", "library", "chunk").agg(
+            F.first("document").alias("document"), F.first("ordinal").alias("ordinal"), F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found")
+        )
+        largest = self.sizes().agg(F.max("n_passages")).first()[0]
+        if largest and largest > cap:
+            met = met.drop("found").join(self.best(words, cap).select("query_id", "library", "chunk", F.lit(True).alias("found")), ["query_id", "library", "chunk"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        own = asked.select("query_id", "library", "phrase", "tokens")
+        if similarity is None:
+            loaded = met.where("found").withColumn("cosine", F.lit(None).cast("double"))
+        else:
+            # a library's passages of like meaning join those found by words
+            near = similarity.join(own.select("query_id", "library"), "query_id").join(self.passages().select("library", "chunk", F.col("document").alias("d"), F.col("ordinal").alias("o")), ["library", "chunk"])
+            loaded = met.join(near.select("query_id", "library", "chunk", "cosine", "d", "o"), ["query_id", "library", "chunk"], "full").where(F.coalesce("found", F.lit(False)) | (F.col("cosine") >= search.LEAST_COSINE))
+            loaded = loaded.withColumns({"document": F.coalesce("document", "d"), "ordinal": F.coalesce("ordinal", "o"), "hits": F.coalesce("hits", F.array().cast("array<string>"))}).drop("d", "o")
+        seen = loaded.join(own.select("query_id", "phrase", "tokens"), "query_id").repartition("query_id", "chunk")
+        weights = search.document_frequency(seen).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
+        # a passage that holds the phrase holds all its tokens
+        whole = seen.where(F.size("hits") == F.size(F.array_distinct("tokens"))).select("query_id", "library", "chunk", "phrase")
+        spelled = whole.join(self.passages().select("library", "chunk", "filename", "text"), ["library", "chunk"]).where(F.contains(F.lower(F.concat_ws(" ", "filename", "text")), "phrase")).select("query_id", "library", "chunk", F.lit(True).alias("spelled"))
+        scored = seen.join(weights, "query_id", "left").join(spelled, ["query_id", "library", "chunk"], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
+        lexical = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("hits", t), F.col("weights")[t]).otherwise(0.0))
+        close = F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0))
+        scored = scored.withColumn("lexical", lexical).withColumn("score", search.PHRASE_WEIGHT * F.col("spelled").cast("int") + search.TOKEN_WEIGHT * F.col("lexical") + search.COSINE_WEIGHT * close)
+        scored = scored.where(F.col("spelled") | (F.col("lexical") > 0) | (F.coalesce("cosine", F.lit(0.0)) >= search.LEAST_COSINE))
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ordinal", "chunk")
+        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(limit, 1), 50))
+        return ranked.join(self.passages().select("library", "chunk", "filename", "text"), ["library", "chunk"]).select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
 
 
-def lookup(spark: SparkSession, folder: str, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None) -> DataFrame:
-    """search() over the index under ``folder``: the same result, without reading the words of all passages again."""
-    passages, postings = opened(spark, folder)
-    return search.search(passages, queries, limit, similarity, postings)
+def lookup(spark: SparkSession, folder: str, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int = search.CANDIDATES) -> DataFrame:
+    """Search the last version of the index under ``folder``; nothing is found in an empty one."""
+    index = Index(spark, folder)
+    if not index.filled:
+        raise LookupError(f"no passages are indexed under {folder}")
+    return index.search(queries, limit, similarity, cap)

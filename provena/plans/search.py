@@ -74,21 +74,44 @@ SELECT library, count(*) AS postings, count(DISTINCT word) AS words, count(DISTI
 def index_build(spark, sf_dir):
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index.build(passages(spark, sf_dir), folder)
-    return index.opened(spark, folder)[1].groupBy("library").agg(F.count("*").alias("postings"), F.countDistinct("word").alias("words"), F.countDistinct("chunk").alias("passages"))
+    return index.Index(spark, folder).postings().groupBy("library").agg(F.count("*").alias("postings"), F.countDistinct("word").alias("words"), F.countDistinct("chunk").alias("passages"))
 
 
 _built: dict[str, str] = {}
 
 
-@query("search_indexed", f"WITH {search_sql(BATCH_SQL, limit=5)} SELECT query_id, chunk, round(score, 6) AS score, rank FROM ranked")
-def search_indexed(spark, sf_dir):
-    """search_batch_queries over a stored index, which the first call of an application over a folder builds."""
-    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+def stored(spark, sf_dir) -> str:
+    """The folder of an index of the documents table, built once an application for each state of the table's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+    times = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = repr([spark.sparkContext.applicationId, sf_dir, found.getLength(), [(s.getPath().getName(), s.getModificationTime()) for s in times]])
     if key not in _built:
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         index.build(passages(spark, sf_dir), folder)
         _built[key] = folder
-    return index.lookup(spark, _built[key], batch(spark, sf_dir), 5).select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
+    return _built[key]
+
+
+@query("search_indexed", f"WITH {search_sql(BATCH_SQL, limit=5)} SELECT query_id, chunk, round(score, 6) AS score, rank FROM ranked")
+def search_indexed(spark, sf_dir):
+    """search_batch_queries over a stored index, which the first call of an application over a table builds."""
+    return index.lookup(spark, stored(spark, sf_dir), batch(spark, sf_dir), 5).select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
+
+
+BM25_SQL = f"""bp AS (SELECT library, chunk, regexp_extract_all(lower(filename || ' ' || text), '{W1}') AS w FROM ({PASSAGES_SQL})),
+size AS (SELECT library, count(*) AS n, avg(len(w)) AS mean FROM bp GROUP BY library),
+btf AS (SELECT query_id, library, chunk, len(w) AS length, token, len(list_filter(w, lambda x: starts_with(x, token))) AS tf FROM bp JOIN (SELECT query_id, library, unnest(list_distinct({tokens_sql('query')})) AS token FROM ({BATCH_SQL})) USING (library) WHERE length(token) >= 3),
+bdf AS (SELECT query_id, token, count(*) AS df FROM btf WHERE tf > 0 GROUP BY ALL),
+scores AS (SELECT query_id, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS bm25
+  FROM btf JOIN bdf USING (query_id, token) JOIN size USING (library) WHERE tf > 0 GROUP BY ALL),
+best AS (SELECT query_id, chunk FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk) <= 10)"""
+
+
+@query("search_capped", f"WITH {BM25_SQL}, {search_sql(BATCH_SQL, limit=5, more='INTERSECT SELECT query_id, chunk FROM best')} SELECT query_id, chunk, round(score, 6) AS score, rank FROM ranked")
+def search_capped(spark, sf_dir):
+    """search_indexed, over the ten best full-text candidates of each question."""
+    return index.lookup(spark, stored(spark, sf_dir), batch(spark, sf_dir), 5, cap=10).select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
 @query("search_chunks")
