@@ -2,7 +2,7 @@
 
 A segment holds passages, their postings, the vocabulary and counts of posting
 blocks.  Postings lie in as many buckets of words as their number asks for, so a
-query reads the buckets of its words alone; the vocabulary is found by the first
+query reads the buckets of its words alone; a library's words are found by the first
 three characters of a token, wherever they stand in a word.  Scores need no text:
 a passage holds a token if one of its words does, and only passages that hold all
 tokens of a query are read for its phrase.
@@ -32,6 +32,8 @@ from provena.operators import search
 BUCKET, MOST_BUCKETS = 1_000_000, 4096
 #: Segments that stand unmerged, and how many times the newer ones' passages an older one may hold to be merged with them.
 SEGMENTS, LIKE = 4, 3
+#: What postings and asked words are joined by: a hash first, so that sorting seldom compares words.
+SLOT = ["slot", "library", "word"]
 #: Levels of impact, and BM25's constants.
 LEVELS, K1, B = 16, 1.2, 0.75
 #: Scores that differ by less count as equal when levels are left out.
@@ -95,14 +97,14 @@ def _write(passages: DataFrame | None, gone: DataFrame, folder: str, version: in
     buckets, mean = segment["buckets"], max(total / n, 1.0) if n else 1.0
     counted = own.select("library", "document", "chunk", "ordinal", "length", F.explode(_words(3)).alias("word")).groupBy("library", "document", "chunk", "ordinal", "length", "word").agg(F.count("*").cast("int").alias("tf"))
     level = F.floor(F.least(F.lit(LEVELS - 1), LEVELS * _impact(F.col("tf"), F.col("length"), F.lit(mean)) / (K1 + 1))).cast("int")
-    postings = counted.withColumns({"level": level, "bucket": _dealt("word", buckets)})
+    postings = counted.withColumns({"level": level, "slot": F.xxhash64("library", "word"), "bucket": _dealt("word", buckets)})
     # a bucket of very many postings is dealt over several files
     put(postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "library", "word", "level"), "postings", "bucket")
     stored = _postings(spark, folder, segment)
     blocks = stored.groupBy("bucket", "library", "word", "level").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("tf", "length") for f in (F.min, F.max)])
     put(blocks, "blocks", "bucket")
-    vocabulary = stored.select("word").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))))
-    put(vocabulary.withColumn("bucket", _dealt("gram", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram"), "vocabulary", "bucket")
+    vocabulary = stored.select("library", "word").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))))
+    put(vocabulary.withColumn("bucket", _dealt("gram", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "library", "gram"), "vocabulary", "bucket")
     return segment
 
 
@@ -116,7 +118,7 @@ def _read(spark: SparkSession, folder: str, segment: dict, what: str, kinds: str
 
 def _postings(spark: SparkSession, folder: str, segment: dict) -> DataFrame:
     own = _schema(segment)
-    return _read(spark, folder, segment, "postings", ", ".join(f"{c} {own[c]}" for c in ("library", "document", "chunk", "ordinal", "length")) + ", word string, tf int, level int, bucket int")
+    return _read(spark, folder, segment, "postings", ", ".join(f"{c} {own[c]}" for c in ("library", "document", "chunk", "ordinal", "length")) + ", word string, tf int, level int, slot long, bucket int")
 
 
 def _live(spark: SparkSession, folder: str, segments: list[dict], read) -> DataFrame:
@@ -225,15 +227,17 @@ class Index:
         return table.where(F.col("bucket").isin(wanted))
 
     def expanded(self, asked: DataFrame) -> DataFrame:
-        """(query_id, library, token, word, prefix): words of the vocabulary that hold a token of ``asked`` (query_id, library, tokens), and whether they start with it."""
+        """(query_id, slot, library, token, word, prefix): words of the vocabulary that hold a token of ``asked`` (query_id, library, tokens), and whether they start with it."""
         tokens = asked.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token")).withColumn("gram", F.substring("token", 1, 3))
         found = None
         for s in self.segments:
             if s["passages"]:
-                own = self._bucketed(_read(self.spark, self.folder, s, "vocabulary", "word string, gram string, bucket int"), tokens, "gram", s).select("gram", "word")
+                own = self._bucketed(_read(self.spark, self.folder, s, "vocabulary", f"library {_schema(s)['library']}, word string, gram string, bucket int"), tokens, "gram", s).select("library", "gram", "word")
                 found = own if found is None else found.unionByName(own)
-        met = tokens.join(found.distinct(), "gram").where(F.contains("word", "token"))
-        return met.select("query_id", "library", "token", "word", F.startswith("word", "token").alias("prefix"))
+        # words of several segments meet once
+        found = found.distinct() if len([s for s in self.segments if s["passages"]]) > 1 else found
+        met = tokens.join(found, ["library", "gram"]).where(F.contains("word", "token"))
+        return met.select("query_id", F.xxhash64("library", "word").alias("slot"), "library", "token", "word", F.startswith("word", "token").alias("prefix"))
 
     def sizes(self) -> DataFrame:
         """(library, n, mean): passages of each library and their mean number of words."""
@@ -265,7 +269,7 @@ class Index:
         """(query_id, library, chunk, bm25, rank): the ``cap`` best full-text candidates of each query, by BM25 over the words that start with its tokens."""
         starts = words.where("prefix").drop("prefix")
         postings = self.postings(starts)
-        df = postings.select("library", "word", "chunk").join(starts, ["library", "word"]).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
+        df = postings.select("slot", "library", "word", "chunk").join(starts, SLOT).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
         n = F.col("n_passages")
         weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
         kept = self.levels(words, weights, cap).where("kept").drop("kept")
@@ -278,7 +282,7 @@ class Index:
         """(query_id, levels, skipped): posting levels of each query's words, and how many of them were left out."""
         words = self.expanded(search.prepared(queries))
         starts = words.where("prefix")
-        df = self.postings(starts).join(starts, ["library", "word"]).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
+        df = self.postings(starts).join(starts, SLOT).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
         weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
         return self.levels(words, weights, cap).groupBy("query_id").agg(F.count("*").alias("levels"), F.count(F.when(~F.col("kept"), 1)).alias("skipped"))
 
@@ -296,9 +300,7 @@ class Index:
 
     def _search(self, asked: DataFrame, limit: int, similarity: DataFrame | None, cap: int) -> DataFrame:
         words = self.expanded(asked)
-        met = self.postings(words).join(words, ["library", "word"]).groupBy("query_id", "library", "chunk").agg(
-            F.first("document").alias("document"), F.first("ordinal").alias("ordinal"), F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found")
-        )
+        met = self.postings(words).select("slot", "library", "word", "chunk").join(words, SLOT).groupBy("query_id", "library", "chunk").agg(F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found"))
         largest = self.sizes().agg(F.max("n_passages")).first()[0]
         if largest and largest > cap:
             met = met.drop("found").join(self.best(words, cap).select("query_id", "library", "chunk", F.lit(True).alias("found")), ["query_id", "library", "chunk"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
@@ -307,15 +309,16 @@ class Index:
             loaded = met.where("found").withColumn("cosine", F.lit(None).cast("double"))
         else:
             # a library's passages of like meaning join those found by words
-            near = similarity.join(own.select("query_id", "library"), "query_id").join(self.passages().select("library", "chunk", F.col("document").alias("d"), F.col("ordinal").alias("o")), ["library", "chunk"])
-            loaded = met.join(near.select("query_id", "library", "chunk", "cosine", "d", "o"), ["query_id", "library", "chunk"], "full").where(F.coalesce("found", F.lit(False)) | (F.col("cosine") >= search.LEAST_COSINE))
-            loaded = loaded.withColumns({"document": F.coalesce("document", "d"), "ordinal": F.coalesce("ordinal", "o"), "hits": F.coalesce("hits", F.array().cast("array<string>"))}).drop("d", "o")
+            near = similarity.join(own.select("query_id", "library"), "query_id").join(self.passages().select("library", "chunk"), ["library", "chunk"])
+            loaded = met.join(near.select("query_id", "library", "chunk", "cosine"), ["query_id", "library", "chunk"], "full").where(F.coalesce("found", F.lit(False)) | (F.col("cosine") >= search.LEAST_COSINE))
+            loaded = loaded.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
         seen = loaded.join(own.select("query_id", "phrase", "tokens"), "query_id").repartition("query_id", "chunk")
         weights = search.document_frequency(seen).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
         # a passage that holds the phrase holds all its tokens
         whole = seen.where(F.size("hits") == F.size(F.array_distinct("tokens"))).select("query_id", "library", "chunk", "phrase")
         spelled = whole.join(self.passages().select("library", "chunk", "filename", "text"), ["library", "chunk"]).where(F.contains(F.lower(F.concat_ws(" ", "filename", "text")), "phrase")).select("query_id", "library", "chunk", F.lit(True).alias("spelled"))
-        scored = seen.join(weights, "query_id", "left").join(spelled, ["query_id", "library", "chunk"], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
+        placed = self.passages().select("library", "chunk", "document", "ordinal")
+        scored = seen.join(placed, ["library", "chunk"]).join(weights, "query_id", "left").join(spelled, ["query_id", "library", "chunk"], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
         lexical = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("hits", t), F.col("weights")[t]).otherwise(0.0))
         close = F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0))
         scored = scored.withColumn("lexical", lexical).withColumn("score", search.PHRASE_WEIGHT * F.col("spelled").cast("int") + search.TOKEN_WEIGHT * F.col("lexical") + search.COSINE_WEIGHT * close)
