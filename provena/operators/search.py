@@ -99,6 +99,12 @@ def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity:
     return ranked.join(passages.select("chunk", "filename", "text"), "chunk").select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
 
 
+def library_cosines(passages: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk, cosine): each query (query_id, library, q) with every embedded passage of its library; ``vectors`` (chunk, embedding)."""
+    own = passages.select("library", "chunk").join(vectors.select("chunk", "embedding"), "chunk")
+    return own.join(queries.select("query_id", "library", "q"), "library").select("query_id", "chunk", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
 def federated(passages: DataFrame, queries: DataFrame, libraries: DataFrame, limit: int = 20) -> DataFrame:
     """Each query over several libraries: ranked in each with that library's own weights, then merged by raw score.
 

@@ -132,12 +132,12 @@ PDF_SQL = " ".join(f"WHEN regexp_matches(body, '{p.decode()}', 'is') THEN '{name
 CSV_SQL = files.CSV_PATTERN.replace("'", "''")
 
 
-@query("file_threats", f"""WITH f AS (SELECT page_id, [{', '.join(_sql_text(s) for s, _ in FILES)}][page_id % {len(FILES)} + 1] AS suffix, [{', '.join(_sql_text(t) for _, t in FILES)}][page_id % {len(FILES)} + 1] || chr(10) || md5(html) AS body FROM pages)
+@query("file_threats", f"""WITH f AS (SELECT page_id, [{', '.join(_sql_text(s) for s, _ in FILES)}][page_id % {len(FILES)} + 1] AS suffix, [{', '.join(_sql_text(t) for _, t in FILES)}][page_id % {len(FILES)} + 1] || chr(10) || html AS body FROM pages)
 SELECT page_id, CASE suffix WHEN '.pdf' THEN CASE {PDF_SQL} END WHEN '.txt' THEN NULL ELSE CASE WHEN regexp_matches(body, '(?m){CSV_SQL}', 'i') THEN '{files.CSV_THREAT}' END END AS threat FROM f""")
 def file_threats(spark, sf_dir):
     at = (F.col("page_id") % len(FILES) + 1).cast("int")
     suffix, body = (F.element_at(F.array(*map(F.lit, x)), at) for x in zip(*FILES))
-    p = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), suffix).alias("name"), F.concat(body, F.lit("\n"), F.md5("html")).cast("binary").alias("content"))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), suffix).alias("name"), F.concat(body, F.lit("\n"), "html").cast("binary").alias("content"))
     return files.scan(p).select(F.split_part("name", F.lit("."), F.lit(1)).cast("long").alias("page_id"), "threat")
 
 

@@ -164,18 +164,18 @@ RATE_SQL = "SELECT event_id, user_id AS identifier, event_type AS kind, epoch(ts
 
 
 def rate_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("identifier"), F.col("event_type").alias("kind"), F.unix_timestamp("ts").alias("occurred_at"), "value")
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("identifier"), F.col("event_type").alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("occurred_at"), "value")
 
 
-@query("rate_window_counts", f"WITH e AS ({RATE_SQL}), m AS (SELECT max(floor(occurred_at)) AS now FROM e) SELECT identifier, kind, count(*) AS n, round(sum(value), 4) AS amount FROM e, m WHERE floor(occurred_at) > now - 86400 GROUP BY ALL")
+@query("rate_window_counts", f"WITH e AS ({RATE_SQL}), m AS (SELECT max(occurred_at) AS now FROM e) SELECT identifier, kind, count(*) AS n, round(sum(value), 4) AS amount FROM e, m WHERE occurred_at > now - 86400 GROUP BY ALL")
 def rate_window_counts(spark, sf_dir):
     e = rate_events(spark, sf_dir)
     now = F.lit(e.agg(F.max("occurred_at").alias("m")).first().m)
     return analytics.in_window(e, now, 86400, "value").withColumn("amount", F.round("amount", 4))
 
 
-@query("login_failures_window", """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'error')
-SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM e""")
+@query("login_failures_window", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error')
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM e""")
 def login_failures_window(spark, sf_dir):
     e = rate_events(spark, sf_dir).where("kind = 'error'")
     return analytics.sliding_counts(e, 86400).select("event_id", "recent")

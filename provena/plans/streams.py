@@ -59,10 +59,10 @@ def stream_session(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"), "event_type", F.col("value").alias("size_mb"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_type", F.col("value").alias("size_mb"))
 
 
-KEYED = "SELECT event_id, user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS secs, event_type, value AS size_mb FROM events"
+KEYED = "SELECT event_id, user_id, CAST(epoch(ts) AS DOUBLE) AS secs, event_type, value AS size_mb FROM events"
 
 
 def folded_sql(events: str, columns: str, start: str, seen: str, step: str, given: str) -> str:
@@ -84,7 +84,7 @@ def stream_rate_limit(spark, sf_dir):
 
 @query("stream_rate_limit_live", _rate_sql("event_id, user_id, secs AS \"at\""))
 def stream_rate_limit_live(spark, sf_dir):
-    e = event_stream(spark, sf_dir).select("event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"))
+    e = event_stream(spark, sf_dir).select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     output, folder = "admitted boolean, recent int", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     state.over_stream(e, "user_id", ["at", "event_id"], state.rate_limit(5, 43200), output, folder, {"availableNow": True}).awaitTermination()
     return state.folded(e, output, folder)

@@ -7,6 +7,8 @@ import math
 import operator
 import re
 
+import pytest
+
 import __spark_entry__ as entry
 from provena.operators import search
 from provena.plans import streams
@@ -145,3 +147,29 @@ def test_late_events_change_their_window(spark, tmp_path):
     e = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     got = streams.drained(spark, windows.tumbling(e), ["w_start", "w_end", "event_type"]).collect()
     assert sorted((r.w_start.hour, r.n) for r in got) == [(0, 2), (1, 2), (3, 2)]
+
+
+def test_a_query_cannot_name_relations_by_expression(spark):
+    from provena.sources import tabular
+
+    data = spark.createDataFrame([(1,)], "x int")
+    spark.createDataFrame([(2,)], "y int").createOrReplaceTempView("secretview")
+    try:
+        for sql in (
+            "SELECT * FROM data, IDENTIFIER('secretview')", "SELECT * FROM IDENTIFIER('secret' || 'view')", "SELECT * FROM IDENTIFIER/**/('secretview')", "SELECT IDENTIFIER('reflect')('a', 'b') FROM data",
+            "SELECT current_user() FROM data", "SELECT current_user FROM data", "SELECT session_user() FROM data", "SELECT (SELECT max(y) FROM secretview) FROM data",
+        ):
+            with pytest.raises(tabular.QueryRefused):
+                tabular.query(spark, data, sql)
+        assert tabular.query(spark, data, "SELECT 'identifier' AS current, x FROM data").collect() == [("identifier", 1)]
+    finally:
+        spark.catalog.dropTempView("secretview")
+
+
+def test_meaning_admits_a_whole_library(spark):
+    from provena.operators import search
+
+    p = spark.createDataFrame([("a" if i < 1200 else "b", i, i, "f", "t", 0) for i in range(2400)], "library string, document long, chunk long, filename string, text string, ordinal int")
+    v = spark.createDataFrame([(i, [1.0, i / 5000]) for i in range(2400)], "chunk long, embedding array<double>")
+    near = search.library_cosines(p, v, spark.createDataFrame([(1, "b", [1.0, 0.0])], "query_id int, library string, q array<double>")).collect()
+    assert {r.chunk for r in near} == set(range(1200, 2400)) and all(r.cosine >= 0.35 for r in near)
