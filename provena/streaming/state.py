@@ -51,6 +51,27 @@ def lockout(limit: int = FAILURES, seconds: int = LOCK_SECONDS) -> Step:
     return step
 
 
+def login_guard(limit: int = FAILURES, seconds: int = LOCK_SECONDS) -> Step:
+    """lockout() of two scopes, for events keyed by address: the address as a whole, and the address with the event's ``user``.
+
+    An attempt is blocked if either scope is; a failure counts for both and a
+    success clears both.  Users whose failures are all past leave the state."""
+
+    def step(state: dict, event: dict):
+        since = event["at"] - seconds
+        address = [t for t in state.get("address", []) if t > since]
+        users = {u: kept for u, times in state.get("users", {}).items() if (kept := [t for t in times if t > since])}
+        user = (event["user"] or "").strip().lower()
+        own = users.get(user, [])
+        blocked = len(address) >= limit or len(own) >= limit
+        if not blocked:
+            address, own = ([], []) if event["ok"] else ([*address, event["at"]], [*own, event["at"]])
+            users = {u: t for u, t in {**users, user: own}.items() if t}
+        return {"address": address, "users": users}, {"blocked": blocked, "failures": len(address), "user_failures": len(own)}
+
+    return step
+
+
 def job(most: int = 3) -> Step:
     """A job's status after each event: claim, progress, success, transient or permanent failure, recover, reprocess."""
 
@@ -107,45 +128,53 @@ def over_table(events: DataFrame, key: str, order: list[str], step: Step, output
     return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(work, f"{schema}, {output}")
 
 
-def over_stream(events: DataFrame, key: str, order: list[str], step: Step, output: str, folder: str, trigger: dict | None = None) -> StreamingQuery:
+def over_stream(events: DataFrame, key: str, order: list[str], step: Step, output: str, folder: str, trigger: dict | None = None, keep: float | None = None) -> StreamingQuery:
     """over_table() on a stream: each micro-batch's events of a key are folded in order from the state that the last one left.
 
     A batch is one sorted pass, which spills: no key's events are gathered.  Its rows
     go to ``folder``, which driver and executors share, together with all keys' states
-    after it; a batch that is repeated overwrites its own.  folded() reads the rows."""
+    after it; a batch that is repeated overwrites its own.  folded() reads the rows.
+    ``keep`` is how many seconds an event can matter (by its ``at``): the state of a
+    key whose last event is further behind the newest of all is not carried on."""
     fields = [x.split()[0] for x in output.split(", ")]
     own = events.columns
     kinds = {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}
     more = [pa.field(f, kinds[x.split()[1]]) for f, x in zip(fields, output.split(", "), strict=True)]
 
     def work(batches):
-        last, state, started = None, {}, False
+        last, state, at, started = None, {}, None, False
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if not started or r[key] != last:
                     if started:
-                        out.append({key: last, HELD: json.dumps(state)})
-                    last, state, started = r[key], {}, True
+                        out.append({key: last, HELD: json.dumps({"at": at, "state": state})})
+                    last, state, at, started = r[key], {}, None, True
                 held = r.pop(HELD)
                 if held is not None:
-                    state = json.loads(held)
+                    held = json.loads(held)
+                    state, at = held["state"], held["at"]
                     continue
                 state, given = step(state, r)
+                at = r.get("at") if at is None or r.get("at") is not None and r["at"] > at else at
                 out.append({**r, **given})
             names = batch.schema
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([*batch.schema, *more]))
         if started:
-            yield pa.RecordBatch.from_pylist([{key: last, HELD: json.dumps(state)}], pa.schema([*names, *more]))
+            yield pa.RecordBatch.from_pylist([{key: last, HELD: json.dumps({"at": at, "state": state})}], pa.schema([*names, *more]))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
 
     def each(batch: DataFrame, number: int) -> None:
         rows = batch.select(*own, F.lit(None).cast("string").alias(HELD))
         if number:
-            states = batch.sparkSession.read.schema(f"{schema}, {HELD} string").parquet(f"{folder}/batch={number - 1}")
-            rows = states.where(F.col(HELD).isNotNull()).unionByName(rows)
+            states = batch.sparkSession.read.schema(f"{schema}, {HELD} string").parquet(f"{folder}/batch={number - 1}").where(F.col(HELD).isNotNull())
+            if keep is not None:
+                at = F.get_json_object(HELD, "$.at").cast("double")
+                newest = states.agg(F.max(at).alias("t")).unionByName(batch.agg(F.max("at").cast("double").alias("t"))).agg(F.max("t")).first()[0]
+                states = states.where(at >= F.lit(newest) - keep) if newest is not None else states
+            rows = states.unionByName(rows)
         # a key's state comes before its events
         told = rows.repartition(key).sortWithinPartitions(key, F.col(HELD).isNull(), *order)
         told.mapInArrow(work, f"{schema}, {HELD} string, {output}").write.mode("overwrite").parquet(f"{folder}/batch={number}")

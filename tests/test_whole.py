@@ -173,3 +173,39 @@ def test_meaning_admits_a_whole_library(spark):
     v = spark.createDataFrame([(i, [1.0, i / 5000]) for i in range(2400)], "chunk long, embedding array<double>")
     near = search.library_cosines(p, v, spark.createDataFrame([(1, "b", [1.0, 0.0])], "query_id int, library string, q array<double>")).collect()
     assert {r.chunk for r in near} == set(range(1200, 2400)) and all(r.cosine >= 0.35 for r in near)
+
+
+def test_a_login_is_guarded_by_address_and_by_address_and_user():
+    step, seen = state.login_guard(3, 100), []
+    held = {}
+    tries = [(0, "a", False), (1, " A", False), (2, "b", False), (3, "c", True), (50, "a", False), (101, "a", True), (102, "a", False), (103, "b", False), (150, "c", True), (160, "a", False), (170, None, False), (171, "d", True)]
+    failures = []
+    for at, user, ok in tries:
+        name = (user or "").strip().lower()
+        address = [f for f in failures if f[0] > at - 100 and f[2]]
+        own = [f for f in failures if f[0] > at - 100 and f[1] == name and f[3]]
+        blocked = len(address) >= 3 or len(own) >= 3
+        if not blocked and ok:  # clears the address, and this user at it
+            failures = [(t, u, False, live and u != name) for t, u, _, live in failures]
+        elif not blocked:
+            failures.append((at, name, True, True))
+        held, given = step(held, {"at": at, "user": user, "ok": ok})
+        seen.append((given["blocked"], blocked))
+    assert all(x == y for x, y in seen) and {x for x, _ in seen} == {True, False}
+    assert step(held, {"at": 10_000, "user": "z", "ok": True})[0] == {"address": [], "users": {}}
+
+
+def test_idle_keys_leave_the_state_of_a_stream(spark, tmp_path):
+    schema, output = "n long, key string, at double", "admitted boolean, recent int"
+    batches = [[(0, "old", 0.0), (1, "live", 1.0)], [(2, "live", 500.0), (3, "late", 20.0)], [(4, "live", 520.0), (5, "old", 530.0), (6, None, 531.0)]]
+    everything = [x for b in batches for x in b]
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        state.over_stream(source, "key", ["at", "n"], state.rate_limit(1, 60), output, f"{tmp_path}/out", {"availableNow": True}, keep=60).awaitTermination()
+    got = {r.n: (r.admitted, r.recent) for r in state.folded(source, output, f"{tmp_path}/out").collect()}
+    table = spark.createDataFrame(everything, schema)
+    assert got == {r.n: (r.admitted, r.recent) for r in state.over_table(table, "key", ["at", "n"], state.rate_limit(1, 60), output).collect()}
+    last = max(int(p.name[6:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("batch="))
+    kept = spark.read.parquet(f"{tmp_path}/out/batch={last}").where(f"{state.HELD} IS NOT NULL")
+    assert {r.key for r in kept.collect()} == {"live", "old", None}
