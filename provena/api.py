@@ -25,7 +25,8 @@ def search_documents(passages: DataFrame, queries: DataFrame, acl: DataFrame | N
     each = asked.select("library", F.col("query_id").alias("own"), F.posexplode("variants").alias("variant", "query"))
     each = each.withColumn("query_id", F.concat_ws("|", F.col("own").cast("string"), F.col("variant").cast("string")))
     pool = max(3 * limit, 20) if rerank else limit
-    found = search.search(seen, each.select("query_id", "library", "query"), pool).join(each.select("query_id", "own", "variant", "query"), "query_id")
+    own = each.select("query_id", "library", "query")
+    found = search.search(seen, own, pool, expansions=search.expansions(own, synonyms) if synonyms else None).join(each.select("query_id", "own", "variant", "query"), "query_id")
     first = search.first_answering(found.withColumn("query_id", F.col("own")).drop("own"))
     if not rerank:
         return first

@@ -71,14 +71,19 @@ def document_frequency(seen: DataFrame) -> DataFrame:
     return df.withColumn("weight", weight)
 
 
-def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+def search(passages: DataFrame, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, stored: DataFrame | None = None, expansions: DataFrame | None = None) -> DataFrame:
     """(query_id, library, chunk, document, filename, text, score, rank): the ``limit`` best passages of each query in its library.
 
     ``similarity`` (query_id, chunk, cosine) admits passages by meaning too.  A
-    passage stays if it holds the phrase or a token, or is similar enough.  Ties go
-    to the smaller ordinal, then chunk."""
+    passage stays if it holds the phrase or a token, or is similar enough.  ``expansions``
+    (query_id, library, query) are other wordings, any number for a query: what they
+    find joins its candidates before anything is weighted, so all wordings share one
+    count and one document frequency; scored are the query's own phrase and tokens.
+    Ties go to the smaller ordinal, then chunk."""
     asked = prepared(queries)
     found = candidates(passages, asked, stored).select("query_id", "chunk")
+    if expansions is not None:
+        found = found.unionByName(candidates(passages, prepared(expansions), stored).select("query_id", "chunk")).distinct()
     if similarity is not None:
         close = similarity.where(F.col("cosine") >= LEAST_COSINE).join(queries.select("query_id", "library"), "query_id").join(passages.select("library", "chunk"), ["library", "chunk"])
         found = found.unionByName(close.select("query_id", "chunk")).distinct()
@@ -183,6 +188,12 @@ def expand(queries: DataFrame, synonyms: dict[str, list[str]], most: int = 3) ->
     return queries.withColumn("variants", T.bound(added, lambda a: F.when(F.size(a) > 0, F.array(clean, F.concat_ws(" ", clean, F.array_join(a, " ")))).otherwise(F.array(clean))))
 
 
+def expansions(queries: DataFrame, synonyms: dict[str, list[str]], most: int = 3) -> DataFrame:
+    """(query_id, library, query): the other wordings of each query, as expand() gives them."""
+    asked = expand(queries, synonyms, most).select("query_id", "library", F.slice("variants", 2, most).alias("others"))
+    return asked.select("query_id", "library", F.explode("others").alias("query"))
+
+
 def first_answering(found: DataFrame) -> DataFrame:
     """``found`` (query_id, variant, ...) of each query's first variant that found anything."""
     least = found.groupBy("query_id").agg(F.min("variant").alias("variant"))

@@ -11,7 +11,7 @@ from provena.operators import conversations, diff, evaluation, evidence, search,
 from provena.plans.adapters import passages, table
 from provena.plans.registry import query
 from provena.plans.search import BATCH_SQL, batch, search_sql
-from provena.sources import files, units
+from provena.sources import crawl, files, units
 
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
@@ -97,6 +97,41 @@ def page_links_same_host(spark, sf_dir):
     return units.page_links(table(spark, sf_dir, "pages"))
 
 
+#: Pages as three sites: page i is the address /p<i>, and its k-th link leads to a page of its site that its number, k and the link's length name.
+SITES_SQL = r"""raw AS (SELECT page_id, html, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs, (SELECT count(*) // 3 FROM pages) AS n FROM pages),
+site AS (SELECT 'http://site' || (page_id % 3) || '.example' AS base, base || '/p' || page_id AS url, page_id,
+  list_transform(range(len(hrefs)), lambda k: base || '/p' || (3 * ((page_id * 7 + k * k * 17 + length(hrefs[k + 1]) * 5) % n) + page_id % 3)) AS links, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 2000 AS kept FROM raw),
+link AS (SELECT url, link, min(pos) AS pos FROM (SELECT url, unnest(links) AS link, unnest(range(len(links))) AS pos FROM site) GROUP BY ALL),
+walk AS (SELECT url AS seed, url, 0 AS depth, [CAST(0 AS BIGINT)] AS path FROM site WHERE page_id < 3
+  UNION ALL SELECT seed, link, depth + 1, path || [pos] FROM (SELECT w.seed, l.link, w.depth, w.path, l.pos FROM walk w JOIN link l USING (url) JOIN site s ON s.url = l.link WHERE w.depth < 12) QUALIFY row_number() OVER (PARTITION BY seed, link ORDER BY path || [pos]) = 1),
+one AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY seed, url ORDER BY depth, path) = 1),
+ranked AS (SELECT seed, url, page_id, depth, row_number() OVER (PARTITION BY seed ORDER BY depth, path) AS rank, kept,
+  coalesce(count(*) FILTER (kept) OVER (PARTITION BY seed ORDER BY depth, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM one JOIN site USING (url))"""
+
+
+def sites(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    n = F.lit(p.count() // 3)
+    base = F.concat(F.lit("http://site"), (F.col("page_id") % 3).cast("string"), F.lit(".example"))
+    target = lambda h, k: 3 * ((F.col("page_id") * 7 + k * k * 17 + F.length(h) * 5) % n) + F.col("page_id") % 3
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)), lambda h, k: F.concat(F.lit('<a href="/p'), target(h, k).cast("string"), F.lit('">x</a>')))
+    return p.select("page_id", F.concat(base, F.lit("/p"), F.col("page_id").cast("string")).alias("url"), F.array_join(links, "").alias("html"), F.regexp_replace("html", "<[^>]+>", "").alias("markdown"))
+
+
+@query("crawl_order", f"WITH RECURSIVE {SITES_SQL} SELECT seed, url, page_id, depth, rank, kept FROM ranked")
+def crawl_order(spark, sf_dir):
+    """Every page that can be reached from each site's first page in at most twelve links, in breadth-first order."""
+    p = sites(spark, sf_dir)
+    return crawl.crawl(p, p.where("page_id < 3").select(F.col("url").alias("seed")), rounds=12, least=2000)
+
+
+@query("crawl_most_pages", f"WITH RECURSIVE {SITES_SQL} SELECT seed, url, page_id, depth, rank, kept FROM ranked WHERE ahead < 20")
+def crawl_most_pages(spark, sf_dir):
+    """The same crawl, which ends when a site has given 20 documents."""
+    p = sites(spark, sf_dir)
+    return crawl.crawl(p, p.where("page_id < 3").select(F.col("url").alias("seed")), most=20, rounds=12, least=2000)
+
+
 @query("markdown_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split('# T' || doc_id % 3 || chr(10) || text, chr(10))) AS t, unnest(range(len(string_split('# T' || doc_id % 3 || chr(10) || text, chr(10))))) AS line FROM documents),
 m AS (SELECT *, CASE WHEN regexp_matches(t, '^#{1,6}\s+.+$') THEN trim(regexp_replace(t, '^#+', '')) END AS h FROM l)
 SELECT doc_id, heading, count(*) AS n FROM (SELECT doc_id, t, h, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line), 'Documento') AS heading FROM m) WHERE h IS NULL AND trim(t) <> '' GROUP BY ALL""")

@@ -175,12 +175,31 @@ def search_reranked(spark, sf_dir):
     return search.rerank(found, "query", 5).select("query_id", "chunk", "rerank", "place")
 
 
-@query("search_expanded")
+SYNONYMS = {"the": ["of them", "thing"], "ing": ["inging"], "nicht": ["kein"], "de": ["del", "des"]}
+
+
+def expanded_sql(query: str) -> str:
+    """The wording with synonyms, or null."""
+    bounded = lambda t: f"regexp_matches(lower(trim({query})), '(^|[^\\p{{L}}\\p{{N}}_]){t}($|[^\\p{{L}}\\p{{N}}_])')"
+    offered = " || ".join(f"CASE WHEN {bounded(t)} THEN {SYNONYMS[t]} ELSE [] END" for t in sorted(SYNONYMS, key=lambda t: -len(t)))
+    added = f"list_filter({offered}, lambda s: NOT contains(lower(trim({query})), s))[1:3]"
+    return f"CASE WHEN len({added}) > 0 THEN trim({query}) || ' ' || array_to_string({added}, ' ') END"
+
+
+WORDINGS_SQL = f"""SELECT query_id || '|' || variant AS query_id, library, query, query_id AS own, variant FROM (SELECT query_id, library, trim(query) AS query, 0 AS variant FROM ({BATCH_SQL})
+UNION ALL SELECT query_id, library, {expanded_sql('query')}, 1 FROM ({BATCH_SQL})) WHERE query IS NOT NULL"""
+OTHERS_SQL = f"""SELECT query_id, library, unnest(list_distinct({tokens_sql('other')})) AS token FROM (SELECT query_id, library, {expanded_sql('query')} AS other FROM ({WORDINGS_SQL})) WHERE other IS NOT NULL"""
+
+
+@query("search_expanded", f"""WITH {search_sql(WORDINGS_SQL, limit=3, more=f"UNION SELECT query_id, chunk FROM ({OTHERS_SQL}) JOIN p USING (library) WHERE length(token) >= 3 AND len(list_filter(words, lambda w: starts_with(w, token))) > 0")}
+SELECT own AS query_id, CAST(variant AS INT) AS variant, chunk, round(score, 6) AS score, rank FROM ranked JOIN ({WORDINGS_SQL}) v USING (query_id) QUALIFY variant = min(variant) OVER (PARTITION BY own)""")
 def search_expanded(spark, sf_dir):
-    asked = search.expand(batch(spark, sf_dir), {"the": ["of them", "thing"], "ing": ["inging"], "nicht": ["kein"], "de": ["del", "des"]})
+    """Each question's first wording that finds anything; the candidates of a wording are joined by those of its synonyms."""
+    asked = search.expand(batch(spark, sf_dir), SYNONYMS)
     opened = asked.select("query_id", "library", F.posexplode("variants").alias("variant", "query"))
     each = opened.withColumn("own", F.col("query_id")).withColumn("query_id", F.concat_ws("|", F.col("own").cast("string"), F.col("variant").cast("string")))
-    found = search.search(passages(spark, sf_dir), each.select("query_id", "library", "query"), 3).join(each.select("query_id", "own", "variant"), "query_id")
+    wordings = each.select("query_id", "library", "query")
+    found = search.search(passages(spark, sf_dir), wordings, 3, expansions=search.expansions(wordings, SYNONYMS)).join(each.select("query_id", "own", "variant"), "query_id")
     return search.first_answering(found.withColumn("query_id", F.col("own")).select("query_id", "variant", "chunk", F.round("score", 6).alias("score"), "rank"))
 
 

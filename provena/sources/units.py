@@ -461,13 +461,19 @@ def safe_title(title: Column) -> Column:
     return F.when(clean == "", "pagina_web").otherwise(clean)
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link): distinct links of a page to its own host, without fragments."""
-    raw = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit("(?i)href=[\"']([^\"']+)[\"']"), F.lit(1))).alias("raw"))
+def ordered_links(pages: DataFrame) -> DataFrame:
+    """(page_id, link, pos): distinct links of a page to its own host, without fragments, and where the first of each stands."""
+    raw = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("(?i)href=[\"']([^\"']+)[\"']"), F.lit(1))).alias("pos", "raw"))
     href = F.substring_index("raw", "#", 1)
     base = F.regexp_extract("url", r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), r"[^/]*$", "")
     scheme = F.regexp_extract("url", r"^([a-zA-Z][\w+.-]*:)", 1)
     link = F.when(href.rlike(r"^[a-zA-Z][\w+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(base, href)).otherwise(F.concat(folder, href))
-    found = raw.where((href != "") & ~href.rlike("^(mailto:|javascript:|tel:)")).select("page_id", base.alias("base"), link.alias("link"))
-    return found.where((F.col("link") == F.col("base")) | F.col("link").startswith(F.concat("base", F.lit("/")))).select("page_id", "link").distinct()
+    found = raw.where((href != "") & ~href.rlike("^(mailto:|javascript:|tel:)")).select("page_id", base.alias("base"), link.alias("link"), "pos")
+    own = found.where((F.col("link") == F.col("base")) | F.col("link").startswith(F.concat("base", F.lit("/"))))
+    return own.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, link): distinct links of a page to its own host, without fragments."""
+    return ordered_links(pages).select("page_id", "link")
