@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from provena.functions import text as T
-from provena.operators import access, analytics, audit, documents
+from provena.operators import access, analytics, audit, documents, lifecycle
 from provena.plans.adapters import ACL_SQL, EVENTS_SQL, GROUPS_SQL, JOBS_SQL, MEMBERS_SQL, UPLOADS_SQL, acl, feedback_events, group_mapping, jobs, members, query_events, table, uploads
 from provena.plans.registry import query
+from provena.session import shared_folder
 
 RANK = "CASE role WHEN 'manager' THEN 4 WHEN 'editor' THEN 3 WHEN 'reviewer' THEN 2 WHEN 'viewer' THEN 1 ELSE 0 END"
 
@@ -259,6 +262,29 @@ def retention_counts(spark, sf_dir):
     return found.groupBy("action").agg(F.count("*").alias("n"))
 
 
+ACTED = f"""n AS (SELECT max(o_orderdate) AS now FROM orders),
+due AS (SELECT o_orderkey AS document, action FROM orders JOIN {POLICIES} ON o_orderstatus = library, n WHERE days > 0 AND o_orderdate <= now - to_days(CAST(days AS INT)) AND o_custkey % 10 <> 0)"""
+
+
+@query("retention_applied", f"""WITH {ACTED}, c AS (SELECT l_orderkey AS document, count(*) AS chunks FROM lineitem GROUP BY ALL)
+SELECT o_orderkey AS document, CASE WHEN action = 'archive' THEN 'archived' ELSE o_orderpriority END AS status, coalesce(chunks, 0) AS chunks
+FROM orders LEFT JOIN due ON o_orderkey = document LEFT JOIN c ON o_orderkey = c.document WHERE action IS NULL OR action <> 'purge'""")
+def retention_applied(spark, sf_dir):
+    """Documents and how many chunks each has, after retention acted on both."""
+    o = table(spark, sf_dir, "orders")
+    now = F.lit(o.agg(F.max("o_orderdate").alias("m")).first().m)
+    docs = o.select(
+        F.col("o_orderkey").alias("document"), F.col("o_orderstatus").alias("library"), F.col("o_orderpriority").alias("status"), F.lit(None).cast("string").alias("path"),
+        F.col("o_orderdate").cast("string").alias("created_at"), F.lit(None).cast("string").alias("updated_at"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"),
+    )
+    policies = spark.createDataFrame([("O", 2000, "archive"), ("F", 3650, "purge"), ("P", 0, "soft_delete")], "library string, retention_days int, action string")
+    holds = o.select(F.col("o_orderkey").alias("document"), F.col("o_orderstatus").alias("library"), (F.col("o_custkey") % 10 == 0).alias("legal_hold"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("timestamp").alias("updated_at"))
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), "l_linenumber")
+    done = lifecycle.apply(f"{shared_folder(spark)}/retention-{uuid.uuid4().hex}", docs, chunks, holds, policies, now)
+    counts = done["chunks"].groupBy("document").agg(F.count("*").alias("chunks"))
+    return done["documents"].join(counts, "document", "left").select("document", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 @query("review_due", """SELECT o_orderkey AS document, CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days_left, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-01-01' THEN 'overdue' ELSE 'due_soon' END AS status
 FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-01-31' AND o_orderkey % 4 = 0""")
 def review_due(spark, sf_dir):
