@@ -194,6 +194,10 @@ def csv_units(content: bytes) -> list[Unit]:
     return out or [(text[:2000], "Documento CSV")]
 
 
+#: An escape of RTF: a byte, a control word with its number, or one character.
+RTF_ESCAPE = re.compile(r"\\(?:'([0-9a-fA-F]{2})|([a-zA-Z]+)(-?\d*) ?|(.))", re.DOTALL)
+
+
 def rtf_units(content: bytes) -> list[Unit]:
     """Text of an RTF file: groups that hold no text go, escapes become characters, control words go."""
     out, depth, dropped, i = [], 0, None, 0
@@ -211,7 +215,7 @@ def rtf_units(content: bytes) -> list[Unit]:
                 dropped = None
             depth -= 1
         elif c == "\\":
-            word = re.match(r"\\(?:'([0-9a-fA-F]{2})|([a-zA-Z]+)(-?\d*) ?|(.))", source[i:], re.DOTALL)
+            word = RTF_ESCAPE.match(source, i)
             if word:
                 if dropped is None:
                     out.append(chr(int(word[1], 16)) if word[1] else {"par": "\n", "line": "\n", "tab": "\t"}.get(word[2], "") if word[2] else word[4] if word[4] in "{}\\" else "")
