@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,8 @@ from provena.operators import conversations, diff, evaluation, evidence, search,
 from provena.plans.adapters import passages, table
 from provena.plans.registry import query
 from provena.plans.search import BATCH_SQL, batch, search_sql
-from provena.sources import crawl, files, units
+from provena.session import shared_folder
+from provena.sources import connector, crawl, files, units
 
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
@@ -343,3 +348,36 @@ def ask_visible(spark, sf_dir):
     from provena.plans.adapters import acl
 
     return api.ask_library(passages(spark, sf_dir), batch(spark, sf_dir), acl(spark, sf_dir), "u1", 3).select("query_id", "coverage", "citations")
+
+
+def _as_files(pages, folder):
+    """Each page as a file of its library's folder, written by the tasks."""
+
+    def work(batches):
+        made = set()
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, root = pa.fs.FileSystem.from_uri(f"{folder}/{r['library']}") if ":" in folder else (pa.fs.LocalFileSystem(), f"{folder}/{r['library']}")
+                if root not in made:
+                    store.create_dir(root, recursive=True)
+                    made.add(root)
+                with store.open_output_stream(f"{root}/{r['page_id']}.html", compression=None) as f:
+                    f.write(r["html"].encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return pages.mapInArrow(work, "n long").agg(F.sum("n").alias("n")).first().n
+
+
+@query("connector_sync", "SELECT CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS library, page_id || '.html' AS id, sha256(html) AS digest, strlen(html) AS n_bytes FROM pages WHERE html IS NOT NULL")
+def connector_sync(spark, sf_dir):
+    """The pages as files of two folders, brought home by a schedule of two sources."""
+    folder = f"{shared_folder(spark)}/connector-{uuid.uuid4().hex}"
+    library = F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd")
+    _as_files(table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", "html", library.alias("library")), folder)
+    plans = [connector.Plan(name, connector.Folder, name, {"path": f"{folder}/{name}", "settled": "0"}, 86400) for name in ("even", "odd")]
+    stream = connector.sync(connector.scheduled(spark, plans), f"{folder}/synced", {"processingTime": "0 seconds"})
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return connector.library_of(spark, f"{folder}/synced").select("library", "id", F.sha2("content", 256).alias("digest"), F.length("content").alias("n_bytes"))
