@@ -34,7 +34,7 @@ from provena.llm.support import Tally, as_bytes, few_rows, mix, remainder, slice
 
 #: Bytes of the longest context.
 DEPTH = 5
-#: Grams and words that are broadcast (12 bytes a gram, WORD_BYTES at most a word).
+#: Grams and words that are broadcast (16 bytes a slot, up to four slots a gram, WORD_BYTES at most a word).
 HOT_GRAMS, HOT_WORDS, WORD_BYTES = 1 << 20, 1 << 16, 64
 #: The end of a text as a byte, which UTF-8 never holds.
 END = 0xFF
@@ -417,7 +417,7 @@ class GramTable:
 
     def __init__(self, gram: np.ndarray, logs: np.ndarray):
         self.bits = max(4, int(2 * len(gram)).bit_length())
-        self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         left, at = np.arange(len(gram)), self.first(gram)
         while len(left):
             free = np.flatnonzero(self.keys[at] < 0)
@@ -449,7 +449,7 @@ class GramTable:
             place[left[hit]], found[left[hit]] = at[hit], True
             on = ~hit & (key >= 0)
             left, at = left[on], at[on]
-        return self.logs[place].astype(np.float64), found
+        return self.logs[place], found
 
 
 class Tables:

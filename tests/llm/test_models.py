@@ -35,6 +35,26 @@ def test_top_k_matches_brute_force(spark):
     assert sorted(map(tuple, pivot_search.top_k(frame, 20).collect())) == top_k_by_hand(rows)
 
 
+def test_most_rows_of_clusters_are_not_evaluated(spark, monkeypatch):
+    # small blocks, so that whole pairs of them are ruled out
+    monkeypatch.setattr(pivot_search, "BLOCK", 100)
+    monkeypatch.setattr(pivot_search, "QUERY_BLOCK", 40)
+    draw = np.random.default_rng(5)
+    centres = draw.normal(0, 1, (8, 12))
+    centres *= 40 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 8] + draw.normal(0, 0.05, 12)]) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, pivot_search.top_k(frame, 5).collect())) == top_k_by_hand(rows, 5)
+    told = pivot_search.elimination(frame, 5).collect()
+    assert len(told) == 100 and all(r.n_rows == 2000 for r in told) and sum(r.evaluated for r in told) < 100 * 2000 / 4
+    search = pivot_search._Search(frame, 5, 20, 64)
+    blocks, n_rows = search.blocked(search.rows, "b", 100)
+    queries, n_queries = search.blocked(search.rows.where("vec_id % 20 = 0"), "q", 40)
+    assert search.pairs().count() < n_rows * n_queries / 2
+    empty = pivot_search.elimination(frame.limit(0), 5)
+    assert empty.collect() == [] and empty.columns == ["query_id", "n_rows", "evaluated"]
+
+
 def test_top_k_of_few_rows_and_huge_numbers(spark):
     schema = "vec_id long, embedding array<double>"
     assert pivot_search.top_k(spark.createDataFrame([], schema)).collect() == []
