@@ -40,8 +40,8 @@ PART = 64
 BLOCK, QUERY_BLOCK, BLOCK_BYTES = 16384, 4096, 1 << 23
 #: Rows evaluated before the first look at the stopping rule; the count doubles from look to look.
 STEP = 256
-#: Whole numbers below are exact in float64 arithmetic, and in that of 64-bit integers; the margin covers the rounding of the norms they are held against.
-EXACT, LARGEST = 0.99 * 2**53, 0.99 * 2**63
+#: Whole numbers below are exact in float32 and in float64 arithmetic, and in that of 64-bit integers; the margin covers the rounding of the norms they are held against.
+SHORT_EXACT, EXACT, LARGEST = 0.99 * 2**24, 0.99 * 2**53, 0.99 * 2**63
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -109,9 +109,11 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -score[kept]))[:k]]
 
 
-def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
-    """For each query of a block: its place there, ids and scores of its k best rows of another block, by bound order and exact stopping, and how many rows were evaluated."""
-    kind, dim = np.float64 if exact_floats else np.int64, min(rows["v"].shape[1], query["v"].shape[1])
+def search_pair(query: dict, rows: dict, k: int, kind: type):
+    """For each query of a block: its place there, ids and scores of its k best rows of another block, by bound order and exact stopping, and how many rows were evaluated.
+
+    Scores are exact in the arithmetic of ``kind``: all sums on their way are whole numbers no larger than the product of two norms."""
+    exact_floats, dim = kind is not np.int64, min(rows["v"].shape[1], query["v"].shape[1])
     x, asked = rows["v"][:, :dim].astype(kind), query["v"][:, :dim].astype(kind)
     xn, qn = ((m.astype(np.float64) ** 2).sum(1) for m in (rows["v"], query["v"]))
     table, own = np.ascontiguousarray(rows["table"].T), query["table"]
@@ -130,7 +132,7 @@ def search_pair(query: dict, rows: dict, k: int, exact_floats: bool):
         bound = (qn[i] + xn - near * near) / 2
         bound += 1e-6 * (1 + np.abs(bound))
         order = np.flatnonzero(bound >= floor)
-        order = order[np.argsort(-bound[order], kind="stable")]
+        order = order[np.argsort(-bound[order])]
         ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step = 0, STEP
         while at < len(order) and bound[order[at]] >= floor:
@@ -215,7 +217,8 @@ class _Search:
         most = max(c[2] for c in classes)
         if most >= LARGEST:
             raise ValueError("inner products of these vectors may not fit 64 bits")
-        self.exact_floats, self.cores = most < EXACT, spark.sparkContext.defaultParallelism
+        self.exact_floats, self.kind = most < EXACT, np.float32 if most < SHORT_EXACT else np.float64 if most < EXACT else np.int64
+        self.cores = spark.sparkContext.defaultParallelism
         common = max(classes, key=lambda c: c[1])[0]
         n_sample = max(2 * k, min(SAMPLE_ROWS, BLOCK_BYTES >> (3 + common)))
         drawn = rows.where(length == common).orderBy(F.xxhash64("vec_id"), "vec_id", "num").limit(n_sample).toArrow().combine_chunks()
@@ -315,12 +318,12 @@ class _Search:
                 query, own = unpack(batch, i, "q_"), unpack(batch, i, "")
                 query["start"] = np.frombuffer(batch.column("q_start")[i].as_py(), np.int64)
                 if len(query["ids"]):
-                    yield query, list(search_pair(query, own, self.k, self.exact_floats))
+                    yield query, list(search_pair(query, own, self.k, self.kind))
 
     def _worker(self) -> _Search:
         """What tasks need of this search."""
         out = object.__new__(_Search)
-        out.k, out.exact_floats = self.k, self.exact_floats
+        out.k, out.kind = self.k, self.kind
         return out
 
     def found(self):
