@@ -286,8 +286,8 @@ class Index:
         weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
         return self.levels(words, weights, cap).groupBy("query_id").agg(F.count("*").alias("levels"), F.count(F.when(~F.col("kept"), 1)).alias("skipped"))
 
-    def search(self, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int = search.CANDIDATES) -> DataFrame:
-        """search.search() over the index: the same rows, of the ``cap`` best full-text candidates of each query where its library holds more passages."""
+    def search(self, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+        """search.search() over the index: the same rows; with a ``cap`` those of the ``cap`` best full-text candidates of each query."""
         asked = search.prepared(queries)
         long = F.exists("tokens", lambda t: F.length(t) >= 3)
         short = asked.where(~long)
@@ -298,13 +298,12 @@ class Index:
         near = similarity.join(short.select("query_id"), "query_id") if similarity is not None else None
         return found.unionByName(search.search(self.passages().drop("length"), short.select(queries.columns), limit, near))
 
-    def _search(self, asked: DataFrame, limit: int, similarity: DataFrame | None, cap: int) -> DataFrame:
+    def _search(self, asked: DataFrame, limit: int, similarity: DataFrame | None, cap: int | None) -> DataFrame:
         words = self.expanded(asked)
         met = self.postings(words).select("slot", "library", "word", "chunk").join(words, SLOT).groupBy("query_id", "library", "chunk").agg(F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found"))
-        largest = self.sizes().agg(F.max("n_passages")).first()[0]
-        if largest and largest > cap:
+        if cap is not None:
             met = met.drop("found").join(self.best(words, cap).select("query_id", "library", "chunk", F.lit(True).alias("found")), ["query_id", "library", "chunk"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-        own = asked.select("query_id", "library", "phrase", "tokens")
+        own = asked.select("query_id", "library", "phrase", F.array_distinct("tokens").alias("distinct"))
         if similarity is None:
             loaded = met.where("found").withColumn("cosine", F.lit(None).cast("double"))
         else:
@@ -312,23 +311,20 @@ class Index:
             near = similarity.join(own.select("query_id", "library"), "query_id").join(self.passages().select("library", "chunk"), ["library", "chunk"])
             loaded = met.join(near.select("query_id", "library", "chunk", "cosine"), ["query_id", "library", "chunk"], "full").where(F.coalesce("found", F.lit(False)) | (F.col("cosine") >= search.LEAST_COSINE))
             loaded = loaded.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
-        seen = loaded.join(own.select("query_id", "phrase", "tokens"), "query_id").repartition("query_id", "chunk")
-        weights = search.document_frequency(seen).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
+        held = F.transform("distinct", lambda t: F.array_contains("hits", t))
+        seen = loaded.join(own.drop("library"), "query_id").select("query_id", "library", "chunk", "phrase", held.alias("held"), "cosine").repartition("query_id", "chunk")
         # a passage that holds the phrase holds all its tokens
-        whole = seen.where(F.size("hits") == F.size(F.array_distinct("tokens"))).select("query_id", "library", "chunk", "phrase")
+        whole = seen.where(F.forall("held", lambda h: h)).select("query_id", "library", "chunk", "phrase")
         spelled = whole.join(self.passages().select("library", "chunk", "filename", "text"), ["library", "chunk"]).where(F.contains(F.lower(F.concat_ws(" ", "filename", "text")), "phrase")).select("query_id", "library", "chunk", F.lit(True).alias("spelled"))
-        placed = self.passages().select("library", "chunk", "document", "ordinal")
-        scored = seen.join(placed, ["library", "chunk"]).join(weights, "query_id", "left").join(spelled, ["query_id", "library", "chunk"], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
-        lexical = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("hits", t), F.col("weights")[t]).otherwise(0.0))
-        close = F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0))
-        scored = scored.withColumn("lexical", lexical).withColumn("score", search.PHRASE_WEIGHT * F.col("spelled").cast("int") + search.TOKEN_WEIGHT * F.col("lexical") + search.COSINE_WEIGHT * close)
-        scored = scored.where(F.col("spelled") | (F.col("lexical") > 0) | (F.coalesce("cosine", F.lit(0.0)) >= search.LEAST_COSINE))
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ordinal", "chunk")
-        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(limit, 1), 50))
-        return ranked.join(self.passages().select("library", "chunk", "filename", "text"), ["library", "chunk"]).select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
-
-
-def lookup(spark: SparkSession, folder: str, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int = search.CANDIDATES) -> DataFrame:
+        placed = self.passages().select("library", "chunk", "ordinal")
+        scored = seen.join(placed, ["library", "chunk"]).join(spelled, ["query_id", "library", "chunk"], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
+        few = search._few(asked)
+        best = search.ranked(scored.drop("library"), asked, limit, few, seen)
+        texts = self.passages().select("library", "chunk", "document", "filename", "text")
+        return texts.join(search._sent(best, few), ["library", "chunk"]).select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
+
+
+def lookup(spark: SparkSession, folder: str, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Search the last version of the index under ``folder``; nothing is found in an empty one."""
     index = Index(spark, folder)
     if not index.filled:

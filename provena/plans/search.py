@@ -127,8 +127,7 @@ def search_chunks(spark, sf_dir):
 def search_idf_weights(spark, sf_dir):
     asked = search.prepared(batch(spark, sf_dir))
     p = passages(spark, sf_dir)
-    loaded = search.scanned(p, asked, search.candidates(p, asked).select("query_id", "chunk"))
-    return search.document_frequency(loaded).select("query_id", "token", "df", F.round("weight", 6).alias("weight"))
+    return search.document_frequency(search.scanned(p, asked), asked).select("query_id", "token", "df", F.round("weight", 6).alias("weight"))
 
 
 @query("search_visible_only", f"""WITH acl AS ({ACL_SQL}), hidden AS (SELECT document FROM acl GROUP BY document HAVING count(*) FILTER (username = 'u1') = 0),
