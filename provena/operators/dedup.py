@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import text as T
 
+#: Slots that shingles are counted by, how many a task reports, and how many words' hashes it holds.
+SLOTS, OFTEN, MOST_KNOWN = 1 << 22, 1 << 16, 1 << 20
+#: Shingles that the prefixes of a similar pair share at least, if it shares so many at all: each prefix is longer by one less.
+SHARED = 8
 
 
 def exact(documents: DataFrame) -> DataFrame:
@@ -15,23 +24,109 @@ def exact(documents: DataFrame) -> DataFrame:
     return marked.groupBy("library", "fingerprint").agg(F.count("*").alias("n"), F.min("document").alias("first")).where("n > 1")
 
 
+def _word(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
+def _shingles(text: str | None, known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of a normalised text's distinct shingles, as functions.text.shingles gives them; the last bit tells single words."""
+    words = [w for w in (text or "").split(" ") if w]
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = _word(w)
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    grams = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
+    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(np.concatenate([h | np.uint64(1), grams & ~np.uint64(1)]))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _frequent(marked: DataFrame) -> np.ndarray:
+    """About how often the 3-word shingles of each of SLOTS slots occur; 0 where it is seldom.
+
+    It only orders shingles: any order gives the same pairs."""
+
+    def work(batches):
+        n, known = np.zeros(SLOTS, np.int64), {}
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                x = _shingles(text, known)
+                np.add.at(n, _slots(x[x & np.uint64(1) == 0]), 1)
+        top = np.argpartition(n, SLOTS - OFTEN)[SLOTS - OFTEN :]
+        top = top[n[top] > 1]
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(top, pa.int64()), "n": pa.array(n[top], pa.int64())})
+
+    found = marked.select("text").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 8").toArrow()  # at most SLOTS
+    out = np.zeros(SLOTS, np.int32)
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def _prefixes(marked: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """(library, document, fp, n, prefix): how many shingles a text has, and those of which any similar set shares SHARED: 3-word shingles first, rare ones before others."""
+    sent = marked.sparkSession.sparkContext.broadcast(frequent)
+
+    def work(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            keep, fps, ns, prefixes = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                x = _shingles(text, known)
+                if len(x):
+                    order = np.lexsort((x, sent.value[_slots(x)], x & np.uint64(1)))
+                    prefixes.append(x[order[: len(x) - math.ceil(len(x) * similarity - 1e-9) + SHARED]].view(np.int64))
+                    keep.append(i)
+                    fps.append(hashlib.sha256(text.encode()).digest())
+                    ns.append(len(x))
+            at = pa.array(keep, pa.int64())
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
+            yield pa.RecordBatch.from_arrays([batch.column("library").take(at), batch.column("document").take(at), pa.array(fps, pa.binary()), pa.array(ns, pa.int32()), prefix], ["library", "document", "fp", "n", "prefix"])
+
+    kind = {c: marked.schema[c].dataType.simpleString() for c in ("library", "document")}
+    return marked.mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", fp binary, n int, prefix array<long>")
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(library, a, b, jaccard) of pairs with their normalised texts ta and tb: by the shingles themselves, not their hashes."""
+
+    def spelled(text):
+        w = [x for x in text.split(" ") if x]
+        return {*w, *(" ".join(w[i : i + 3]) for i in range(len(w) - 2))}
+
+    def work(batches):
+        for batch in batches:
+            sets = [(spelled(a), spelled(b)) for a, b in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb")))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("library", "a", "b")] + [pa.array([len(a & b) / len(a | b) for a, b in sets], pa.float64())], ["library", "a", "b", "jaccard"])
+
+    kind = {c: pairs.schema[c].dataType.simpleString() for c in ("library", "a", "b")}
+    return pairs.mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", jaccard double")
+
+
 def near(documents: DataFrame, similarity: float = 0.85) -> DataFrame:
     """(library, a, b, jaccard): pairs of distinct texts of a library whose shingle sets are that similar.
 
     Copies are folded first: a and b are the least documents of their texts.  Of
-    each set only a prefix of its rarest shingles is joined, long enough that any
-    similar pair shares one of them, and only sets of fitting sizes are compared."""
-    marked = documents.select("library", "document", T.fingerprint(F.col("text")).alias("fp"), T.shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
-    reps = marked.groupBy("library", "fp").agg(F.min_by("s", "document").alias("s"), F.min("document").alias("document")).withColumn("n", F.size("s"))
-    opened = reps.select("library", "document", "n", F.explode("s").alias("t")).withColumn("t", F.xxhash64("t"))
-    frequency = opened.groupBy("library", "t").agg(F.count("*").alias("df"))
-    # shingles of one document alone join nothing, but their share shortens no prefix
-    ordered = opened.join(frequency, ["library", "t"]).groupBy("library", "document", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    length = F.col("n") - F.ceil(F.col("n") * similarity).cast("int") + 1
-    prefix = ordered.select("library", "document", "n", F.explode(F.slice("o", F.lit(1), length)).alias("p")).where("p.df > 1").select("library", "document", "n", F.col("p.t").alias("t"))
-    other = prefix.withColumnsRenamed({"document": "b", "n": "m"})
-    met = prefix.withColumnRenamed("document", "a").join(other, ["library", "t"]).where((F.col("a") < F.col("b")) & (F.col("m") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("m")))
-    pairs = met.select("library", "a", "b").distinct()
-    sets = reps.select("library", "document", "s")
-    both = pairs.join(sets.withColumnsRenamed({"document": "a", "s": "sa"}), ["library", "a"]).join(sets.withColumnsRenamed({"document": "b", "s": "sb"}), ["library", "b"])
-    return both.withColumn("jaccard", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("jaccard") >= similarity).select("library", "a", "b", "jaccard")
+    each set only the hashes of a prefix are shuffled and joined, long enough that any
+    similar pair shares SHARED of them (or all that it needs to share, if fewer); sets
+    whose sizes do not fit, or of which too little is left behind a shared shingle, are
+    not compared.  The texts of the pairs that remain are compared by their shingles."""
+    marked = documents.where("library IS NOT NULL").select("library", "document", T.normalised(F.col("text")).alias("text"))
+    shortened = _prefixes(marked, _frequent(marked), similarity)
+    reps = shortened.groupBy("library", "fp").agg(F.min("document").alias("document"), F.min_by(F.struct("n", "prefix"), "document").alias("x"))
+    prefix = reps.select("library", "document", "x.n", F.posexplode("x.prefix").alias("i", "t"))
+    other = prefix.withColumnsRenamed({"document": "b", "n": "m", "i": "j"})
+    fits = (F.col("a") < F.col("b")) & (F.col("m") >= similarity * F.col("n") - 1e-9) & (F.col("n") >= similarity * F.col("m") - 1e-9)
+    # what two sets share before a shared shingle, that one, and what they can share behind it
+    most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    enough = most >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
+    met = prefix.withColumnRenamed("document", "a").join(other, ["t", "library"]).where(fits & enough)
+    shared = met.groupBy("library", "a", "b").agg(F.count("*").alias("k"), F.max(F.greatest("n", "m")).alias("n"))
+    pairs = shared.where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * similarity - 1e-9))).select("library", "a", "b")
+    both = pairs.join(marked.withColumnsRenamed({"document": "a", "text": "ta"}), ["library", "a"]).join(marked.withColumnsRenamed({"document": "b", "text": "tb"}), ["library", "b"])
+    return _compared(both.select("library", "a", "b", "ta", "tb")).where(F.col("jaccard") >= similarity)
