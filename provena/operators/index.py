@@ -300,9 +300,15 @@ class Index:
 
     def _search(self, asked: DataFrame, limit: int, similarity: DataFrame | None, cap: int | None) -> DataFrame:
         words = self.expanded(asked)
-        met = self.postings(words).select("slot", "library", "word", "chunk").join(words, SLOT).groupBy("query_id", "library", "chunk").agg(F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found"))
+        postings = self.postings(words).select("slot", "library", "word", "chunk")
         if cap is not None:
-            met = met.drop("found").join(self.best(words, cap).select("query_id", "library", "chunk", F.lit(True).alias("found")), ["query_id", "library", "chunk"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+            best = self.best(words, cap).select("query_id", "library", "chunk", F.lit(True).alias("found"))
+            if similarity is None:
+                # only the best candidates' words are looked at again
+                postings = postings.join(best.select("library", "chunk").distinct(), ["library", "chunk"], "left_semi")
+        met = postings.join(words, SLOT).groupBy("query_id", "library", "chunk").agg(F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found"))
+        if cap is not None:
+            met = met.drop("found").join(best, ["query_id", "library", "chunk"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
         own = asked.select("query_id", "library", "phrase", F.array_distinct("tokens").alias("distinct"))
         if similarity is None:
             loaded = met.where("found").withColumn("cosine", F.lit(None).cast("double"))
