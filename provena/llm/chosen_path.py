@@ -6,7 +6,7 @@ probability of their Jaccard similarity.  A run starts from all sets; a bucket
 draws split coordinates by its own hash, about 1 / SIMILARITY of them, and deals
 its sets to child buckets by their tokens there.  A bucket of at most SMALL sets
 is settled by comparing its sets with each other; larger ones are split again,
-DEEP times at most.  A pair at the threshold survives a split with a probability
+DEEP times at most, and several times in one step the further down they lie.  A pair at the threshold survives a split with a probability
 of about SIMILARITY per coordinate, so runs are repeated until the pair's chance
 to meet in some run reaches RECALL.
 
@@ -39,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 SIGNATURE, MATCHES = 64, 34
 #: Sets of a bucket that is not split; splits at most; the chance that a pair at the threshold must have to meet.
 SMALL, DEEP, RECALL = 64, 6, 0.9999
+#: Splits of each step, DEEP in all: a step costs jobs over the whole level, however few sets are left on it.
+STEPS = (1, 2, 3)
 #: Sets of a block, two of which make a tile, and columns of a tile's incidence matrix at once.
 BLOCK, COLUMNS = 256, 8192
 
@@ -127,14 +129,17 @@ def signature_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
 
 
-def split(sets: DataFrame) -> DataFrame:
-    """(path, num, signature) one level down from ``sets`` of the same columns."""
+def split(sets: DataFrame, times: int = 1) -> DataFrame:
+    """(path, num) so many levels down from ``sets`` (path, num, signature)."""
 
     def work(batches):
         for batch in batches:
-            which, path = children(batch.column("path").to_numpy().view(np.uint64), signature_matrix(batch.column("signature")))
-            which = pa.array(which)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("num").take(which)], ["path", "num"])
+            signature, path = signature_matrix(batch.column("signature")), batch.column("path").to_numpy().view(np.uint64)
+            which = np.arange(len(path))
+            for _ in range(times):
+                own, path = children(path, signature[which])
+                which = which[own]
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("num").take(pa.array(which))], ["path", "num"])
 
     return sets.select("path", "num", "signature").mapInArrow(work, "path long, num long")
 
@@ -205,34 +210,33 @@ def bucket_links(members: DataFrame) -> DataFrame:
     return members.repartition("path").sortWithinPartitions("path").select("path", "num", "signature").mapInArrow(work, "a long, b long")
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """(a, b) whose components hold every pair of ``sets`` (num, signature) that meets in some run."""
+def candidate_links(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b), repeats included, whose components hold every pair of ``sets`` (num, signature) that meets in some run; and the tables that it reads."""
     runs = [(int(x),) for x in mix(np.arange(1, runs_needed() + 1, dtype=np.uint64)).view(np.int64)]
     roots = F.array(*[F.lit(r) for (r,) in runs])
-    level = written(split(sets.select("num", "signature", F.explode(roots).alias("path"))), "path-level-0")
-    links, tables = [], [level]
-    for depth in range(1, DEEP + 1):
+    level = written(split(sets.select("num", "signature", F.explode(roots).alias("path")), STEPS[0]), "path-level-0")
+    small, crowds, tables = [], None, [level]
+    for step in range(1, len(STEPS) + 1):
         # counted before anything meets: a frequent token's bucket never lies in one task
-        sizes = written(level.groupBy("path").agg(F.count("*").alias("n"), F.min("num").alias("least")).where("n > 1"), f"path-sizes-{depth}")
-        small = level.join(sizes.where(F.col("n") <= SMALL).select("path"), "path").join(sets, "num")
-        links.append(written(bucket_links(small).distinct(), f"path-links-{depth}"))
-        tables += [sizes, links[-1]]
+        sizes = written(level.groupBy("path").agg(F.count("*").alias("n"), F.min("num").alias("least")).where("n > 1"), f"path-sizes-{step}")
+        tables.append(sizes)
+        small.append(level.join(sizes.where(F.col("n") <= SMALL).select("path"), "path"))
         large = sizes.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         crowd = level.join(large.select("path", "least"), "path")
-        if depth == DEEP:
+        if step == len(STEPS):
             # sets that still agree after all splits are a candidate group as they are
-            links.append(crowd.where("num <> least").select(F.col("num").alias("a"), F.col("least").alias("b")).distinct())
+            crowds = crowd.where("num <> least").select(F.col("num").alias("a"), F.col("least").alias("b"))
         else:
-            level = written(split(crowd.join(sets, "num")), f"path-level-{depth}")
+            level = written(split(crowd.join(sets, "num"), STEPS[step]), f"path-level-{step}")
             tables.append(level)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    out = written(out.distinct(), "path-links")
-    discard(*tables)
-    return out
+    # the small buckets of all levels fetch their signatures and meet in one pass
+    met = small[0]
+    for more in small[1:]:
+        met = met.unionByName(more)
+    links = bucket_links(met.join(sets, "num"))
+    return links if crowds is None else links.unionByName(crowds), tables
 
 
 class Spelled:
@@ -345,7 +349,9 @@ def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("num").alias("num"))
     sets = written(full.groupBy("set_key").agg(F.min(first).alias("f"), F.count("*").alias("copies")).select("set_key", F.col("f.num").alias("num"), F.col("f.doc_id").alias("doc_id"), "copies"), "path-sets")
     reps = rows.select("num", "row", "n_shingles", "signature").join(sets.select("num"), "num", "left_semi")
-    groups = written(connected(candidate_links(reps.select("num", "signature"))), "path-groups")
+    links, tables = candidate_links(reps.select("num", "signature"))
+    groups = written(connected(links), "path-groups")
+    discard(*tables)
     # sets of one band, or of two neighbouring ones, are all whose sizes can differ by the similarity; the margin keeps both ends of a band's width
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(1 / similarity) + 1e-6)).cast("int")
     placed = groups.withColumnRenamed("node", "num").join(reps.select("num", "row", band.alias("own")), "num").join(sets.select("num", "copies"), "num")

@@ -16,13 +16,17 @@ def connected(edges: DataFrame) -> DataFrame:
     ever gathered (only least neighbours are, by aggregation), and rounds grow
     with the logarithm of the nodes."""
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-0")
-    at, before = 0, None
+    at = 0
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the least neighbours stand as a table: a hub's edges are then one skewed key of a plain join, which is dealt anew
-        around = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), f"components-around-{at}")
+        around = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")), f"components-around-{at}")
+        # stars around their least nodes: who has a smaller neighbour has no other
+        if around.where("m < a AND n > 1").isEmpty():
+            discard(around)
+            break
         # of the larger ends that the next step groups by, none is a hub
-        large = both.where("b > a").join(around, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(around.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = large.join(least, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
@@ -30,9 +34,5 @@ def connected(edges: DataFrame) -> DataFrame:
         small = written(small, f"components-{at}")
         discard(links, around)
         links = small
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -101,6 +101,23 @@ def test_jaccard_join_of_a_large_group(spark):
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {599}
 
 
+def test_large_groups_of_copies_take_few_steps(spark, monkeypatch):
+    """Copies that no split parts are split DEEP times, in as many steps over the level as STEPS has; settled components take no further round."""
+    names, write = [], support.written
+    for module in (chosen_path, components):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
+    w = [f"b{i}" for i in range(400)]
+    texts = [" ".join([*w[:i], f"edit{i}", *w[i + 1 :]]) for i in range(150)]
+    got = chosen_path.join(spark.createDataFrame(rows(texts), DOC)).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 149)}
+    assert sum(chosen_path.STEPS) == chosen_path.DEEP
+    assert len([n for n in names if n.startswith("path-level")]) <= len(chosen_path.STEPS)
+    names.clear()
+    stars = components.connected(spark.createDataFrame([(i, 0) for i in range(1, 50)] + [(99, 98)], "a long, b long")).collect()
+    assert {r.node: r.component for r in stars} == {i: 0 for i in range(50)} | {98: 98, 99: 98}
+    assert names == ["components-0", "components-around-0"]
+
+
 def test_jaccard_join_edge_cases(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d e f"), (2, None), (2, ""), (9, "z")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id, r.class_id, r.n_links) for r in chosen_path.join(docs).collect())
