@@ -7,8 +7,9 @@ occupied rank by a few find-first-set steps; entries whose pair has changed
 since are skipped when met.  So a pre-token of n bytes takes about n bucket
 operations, however long it is, where rescanning takes n squared.
 
-Pre-tokens are encoded once in each Python worker and kept in a cache; a text is
-one scan's work and nothing is shuffled."""
+Pre-tokens that come again are kept by each Python worker in a cache of bounded
+size, which goes on from task to task and so adds to whatever stage runs there
+next; a text is one scan's work and nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 from provena.llm.support import few_rows
 
-#: Pre-tokens that a worker keeps, and the longest of them.
-CACHE_ENTRIES, KEPT_CHARS = 1 << 20, 32
+#: Pre-tokens that a worker keeps at most, in two generations, and the longest of them.
+CACHE_ENTRIES, KEPT_CHARS = 1 << 17, 32
 
 
 def pack(ids: list[int]) -> bytes:
@@ -49,11 +50,14 @@ _BITS = [1 << i for i in range(FAN)]
 
 
 class Encoder(dict):
-    """Pre-token to its ids as little-endian 32-bit integers; grows as the worker's cache."""
+    """Pre-token to its ids as little-endian 32-bit integers; the younger half of the worker's cache.
+
+    A full half becomes the older one, whose pre-tokens come back when met again, so
+    frequent ones stay whatever else is met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find, self.older = ranks, regex.compile(pattern).findall, {}
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: The lower bitmap; all zero between two pre-tokens.
         self.words = [0] * (max(ranks.values()) // FAN + 1)
@@ -123,9 +127,12 @@ class Encoder(dict):
         return out
 
     def __missing__(self, pretoken: str) -> bytes:
-        ids = pack(self.merge(pretoken.encode("utf-8", "replace")))
+        ids = self.older.pop(pretoken, None)
+        if ids is None:
+            ids = pack(self.merge(pretoken.encode("utf-8", "replace")))
         if len(pretoken) <= KEPT_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.older = dict(self)
                 self.clear()
             self[pretoken] = ids
         return ids

@@ -180,3 +180,15 @@ def test_secrets_in_texts_of_many_openings(spark):
     assert time.time() - began < 60
     assert rows[1] == "" and rows[4] == "" and rows[5] == "jwt:2:31" and rows[6] == "" and rows[7] == ""
     assert rows[2].split(",")[:1] == [""] and rows[3].count("jwt") == 3000
+
+
+def test_frequent_pretokens_outlive_a_full_cache_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 16)
+    encoder, library = bpe.Encoder(bpe.read_ranks(rank_text()), P.PATTERN), reference_encoding()
+    merged = []
+    monkeypatch.setattr(encoder, "merge", lambda piece, merge=encoder.merge: merged.append(piece) or merge(piece))
+    for i in range(200):
+        text = f"frequent{chr(97 + i % 26)}{chr(97 + i // 26)} frequently"
+        assert list(struct.unpack(f"<{len(x := encoder.encode(text)) // 4}I", x)) == library.encode_ordinary(text)
+        assert len(encoder) + len(encoder.older) <= 16
+    assert merged.count(b" frequently") == 1
