@@ -192,3 +192,37 @@ def test_frequent_pretokens_outlive_a_full_cache_of_bounded_size(monkeypatch):
         assert list(struct.unpack(f"<{len(x := encoder.encode(text)) // 4}I", x)) == library.encode_ordinary(text)
         assert len(encoder) + len(encoder.older) <= 16
     assert merged.count(b" frequently") == 1
+
+
+def test_new_pretokens_of_several_texts_share_one_queue(monkeypatch):
+    library, encoder = reference_encoding(), bpe.Encoder(bpe.read_ranks(rank_text()), P.PATTERN)
+    runs = []
+    monkeypatch.setattr(encoder, "merge_all", lambda pieces, merge=encoder.merge_all: runs.append(pieces) or merge(pieces))
+    texts = ["", "zxqvjk wqxzvt", "zxqvjk zxqvjk", "ab" * 5000, "日本 \0\0 zxq\0v"]
+    for x, text in zip(encoder.encode_all(texts), texts):
+        assert list(struct.unpack(f"<{len(x) // 4}I", x)) == library.encode_ordinary(text)
+    assert len(runs) == 1 and len(runs[0]) == len(set(runs[0]))
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 10)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    assert encoder.encode_all(texts) == bpe.Encoder(encoder.ranks, P.PATTERN).encode_all(texts)
+    assert not any(encoder.words)
+
+
+def test_ranks_in_no_order_of_merging():
+    # a product may rank below its parts: then it goes before other pairs of the rank at hand
+    def rescanned(ranks, piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while piece not in ranks and (pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]):
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[piece]] if piece in ranks else [ranks[p] for p in parts]
+
+    for seed in range(60):
+        draw = random.Random(seed)
+        some = lambda most: bytes(draw.choice(b"ab\0") for _ in range(draw.randint(1, most)))  # noqa: E731, B023
+        tokens = list({b"a", b"b", b"\0"} | {some(6) for _ in range(30)})
+        draw.shuffle(tokens)
+        ranks, pieces = {t: 7 * i for i, t in enumerate(tokens)}, [some(20) for _ in range(30)]
+        encoder = bpe.Encoder(ranks, ".*")
+        assert encoder.merge_all(pieces) == [bpe.pack(rescanned(ranks, p)) for p in pieces]
+        assert [encoder.merge(p) for p in pieces] == [rescanned(ranks, p) for p in pieces]
