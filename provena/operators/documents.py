@@ -71,19 +71,29 @@ def due_for_review(documents: DataFrame, today: str, days: int) -> DataFrame:
     return due.withColumn("status", F.when(F.col("days_left") < 0, "overdue").otherwise("due_soon")).orderBy("review_due", "document")
 
 
+#: Rows that a task of consistency() joins or counts, so that its memory does not grow with the tables.
+TASK_ROWS = 1 << 17
+
+
 def consistency(documents: DataFrame, chunks: DataFrame, files: DataFrame, history: DataFrame, model: str | None = None) -> DataFrame:
     """(issue, item): lost originals, files of no document or version, ready documents without chunks, partly embedded ones and those of another model."""
-    lost = documents.join(files, "path", "left_anti").select(F.lit("missing_original").alias("issue"), F.col("document").cast("string").alias("item"))
-    named = documents.select("path").unionByName(history.select("path"))
-    orphans = files.join(named, "path", "left_anti").select(F.lit("orphan_file").alias("issue"), F.col("path").alias("item"))
-    embedded = F.sum(F.when(F.col("has_embedding"), 1).otherwise(0))
-    stats = documents.select("document", "status").join(chunks, "document", "left").groupBy("document", "status").agg(F.count("chunk").alias("n"), embedded.alias("e"))
-    empty = stats.where("status = 'ready' AND n = 0").select(F.lit("ready_without_chunks").alias("issue"), F.col("document").cast("string").alias("item"))
-    part = stats.where("e > 0 AND e < n").select(F.lit("partially_embedded").alias("issue"), F.col("document").cast("string").alias("item"))
-    out = lost.unionByName(orphans).unionByName(empty).unionByName(part)
+    n_documents = documents.count()
+    by_path = -(-(n_documents + files.count() + history.count()) // TASK_ROWS) or 1
+    by_document = -(-(n_documents + chunks.count()) // TASK_ROWS) or 1
+    held = files.select("path").repartition(by_path, "path")
+    lost = documents.select("document", "path").repartition(by_path, "path").join(held, "path", "left_anti").select(F.lit("missing_original").alias("issue"), F.col("document").cast("string").alias("item"))
+    named = documents.select("path").unionByName(history.select("path")).repartition(by_path, "path")
+    orphans = held.join(named, "path", "left_anti").select(F.lit("orphan_file").alias("issue"), F.col("path").alias("item"))
+    # chunks are counted before documents meet them: one row a document is joined
+    other = F.lit(False) if model is None else F.coalesce((F.col("model") != "") & (F.col("model") != model), F.lit(False))
+    facts = chunks.select("document", "chunk", F.when(F.col("has_embedding"), 1).otherwise(0).alias("embedded"), other.alias("other")).repartition(by_document, "document")
+    facts = facts.groupBy("document").agg(F.count("chunk").alias("n"), F.sum("embedded").alias("e"), F.max("other").alias("other"))
+    stats = documents.select("document", "status").repartition(by_document, "document").distinct().join(facts, "document", "left")
+    of_document = F.when((F.col("status") == "ready") & (F.coalesce("n", F.lit(0)) == 0), "ready_without_chunks").when((F.col("e") > 0) & (F.col("e") < F.col("n")), "partially_embedded")
+    faulty = stats.select(of_document.alias("issue"), F.col("document").cast("string").alias("item")).where("issue IS NOT NULL")
+    out = lost.unionByName(orphans).unionByName(faulty)
     if model is not None:
-        other = chunks.where((F.col("model") != "") & (F.col("model") != model)).select(F.lit("other_model").alias("issue"), F.col("document").cast("string").alias("item")).distinct()
-        out = out.unionByName(other)
+        out = out.unionByName(facts.where("other").select(F.lit("other_model").alias("issue"), F.col("document").cast("string").alias("item")))
     return out
 
 

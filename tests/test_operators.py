@@ -201,3 +201,21 @@ def test_many_query_vectors_are_dealt(spark, monkeypatch):
     few = sorted(map(tuple, search.cosine_top(v, q, 4).collect()))
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
     assert sorted(map(tuple, search.cosine_top(v, q, 4).collect())) == few and len(few) == 12
+
+
+def test_consistency_is_dealt_by_its_rows(spark, monkeypatch):
+    documents_of = [(i, f"p{i}", "ready" if i % 2 else "queued") for i in range(60)] + [(None, None, "ready"), (7, "p7", "queued"), (8, "p8", "queued")]
+    chunks_of = [(i, j, j % 3 == 0 and i % 4 == 0, "A" if i % 8 == 0 else "F") for i in range(2, 60) for j in range(5)] + [(None, 1, True, "A"), (99, 1, None, "B"), (99, None, None, "B"), (2, 9, None, None)]
+    files_of = [(f"p{i}",) for i in range(5, 60)] + [("x",), ("x",), (None,)]
+    docs = spark.createDataFrame(documents_of, "document long, path string, status string")
+    chunks = spark.createDataFrame(chunks_of, "document long, chunk long, has_embedding boolean, model string")
+    files, history = spark.createDataFrame(files_of, "path string"), spark.createDataFrame([("p3",)], "path string")
+    monkeypatch.setattr(documents, "TASK_ROWS", 16, raising=False)
+    out = documents.consistency(docs, chunks, files, history, "F")
+    want = [("missing_original", str(i)) for i in range(5)] + [("missing_original", None), ("orphan_file", "x"), ("orphan_file", "x"), ("orphan_file", None), ("ready_without_chunks", "1"), ("ready_without_chunks", None)]
+    want += [("partially_embedded", str(i)) for i in range(4, 60, 4)] + [("other_model", str(i)) for i in range(8, 60, 8)] + [("other_model", "99"), ("other_model", None)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert documents.consistency(docs, chunks, files, history).where("issue = 'other_model'").count() == 0
+    assert documents.consistency(*(t.limit(0) for t in (docs, chunks, files, history)), "F").count() == 0
+    # both paths and both documents are dealt over one task for 16 rows
+    assert out.rdd.getNumPartitions() >= 2 * (len(documents_of) // 16) + 2 * (len(chunks_of) // 16)
