@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import text as T
+from provena.session import shared_folder
 
 #: Slots that shingles are counted by, how many a task reports, and how many words' hashes it holds.
 SLOTS, OFTEN, MOST_KNOWN = 1 << 22, 1 << 16, 1 << 20
 #: Shingles that the prefixes of a similar pair share at least, if it shares so many at all: each prefix is longer by one less.
 SHARED = 8
+#: Bits of a key that its range takes, of which all ranges' bitmap has a place for each, and that are compared.
+RANGE, PLACE, KEY = 8, 27, 40
 
 
 def exact(documents: DataFrame) -> DataFrame:
@@ -52,11 +56,16 @@ def _frequent(marked: DataFrame) -> np.ndarray:
     It only orders shingles: any order gives the same pairs."""
 
     def work(batches):
-        n, known = np.zeros(SLOTS, np.int64), {}
+        n, known, waiting, held = np.zeros(SLOTS, np.int64), {}, [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 x = _shingles(text, known)
-                np.add.at(n, _slots(x[x & np.uint64(1) == 0]), 1)
+                waiting.append(_slots(x[x & np.uint64(1) == 0]))
+                held += len(x)
+                if held > SLOTS:
+                    n += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                    waiting, held = [], 0
+        n += np.bincount(np.concatenate([np.zeros(0, np.int64), *waiting]), minlength=SLOTS)
         top = np.argpartition(n, SLOTS - OFTEN)[SLOTS - OFTEN :]
         top = top[n[top] > 1]
         yield pa.RecordBatch.from_pydict({"slot": pa.array(top, pa.int64()), "n": pa.array(n[top], pa.int64())})
@@ -78,7 +87,8 @@ def _prefixes(marked: DataFrame, frequent: np.ndarray, similarity: float) -> Dat
             for i, text in enumerate(batch.column("text").to_pylist()):
                 x = _shingles(text, known)
                 if len(x):
-                    order = np.lexsort((x, sent.value[_slots(x)], x & np.uint64(1)))
+                    # x is in order, and a stable sort leaves ties so
+                    order = np.argsort(sent.value[_slots(x)].astype(np.int64) | (x & np.uint64(1)).astype(np.int64) << 32, kind="stable")
                     prefixes.append(x[order[: len(x) - math.ceil(len(x) * similarity - 1e-9) + SHARED]].view(np.int64))
                     keep.append(i)
                     fps.append(hashlib.sha256(text.encode()).digest())
@@ -108,18 +118,102 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", jaccard double")
 
 
+def _in_ranges(keys: np.ndarray, most: int) -> pa.RecordBatch:
+    """(range, keys): the first KEY bits of 64-bit ``keys`` by their ranges, none of them more than ``most`` times."""
+    x = np.sort(keys >> np.uint64(64 - KEY))
+    x = x[np.concatenate([np.ones(min(most, len(x)), bool), x[most:] != x[:-most]])]
+    ends = np.searchsorted(x, np.arange((1 << RANGE) + 1, dtype=np.uint64) << np.uint64(KEY - RANGE))
+    low = x.astype(np.uint32)
+    full = np.flatnonzero(np.diff(ends))
+    return pa.RecordBatch.from_pydict({"range": pa.array(full, pa.int32()), "keys": pa.array([low[ends[r] : ends[r + 1]].tobytes() for r in full], pa.binary())})
+
+
+def _bitmap(ranges: DataFrame, least: int) -> np.ndarray:
+    """The bitmap, of 2^PLACE bits whatever the input, of the keys that ``ranges`` (range, keys) hold ``least`` times or more; keys that share a bit count with it."""
+
+    def work(table):
+        x = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), np.uint32) for k in table["keys"]]))
+        bits = np.zeros(1 << (PLACE - RANGE), bool)
+        bits[(x[least - 1 :] if least == 1 else x[least - 1 :][x[least - 1 :] == x[: 1 - least]]) >> np.uint32(KEY - PLACE)] = True
+        return pa.table({"range": table["range"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << RANGE, 1 << (PLACE - RANGE - 3)), np.uint8)
+    for r in ranges.groupBy("range").applyInArrow(work, "range int, bits binary").toLocalIterator():
+        out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = (keys >> np.uint64(64 - PLACE)).astype(np.int64)
+    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(how many shingles each prefix of a batch holds, a key of each by its library and its hash)."""
+    lists = batch.column("prefix")
+    sizes, x = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(np.uint64)
+    own = batch.column("library").dictionary_encode()
+    of = np.array([_word(repr(v)) for v in own.dictionary.to_pylist()] or [0], np.uint64)[own.indices.to_numpy()]
+    h = x ^ np.repeat(of, sizes)
+    return sizes, (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _met_twice(reps: DataFrame, similarity: float) -> DataFrame:
+    """(library, document, n, i, t): the shingles of ``reps`` (library, document, n, prefix) that stand in another prefix of the library too, of the texts that have enough of them for a pair.
+
+    Where a shingle stands once nothing is to be joined.  Tasks send 32 bits of each
+    shingle to its range, and get a bitmap of those that stand twice back."""
+    twice = _bitmap(reps.select("library", "prefix").mapInArrow(lambda batches: (_in_ranges(_keys(b)[1], 2) for b in batches if b.num_rows), "range int, keys binary"), 2)
+    sent = reps.sparkSession.sparkContext.broadcast(twice)
+
+    def work(batches):
+        for batch in batches:
+            sizes, keys = _keys(batch)
+            at, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            kept = np.flatnonzero(_marked(sent.value, keys))
+            need = np.minimum(SHARED, np.ceil(batch.column("n").to_numpy() * similarity - 1e-9))
+            kept = kept[(np.bincount(at[kept], minlength=len(sizes)) >= need)[at[kept]]]
+            rows, t = pa.array(at[kept]), batch.column("prefix").flatten().take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("library", "document", "n")), pa.array((kept - starts[at[kept]]).astype(np.int32)), t], ["library", "document", "n", "i", "t"])
+
+    kind = {c: reps.schema[c].dataType.simpleString() for c in ("library", "document")}
+    return reps.select("library", "document", "n", "prefix").mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", n int, i int, t long")
+
+
+def _of_pairs(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(library, document, text): the texts of ``pairs`` (library, a, b), normalised, and few others: told by a bitmap, so that no other text is shuffled."""
+    hashed = lambda c: pairs.select(F.xxhash64("library", c).alias("h"))
+    key = lambda batch: batch.column("h").to_numpy().view(np.uint64)
+    bitmap = _bitmap(hashed("a").unionByName(hashed("b")).mapInArrow(lambda batches: (_in_ranges(key(b), 1) for b in batches if b.num_rows), "range int, keys binary"), 1)
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap)
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(sent.value, key(batch)))).select(["library", "document", "text"])
+
+    kind = {c: documents.schema[c].dataType.simpleString() for c in ("library", "document")}
+    found = documents.select("library", "document", "text", F.xxhash64("library", "document").alias("h")).mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", text string")
+    return found.withColumn("text", T.normalised(F.col("text")))
+
+
 def near(documents: DataFrame, similarity: float = 0.85) -> DataFrame:
     """(library, a, b, jaccard): pairs of distinct texts of a library whose shingle sets are that similar.
 
     Copies are folded first: a and b are the least documents of their texts.  Of
-    each set only the hashes of a prefix are shuffled and joined, long enough that any
-    similar pair shares SHARED of them (or all that it needs to share, if fewer); sets
-    whose sizes do not fit, or of which too little is left behind a shared shingle, are
-    not compared.  The texts of the pairs that remain are compared by their shingles."""
-    marked = documents.where("library IS NOT NULL").select("library", "document", T.normalised(F.col("text")).alias("text"))
+    each set only the hashes of a prefix are joined, and of these only those that stand
+    in two prefixes; a prefix is long enough that any similar pair shares SHARED of them
+    (or all that it needs to share, if fewer).  Sets whose sizes do not fit, or of which
+    too little is left behind a shared shingle, are not compared.  The texts of the pairs
+    that remain are compared by their shingles.  Prefixes lie in the shared folder until
+    the pairs to compare do."""
+    spark = documents.sparkSession
+    at = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
+    own = documents.where("library IS NOT NULL").select("library", "document", "text")
+    marked = own.withColumn("text", T.normalised(F.col("text")))
     shortened = _prefixes(marked, _frequent(marked), similarity)
-    reps = shortened.groupBy("library", "fp").agg(F.min("document").alias("document"), F.min_by(F.struct("n", "prefix"), "document").alias("x"))
-    prefix = reps.select("library", "document", "x.n", F.posexplode("x.prefix").alias("i", "t"))
+    folded = shortened.groupBy("library", "fp").agg(F.min("document").alias("document"), F.min_by(F.struct("n", "prefix"), "document").alias("x"))
+    folded.select("library", "document", "x.n", "x.prefix").write.parquet(f"{at}/prefixes")
+    prefix = _met_twice(spark.read.parquet(f"{at}/prefixes"), similarity)
     other = prefix.withColumnsRenamed({"document": "b", "n": "m", "i": "j"})
     fits = (F.col("a") < F.col("b")) & (F.col("m") >= similarity * F.col("n") - 1e-9) & (F.col("n") >= similarity * F.col("m") - 1e-9)
     # what two sets share before a shared shingle, that one, and what they can share behind it
@@ -127,6 +221,10 @@ def near(documents: DataFrame, similarity: float = 0.85) -> DataFrame:
     enough = most >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
     met = prefix.withColumnRenamed("document", "a").join(other, ["t", "library"]).where(fits & enough)
     shared = met.groupBy("library", "a", "b").agg(F.count("*").alias("k"), F.max(F.greatest("n", "m")).alias("n"))
-    pairs = shared.where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * similarity - 1e-9))).select("library", "a", "b")
-    both = pairs.join(marked.withColumnsRenamed({"document": "a", "text": "ta"}), ["library", "a"]).join(marked.withColumnsRenamed({"document": "b", "text": "tb"}), ["library", "b"])
+    shared.where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * similarity - 1e-9))).select("library", "a", "b").write.parquet(f"{at}/pairs")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/prefixes")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    pairs = spark.read.parquet(f"{at}/pairs")
+    texts = _of_pairs(own, pairs)
+    both = pairs.join(texts.withColumnsRenamed({"document": "a", "text": "ta"}), ["library", "a"]).join(texts.withColumnsRenamed({"document": "b", "text": "tb"}), ["library", "b"])
     return _compared(both.select("library", "a", "b", "ta", "tb")).where(F.col("jaccard") >= similarity)
