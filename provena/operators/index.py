@@ -1,43 +1,54 @@
 """A stored search index of immutable segments.
 
-A segment holds passages, their postings, the vocabulary and counts of posting
-blocks.  Postings lie in as many buckets of words as their number asks for, so a
-query reads the buckets of its words alone; a library's words are found by the first
-three characters of a token, wherever they stand in a word.  Scores need no text:
-a passage holds a token if one of its words does, and only passages that hold all
-tokens of a query are read for its phrase.
+A segment holds passages and their postings.  Passages are numbered in blocks where
+they lie, and a task lists the postings of the blocks it reads: each word of a
+library with the places and counts of its passages.  So neither texts nor postings are
+shuffled to build an index, and the lists are smaller than the texts.  Lists lie in as
+many buckets of words as their number asks for, and a query reads the buckets of its
+words alone.  A lookup finds a query's tokens in the listed words, wherever they stand
+in a word, and only what it finds is gathered by block: a block meets all queries of
+its libraries in one task.  Scores need no text: a passage holds a token if one of its
+words does, and only passages that hold all tokens of a query are read for its phrase.
 
 Documents are replaced and deleted by segments that name what is gone from all
 older ones.  A numbered manifest lists the segments of a version; it is moved into
 place when all its files are written, so a failed build leaves the index as it
 was.  The newest segments are merged when too many of like size stand.
 
-Postings of a word are told apart by level of impact.  A level's counts bound what
-its passages can add to a score: levels that cannot reach a query's last full-text
-candidate are left out before anything is gathered by passage."""
+Passages of a token are told apart by level of impact.  A level's counts bound what
+its passages can add to a score: passages of levels that cannot reach a query's last
+full-text candidate are left out before any are ranked."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from provena.functions import text as T
 from provena.operators import search
 
-#: Postings that a bucket holds about, and the most buckets of a segment.
-BUCKET, MOST_BUCKETS = 1_000_000, 4096
+#: Words that a bucket holds about, and the most buckets of a segment; each task writes a file to each.
+BUCKET, MOST_BUCKETS = 64_000_000, 4096
+#: Bits of a passage's place in its block (an entry of a list holds it below the word's count), bytes of text whose words are listed together, and rows of a batch of lists.
+PLACE, TEXT, LISTS = 12, 1 << 24, 1 << 16
+#: What names a passage in the index.
+AT = ["segment", "block", "place"]
 #: Segments that stand unmerged, and how many times the newer ones' passages an older one may hold to be merged with them.
 SEGMENTS, LIKE = 4, 3
-#: What postings and asked words are joined by: a hash first, so that sorting seldom compares words.
-SLOT = ["slot", "library", "word"]
 #: Levels of impact, and BM25's constants.
 LEVELS, K1, B = 16, 1.2, 0.75
 #: Scores that differ by less count as equal when levels are left out.
 MARGIN = 1e-6
+#: Passages that hold all tokens of their queries and are sent to be read for the phrase, and cells of a table of passages and tokens.
+SENT, CELLS = 200_000, 1 << 24
 
 
 def _fs(spark: SparkSession, path: str):
@@ -67,10 +78,6 @@ def _commit(spark: SparkSession, folder: str, version: int, segments: list[dict]
         raise RuntimeError(f"version {version} of the index was written by someone else")
 
 
-def _words(least: int) -> Column:
-    return T.words(F.concat_ws(" ", "filename", "text"), least)
-
-
 def _impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
@@ -79,32 +86,75 @@ def _dealt(column: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def _begun() -> Column:
+    return T.begun(F.lower(F.concat_ws(" ", "filename", "text")))
+
+
+def _length(begun: Column) -> Column:
+    """How many words functions.text.begun() spells."""
+    return F.octet_length(begun) - F.octet_length(F.replace(begun, F.lit(" "), F.lit(""))) - F.endswith(begun, F.lit(" ")).cast("int")
+
+
+def _stretches(batches):
+    """Rows of ``batches`` with about TEXT bytes of text."""
+    for batch in batches:
+        ends, lo = np.cumsum(pc.binary_length(batch.column("begun")).to_numpy(zero_copy_only=False)), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXT, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _listed(passages: DataFrame) -> DataFrame:
+    """(library, word, block, at): the lists of the words of three characters and more of ``passages`` (library, block, place, begun)."""
+    kind = passages.schema["library"].dataType
+
+    def work(batches):
+        for batch in _stretches(batches):
+            n, lists = batch.num_rows, pc.split_pattern(batch.column("begun"), " ")
+            words = lists.flatten().dictionary_encode()
+            order = pc.sort_indices(words.dictionary).to_numpy()
+            rank = np.zeros(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code = words.indices.to_numpy()
+            row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+            on = pc.greater_equal(pc.utf8_length(words.dictionary), 3).to_numpy(zero_copy_only=False)[code]
+            own = batch.column("library").dictionary_encode(null_encoding="encode")
+            blocks, block = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            part = own.indices.to_numpy().astype(np.int64) * len(blocks) + block
+            # by library, block, word and row
+            key, tf = np.unique(((part[row] * len(order) + rank[code]) * n + row)[on], return_counts=True)
+            group = key // n
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(group)), bool), group[1:] != group[:-1]]))
+            part, word = group[first] // max(len(order), 1), order[group[first] % max(len(order), 1)]
+            at = search._lists(np.diff(np.append(first, len(key))), pa.array(tf << PLACE | batch.column("place").to_numpy()[key % n]))
+            out = pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(part // len(blocks))), words.dictionary.take(pa.array(word)), pa.array(blocks[part % len(blocks)]), at], ["library", "word", "block", "at"])
+            yield from (out.slice(lo, LISTS) for lo in range(0, out.num_rows, LISTS))
+
+    return passages.mapInArrow(work, f"library {kind.simpleString()}, word string, block long, at array<long>")
+
+
 def _write(passages: DataFrame | None, gone: DataFrame, folder: str, version: int) -> dict:
     """A new segment of ``passages`` that hides what ``gone`` (library, document; a null document: the whole library) names in older ones."""
     spark, name = gone.sparkSession, uuid.uuid4().hex
     at = f"{folder}/segments/{name}"
-    put = lambda df, what, *by: df.write.partitionBy(*by).parquet(f"{at}/{what}")
+    put = lambda df, what, *by: df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{at}/{what}")
     put(gone, "gone")
     n_gone = spark.read.parquet(f"{at}/gone").count()
     segment = {"name": name, "born": version, "passages": 0, "gone": n_gone, "buckets": 1}
     if passages is None:
         return segment
-    # files and row groups are ranges of libraries and chunks
-    put(passages.withColumn("length", F.size(_words(1))).repartitionByRange("library", "chunk").sortWithinPartitions("library", "chunk"), "passages")
-    own = spark.read.schema(StructType([*passages.schema.fields, StructField("length", IntegerType())])).parquet(f"{at}/passages")
+    # a block is a stretch of a task's rows
+    numbered = passages.withColumns({"length": T.bound(_begun(), _length), "at": F.monotonically_increasing_id()})
+    put(numbered.withColumns({"block": F.shiftright("at", PLACE), "place": F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")}).drop("at"), "passages")
+    own = spark.read.schema(StructType([*passages.schema.fields, StructField("length", IntegerType()), StructField("block", LongType()), StructField("place", IntegerType())])).parquet(f"{at}/passages")
     n, total = own.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     segment |= {"passages": n, "schema": own.schema.json(), "buckets": min(MOST_BUCKETS, max(1, -(-total // BUCKET)))}
-    buckets, mean = segment["buckets"], max(total / n, 1.0) if n else 1.0
-    counted = own.select("library", "document", "chunk", "ordinal", "length", F.explode(_words(3)).alias("word")).groupBy("library", "document", "chunk", "ordinal", "length", "word").agg(F.count("*").cast("int").alias("tf"))
-    level = F.floor(F.least(F.lit(LEVELS - 1), LEVELS * _impact(F.col("tf"), F.col("length"), F.lit(mean)) / (K1 + 1))).cast("int")
-    postings = counted.withColumns({"level": level, "slot": F.xxhash64("library", "word"), "bucket": _dealt("word", buckets)})
-    # a bucket of very many postings is dealt over several files
-    put(postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "library", "word", "level"), "postings", "bucket")
-    stored = _postings(spark, folder, segment)
-    blocks = stored.groupBy("bucket", "library", "word", "level").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("tf", "length") for f in (F.min, F.max)])
-    put(blocks, "blocks", "bucket")
-    vocabulary = stored.select("library", "word").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))))
-    put(vocabulary.withColumn("bucket", _dealt("gram", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "library", "gram"), "vocabulary", "bucket")
+    lists = _listed(own.select("library", "block", "place", _begun().alias("begun")))
+    if segment["buckets"] == 1:
+        put(lists, "postings/bucket=0")
+    else:
+        put(lists.withColumn("bucket", _dealt("word", segment["buckets"])).sortWithinPartitions("bucket", "library", "word"), "postings", "bucket")
     return segment
 
 
@@ -117,8 +167,7 @@ def _read(spark: SparkSession, folder: str, segment: dict, what: str, kinds: str
 
 
 def _postings(spark: SparkSession, folder: str, segment: dict) -> DataFrame:
-    own = _schema(segment)
-    return _read(spark, folder, segment, "postings", ", ".join(f"{c} {own[c]}" for c in ("library", "document", "chunk", "ordinal", "length")) + ", word string, tf int, level int, slot long, bucket int")
+    return _read(spark, folder, segment, "postings", f"library {_schema(segment)['library']}, word string, block long, at array<long>, bucket int").withColumn("segment", F.lit(segment["born"]))
 
 
 def _live(spark: SparkSession, folder: str, segments: list[dict], read) -> DataFrame:
@@ -164,7 +213,7 @@ def _merged(spark: SparkSession, folder: str, segments: list[dict], version: int
     newest, older = segments[at:], segments[:at]
     passages = None
     if any(s["passages"] for s in newest):
-        passages = _live(spark, folder, newest, lambda s: _passages(spark, folder, s)).drop("length")
+        passages = _live(spark, folder, newest, lambda s: _passages(spark, folder, s)).drop("length", *AT)
     names = [spark.read.parquet(f"{folder}/segments/{s['name']}/gone") for s in newest]
     gone = names[0]
     for more in names[1:]:
@@ -174,7 +223,7 @@ def _merged(spark: SparkSession, folder: str, segments: list[dict], version: int
 
 
 def _passages(spark: SparkSession, folder: str, segment: dict) -> DataFrame:
-    return _read(spark, folder, segment, "passages", ", ".join(f"`{c}` {kind}" for c, kind in _schema(segment).items()))
+    return _read(spark, folder, segment, "passages", ", ".join(f"`{c}` {kind}" for c, kind in _schema(segment).items())).withColumn("segment", F.lit(segment["born"]))
 
 
 def build(passages: DataFrame, folder: str) -> int:
@@ -202,6 +251,25 @@ def vacuum(spark: SparkSession, folder: str) -> int:
     return len(old)
 
 
+class Sought:
+    """The tokens of each library's queries in a task that reads lists."""
+
+    def __init__(self, few: dict):
+        self.tokens, self.n = search.Tokens(few["tokens"]), max(len(few["tokens"]), 1)
+        self.libraries = {name: i for i, name in enumerate(few["libraries"])}
+        self.pairs = np.unique(np.array([i * self.n + p for name, i in self.libraries.items() for q in few["libraries"][name] for p in q["starts"]], np.int64))
+
+    def met(self, library: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, token, does the word start with it) where a word holds a token of its library's queries, each once."""
+        row, token, opens = self.tokens.held(words)
+        own = library.dictionary_encode(null_encoding="encode")
+        code = np.array([self.libraries.get(v, -1) for v in own.dictionary.to_pylist()] or [-1], np.int64)[own.indices.to_numpy()][row]
+        on = (code >= 0) & np.isin(code * self.n + token, self.pairs)
+        key = np.unique((row[on] * self.n + token[on]) * 2 + ~opens[on])
+        key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] >> 1 != key[:-1] >> 1])]
+        return (key >> 1) // self.n, (key >> 1) % self.n, key & 1 == 0
+
+
 class Index:
     """One version of the index under a folder: what later versions write is not seen."""
 
@@ -211,13 +279,21 @@ class Index:
         self.version, self.segments = found["version"], found["segments"]
         self.filled = any(s["passages"] for s in self.segments)
 
+    def _placed(self) -> DataFrame:
+        return _live(self.spark, self.folder, self.segments, lambda s: _passages(self.spark, self.folder, s))
+
     def passages(self) -> DataFrame:
         """All passages, with their number of words as ``length``."""
-        return _live(self.spark, self.folder, self.segments, lambda s: _passages(self.spark, self.folder, s))
+        return self._placed().drop(*AT)
 
     def postings(self, words: DataFrame | None = None) -> DataFrame:
-        """Postings of the buckets of ``words`` (word), or of all."""
-        return _live(self.spark, self.folder, self.segments, lambda s: self._bucketed(_postings(self.spark, self.folder, s), words, "word", s).drop("bucket"))
+        """(library, word, block, at, segment): the lists of the buckets of ``words`` (word), or of all, as the segments hold them; ``at`` holds a word's count and a passage's place for each passage."""
+        found = None
+        for s in self.segments:
+            if s["passages"]:
+                own = self._bucketed(_postings(self.spark, self.folder, s), words, "word", s).drop("bucket")
+                found = own if found is None else found.unionByName(own)
+        return found
 
     def _bucketed(self, table: DataFrame, asked: DataFrame | None, column: str, segment: dict) -> DataFrame:
         """``table`` of the buckets that ``asked`` names: partitions are pruned before anything is read."""
@@ -226,65 +302,155 @@ class Index:
         wanted = [r.b for r in asked.select(_dealt(column, segment["buckets"]).alias("b")).distinct().collect()]  # at most MOST_BUCKETS
         return table.where(F.col("bucket").isin(wanted))
 
+    def counts(self) -> DataFrame:
+        """(library, postings, words, passages): postings of the passages that stand, their distinct words, and the passages that have any."""
+        stored, placed = self.postings(), self._placed().select("library", "chunk", *AT)
+        place = F.col("entry").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("place")
+        entries = stored.select("library", "word", "segment", "block", F.explode("at").alias("entry")).select("library", "word", "segment", "block", place)
+        if any(s["gone"] for s in self.segments[1:]):
+            words = entries.join(placed.select(*AT), AT).groupBy("library", "word").agg(F.count("*").alias("n"))
+        else:
+            words = stored.groupBy("library", "word").agg(F.sum(F.size("at")).alias("n"))
+        words = words.groupBy("library").agg(F.sum("n").alias("postings"), F.count("*").alias("words"))
+        # a task's lists name each of its passages once here
+        held = entries.select(*AT).distinct().join(placed, AT).groupBy(F.col("library").alias("own")).agg(F.countDistinct("chunk").alias("passages"))
+        return words.join(held, F.col("library").eqNullSafe(F.col("own"))).select("library", "postings", "words", "passages")
+
     def expanded(self, asked: DataFrame) -> DataFrame:
-        """(query_id, slot, library, token, word, prefix): words of the vocabulary that hold a token of ``asked`` (query_id, library, tokens), and whether they start with it."""
-        tokens = asked.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token")).withColumn("gram", F.substring("token", 1, 3))
-        found = None
-        for s in self.segments:
-            if s["passages"]:
-                own = self._bucketed(_read(self.spark, self.folder, s, "vocabulary", f"library {_schema(s)['library']}, word string, gram string, bucket int"), tokens, "gram", s).select("library", "gram", "word")
-                found = own if found is None else found.unionByName(own)
-        # words of several segments meet once
-        found = found.distinct() if len([s for s in self.segments if s["passages"]]) > 1 else found
-        met = tokens.join(found, ["library", "gram"]).where(F.contains("word", "token"))
-        return met.select("query_id", F.xxhash64("library", "word").alias("slot"), "library", "token", "word", F.startswith("word", "token").alias("prefix"))
+        """(query_id, library, token, word, prefix): listed words that hold a token of ``asked`` (query_id, library, tokens), and whether they start with it."""
+        few = self._few(asked)
+        kind = {c: asked.schema[c].dataType.simpleString() for c in ("library",)}
 
-    def sizes(self) -> DataFrame:
-        """(library, n, mean): passages of each library and their mean number of words."""
-        return self.passages().groupBy("library").agg(F.count("*").alias("n_passages"), F.avg("length").alias("mean"))
-
-    def levels(self, words: DataFrame, weights: DataFrame, cap: int) -> DataFrame:
-        """(query_id, library, token, word, level, kept): the levels of each query's words, and whether a passage there can be among the ``cap`` best; ``weights`` (query_id, token, idf, mean)."""
-        born = {s["born"]: s for s in self.segments if s["passages"]}
-        hidden = [s["born"] for s in self.segments if s["gone"]]
-        blocks = None
-        for at, s in born.items():
-            own = self._bucketed(_read(self.spark, self.folder, s, "blocks", f"library {_schema(s)['library']}, word string, level int, n long, tf_min int, tf_max int, length_min int, length_max int, bucket int"), words, "word", s)
-            # passages that a newer segment may hide are not counted on
-            own = own.withColumn("sure", F.when(F.lit(any(h > at for h in hidden)), 0).otherwise(F.col("n")))
-            blocks = own if blocks is None else blocks.unionByName(own)
-        blocks = blocks.groupBy("library", "word", "level").agg(F.sum("sure").alias("sure"), F.min("tf_min").alias("tf_min"), F.max("tf_max").alias("tf_max"), F.min("length_min").alias("length_min"), F.max("length_max").alias("length_max"))
-        met = blocks.join(words.where("prefix"), ["library", "word"]).join(weights, ["query_id", "token"])
-        met = met.withColumns({"most": F.col("idf") * _impact(F.col("tf_max"), F.col("length_min"), F.col("mean")), "least": F.col("idf") * _impact(F.col("tf_min"), F.col("length_max"), F.col("mean"))})
-        one = Window.partitionBy("query_id", "token", "word")
-        # of one word, so many passages have a score of at least ``least``
-        counted = met.withColumns({"reach": F.sum("sure").over(one.orderBy(F.desc("least")).rangeBetween(Window.unboundedPreceding, 0)), "top": F.max("most").over(one)})
-        tops = counted.select("query_id", "token", "word", "top").distinct().groupBy("query_id").agg(F.sum("top").alias("tops"))
-        floor = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("reach") >= cap, F.col("least"))), F.lit(0.0)).alias("floor"))
-        bounded = counted.join(tops.join(floor, "query_id"), "query_id")
-        kept = F.col("tops") - F.col("top") + F.col("most") >= F.col("floor") - MARGIN
-        return bounded.select("query_id", "library", "token", "word", "level", kept.alias("kept"))
+        def work(batches):
+            sought = Sought(few)
+            spelled = pa.array(few["tokens"], pa.string())
+            for batch in batches:
+                row, token, opens = sought.met(batch.column("library"), batch.column("word"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("library", "word")), spelled.take(pa.array(token)), pa.array(opens)], ["library", "word", "token", "prefix"])
 
-    def best(self, words: DataFrame, cap: int) -> DataFrame:
-        """(query_id, library, chunk, bm25, rank): the ``cap`` best full-text candidates of each query, by BM25 over the words that start with its tokens."""
-        starts = words.where("prefix").drop("prefix")
-        postings = self.postings(starts)
-        df = postings.select("slot", "library", "word", "chunk").join(starts, SLOT).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
+        found = self.postings().select("library", "word").mapInArrow(work, f"library {kind['library']}, word string, token string, prefix boolean").distinct()
+        tokens = asked.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token"))
+        return found.join(F.broadcast(tokens), ["library", "token"]).select("query_id", "library", "token", "word", "prefix")
+
+    def _few(self, asked: DataFrame) -> dict:
+        return search._by_library(search._openings(asked.withColumn("phrase", F.lit(""))), "starts")
+
+    def sizes(self) -> DataFrame:
+        """(library, n_passages, mean): passages of each library and their mean number of words."""
+        return self._placed().groupBy("library").agg(F.count("*").alias("n_passages"), F.avg("length").alias("mean"))
+
+    def _met(self, asked: DataFrame, few: dict, words: DataFrame | None = None, near: bool = False) -> DataFrame:
+        """(query_id, library, segment, block, place, chunk, ordinal, length, found, held, tf) of the passages with a word that starts with a token of their queries, few of them: which tokens a passage holds, and how many of its words start with each.  With ``near`` passages that hold a token elsewhere in a word are there too, not ``found``."""
+
+        def look(batches):
+            sought = Sought(few)
+            for batch in batches:
+                row, token, opens = sought.met(batch.column("library"), batch.column("word"))
+                # lists of a block and a token are put together
+                block, segment = (batch.column(c).to_numpy()[row] for c in ("block", "segment"))
+                order = np.lexsort((opens, token, block, segment))
+                keys = [x[order] for x in (segment, block, token, opens)]
+                first = np.ones(len(order), bool)
+                first[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+                at = batch.column("at").take(pa.array(row[order]))
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(at).to_numpy())])
+                starts = np.flatnonzero(first)
+                sizes = np.diff(ends[np.append(starts, len(order))])
+                columns = [pa.array(x[starts], kind) for x, kind in zip(keys, (pa.int32(), pa.int64(), pa.int32(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, search._lists(sizes, at.flatten())], ["segment", "block", "token", "opens", "at"])
+
+        hits = self.postings(words).select("segment", "library", "word", "block", "at").mapInArrow(look, "segment int, block long, token int, opens boolean, at array<long>")
+        placed = self._placed().select(*AT, "library", "chunk", "ordinal", "length")
+        kind = {"query_id": asked.schema["query_id"].dataType} | {c: placed.schema[c].dataType for c in ("library", *AT, "chunk", "ordinal", "length")}
+        types = {c: to_arrow_type(k) for c, k in kind.items()} | {"found": pa.bool_(), "held": pa.list_(pa.bool_()), "tf": pa.list_(pa.int32())}
+
+        def meet(hits, placed):
+            own = placed["library"].combine_chunks().dictionary_encode(null_encoding="encode")
+            code, n = own.indices.to_numpy(), placed.num_rows
+            at_place = np.full(1 << PLACE, -1)
+            at_place[placed["place"].to_numpy()] = np.arange(n)
+            sizes = pc.list_value_length(hits["at"]).to_numpy()
+            flat = pc.list_flatten(hits["at"]).to_numpy()
+            row = at_place[flat & ((1 << PLACE) - 1)]
+            on = row >= 0
+            token, opens = (np.repeat(hits[c].to_numpy(), sizes)[on] for c in ("token", "opens"))
+            row, tf = row[on], np.where(opens, flat[on] >> PLACE, 0)
+            out = []
+            for i, name in enumerate(own.dictionary.to_pylist()):
+                if name not in few["libraries"]:
+                    continue
+                asked = search.Asked(few["libraries"][name], len(few["tokens"]))
+                rows = np.flatnonzero(code == i)
+                step = max(1, CELLS // max(asked.n, 1))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    local = np.full(n, -1)
+                    local[part] = np.arange(len(part))
+                    mine = (local[row] >= 0) & (asked.place[token] >= 0)
+                    cell = local[row[mine]] * asked.n + asked.place[token[mine]]
+                    counts = np.bincount(cell, tf[mine], len(part) * asked.n).astype(np.int32).reshape(len(part), asked.n)
+                    held = np.zeros(counts.size, bool)
+                    held[cell] = True
+                    held = held.reshape(counts.shape)
+                    for q, a, b in zip(asked.queries, asked.ends[:-1], asked.ends[1:]):
+                        cols = asked.flat[a:b]
+                        found = (counts[:, cols] > 0).any(1)
+                        kept = np.flatnonzero(held[:, cols].any(1) if near else found)
+                        if len(kept):
+                            out.append((q["query_id"], part[kept], found[kept], held[np.ix_(kept, cols)], counts[np.ix_(kept, cols)]))
+            taken = placed.take(pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in out)])))
+            each = [x[3].shape[1] for x in out for _ in x[1]]
+            columns = {c: taken[c] for c in ("library", *AT, "chunk", "ordinal", "length")}
+            columns |= {"query_id": [x[0] for x in out for _ in x[1]], "found": np.concatenate([np.zeros(0, bool), *(x[2] for x in out)])}
+            columns |= {c: search._lists(each, pa.array(np.concatenate([np.zeros(0, k), *(x[i].reshape(-1) for x in out)]))) for c, i, k in (("held", 3, bool), ("tf", 4, np.int32))}
+            return pa.table({c: columns[c] if isinstance(columns[c], pa.ChunkedArray) else pa.array(columns[c], types[c]) for c in types}).cast(pa.schema(types))
+
+        schema = ", ".join(f"{c} {k.simpleString()}" for c, k in kind.items()) + ", found boolean, held array<boolean>, tf array<int>"
+        return hits.groupBy("segment", "block").cogroup(placed.groupBy("segment", "block")).applyInArrow(meet, schema)
+
+    def _weights(self, met: DataFrame) -> DataFrame:
+        """(query_id, mean, idf): the tokens' BM25 weights, over the passages ``met``, and the mean length in the query's library."""
         n = F.col("n_passages")
-        weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-        kept = self.levels(words, weights, cap).where("kept").drop("kept")
-        tf = postings.join(kept, ["library", "word", "level"]).groupBy("query_id", "library", "chunk", "length", "token").agg(F.sum("tf").alias("tf"))
-        scored = tf.join(weights, ["query_id", "token"]).groupBy("query_id", "library", "chunk").agg(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("length"), F.col("mean"))).alias("bm25"))
+        df = met.select("query_id", "library", F.posexplode("tf").alias("at", "tf")).groupBy("query_id", "library", "at").agg(F.count_if(F.col("tf") > 0).alias("df"))
+        idf = df.join(self.sizes(), "library").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        return idf.groupBy("query_id", "mean").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "idf"))), lambda x: x["idf"]).alias("idf"))
+
+    def levels(self, met: DataFrame, weights: DataFrame, cap: int) -> DataFrame:
+        """(query_id, at, level, least, kept): the levels of each query's tokens, what a passage of a kept one adds at least to be among the ``cap`` best, and whether any there can."""
+        each = met.join(F.broadcast(weights), "query_id").select("query_id", "length", "mean", F.posexplode(F.arrays_zip("tf", "idf")).alias("at", "x")).where("x.tf > 0")
+        impact = each.select("query_id", "at", F.col("x.idf").alias("idf"), _impact(F.col("x.tf"), F.col("length"), F.col("mean")).alias("impact"))
+        adds = F.col("idf") * F.col("impact")
+        level = F.floor(F.least(F.lit(LEVELS - 1), LEVELS * F.col("impact") / (K1 + 1))).cast("int")
+        held = impact.groupBy("query_id", "at", level.alias("level")).agg(F.count("*").alias("n"), F.min(adds).alias("low"), F.max(adds).alias("most"))
+        one = Window.partitionBy("query_id", "at")
+        # of one token, so many passages have a score of at least ``low``
+        counted = held.withColumns({"reach": F.sum("n").over(one.orderBy(F.desc("low")).rangeBetween(Window.unboundedPreceding, 0)), "top": F.max("most").over(one)})
+        tops = counted.select("query_id", "at", "top").distinct().groupBy("query_id").agg(F.sum("top").alias("tops"))
+        floor = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("reach") >= cap, F.col("low"))), F.lit(0.0)).alias("floor"))
+        bounded = counted.join(tops.join(floor, "query_id"), "query_id").withColumn("least", F.col("floor") - (F.col("tops") - F.col("top")) - MARGIN)
+        return bounded.select("query_id", "at", "level", "least", (F.col("most") >= F.col("least")).alias("kept"))
+
+    def _best(self, met: DataFrame, cap: int) -> DataFrame:
+        """``met`` of the ``cap`` best full-text candidates of each query, with bm25 and rank."""
+        weights = self._weights(met)
+        least = self.levels(met, weights, cap).groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("at", "least"))).alias("least"))
+        own = met.join(F.broadcast(weights.join(least, "query_id")), "query_id")
+        adds = F.zip_with("tf", "idf", lambda f, i: i * _impact(f, F.col("length"), F.col("mean")))
+        own = own.withColumn("adds", adds).where(F.forall(F.sequence(F.lit(0), F.size("tf") - 1), lambda j: (F.get("tf", j) == 0) | (F.get("adds", j) >= F.coalesce(F.element_at("least", j), F.lit(0.0)))))
+        scored = own.withColumn("bm25", F.aggregate("adds", F.lit(0.0), lambda s, x: s + x))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).drop("least", "adds", "idf", "mean")
+
+    def best(self, words: DataFrame, cap: int) -> DataFrame:
+        """(query_id, library, chunk, bm25, rank): the ``cap`` best full-text candidates of each query, by BM25 over the words that start with its tokens; ``words`` as expanded() gives them."""
+        asked = words.where("prefix").groupBy("query_id", "library").agg(F.collect_set("token").alias("tokens"))
+        return self._best(self._met(asked, self._few(asked), words), cap).select("query_id", "library", "chunk", "bm25", "rank")
 
     def skipped(self, queries: DataFrame, cap: int = search.CANDIDATES) -> DataFrame:
-        """(query_id, levels, skipped): posting levels of each query's words, and how many of them were left out."""
-        words = self.expanded(search.prepared(queries))
-        starts = words.where("prefix")
-        df = self.postings(starts).join(starts, SLOT).select("query_id", "library", "token", "chunk").distinct().groupBy("query_id", "library", "token").agg(F.count("*").alias("df"))
-        weights = df.join(self.sizes(), "library").select("query_id", "token", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-        return self.levels(words, weights, cap).groupBy("query_id").agg(F.count("*").alias("levels"), F.count(F.when(~F.col("kept"), 1)).alias("skipped"))
+        """(query_id, levels, skipped): levels of each query's tokens, and how many of them were left out."""
+        asked = search.prepared(queries)
+        met = self._met(asked, self._few(asked))
+        return self.levels(met, self._weights(met), cap).groupBy("query_id").agg(F.count("*").alias("levels"), F.count(F.when(~F.col("kept"), 1)).alias("skipped"))
 
     def search(self, queries: DataFrame, limit: int = 20, similarity: DataFrame | None = None, cap: int | None = None) -> DataFrame:
         """search.search() over the index: the same rows; with a ``cap`` those of the ``cap`` best full-text candidates of each query."""
@@ -299,33 +465,51 @@ class Index:
         return found.unionByName(search.search(self.passages().drop("length"), short.select(queries.columns), limit, near))
 
     def _search(self, asked: DataFrame, limit: int, similarity: DataFrame | None, cap: int | None) -> DataFrame:
-        words = self.expanded(asked)
-        postings = self.postings(words).select("slot", "library", "word", "chunk")
+        if not search._few(asked):
+            # so many questions at once read the texts
+            texts = self.passages().drop("length")
+            seen = search.scanned(texts, asked, similarity)
+            if cap is not None:
+                best = search.bm25(texts, asked.select("query_id", "library", "query"), cap).select("query_id", "chunk", F.lit(True).alias("best"))
+                seen = seen.join(best, ["query_id", "chunk"], "left").where(F.coalesce("best", F.lit(False)) | (F.coalesce("cosine", F.lit(0.0)) >= search.LEAST_COSINE)).drop("best")
+            return self._texts(search.ranked(seen, asked, limit, False), False)
+        few = self._few(asked)
+        words = self.expanded(asked) if any(s["buckets"] > 1 for s in self.segments) else None
+        met = self._met(asked, few, words, similarity is not None)
+        own = asked.select("query_id", "library", F.size(F.array_distinct("tokens")).alias("n_tokens"))
         if cap is not None:
-            best = self.best(words, cap).select("query_id", "library", "chunk", F.lit(True).alias("found"))
+            best = self._best(met.where("found"), cap)
             if similarity is None:
-                # only the best candidates' words are looked at again
-                postings = postings.join(best.select("library", "chunk").distinct(), ["library", "chunk"], "left_semi")
-        met = postings.join(words, SLOT).groupBy("query_id", "library", "chunk").agg(F.collect_set("token").alias("hits"), F.bool_or("prefix").alias("found"))
-        if cap is not None:
-            met = met.drop("found").join(best, ["query_id", "library", "chunk"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-        own = asked.select("query_id", "library", "phrase", F.array_distinct("tokens").alias("distinct"))
+                met = best.drop("bm25", "rank")
+            else:
+                met = met.drop("found").join(best.select("query_id", *AT, F.lit(True).alias("found")), ["query_id", *AT], "left")
+        met = met.select("query_id", *AT, "chunk", "ordinal", "found", "held")
         if similarity is None:
-            loaded = met.where("found").withColumn("cosine", F.lit(None).cast("double"))
+            loaded = met.withColumn("cosine", F.lit(None).cast("double"))
         else:
             # a library's passages of like meaning join those found by words
-            near = similarity.join(own.select("query_id", "library"), "query_id").join(self.passages().select("library", "chunk"), ["library", "chunk"])
-            loaded = met.join(near.select("query_id", "library", "chunk", "cosine"), ["query_id", "library", "chunk"], "full").where(F.coalesce("found", F.lit(False)) | (F.col("cosine") >= search.LEAST_COSINE))
-            loaded = loaded.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
-        held = F.transform("distinct", lambda t: F.array_contains("hits", t))
-        seen = loaded.join(own.drop("library"), "query_id").select("query_id", "library", "chunk", "phrase", held.alias("held"), "cosine").repartition("query_id", "chunk")
-        # a passage that holds the phrase holds all its tokens
-        whole = seen.where(F.forall("held", lambda h: h)).select("query_id", "library", "chunk", "phrase")
-        spelled = whole.join(self.passages().select("library", "chunk", "filename", "text"), ["library", "chunk"]).where(F.contains(F.lower(F.concat_ws(" ", "filename", "text")), "phrase")).select("query_id", "library", "chunk", F.lit(True).alias("spelled"))
-        placed = self.passages().select("library", "chunk", "ordinal")
-        scored = seen.join(placed, ["library", "chunk"]).join(spelled, ["query_id", "library", "chunk"], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
-        few = search._few(asked)
-        best = search.ranked(scored.drop("library"), asked, limit, few, seen)
+            near = similarity.join(own, "query_id").join(self._placed().select("library", *AT, "chunk", "ordinal"), ["library", "chunk"])
+            near = near.select("query_id", *AT, F.col("chunk").alias("c"), F.col("ordinal").alias("o"), F.array_repeat(F.lit(False), F.col("n_tokens")).alias("none"), "cosine")
+            loaded = met.join(near, ["query_id", *AT], "full").where(F.coalesce("found", F.lit(False)) | (F.col("cosine") >= search.LEAST_COSINE))
+            loaded = loaded.withColumns({"chunk": F.coalesce("chunk", "c"), "ordinal": F.coalesce("ordinal", "o"), "held": F.coalesce("held", "none")})
+        seen = loaded.select("query_id", *AT, "chunk", "ordinal", "held", "cosine")
+        spelled = self._spelled(seen, asked)
+        scored = seen.join(spelled, ["query_id", *AT], "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
+        return self._texts(search.ranked(scored, asked, limit, True, seen), True)
+
+    def _spelled(self, seen: DataFrame, asked: DataFrame) -> DataFrame:
+        """(query_id, segment, block, place, spelled) of the candidates ``seen`` that hold their query's phrase, and so all its tokens."""
+        whole = seen.where(F.forall("held", lambda h: h)).select("query_id", *AT)
+        texts = self._placed().select("library", *AT, F.lower(F.concat_ws(" ", "filename", "text")).alias("hay"))
+        if whole.limit(SENT + 1).count() <= SENT:
+            own = whole.join(F.broadcast(asked.select("query_id", "phrase")), "query_id")
+            return F.broadcast(texts.join(F.broadcast(own), AT).where(F.contains("hay", "phrase")).select("query_id", *AT, F.lit(True).alias("spelled")))
+        # where they are many, texts meet their library's queries instead of being dealt to them
+        met = texts.join(F.broadcast(search._parts(asked, "phrase")), "library")
+        rows = F.transform(F.filter("asked", lambda q: F.contains("hay", q["phrase"])), lambda q: q["query_id"])
+        return met.select(*AT, F.explode(rows).alias("query_id")).withColumn("spelled", F.lit(True))
+
+    def _texts(self, best: DataFrame, few: bool) -> DataFrame:
         texts = self.passages().select("library", "chunk", "document", "filename", "text")
         return texts.join(search._sent(best, few), ["library", "chunk"]).select("query_id", "library", "chunk", "document", "filename", "text", "score", "rank")
 

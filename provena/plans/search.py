@@ -74,7 +74,7 @@ SELECT library, count(*) AS postings, count(DISTINCT word) AS words, count(DISTI
 def index_build(spark, sf_dir):
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index.build(passages(spark, sf_dir), folder)
-    return index.Index(spark, folder).postings().groupBy("library").agg(F.count("*").alias("postings"), F.countDistinct("word").alias("words"), F.countDistinct("chunk").alias("passages"))
+    return index.Index(spark, folder).counts()
 
 
 _built: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 import random
 
-from provena.operators import dedup
+from provena.operators import dedup, index
 
 
 def shuffled(spark, run):
@@ -33,3 +33,32 @@ def test_shingles_that_stand_once_are_not_joined(spark):
     assert sorted((r.a, r.b) for r in found) == sorted((i * 10, 300 + i) for i in range(30))
     # a prefix is shuffled once, to fold copies, and half of it again; texts of the pairs alone
     assert wrote < 0.75 * sum(map(len, made)), wrote / sum(map(len, made))
+
+
+def folder_bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file())
+
+
+def test_an_index_is_built_and_asked_without_shuffling_texts_or_postings(spark, tmp_path):
+    draw = random.Random(4)
+    words = [f"{draw.choice('abcdefgh')}{draw.randrange(10**6)}y" for _ in range(20_000)]
+    made = [" ".join(draw.choices(words, k=300)) for _ in range(500)]
+    size = sum(map(len, made))
+    p = spark.createDataFrame([(f"l{i % 3}", i, i, f"{i}.txt", t, 0) for i, t in enumerate(made)], "library string, document long, chunk long, filename string, text string, ordinal int").repartition(3).localCheckpoint()
+    q = spark.createDataFrame([(i, f"l{i % 3}", " ".join(made[i].split()[:4]) + (" y" if i % 2 else "")) for i in range(30)], "query_id int, library string, query string")
+    assert shuffled(spark, lambda: index.build(p, str(tmp_path / "i"))) < 0.05 * size
+    assert folder_bytes(tmp_path / "i") < 1.5 * size
+    for cap in (None, 3):
+        found = []
+        assert shuffled(spark, lambda: found.extend(index.lookup(spark, str(tmp_path / "i"), q, 2, cap=cap).collect())) < 0.3 * size  # noqa: B023
+        assert {r.query_id for r in found if r.chunk == r.query_id and r["rank"] == 1} == set(range(30))
+
+
+def test_counts_leave_out_what_newer_segments_hide(spark, tmp_path):
+    rows = [("a", 1, 1, "x", "one two two", 0), ("a", 2, 2, "x", "two three", 0), (None, 3, 3, "x", "one", 0), ("b", 4, 4, "x", "", 0)]
+    schema = "library string, document long, chunk long, filename string, text string, ordinal int"
+    counts = lambda: {tuple(r) for r in index.Index(spark, str(tmp_path / "i")).counts().collect()}
+    index.build(spark.createDataFrame(rows, schema), str(tmp_path / "i"))
+    assert counts() == {("a", 4, 3, 2), (None, 1, 1, 1)}
+    index.upsert(spark.createDataFrame([("a", 2, 5, "x", "four", 0)], schema), str(tmp_path / "i"))
+    assert counts() == {("a", 3, 3, 2), (None, 1, 1, 1)}
