@@ -34,6 +34,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from provena.functions import text as T
 from provena.operators import search
+from provena.session import shared_folder
 
 #: Words that a bucket holds about, and the most buckets of a segment; each task writes a file to each.
 BUCKET, MOST_BUCKETS = 64_000_000, 4096
@@ -318,8 +319,12 @@ class Index:
 
     def expanded(self, asked: DataFrame) -> DataFrame:
         """(query_id, library, token, word, prefix): listed words that hold a token of ``asked`` (query_id, library, tokens), and whether they start with it."""
-        few = self._few(asked)
-        kind = {c: asked.schema[c].dataType.simpleString() for c in ("library",)}
+        tokens = asked.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token"))
+        return self._words(self._few(asked)).distinct().join(F.broadcast(tokens), ["library", "token"]).select("query_id", "library", "token", "word", "prefix")
+
+    def _words(self, few: dict) -> DataFrame:
+        """(library, word, token, prefix) of each list whose word holds a token of its library's queries."""
+        listed = self.postings().select("library", "word")
 
         def work(batches):
             sought = Sought(few)
@@ -328,9 +333,7 @@ class Index:
                 row, token, opens = sought.met(batch.column("library"), batch.column("word"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("library", "word")), spelled.take(pa.array(token)), pa.array(opens)], ["library", "word", "token", "prefix"])
 
-        found = self.postings().select("library", "word").mapInArrow(work, f"library {kind['library']}, word string, token string, prefix boolean").distinct()
-        tokens = asked.select("query_id", "library", F.explode(F.array_distinct("tokens")).alias("token"))
-        return found.join(F.broadcast(tokens), ["library", "token"]).select("query_id", "library", "token", "word", "prefix")
+        return listed.mapInArrow(work, f"library {listed.schema['library'].dataType.simpleString()}, word string, token string, prefix boolean")
 
     def _few(self, asked: DataFrame) -> dict:
         return search._by_library(search._openings(asked.withColumn("phrase", F.lit(""))), "starts")
@@ -408,6 +411,12 @@ class Index:
         schema = ", ".join(f"{c} {k.simpleString()}" for c, k in kind.items()) + ", found boolean, held array<boolean>, tf array<int>"
         return hits.groupBy("segment", "block").cogroup(placed.groupBy("segment", "block")).applyInArrow(meet, schema)
 
+    def _written(self, met: DataFrame) -> DataFrame:
+        """``met`` as a table in the shared folder, where it stays until that is cleared."""
+        path = f"{shared_folder(self.spark)}/candidates-{uuid.uuid4().hex}"
+        met.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(met.schema).parquet(path)
+
     def _weights(self, met: DataFrame) -> DataFrame:
         """(query_id, mean, idf): the tokens' BM25 weights, over the passages ``met``, and the mean length in the query's library."""
         n = F.col("n_passages")
@@ -474,8 +483,11 @@ class Index:
                 seen = seen.join(best, ["query_id", "chunk"], "left").where(F.coalesce("best", F.lit(False)) | (F.coalesce("cosine", F.lit(0.0)) >= search.LEAST_COSINE)).drop("best")
             return self._texts(search.ranked(seen, asked, limit, False), False)
         few = self._few(asked)
-        words = self.expanded(asked) if any(s["buckets"] > 1 for s in self.segments) else None
+        # very many tokens have words in all buckets
+        words = self._words(few) if len(few["tokens"]) < max(s["buckets"] for s in self.segments) else None
         met = self._met(asked, few, words, similarity is not None)
+        # candidates are few bytes and read several times: lists are read once
+        met = self._written(met if cap is not None else met.drop("library", "length", "tf"))
         own = asked.select("query_id", "library", F.size(F.array_distinct("tokens")).alias("n_tokens"))
         if cap is not None:
             best = self._best(met.where("found"), cap)
