@@ -490,7 +490,7 @@ class Index:
         met = self._written(met if cap is not None else met.drop("library", "length", "tf"))
         own = asked.select("query_id", "library", F.size(F.array_distinct("tokens")).alias("n_tokens"))
         if cap is not None:
-            best = self._best(met.where("found"), cap)
+            best = self._written(self._best(met.where("found"), cap))
             if similarity is None:
                 met = best.drop("bm25", "rank")
             else:
