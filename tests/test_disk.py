@@ -2,7 +2,7 @@
 
 import random
 
-from provena.operators import dedup, index
+from provena.operators import dedup, index, search
 
 
 def shuffled(spark, run):
@@ -62,3 +62,14 @@ def test_counts_leave_out_what_newer_segments_hide(spark, tmp_path):
     assert counts() == {("a", 4, 3, 2), (None, 1, 1, 1)}
     index.upsert(spark.createDataFrame([("a", 2, 5, "x", "four", 0)], schema), str(tmp_path / "i"))
     assert counts() == {("a", 3, 3, 2), (None, 1, 1, 1)}
+
+
+def test_many_questions_with_a_cap_find_what_few_find(spark, tmp_path, monkeypatch):
+    draw = random.Random(6)
+    p = spark.createDataFrame([(f"l{i % 2}", i, i, f"{i}.txt", " ".join(draw.choice(["red", "reddish", "blue", "plum", "pear", "fig"]) for _ in range(draw.randint(1, 9))), 0) for i in range(60)], "library string, document long, chunk long, filename string, text string, ordinal int")
+    q = spark.createDataFrame([(1, "l0", "red plum"), (2, "l1", "blue pear"), (3, "l1", "ish")], "query_id int, library string, query string")
+    index.build(p, str(tmp_path / "i"))
+    ask = lambda: sorted((r.query_id, r.chunk, r["rank"], round(r.score, 6)) for r in index.lookup(spark, str(tmp_path / "i"), q, 4, cap=5).collect())
+    few = ask()
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
+    assert few and ask() == few
