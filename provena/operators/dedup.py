@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import uuid
@@ -110,8 +111,10 @@ def _compared(pairs: DataFrame) -> DataFrame:
         return {*w, *(" ".join(w[i : i + 3]) for i in range(len(w) - 2))}
 
     def work(batches):
+        # a text of a large group stands in many pairs
+        kept = functools.lru_cache(256)(spelled)
         for batch in batches:
-            sets = [(spelled(a), spelled(b)) for a, b in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb")))]
+            sets = [(kept(a), kept(b)) for a, b in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb")))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("library", "a", "b")] + [pa.array([len(a & b) / len(a | b) for a, b in sets], pa.float64())], ["library", "a", "b", "jaccard"])
 
     kind = {c: pairs.schema[c].dataType.simpleString() for c in ("library", "a", "b")}
